@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import mixing
+from rasterloom.llm import mixing, sharding, tokenfile
 from rasterloom.llm.scratch import table
 
 
@@ -14,8 +14,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_report(spark, table(spark, sf_dir, "documents"), tokenfile.vocabulary())
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing,)}
+    return {f.__name__: f for f in (op1_mixing, op4_token_file, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

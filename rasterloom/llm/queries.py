@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import mixing, sharding, tokenfile
+from rasterloom.llm import mixing, neardup, sharding, tokenfile
 from rasterloom.llm.scratch import table
 
 
@@ -18,12 +18,16 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_report(spark, table(spark, sf_dir, "documents"), tokenfile.vocabulary())
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_token_file, op8_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op4_token_file, op5_minhash, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

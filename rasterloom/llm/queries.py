@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import mixing, neardup, sharding, tokenfile
+from rasterloom.llm import decontaminate, langid, mixing, neardup, sharding, substrings, tokenfile
 from rasterloom.llm.scratch import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_report(spark, table(spark, sf_dir, "documents"), tokenfile.vocabulary())
 
@@ -22,12 +26,20 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_token_file, op5_minhash, op8_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_token_file, op5_minhash, op7_decontamination, op8_sharding, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

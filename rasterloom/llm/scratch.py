@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,8 @@ def small_side(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFra
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of value as bytes for pickle.loads(); its class goes along, so executors need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))

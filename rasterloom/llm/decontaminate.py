@@ -1,6 +1,6 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Symbols are words (case-blind hashes), and distances are word edits. A document is
+Symbols are words (hashes of lower-cased text), and distances are word edits. A document is
 contaminated by an item of w words if some run of its words is within floor(0.15 w)
 edits (insertions, deletions, replacements) of the item; items of 5 to 7 words must
 occur unchanged, items below MIN_WORDS words take no part.
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,7 +217,7 @@ def _parts(items: DataFrame) -> Iterator[Index]:
     """The benchmark as indexes of at most PART_WORDS words each (or one longer item)."""
     powers, ids, words, held = Powers(), [], [], 0
     for row in items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        _, _, data, off = next(text_chunks(pa.array([row.text])))
+        _, _, data, off = next(text_chunks(pc.utf8_lower(pa.array([row.text]))))
         h, _ = word_hashes(data, off, powers)
         if ids and held + len(h) > PART_WORDS:
             yield Index(ids, words)
@@ -241,7 +242,7 @@ def contaminations(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Da
             index, powers = pickle.loads(shared.value), Powers()
             for b in batches:
                 found = []
-                for i, _, data, off in text_chunks(b.column("text")):
+                for i, _, data, off in text_chunks(pc.utf8_lower(b.column("text"))):
                     h, first = word_hashes(data, off, powers)
                     found += [(d + i, *x) for d, *x in index.verified(h, first)]
                 ids = b.column("doc_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import decontaminate, langid, mixing, neardup, sharding, substrings, tokenfile
+from rasterloom.llm import decontaminate, langid, mixing, nearest, neardup, sharding, substrings, suffixtree, tokenfile
 from rasterloom.llm.scratch import table
 
 
@@ -26,6 +26,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,12 +38,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.language_scores(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_token_file, op5_minhash, op7_decontamination, op8_sharding, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_token_file, op5_minhash, op6_nearest, op7_decontamination, op8_sharding, op9_suffix_tree, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

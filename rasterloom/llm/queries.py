@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import decontaminate, langid, mixing, nearest, neardup, sharding, substrings, suffixtree, tokenfile
+from rasterloom.llm import decontaminate, extraction, langid, mixing, nearest, neardup, sharding, substrings, suffixtree, tokenfile
 from rasterloom.llm.scratch import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(spark, table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_token_file, op5_minhash, op6_nearest, op7_decontamination, op8_sharding, op9_suffix_tree, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_main_text, op3_language_id, op4_token_file, op5_minhash, op6_nearest, op7_decontamination, op8_sharding, op9_suffix_tree, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

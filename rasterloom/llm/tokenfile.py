@@ -20,6 +20,8 @@ repeated rows are written each; an empty table makes no file and an empty result
 from __future__ import annotations
 
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,8 +37,8 @@ from rasterloom.llm.words import Powers, mix, span_hashes, text_chunks
 END = 2
 #: Ids in a frame, about; a longer document has a frame of its own.
 FRAME_IDS = 1 << 16
-#: Chunks of text whose ids a task keeps.
-KEPT = 400_000
+#: Chunks of text whose ids a worker keeps (about 50 bytes each); the first ones met, which hold the frequent ones.
+KEPT = 1_000_000
 _SKIP_DOCS, _SKIP_SEEK, _SEEK_MAGIC = 0x184D2A5C, 0x184D2A5E, 0x8F92EAB1
 _DOC = np.dtype([("doc_id", "<i8"), ("has_id", "<u4"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 
@@ -49,25 +51,41 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
         return f.read()
 
 
+_LOW = np.arange(256) < 0x21
+_LEADS = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
+_LEADS3 = np.isin(np.arange(256), (0xE1, 0xE2, 0xE3))
+
+
 def cut_points(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Places at which text can be cut without changing its ids: before a single space, around a single line feed."""
     n = len(data)
-    low = data < 0x21
-    pad = np.ones(n + 6, bool)
-    pad[3 : n + 3] = low
+    low, out = _LOW[data], np.zeros(n + 1, bool)
+    alone = (data == 0x20) | (data == 0x0A)
+    alone[:1] = alone[-1:] = False
     texts = off[(off > 0) & (off < n)]
-    bytes_ = np.zeros(n + 6, np.uint8)
-    bytes_[3 : n + 3] = data
-    near = lambda k: bytes_[3 + k : n + 3 + k]
+    alone[texts] = alone[texts - 1] = False
+    alone[1:] &= ~low[:-1]
+    alone[:-1] &= ~low[1:]
     # signs of two or three bytes that are white space begin with C2, E1, E2 or E3: no cut beside any such sign
-    odd = np.isin(bytes_, (0xC2, 0xE1, 0xE2, 0xE3))
-    alone = ~pad[2 : n + 2] & ~pad[4 : n + 4] & ~odd[4 : n + 4] & (near(-2) != 0xC2) & ~np.isin(near(-3), (0xE1, 0xE2, 0xE3))
-    alone[texts] = False
-    alone[texts - 1] = False
-    if n:
-        alone[0] = alone[-1] = False
-    space, feed = np.flatnonzero(alone & (data == 0x20)), np.flatnonzero(alone & (data == 0x0A))
-    return np.unique(np.concatenate([off[off < n], space, feed, feed + 1]))
+    alone[:-1] &= ~_LEADS[data[1:]]
+    alone[2:] &= data[:-2] != 0xC2
+    alone[3:] &= ~_LEADS3[data[:-3]]
+    out[:n] = alone
+    feeds = np.flatnonzero(alone & (data == 0x0A))
+    out[feeds + 1] = True
+    out[off] = True
+    return np.flatnonzero(out[:n])
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and for every place its value's rank."""
+    order = np.argsort(h)
+    s = h[order]
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    inverse = np.empty(len(s), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return s[new], order[new], inverse
 
 
 class Encoder:
@@ -82,6 +100,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(vocab)
         self.tokenizer.encode_special_tokens = True
         self.powers = Powers()
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.clear()
 
     def clear(self) -> None:
@@ -89,48 +108,81 @@ class Encoder:
         self.row = np.empty(0, np.int64)  # of each, its row below
         self.first, self.length, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row and how many each has.
+
+        Pieces without white space but for a space in front go through the tokenizer as
+        one text of lines: a line feed between them is a token of its own.
+        """
+        plain = np.fromiter((p.lstrip(" ").split() == [p[p[0] == " " :]] for p in pieces), bool, len(pieces))
+        lines = [p for p, x in zip(pieces, plain, strict=True) if x]
+        found = self.tokenizer.encode_batch_fast(["\n".join(lines)] + [p for p, x in zip(pieces, plain, strict=True) if not x], add_special_tokens=False)
+        flat = np.array(found[0].ids, np.uint32)
+        stops = np.flatnonzero(flat == self.feed)
+        if len(stops) != max(len(lines) - 1, 0):
+            raise RuntimeError("the tokenizer joined lines")
+        length = np.empty(len(pieces), np.int64)
+        length[plain] = np.diff(np.concatenate([[-1], stops, [len(flat)]]))[: len(lines)] - 1
+        rest = [np.array(e.ids, np.uint32) for e in found[1:]]
+        length[~plain] = [len(x) for x in rest]
+        first = np.cumsum(length) - length
+        out = np.empty(int(length.sum()), np.uint32)
+        of_plain = np.repeat(plain, length)
+        out[of_plain] = flat[flat != self.feed]
+        if rest:
+            out[~of_plain] = np.concatenate(rest)
+        return out, first
+
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
-        first = len(self.ids) + np.cumsum(length) - length
-        self.row = np.concatenate([self.row, len(self.first) + np.arange(len(ids))])
-        self.first, self.length, self.ids = np.concatenate([self.first, first]), np.concatenate([self.length, length]), np.concatenate([self.ids, flat])
+        flat, first = self._ids(pieces)
+        length = np.diff(np.append(first, len(flat)))
+        self.row = np.concatenate([self.row, len(self.first) + np.arange(len(pieces))])
+        self.first, self.length, self.ids = np.concatenate([self.first, first + len(self.ids)]), np.concatenate([self.length, length]), np.concatenate([self.ids, flat])
         known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
+        order = np.argsort(known)
         self.known, self.row = known[order], self.row[order]
 
+    def _forget(self, kept: int) -> None:
+        """Keep the first pieces that were met, which include the frequent ones."""
+        old = self.row < kept
+        self.known, self.row = self.known[old], self.row[old]
+        self.first, self.length = self.first[:kept], self.length[:kept]
+        self.ids = self.ids[: int(self.first[-1] + self.length[-1])].copy() if kept else self.ids[:0]
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts without end ids, and each text's first."""
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(off), np.int64)
         starts = cut_points(data, off)
         ends = np.append(starts[1:], len(data))
-        raw = data.tobytes()
-        h = mix(_case(data, starts, ends, self.powers))
-        uniq, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        for _ in range(2):
-            place = np.minimum(np.searchsorted(self.known, uniq), max(len(self.known) - 1, 0))
-            new = np.ones(len(uniq), bool) if not len(self.known) else self.known[place] != uniq
-            if not new.any():
-                break
-            if len(self.known) + new.sum() > KEPT:
-                self.clear()
-                new[:] = True
-            self._learn(uniq[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in at[new]])
+        uniq, at, inverse = distinct(_case(data, starts, ends, self.powers))
+        place = np.minimum(np.searchsorted(self.known, uniq), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[place] != uniq) if len(self.known) else np.arange(len(uniq))
+        if len(new):
+            text = data.tobytes()
+            self._learn(uniq[new], [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
         row = self.row[np.searchsorted(self.known, uniq)][inverse]
         length, first = self.length[row], self.first[row]
         upto = np.zeros(len(length) + 1, np.int64)
         np.cumsum(length, out=upto[1:])
         out = self.ids[np.repeat(first - upto[:-1], length) + np.arange(upto[-1])]
+        if len(self.first) > KEPT:
+            self._forget(KEPT)
         return out, upto[np.searchsorted(starts, off)]
 
 
 def _case(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
     """Hashes of byte spans that tell A-Z from a-z: the case-blind hash with a second one over the capitals."""
     upper = ((data >= 65) & (data <= 90)).view(np.uint8)
-    return span_hashes(data, starts, ends, powers) * np.uint64(0x9FB21C651E98DF25) + span_hashes(upper, starts, ends, powers)
+    return mix(span_hashes(data, starts, ends, powers) * np.uint64(0x9FB21C651E98DF25) + span_hashes(upper, starts, ends, powers))
+
+
+def worker_encoder(vocab: str) -> Encoder:
+    """The encoder of this worker process: a later task in the same process finds the chunks that earlier ones met."""
+    state = sys.modules.setdefault("_token_encoder", types.ModuleType("_token_encoder"))
+    if getattr(state, "vocab", None) != hash(vocab):
+        state.encoder, state.vocab = Encoder(vocab), hash(vocab)
+    return state.encoder
 
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], frame_ids: int = FRAME_IDS) -> bytes:
@@ -200,7 +252,7 @@ class Reader:
 
 
 #: Documents and ids that a file holds at most, about.
-FILE_IDS = 1 << 23
+FILE_IDS = 1 << 21
 _WRITTEN = "part int, seq int, file string, docs long, ids long"
 
 
@@ -216,7 +268,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, vocab: str, end: in
         from pyspark import TaskContext
         from pyarrow import fs
 
-        part, seq, encoder = TaskContext.get().partitionId(), 0, Encoder(shared.value)
+        part, seq, encoder = TaskContext.get().partitionId(), 0, worker_encoder(shared.value)
         names: list[int | None] = []
         ids: list[np.ndarray] = []
         held = 0

@@ -29,7 +29,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Most times that a source, and so a document, is taken.
 MAX_EPOCHS = 3
 #: Documents in a bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: Signs whose share lowers a document's quality weight.
 JUNK = "#$%&*@^~|<>{}[]=+_"
 SEED = "mix-1"

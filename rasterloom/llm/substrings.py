@@ -8,8 +8,8 @@ white space. Runs that occur more than once are found by one grouped minimum, an
 sentence covered by an occurrence other than the first (by doc_id and place) is removed,
 with the white space behind it. So a passage that is repeated keeps its first copy.
 
-Only runs that repeat are joined back: broadcast where they are few, else by a shuffled
-join that Spark may split where a run is very frequent. A document's list of removed
+Only runs that repeat are joined back, by a join that Spark may split where a run is very
+frequent; what is joined grows with the corpus, so nothing is broadcast by hand. A document's list of removed
 sentences is no longer than the document.
 
 Defined results: a null text stays null, with no sentences; texts without two sentences
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.scratch import Scratch, small_side
+from rasterloom.llm.scratch import Scratch
 from rasterloom.llm.words import Powers, mix, signed, span_hashes, text_chunks, word_spans
 
 SENTENCES, SPAN_WORDS, LONG = 2, 20, 25
@@ -126,10 +126,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame) -> DataFrame:
         .select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first")
     )
     repeated = scratch.save(repeated, "repeated")
-    side = small_side(repeated, repeated.count())
-    covered = found.join(side, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
+    covered = found.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
     removed = covered.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("at", "n")).alias("removed"))
-    removed = scratch.save(removed, "removed")
-    lists = small_side(removed, removed.count(), 50_000)
-    rows = texts.join(lists, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "removed")
+    rows = texts.join(removed, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "removed")
     return rows.mapInArrow(_clean, "doc_id long, text string, n_sentences int, n_removed int")

@@ -1,19 +1,21 @@
 """Near-duplicate documents: b-bit MinHash, band buckets, exact verification, components.
 
 1. A pass over the texts hashes every document's five-word shingles, takes 128 minima,
-   hashes them in 32 bands of four, packs the low two bits of every minimum into four
+   hashes them in 32 bands of four, packs the low four bits of every minimum into eight
    longs, and fingerprints the set by two independent 64-bit sums of its shingles.
 2. Documents with the same set are one node, the smallest doc_id of them.
 3. Nodes that share a band meet. In each bucket every node is paired with the bucket's
    smallest node only (a star, not all pairs). The collision-corrected share of equal
    bit groups estimates the similarity; a pair is dropped if it lies more than five
    standard deviations below the threshold, else the full sets are compared.
-4. Verified links give components. Buckets whose nodes are then in different components
-   are looked at again: their packed signatures are compared in blocks inside one task
-   per block pair, and only pairs in different components that the estimate allows go to
-   the exact comparison: first each node's best few, which settles large groups, then
-   all that are left. So no link between components is lost for want of a comparison,
-   except with the chance of sharing no band at all, 5e-6 at similarity 0.75.
+4. Verified links give components. A bucket whose nodes are then in different components
+   is looked at again, with the full sets: in tasks for pairs of blocks of at most
+   BLOCK_BYTES of sets, each node outside the largest component is compared with the nodes
+   of other components that the estimate allows, most similar first, until a link joins
+   the two. A pair is compared in the first band that it shares only, and what leaves a
+   task is its links, no more than its nodes. So no link between components is lost for
+   want of a comparison, except with the chance of sharing no band at all, 5e-6 at
+   similarity 0.75, or of an estimate five standard deviations off.
 
 Defined results: a document without words has no shingles and is linked with nothing;
 rows that share a doc_id are one node; a null doc_id takes no part in links of
@@ -36,14 +38,15 @@ from rasterloom.llm.words import Powers, constants, mix, shingles, signed, text_
 SHINGLE = 5
 #: Percent of the union that the intersection must reach.
 PERCENT = 75
-HASHES, BANDS, BITS = 128, 32, 2
+HASHES, BANDS, BITS = 128, 32, 4
 ROWS = HASHES // BANDS
 #: Least estimate that goes on to exact comparison: the threshold less five standard deviations of the estimate.
-LEAST = PERCENT / 100 - 5 * ((0.8125 * 0.1875 / HASHES) ** 0.5) / (1 - 0.5**BITS)
-#: Nodes of a bucket that are compared with each other in one task.
-BLOCK = 4096
-#: Candidates of each node in the first look at unsettled buckets.
-BEST = 8
+_EQUAL = PERCENT / 100 + (1 - PERCENT / 100) * 0.5**BITS
+LEAST = PERCENT / 100 - 5 * (_EQUAL * (1 - _EQUAL) / HASHES) ** 0.5 / (1 - 0.5**BITS)
+#: A bit in each group of BITS.
+_UNITS = sum(1 << k for k in range(0, 64, BITS))
+#: Bytes of shingle sets in a block of a bucket, about.
+BLOCK_BYTES = 16 << 20
 
 _SIGNED = "doc_id long, n long, h1 long, h2 long, bands array<long>, sig array<long>"
 
@@ -69,7 +72,9 @@ def pack_bits(m: np.ndarray) -> np.ndarray:
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity from packed signatures (…, longs): share of equal bit groups, corrected for chance collisions."""
     x = a ^ b
-    differ = (x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    for k in (1, 2):
+        x = x | (x >> np.uint64(k))
+    differ = x & np.uint64(_UNITS)
     equal = 1 - np.bitwise_count(differ).sum(-1) / HASHES
     return (equal - 0.5**BITS) / (1 - 0.5**BITS)
 
@@ -117,42 +122,53 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([b.column("node").slice(i, j - i), pa.array([np.unique(h[at[d] : at[d + 1]]).tobytes() for d in range(j - i)], pa.binary())], ["node", "grams"])
 
 
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach percent of their union in their intersection."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
 def _verify(percent: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("ga"), b.column("gb"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(both) - same))
+            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column("ga"), b.column("gb"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "link"])
 
     return f
 
 
-def _cross(best: int | None):
-    """Of a block pair of a bucket: pairs of nodes in different components that the estimate allows."""
+def _settle(percent: int):
+    """Of a block pair of a bucket: links that join different components."""
 
     def f(t: pa.Table) -> pa.Table:
-        node, comp, side = t["node"].to_numpy(), t["component"].to_numpy(), t["side"].to_numpy()
+        t = t.sort_by("node")
+        node, side = t["node"].to_numpy(), t["side"].to_numpy()
+        _, comp = np.unique(t["component"].to_numpy(), return_inverse=True)
         sig = np.array(t["sig"].combine_chunks().flatten()).view(np.uint64).reshape(len(node), -1)
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(node)),) * 2
-        out_a, out_b = [], []
-        for i in left:
-            other = right[comp[right] != comp[i]]
+        bands = np.array(t["bands"].combine_chunks().flatten()).reshape(len(node), -1)
+        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]]
+        own = int(np.flatnonzero(bands[0] == t["key"][0].as_py())[0])
+        size = np.array([len(g) for g in grams])
+        out = []
+        small = np.flatnonzero(comp != np.bincount(comp).argmax())
+        for i in small:
+            other = (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            if side.any():
+                other &= side != side[i]
+            other = np.flatnonzero(other)
+            other = other[~(bands[other, :own] == bands[i, :own]).any(1)]
             e = estimate(sig[other], sig[i])
-            ok = e >= LEAST
-            other, e = other[ok], e[ok]
-            if best is not None and len(other) > best:
-                other = other[np.argsort(-e, kind="stable")[:best]]
-            out_a.append(np.full(len(other), node[i])), out_b.append(node[other])
-        a, b = np.concatenate(out_a or [np.empty(0, np.int64)]), np.concatenate(out_b or [np.empty(0, np.int64)])
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            other = other[e >= LEAST][np.argsort(-e[e >= LEAST], kind="stable")]
+            for j in other:
+                if comp[j] != comp[i] and linked(grams[i], grams[j], percent):
+                    out.append((node[i], node[j]))
+                    comp[comp == comp[j]] = comp[i]
+        a, b = (np.array([x[k] for x in out], np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return f
 
@@ -168,13 +184,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
         .join(classes.select("h1", "h2", "node").withColumnsRenamed({"h1": "c1", "h2": "c2", "node": "of"}), (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("node") == F.col("of")), "left_semi")
         .select("node", "n", "bands", "sig").dropDuplicates(["node"])
     )
-    keys = scratch.save(nodes.select("node", F.explode("bands").alias("key")), "keys")
+    keys = scratch.save(nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key")), "keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first")).where("members > 1")
-    members = scratch.save(keys.join(shared.withColumnRenamed("key", "of"), F.col("key") == F.col("of")).select("key", "node", "first", "members"), "members")
+    members = scratch.save(keys.join(shared.withColumnRenamed("key", "of"), F.col("key") == F.col("of")).select("key", "node", "n", "first"), "members")
     scratch.drop(keys)
     met = scratch.save(members.select("node").distinct(), "met")
     n_met = met.count()
-    signed_nodes = scratch.save(signs.where("n > 0").select(F.col("doc_id").alias("node"), "n", "sig").join(small_side(met, n_met), "node", "left_semi").dropDuplicates(["node"]), "signed")
+    signed_nodes = scratch.save(signs.where("n > 0").select(F.col("doc_id").alias("node"), "sig", "bands").join(small_side(met, n_met), "node", "left_semi").dropDuplicates(["node"]), "signed")
     grams = texts.withColumnRenamed("doc_id", "node").join(small_side(met, n_met), "node", "left_semi").dropDuplicates(["node"])
     grams = scratch.save(grams.mapInArrow(_shingle_sets, "node long, grams binary"), "grams")
 
@@ -189,24 +205,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
         count = F.lit(0)
         for k in range(HASHES * BITS // 64):
             x = F.col("sa")[k].bitwiseXOR(F.col("sb")[k])
-            count = count + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+            for shift in (1, 2):
+                x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+            count = count + F.bit_count(x.bitwiseAND(F.lit(_UNITS)))
         similar = (1 - count / HASHES - 0.5**BITS) / (1 - 0.5**BITS)
         return pairs.join(side("b"), "b").join(side("a"), "a").where(similar >= LEAST).select("a", "b")
 
     stars = members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    done = links_of(allowed(stars), "stars")
-    links = done.where("link").select("a", "b")
+    links = links_of(allowed(stars), "stars").where("link").select("a", "b")
     component = connected_components(links, scratch)
-    for best in (BEST, None):
-        unsettled = _unsettled(members, component, signed_nodes, scratch)
-        pairs = unsettled.groupBy("key", "left", "right").applyInArrow(_cross(best), "a long, b long").distinct()
-        pairs = scratch.save(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        scratch.drop(unsettled)
-        if pairs.isEmpty():
-            continue
-        more = links_of(pairs, "more")
-        done = done.union(more)
-        component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where("link").select("a", "b")), scratch)
+    unsettled = _unsettled(members, component, signed_nodes, grams)
+    more = scratch.save(unsettled.groupBy("key", "left", "right").applyInArrow(_settle(percent), "a long, b long"), "more")
+    if not more.isEmpty():
+        component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
     result = classes.join(component, "node", "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "node").alias("component"))
     out = signs.select("doc_id", "n", "h1", "h2").join(result, (F.col("n") > 0) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -215,19 +226,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     return out
 
 
-def _unsettled(members: DataFrame, component: DataFrame, signed_nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (key, left, right, side, node, component, sig) of buckets whose nodes are in more than one component.
+def _unsettled(members: DataFrame, component: DataFrame, signed_nodes: DataFrame, grams: DataFrame) -> DataFrame:
+    """Rows (key, left, right, side, node, component, sig, bands, grams) of buckets whose nodes are in more than one component.
 
-    A bucket of more than BLOCK nodes is cut into blocks by the nodes' hashes, and each
-    pair of blocks is a group of its own.
+    A bucket whose sets are larger than BLOCK_BYTES is cut into blocks by the nodes'
+    hashes, and each pair of blocks is a group of its own.
     """
     rows = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("key").alias("of"))
-    rows = rows.join(open_, F.col("key") == F.col("of"), "left_semi")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n").alias("grams")).where("lo < hi")
+    open_ = open_.select(F.col("key").alias("of"), F.ceil(F.col("grams") * 8 / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = rows.join(open_, F.col("key") == F.col("of"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component")
-    return scratch.save(rows.join(signed_nodes.select("node", "sig"), "node"), "unsettled")
+    return rows.join(signed_nodes, "node").join(grams, "node")
 
 
 def drop_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -1,0 +1,4 @@
+"""All queries of the engine; importing this fills the registry."""
+
+from rasterloom.plans import pixels  # noqa: F401
+from rasterloom.registry import ORACLES, QUERIES  # noqa: F401

@@ -43,15 +43,25 @@ def from_linear(c: Column) -> Column:
     return F.when(c <= 0.0031308, c * 12.92).otherwise(F.lit(1.055) * F.pow(c, F.lit(1 / 2.4)) - 0.055)
 
 
-def to_oklab(r: Column, g: Column, b: Column) -> RGB:
-    lms = product(TO_LMS, tuple(to_linear(c / 255.0) for c in (r, g, b)))
-    return product(TO_LAB, tuple(F.cbrt(c) for c in lms))
+def with_oklab(rows: DataFrame) -> DataFrame:
+    """rows (r, g, b) with lab_l, lab_a, lab_b.
+
+    Each step is a projection of its own, so that every value is computed once: written
+    as one expression, a channel's linear value would be repeated for each use of it.
+    """
+    rows = rows.withColumns({f"_l{c}": to_linear(F.col(c) / 255.0) for c in "rgb"})
+    rows = rows.withColumns({f"_c{i}": F.cbrt(e) for i, e in enumerate(product(TO_LMS, tuple(F.col(f"_l{c}") for c in "rgb")))})
+    lab = product(TO_LAB, tuple(F.col(f"_c{i}") for i in range(3)))
+    return rows.withColumns(dict(zip(("lab_l", "lab_a", "lab_b"), lab, strict=True))).drop(*(f"_l{c}" for c in "rgb"), *(f"_c{i}" for i in range(3)))
 
 
-def from_oklab(lab: RGB) -> RGB:
-    """8-bit sRGB; clamped in linear light, before encoding."""
-    linear = product(FROM_LMS, tuple(c * c * c for c in product(FROM_LAB, lab)))
-    return tuple(half_up(from_linear(clamp(c, 0.0, 1.0)) * 255).cast("int") for c in linear)
+def with_srgb(rows: DataFrame) -> DataFrame:
+    """rows (lab_l, lab_a, lab_b) with 8-bit r, g, b; clamped in linear light, before encoding."""
+    rows = rows.withColumns({f"_c{i}": e for i, e in enumerate(product(FROM_LAB, tuple(F.col(f"lab_{k}") for k in "lab")))})
+    rows = rows.withColumns({f"_c{i}": F.col(f"_c{i}") * F.col(f"_c{i}") * F.col(f"_c{i}") for i in range(3)})
+    rows = rows.withColumns({f"_l{c}": clamp(e, 0.0, 1.0) for c, e in zip("rgb", product(FROM_LMS, tuple(F.col(f"_c{i}") for i in range(3))), strict=True)})
+    rows = rows.withColumns({c: half_up(from_linear(F.col(f"_l{c}")) * 255).cast("int") for c in "rgb"})
+    return rows.drop(*(f"_l{c}" for c in "rgb"), *(f"_c{i}" for i in range(3)))
 
 
 def adjust(lab: RGB, brightness: float = 0.0, contrast: float = 0.0, saturation: float = 0.0, hue: float = 0.0) -> RGB:
@@ -67,6 +77,15 @@ def adjust(lab: RGB, brightness: float = 0.0, contrast: float = 0.0, saturation:
     return l, a, b
 
 
+def adjust_image(px: DataFrame, brightness: float = 0.0, contrast: float = 0.0, saturation: float = 0.0, hue: float = 0.0) -> DataFrame:
+    """Adjusted pixels; with nothing to adjust px itself, without a round trip."""
+    if not (brightness or contrast or saturation or hue):
+        return px
+    lab = with_oklab(px)
+    done = adjust(tuple(F.col(f"lab_{k}") for k in "lab"), brightness, contrast, saturation, hue)
+    return with_srgb(lab.withColumns(dict(zip(("lab_l", "lab_a", "lab_b"), done, strict=True)))).select(px.columns)
+
+
 def _dodge(d: Column, s: Column) -> Column:
     return F.when(d == 0, 0.0).when(s == 1, 1.0).otherwise(F.least(F.lit(1.0), F.try_divide(d, 1 - s)))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.functions.color import coarse_key, from_linear, half_up, to_linear, to_oklab
+from rasterloom.functions.color import coarse_key, from_linear, half_up, to_linear, with_oklab
 
 #: A candidate must be nearer than the best so far by more than this.
 EPSILON = 1e-9
@@ -83,8 +83,8 @@ def quantize(px: DataFrame, palette: list[tuple[int, int, int]], shift: Column |
     a = resolve_alpha(F.col("a"))
     lane = F.lit(0.0) if shift is None else shift
     rows = px.withColumns({"_a": a, "_shift": lane, "_c": (F.col("r") * 65536 + F.col("g") * 256 + F.col("b"))})
-    l, p, q = to_oklab(F.col("r"), F.col("g"), F.col("b"))
-    tones = rows.where("_a > 0").select("_c", "_shift", "r", "g", "b").distinct().select("_c", "_shift", nearest_index((l + F.col("_shift"), p, q), palette).alias("_i"))
+    tones = with_oklab(rows.where("_a > 0").select("_c", "_shift", "r", "g", "b").distinct()).withColumn("lab_l", F.col("lab_l") + F.col("_shift"))
+    tones = tones.select("_c", "_shift", nearest_index(tuple(F.col(f"lab_{k}") for k in "lab"), palette).alias("_i"))
     out = rows.join(tones, ["_c", "_shift"], "left")
     return out.withColumn("idx", F.when(F.col("_a") == 0, TRANSPARENT).otherwise(F.col("_i")).cast("int")).withColumn("a", F.col("_a").cast("int")).drop("_a", "_shift", "_c", "_i")
 

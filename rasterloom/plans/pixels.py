@@ -45,9 +45,7 @@ def dominant_downscale(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PIXELS}, {S.labs('px')} SELECT image_id, y, x, {', '.join(f'{e} {n}' for e, n in zip(S.unlab('l', 'p', 'q'), 'rgb'))} FROM lab")
 def oklab_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    px = pixels(spark, d)
-    rgb = C.from_oklab(C.to_oklab(F.col("r"), F.col("g"), F.col("b")))
-    return px.select("image_id", "y", "x", *(c.alias(n) for c, n in zip(rgb, "rgb")))
+    return C.with_srgb(C.with_oklab(pixels(spark, d))).select("image_id", "y", "x", "r", "g", "b")
 
 
 _ADJ = ("((l * 1.1::DOUBLE - 0.5) * 1.2::DOUBLE + 0.5)", "(p * 0.7::DOUBLE * cos(radians(40.0::DOUBLE)) - q * 0.7::DOUBLE * sin(radians(40.0::DOUBLE)))", "(p * 0.7::DOUBLE * sin(radians(40.0::DOUBLE)) + q * 0.7::DOUBLE * cos(radians(40.0::DOUBLE)))")
@@ -55,9 +53,7 @@ _ADJ = ("((l * 1.1::DOUBLE - 0.5) * 1.2::DOUBLE + 0.5)", "(p * 0.7::DOUBLE * cos
 
 @query(f"WITH {PIXELS}, {S.labs('px')} SELECT image_id, y, x, a, {', '.join(f'{e} {n}' for e, n in zip(S.unlab(*_ADJ), 'rgb'))} FROM lab")
 def adjust_image(spark: SparkSession, d: str) -> DataFrame:
-    px = pixels(spark, d)
-    rgb = C.from_oklab(C.adjust(C.to_oklab(F.col("r"), F.col("g"), F.col("b")), 0.1, 0.2, -0.3, 40.0))
-    return px.select("image_id", "y", "x", "a", *(c.alias(n) for c, n in zip(rgb, "rgb")))
+    return C.adjust_image(pixels(spark, d), 0.1, 0.2, -0.3, 40.0).select("image_id", "y", "x", "a", "r", "g", "b")
 
 
 @query(f"WITH {PIXELS}, {S.labs('px')}, {S.nearest('lab', 'c64')} SELECT image_id, y, x, idx FROM near")

@@ -2,7 +2,7 @@
 
 Texts are seen as lower-cased letters with one space for anything between. For every
 language an ORDER-gram model is trained on a bounded sample: the SAMPLE_DOCS labelled
-documents of the language with the smallest hashes of their doc_ids, whole. A model is a
+documents of the language with the smallest hashes, whole. A model is a
 few sorted arrays of hashed n-grams with the log probability of each n-gram that was seen
 and the back-off weight of each history; unseen n-grams back off to shorter ones, down to
 a uniform floor. A text gets the language with the lowest cross-entropy per character.
@@ -213,11 +213,12 @@ def _train(pdf: pd.DataFrame) -> pd.DataFrame:
 def train(spark: SparkSession, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Identifier:
     """From rows (doc_id, text, lang) with lang and text not null."""
     rows = labelled.where("lang is not null and text is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")))
-    picked = rows.select("lang", F.xxhash64("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), rank.alias("rank")).where(F.col("rank") <= sample_docs).distinct()
-    sample = rows.withColumns({"k1_": F.xxhash64("doc_id"), "k2_": F.xxhash64("text")}).join(
-        F.broadcast(picked.withColumnRenamed("lang", "l_")), (F.col("lang") == F.col("l_")) & (F.col("k1_") == F.col("k1")) & (F.col("k2_") == F.col("k2"))
-    )  # at most sample_docs rows a language
+    # first a threshold on the hash that leaves a few times sample_docs rows of a language, then the ranks of these
+    key = F.xxhash64("doc_id", "text")
+    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("l_"), (F.lit(4.0 * sample_docs) / F.col("n")).alias("share"))  # a row per language
+    some = rows.withColumn("key_", key).join(F.broadcast(share), F.col("lang") == F.col("l_")).where(F.pmod("key_", F.lit(1 << 40)) < F.col("share") * float(1 << 40))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key_", F.lit(1 << 40)), "key_"))
+    sample = some.select("lang", "text", "key_").withColumn("rank", rank).where(F.col("rank") <= sample_docs)
     out = sample.select("lang", "text", "rank").groupBy("lang").applyInPandas(_train, "lang string, model binary, held array<string>").toPandas()
     models = {r.lang: Model.of(pickle.loads(r.model)) for r in out.itertuples()}
     them = Identifier(models)

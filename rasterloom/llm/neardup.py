@@ -47,6 +47,8 @@ LEAST = PERCENT / 100 - 5 * (_EQUAL * (1 - _EQUAL) / HASHES) ** 0.5 / (1 - 0.5**
 _UNITS = sum(1 << k for k in range(0, 64, BITS))
 #: Bytes of shingle sets in a block of a bucket, about.
 BLOCK_BYTES = 16 << 20
+#: Parts in which the documents of a set are met again, so that a very common set is not one task's.
+SALTS = 16
 
 _SIGNED = "doc_id long, n long, h1 long, h2 long, bands array<long>, sig array<long>"
 
@@ -178,7 +180,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     scratch = Scratch(spark, "neardup")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs = scratch.save(texts.mapInArrow(_sign, _SIGNED), "signs")
-    classes = signs.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")).where("node is not null")
+    classes = signs.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("members")).where("node is not null")
     nodes = (
         signs.where("n > 0").withColumnRenamed("doc_id", "node")
         .join(classes.select("h1", "h2", "node").withColumnsRenamed({"h1": "c1", "h2": "c2", "node": "of"}), (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("node") == F.col("of")), "left_semi")
@@ -218,9 +220,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     more = scratch.save(unsettled.groupBy("key", "left", "right").applyInArrow(_settle(percent), "a long, b long"), "more")
     if not more.isEmpty():
         component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
-    result = classes.join(component, "node", "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "node").alias("component"))
-    out = signs.select("doc_id", "n", "h1", "h2").join(result, (F.col("n") > 0) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    # only sets of several documents or in a larger component need a look-up; each meets its documents in SALTS parts
+    result = classes.join(component, "node", "left").where("members > 1 OR component IS NOT NULL")
+    result = result.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "node").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    out = signs.select("doc_id", "n", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = out.join(result, (F.col("n") > 0) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("salt") == F.col("part")), "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     out = scratch.save(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
     scratch.drop(signs, members, met, signed_nodes, grams)
     return out

@@ -41,6 +41,8 @@ SAMPLE_DOCS = 400
 HELD = 5
 REJECT = 8.0
 UNKNOWN = "und"
+#: Bytes of text predicted at a time; some twenty arrays of eight bytes a letter are alive then.
+CHUNK = 1 << 18
 TEMPERATURES = (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 
 
@@ -253,7 +255,7 @@ def predict(spark: SparkSession, docs: DataFrame, identifier: Identifier) -> Dat
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         them, letters = pickle.loads(shared.value), Letters()
         for b in batches:
-            for i, j, data, off in text_chunks(b.column("text")):
+            for i, j, data, off in text_chunks(b.column("text"), CHUNK):
                 lang, score, rejected = them.predict(data, off, letters)
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*part.schema.names, "lang_pred", "score", "rejected"])

@@ -22,6 +22,18 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes and rows of a batch of texts that goes to a Python worker; Spark's own defaults hold tens of MB.
+BATCH_BYTES, BATCH_ROWS = "8m", 2_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a worker holds at a time; a session whose batches are smaller keeps them."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set(size, BATCH_BYTES)
+
+
 class Scratch:
     """Tables written under one folder of the shared root and read again, which cuts their lineage.
 
@@ -29,6 +41,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/rasterloom/{name}-{uuid.uuid4().hex}"
         self._n = 0
@@ -68,4 +81,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def share(spark: SparkSession, value: object) -> Broadcast:
     """A broadcast of value as bytes for pickle.loads(); its class goes along, so executors need no copy of the package."""
+    bound_batches(spark)
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.scratch import share
-from rasterloom.llm.words import mix, text_chunks
+from rasterloom.llm.words import give_back, mix, text_chunks
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -209,6 +209,8 @@ def _train(pdf: pd.DataFrame) -> pd.DataFrame:
         base += len(x)
     model = Model(np.concatenate(xs), np.concatenate(firsts))
     texts = pdf.loc[held, "text"].tolist()
+    del xs, firsts, train
+    give_back()
     return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "model": [pickle.dumps(model.__dict__)], "held": [texts]})
 
 
@@ -259,6 +261,7 @@ def predict(spark: SparkSession, docs: DataFrame, identifier: Identifier) -> Dat
                 lang, score, rejected = them.predict(data, off, letters)
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*part.schema.names, "lang_pred", "score", "rejected"])
+        give_back()
 
     schema = docs.select([f.name for f in kept]).schema
     return docs.select([f.name for f in kept]).mapInArrow(f, schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))

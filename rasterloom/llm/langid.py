@@ -92,41 +92,54 @@ def gram_codes(x: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     return mix(code)
 
 
-class Model:
-    """Sorted hashes of n-grams by order: log10 probability if seen; sorted hashes of histories: log10 back-off weight."""
+class Grams:
+    """Distinct n-grams of texts met piece by piece: for each order sorted hashes, those of their histories and of the n-grams without their first letter, and for the longest their counts.
+
+    What is held grows with the distinct n-grams and the piece, not with the text.
+    """
 
-    def __init__(self, x: np.ndarray, first: np.ndarray):
+    def __init__(self):
+        self.of = {k: [np.empty(0, np.uint64)] * 3 + [np.empty(0, np.int64)] for k in range(1, ORDER + 1)}
+
+    def add(self, x: np.ndarray, first: np.ndarray) -> None:
         own = np.ones(len(x), bool)
         own[first[:-1][np.diff(first) > 0]] = False  # the space before a text is given, not predicted
-        codes = {k: gram_codes(x, first, k) for k in range(1, ORDER + 1)}
-        history = {k: np.concatenate([np.zeros(1, np.uint64), codes[k - 1][:-1]]) if k > 1 else np.zeros(len(x), np.uint64) for k in codes}
+        own = np.flatnonzero(own)
+        shorter = np.zeros(len(x), np.uint64)
+        for k in self.of:
+            code = gram_codes(x, first, k)
+            c, at, n = np.unique(code[own], return_index=True, return_counts=True)
+            at = own[at]
+            self._merge(k, c, shorter[at - 1] if k > 1 else shorter[at], shorter[at], n)
+            shorter = code
+
+    def _merge(self, k: int, code: np.ndarray, history: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> None:
+        code, history, suffix, n = (np.concatenate(both) for both in zip(self.of[k], (code, history, suffix, n), strict=True))
+        c, at, inverse = np.unique(code, return_index=True, return_inverse=True)
+        self.of[k] = [c, history[at], suffix[at], np.bincount(inverse, n, len(c)).astype(np.int64)]
+
+
+class Model:
+    """Sorted hashes of n-grams by order: log10 probability if seen; sorted hashes of histories: log10 back-off weight."""
+
+    def __init__(self, grams: Grams):
         self.seen, self.back = [], []
-        below_p = None
-        grams = {}
-        for k in range(ORDER, 0, -1):
-            c, at, n = np.unique(codes[k][own], return_index=True, return_counts=True)
-            at = np.flatnonzero(own)[at]
+        below_c = below_p = None
+        for k, (c, history, suffix, n) in grams.of.items():
             if k < ORDER:  # continuation counts: distinct letters before
-                longer = grams[k + 1][1]
-                kinds, n2 = np.unique(codes[k][longer], return_counts=True)
-                n = np.zeros(len(c), np.int64)
-                n[np.searchsorted(c, kinds)] = n2
-                n = np.maximum(n, 1)
-            grams[k] = (c, at, n)
-        for k in range(1, ORDER + 1):
-            c, at, n = grams[k]
-            h, inv = np.unique(history[k][at], return_inverse=True)
+                n = np.bincount(np.searchsorted(c, grams.of[k + 1][2]), minlength=len(c))
+            h, inv = np.unique(history, return_inverse=True)
             total, kinds = np.bincount(inv, n), np.bincount(inv)
             weight = DISCOUNT * kinds / np.maximum(total, 1)
             if k == 1:
                 lower = 1 / (len(c) + 1)  # a uniform floor, with a share for letters never seen
                 self.floor = np.log10(np.maximum(weight[0] * lower if len(weight) else 1, 1e-12))
             else:
-                lower = below_p[np.searchsorted(grams[k - 1][0], codes[k - 1][at])]
+                lower = below_p[np.searchsorted(below_c, suffix)]
             p = np.maximum(n - DISCOUNT, 0) / np.maximum(total[inv], 1) + weight[inv] * lower
             self.seen.append((c, np.log10(p)))
             self.back.append((h, np.log10(np.maximum(weight, 1e-12))))
-            below_p = p
+            below_c, below_p = c, p
 
     @classmethod
     def of(cls, state: dict) -> Model:
@@ -199,17 +212,12 @@ def _train(pdf: pd.DataFrame) -> pd.DataFrame:
     held = pdf["rank"] % HELD == 0
     if held.all():
         held[:] = False
-    train = pdf.loc[~held, "text"].sort_index()
-    texts = pa.array(train.tolist(), pa.large_string())
-    xs, firsts, base = [], [np.zeros(1, np.int64)], 0
-    letters = Letters()
-    for _, _, data, off in text_chunks(texts):
-        x, first = letters_of(data, off, letters)
-        xs.append(x), firsts.append(first[1:] + base)
-        base += len(x)
-    model = Model(np.concatenate(xs), np.concatenate(firsts))
+    letters, grams = Letters(), Grams()
+    for _, _, data, off in text_chunks(pa.array(pdf.loc[~held, "text"], pa.large_string()), CHUNK):
+        grams.add(*letters_of(data, off, letters))
+    model = Model(grams)
     texts = pdf.loc[held, "text"].tolist()
-    del xs, firsts, train
+    del grams
     give_back()
     return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "model": [pickle.dumps(model.__dict__)], "held": [texts]})
 

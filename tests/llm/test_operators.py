@@ -147,7 +147,9 @@ def test_model_probabilities_sum_to_one():
     letters = langid.Letters()
     _, _, data, off = next(text_chunks(pa.array(["abcab cabba", "bca"])))
     x, first = langid.letters_of(data, off, letters)
-    model = langid.Model(x, first)
+    grams = langid.Grams()
+    grams.add(x, first)
+    model = langid.Model(grams)
     for history in ("ab", "xa", "  "):
         total = 0.0
         for c in "abc ":

@@ -5,6 +5,8 @@ An image is a group of bounded size (64 x 64 here); images are spread over the c
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -176,3 +178,62 @@ def auto_palette(px: DataFrame, size: int, rounds: int = 8) -> DataFrame:
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "i": np.arange(len(c), dtype=np.int32), "r": c[:, 0], "g": c[:, 1], "b": c[:, 2]})
 
     return tones.groupBy("image_id").applyInPandas(f, "image_id long, i int, r int, g int, b int")
+
+
+def wand(px: DataFrame, seed_x: int, seed_y: int) -> DataFrame:
+    """image_id, y, x of the pixels that are reached from the seed through pixels of exactly its colour."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, image, has = _grid(pdf, ["r", "g", "b", "a"])
+        if not (0 <= seed_y < has.shape[0] and 0 <= seed_x < has.shape[1] and has[seed_y, seed_x]):
+            return pdf.iloc[:0][["image_id", "y", "x"]]
+        y, x = np.nonzero(reach(has & (image == image[seed_y, seed_x]).all(-1), (seed_y, seed_x)))
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": y, "x": x})
+
+    return px.groupBy("image_id").applyInPandas(f, "image_id long, y int, x int")
+
+
+def fill(px: DataFrame, seed_x: int, seed_y: int, color: tuple[int, int, int, int]) -> DataFrame:
+    """px with the wand's pixels in the colour."""
+    them = wand(px, seed_x, seed_y).withColumn("_in", F.lit(True))
+    new = {n: F.when(F.col("_in"), F.lit(v)).otherwise(F.col(n)).cast("int") for n, v in zip("rgba", color, strict=True)}
+    return px.join(them, ["image_id", "y", "x"], "left").withColumns(new).drop("_in")
+
+
+#: Fixed value: largest difference of a channel between similar pixels.
+SIMILAR = 0.392157 * 255
+
+
+def clean_edge(px: DataFrame, width: int, height: int, angle: float, scale: float) -> DataFrame:
+    """Rotation and scaling about the middle that keeps the source's colours; the canvas keeps its size.
+
+    A target place reads the source pixel nearest to its point in the source. If the two
+    neighbours toward that point are alike, the one on the longer side replaces it, unless
+    the pixel itself goes on in the diagonal one, or both sides are equal. Outside is empty.
+    """
+    cos, sin, names = math.cos(angle), math.sin(angle), ["r", "g", "b", "a"]
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((height, width, 4), np.int64)
+        image[pdf["y"], pdf["x"]] = pdf[names].to_numpy()
+        y, x = (c.ravel() for c in np.mgrid[:height, :width])
+        dx, dy = x - width / 2, y - height / 2
+        sx, sy = width / 2 + (dx * cos - dy * sin) / scale, height / 2 + (dx * sin + dy * cos) / scale
+        nx, ny = np.floor(sx + 0.5).astype(np.int64), np.floor(sy + 0.5).astype(np.int64)
+        lx, ly = sx - nx, sy - ny
+        qx, qy = nx + np.where(lx >= 0, 1, -1), ny + np.where(ly >= 0, 1, -1)
+
+        def at(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+            inside = (v >= 0) & (v < height) & (u >= 0) & (u < width)
+            return image[np.clip(v, 0, height - 1), np.clip(u, 0, width - 1)] * inside[:, None]
+
+        def alike(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            return (np.abs(p - q) <= SIMILAR).all(1) | ((p[:, 3] == 0) & (q[:, 3] == 0))
+
+        own, along, across, corner = at(ny, nx), at(ny, qx), at(qy, nx), at(qy, qx)
+        diagonal = ~alike(own, along) & ~alike(own, across) & alike(own, corner)
+        sliced = alike(along, across) & ~diagonal & (np.abs(lx) != np.abs(ly))
+        out = np.where(sliced[:, None], np.where((np.abs(lx) > np.abs(ly))[:, None], along, across), own)
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": y, "x": x} | dict(zip(names, out.T, strict=True)))
+
+    return px.groupBy("image_id").applyInPandas(f, "image_id long, y int, x int, r int, g int, b int, a int")

@@ -1,4 +1,4 @@
 """All queries of the engine; importing this fills the registry."""
 
-from rasterloom.plans import documents, editing, functions, pixels  # noqa: F401
+from rasterloom.plans import documents, editing, functions, layers, pixels  # noqa: F401
 from rasterloom.registry import ORACLES, QUERIES  # noqa: F401

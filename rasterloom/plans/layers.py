@@ -162,11 +162,11 @@ def contiguous_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT l_suppkey cel, l_partkey % 50 place, l_orderkey * 10 + l_linenumber seq, l_quantity before, l_extendedprice after FROM lineitem)
-SELECT cel, place, arg_min(before, seq) before, arg_max(after, seq) after FROM d GROUP BY ALL""")
+SELECT cel, place, min({'s': seq, 'v': before}).v before, max({'s': seq, 'v': after}).v after FROM d GROUP BY ALL""")
 def merged_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Deltas of a cel as one: what was there before the oldest, and what the newest left."""
     li = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("seq", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return li.groupBy(F.col("l_suppkey").alias("cel"), (F.col("l_partkey") % 50).alias("place")).agg(F.min_by("l_quantity", "seq").alias("before"), F.max_by("l_extendedprice", "seq").alias("after"))
+    return li.groupBy(F.col("l_suppkey").alias("cel"), (F.col("l_partkey") % 50).alias("place")).agg(F.min(F.struct("seq", "l_quantity"))["l_quantity"].alias("before"), F.max(F.struct("seq", "l_extendedprice"))["l_extendedprice"].alias("after"))
 
 
 @query(f"""WITH {PIXELS}, s AS (SELECT * REPLACE (CASE WHEN (x - 30) * (x - 30) + (y - 25) * (y - 25) < 150 + image_id % 100 AND image_id % 7 <> 3 THEN a ELSE 0 END AS a) FROM px),

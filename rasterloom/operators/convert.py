@@ -39,15 +39,18 @@ def crop(px: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
 
 
 def render(idx: DataFrame, palette: DataFrame) -> DataFrame:
-    """idx (65535: transparent) -> r, g, b, a by a join with (i, r, g, b); a transparent pixel is all zero."""
-    p = palette.select(F.col("i").alias("idx"), *(F.col(c).alias(f"_{c}") for c in "rgb"))
-    out = idx.join(F.broadcast(p), "idx", "left")  # at most 65,535 entries
+    """idx (65535: transparent) -> r, g, b, a by a join with (i, r, g, b), or (image_id, i, r, g, b) of each image's own; a transparent pixel is all zero."""
+    p = palette.select(*(["image_id"] if "image_id" in palette.columns else []), F.col("i").alias("idx"), *(F.col(c).alias(f"_{c}") for c in "rgb"))
+    if "image_id" in palette.columns:
+        out = idx.join(p, ["image_id", "idx"], "left")
+    else:
+        out = idx.join(F.broadcast(p), "idx", "left")  # at most 65,535 entries
     zero = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0)).cast("int").alias(c)
     return out.select("image_id", "y", "x", "idx", *map(zero, "rgb"), F.when(F.col("_r").isNull(), 0).otherwise(F.col("a")).cast("int").alias("a"))
 
 
-def convert(px: DataFrame, s: Settings, width: int, height: int) -> DataFrame:
-    """image_id, y, x, idx, a of the converted images; steps that do nothing are not planned."""
+def prepare(px: DataFrame, s: Settings, width: int, height: int) -> DataFrame:
+    """The images as they are when their colours are chosen: without background, cut, adjusted, downscaled."""
     if s.background is not None:
         px = K.remove_background(px, s.background)
     if s.crop:
@@ -57,8 +60,32 @@ def convert(px: DataFrame, s: Settings, width: int, height: int) -> DataFrame:
     if (s.width, s.height) != (width, height):
         down = {"box": R.box_downscale, "nearest": R.nearest_downscale, "dominant": R.dominant_downscale}[s.mode]
         px = down(px, width, height, s.width, s.height)
+    return px
+
+
+def colors_of(prepared: DataFrame, s: Settings) -> DataFrame:
+    """Automatic palettes (image_id, i, r, g, b) of prepared images."""
+    return K.auto_palette(prepared, s.max_colors)
+
+
+def convert(px: DataFrame, s: Settings, width: int, height: int) -> DataFrame:
+    """image_id, y, x, idx, a of the converted images; steps that do nothing are not planned.
+
+    Without a palette in the settings every image gets its own, see colors_of().
+    """
+    px = prepare(px, s, width, height)
+    return quantized(px, s, None if s.palette else colors_of(px, s))
+
+
+def quantized(px: DataFrame, s: Settings, palettes: DataFrame | None = None) -> DataFrame:
+    """The steps from the choice of colours on, for prepared images."""
     palette = list(s.palette)
-    if s.dither.startswith("bayer"):
+    if palettes is not None:
+        if s.dither in K.DIFFUSION:
+            out = K.diffuse_own(px, palettes, s.dither, s.strength).join(px.select("image_id", "y", "x", R.resolve_alpha(F.col("a")).alias("a")), ["image_id", "y", "x"])
+        else:
+            out = R.quantize_own(px, palettes, int(s.dither[5:]) if s.dither.startswith("bayer") else 0, s.strength)
+    elif s.dither.startswith("bayer"):
         out = R.quantize_ordered(px, palette, int(s.dither[5:]), s.strength)
     elif s.dither in K.DIFFUSION:
         out = K.diffuse(px, palette, s.dither, s.strength).join(px.select("image_id", "y", "x", R.resolve_alpha(F.col("a")).alias("a")), ["image_id", "y", "x"])

@@ -103,32 +103,44 @@ DIFFUSION = {
 }
 
 
+def _diffused(pdf: pd.DataFrame, labs: np.ndarray, kernel: str, strength: float, threshold: int) -> pd.DataFrame:
+    terms, turns = DIFFUSION[kernel]
+    y, x, img, has = _grid(pdf, ["r", "g", "b", "a"])
+    lab, h, w = oklab(img[..., :3]), *has.shape
+    out = np.full((h, w), TRANSPARENT)
+    for i in range(h):
+        step = -1 if turns and i % 2 else 1
+        for j in range(w)[::step]:
+            if not has[i, j] or img[i, j, 3] < threshold:
+                continue
+            best, d = 0, np.inf
+            for k, e in enumerate(((labs - lab[i, j]) ** 2).sum(1)):
+                if e < d - EPSILON:
+                    best, d = k, e
+            out[i, j] = best
+            error = (lab[i, j] - labs[best]) * strength
+            for dx, dy, share in terms:
+                if 0 <= j + dx * step < w and i + dy < h:
+                    lab[i + dy, j + dx * step] += error * share
+    return pdf[["image_id", "y", "x"]].assign(idx=out[y, x].astype("int32"))
+
+
 def diffuse(px: DataFrame, palette: list[tuple[int, int, int]], kernel: str, strength: float = 1.0, threshold: int = 128) -> DataFrame:
     """Quantise with error diffusion in Oklab; transparent pixels pass nothing on."""
-    terms, turns = DIFFUSION[kernel]
     labs = np.array([lab_of(c) for c in palette])
+    return px.groupBy("image_id").applyInPandas(lambda pdf: _diffused(pdf, labs, kernel, strength, threshold), "image_id long, y int, x int, idx int")
 
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x, img, has = _grid(pdf, ["r", "g", "b", "a"])
-        lab, h, w = oklab(img[..., :3]), *has.shape
-        out = np.full((h, w), TRANSPARENT)
-        for i in range(h):
-            step = -1 if turns and i % 2 else 1
-            for j in range(w)[::step]:
-                if not has[i, j] or img[i, j, 3] < threshold:
-                    continue
-                best, d = 0, np.inf
-                for k, e in enumerate(((labs - lab[i, j]) ** 2).sum(1)):
-                    if e < d - EPSILON:
-                        best, d = k, e
-                out[i, j] = best
-                error = (lab[i, j] - labs[best]) * strength
-                for dx, dy, share in terms:
-                    if 0 <= j + dx * step < w and i + dy < h:
-                        lab[i + dy, j + dx * step] += error * share
-        return pdf[["image_id", "y", "x"]].assign(idx=out[y, x].astype("int32"))
-
-    return px.groupBy("image_id").applyInPandas(f, "image_id long, y int, x int, idx int")
+
+def diffuse_own(px: DataFrame, palettes: DataFrame, kernel: str, strength: float = 1.0, threshold: int = 128) -> DataFrame:
+    """As diffuse(), with a palette of each image's own (image_id, i, r, g, b)."""
+
+    def f(pdf: pd.DataFrame, pal: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({c: [] for c in ("image_id", "y", "x", "idx")})
+        labs = np.array([lab_of(c) for c in pal.sort_values("i")[["r", "g", "b"]].itertuples(index=False)]).reshape(-1, 3)
+        return _diffused(pdf, labs if len(labs) else np.zeros((1, 3)), kernel, strength, threshold)
+
+    return px.groupBy("image_id").cogroup(palettes.groupBy("image_id")).applyInPandas(f, "image_id long, y int, x int, idx int")
 
 
 def auto_palette(px: DataFrame, size: int, rounds: int = 8) -> DataFrame:

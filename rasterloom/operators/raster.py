@@ -89,6 +89,31 @@ def quantize(px: DataFrame, palette: list[tuple[int, int, int]], shift: Column |
     return out.withColumn("idx", F.when(F.col("_a") == 0, TRANSPARENT).otherwise(F.col("_i")).cast("int")).withColumn("a", F.col("_a").cast("int")).drop("_a", "_shift", "_c", "_i")
 
 
+def quantize_own(px: DataFrame, palettes: DataFrame, n: int = 0, strength: float = 1.0) -> DataFrame:
+    """As quantize(), or for n > 0 as quantize_ordered(), with a palette of each image's own (image_id, i, r, g, b).
+
+    A palette is an array in its image's row; only distinct colours of an image meet it.
+    """
+    entry = F.struct("i", *(F.col(f"lab_{k}").alias(k) for k in "lab"))
+    pal = with_oklab(palettes).groupBy("image_id").agg(F.array_sort(F.collect_list(entry)).alias("_pal"))
+    apart = lambda p, q: sum(((p[k] - q[k]) * (p[k] - q[k]) for k in "lab"), F.lit(0.0))
+    nearest_other = F.transform("_pal", lambda p: F.sqrt(F.array_min(F.transform(F.filter("_pal", lambda q: q["i"] != p["i"]), lambda q: apart(p, q)))))
+    spread = F.when(F.size("_pal") < 2, 0.0).otherwise(F.aggregate(nearest_other, F.lit(0.0), lambda x, y: x + y) / F.size("_pal"))
+    pal = pal.withColumn("_spread", spread if n else F.lit(0.0))
+    shift = ((bayer(F.col("x"), F.col("y"), n) + 0.5) / float(n * n) - 0.5) * strength if n else F.lit(0.0)
+    rows = px.withColumns({"_a": resolve_alpha(F.col("a")), "_shift": shift, "_c": F.col("r") * 65536 + F.col("g") * 256 + F.col("b")})
+    tones = rows.where("_a > 0").select("image_id", "_c", "_shift", "r", "g", "b").distinct().join(pal, "image_id")
+    tones = with_oklab(tones).withColumn("lab_l", F.col("lab_l") + F.col("_shift") * F.col("_spread"))
+
+    def step(best: Column, e: Column) -> Column:
+        d = reduce(lambda x, y: x + y, ((F.col(f"lab_{k}") - e[k]) * (F.col(f"lab_{k}") - e[k]) for k in "lab"))
+        return F.when(d < best["d"] - EPSILON, F.struct(d.alias("d"), e["i"].alias("i"))).otherwise(best)
+
+    index = F.aggregate("_pal", F.struct(F.lit(float("inf")).alias("d"), F.lit(0).alias("i")), step, lambda best: best["i"])
+    out = rows.join(tones.select("image_id", "_c", "_shift", index.alias("_i")), ["image_id", "_c", "_shift"], "left")
+    return out.withColumn("idx", F.when(F.col("_a") == 0, TRANSPARENT).otherwise(F.col("_i")).cast("int")).withColumn("a", F.col("_a").cast("int")).drop("_a", "_shift", "_c", "_i")
+
+
 def bayer(x: Column, y: Column, n: int) -> Column:
     """Entry of the n x n Bayer matrix: the bits of x xor y and y, interleaved from the lowest up."""
     out, bits = F.lit(0), n.bit_length() - 1

@@ -33,6 +33,15 @@ def convert_full(spark: SparkSession, d: str) -> DataFrame:
     return V.convert(pixels(spark, d), s, SIDE, SIDE)
 
 
+@query()
+def convert_automatic(spark: SparkSession, d: str) -> DataFrame:
+    """Convert to 24 x 24 with a palette of each image's own twelve colours, dithered in a pattern, and render."""
+    s = V.Settings(24, 24, max_colors=12, dither="bayer4")
+    px = V.prepare(pixels(spark, d), s, SIDE, SIDE)
+    palettes = V.colors_of(px, s)
+    return V.render(V.quantized(px, s, palettes), palettes)
+
+
 @query(f"""WITH {PIXELS} SELECT image_id, y - 10 y, x - 5 x, r, g, b, a FROM px WHERE x BETWEEN 5 AND 44 AND y BETWEEN 10 AND 39""")
 def cropped(spark: SparkSession, d: str) -> DataFrame:
     return V.crop(pixels(spark, d), 5, 10, 40, 30)

@@ -34,6 +34,10 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(size, BATCH_BYTES)
 
 
+#: Spark's setting that deletes the shuffle files of a query when it ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written under one folder of the shared root and read again, which cuts their lineage.
 
@@ -51,9 +55,16 @@ class Scratch:
         self._n += 1
         return f"{self.path}/{self._n}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+        """df as a table; release deletes the shuffle files of its writing at once, which nothing else may then read."""
         to = self.folder(name)
-        df.write.parquet(to)
+        before = self.spark.conf.get(RELEASE)
+        if release:
+            self.spark.conf.set(RELEASE, "true")
+        try:
+            df.write.parquet(to)
+        finally:
+            self.spark.conf.set(RELEASE, before)
         out = self.spark.read.schema(df.schema).parquet(to)
         self._at[id(out)] = to
         out._rasterloom_path = to

@@ -1,24 +1,27 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 Tokens are the words of a text, A-Z lower-cased, then one end. The root of the tree is
-the base distribution (c + 0.1) / (N + 0.1 (V + 1)). A context, one word or two, becomes
-a state if it makes up at least CONTEXT_SHARE of the training tokens (so there are at
-most 1 / CONTEXT_SHARE of each length), its shorter suffix is a state, and the
-likelihood-ratio statistic of its next words against those of the suffix is large enough
-(the divergence test). A state keeps the next words whose joint share with it reaches
-NEXT_SHARE; its distribution is smoothed by WEIGHT pseudo-counts of its suffix's, and what
-it does not keep shares the remaining mass in the suffix's proportions, so each sums to 1.
-A token is scored by the longest suffix of the words before it that is a state.
-
-1. Heavy hitters: blocks of BLOCK_WORDS tokens report words, pairs and triples above half
-   the share asked for, within the block; what is above a share in all must be above it
-   in some block, and their reported sum above half: a superset of proven size.
-2. Exact counts of these and of all other words: one grouped sum. What other words are
-   gathered grows with the corpus; they stay in a table. V is the number of words counted.
-3. The frequent words and the tree (of bounded size) go to the tasks, which score all
-   that depends on them. Other words need only their base probability: their occurrences
-   are joined with the table of counts, and their sums added to their documents. No word
-   in that join makes up more than WORD_SHARE of the tokens, so no key is hot.
+the base distribution (c + 0.1) / (N + 0.1 (V + 1)). A context of one to ORDER - 1 words
+becomes a state if it occurs CONTEXT_COUNT times in training, whatever the corpus size,
+its shorter suffix is a state, and the likelihood-ratio statistic of its next words
+against those of the suffix is large enough (the divergence test). A state keeps the
+next words seen NEXT_COUNT times after it; its distribution is smoothed by WEIGHT
+pseudo-counts of its suffix's, and what it does not keep shares the remaining mass in the
+suffix's proportions, so each sums to 1. A token is scored by the longest suffix of the
+words before it that is a state.
+
+1. Counts: blocks of BLOCK_WORDS tokens are counted in the tasks and summed by one
+   grouped sum, words first, then n-grams of two to ORDER words, one order at a time. An
+   n-gram takes part if its context may have the count and its suffix may be kept, by
+   filters of at most 2**FILTER_BITS bits: these let some others pass, which the joins drop.
+2. The tree is made order by order by joins of tables of counts; states and kept next
+   words grow with the corpus and stay in tables.
+3. Scores are sums over the n-grams of a text: a state adds the log of its weight of
+   what it does not keep, a kept next word the log of its probability over what the
+   suffix would have given with that weight; the sum telescopes to the longest state's.
+4. Words and n-grams above HOT_SHARE of the tokens (at most ORDER / HOT_SHARE) go to the
+   tasks. The occurrences of others are joined with their table, and their sums added to
+   their documents. No key in that join makes up more than HOT_SHARE, so none is hot.
 
 Defined results: a null or empty text is one end token; a null doc_id trains; repeated
 rows are scored each; with no training token the base is uniform over nothing seen and
@@ -35,12 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.scratch import Scratch, share
+from rasterloom.llm.scratch import Scratch, share, small_side
 from rasterloom.llm.words import Powers, mix, signed, text_chunks, word_hashes
 
 END = 0x5EED0E2D5EED0E2D
-WORD_SHARE, PAIR_SHARE = 4e-6, 1e-5
-CONTEXT_SHARE, NEXT_SHARE = 1e-4, PAIR_SHARE
+#: Words of the longest n-gram, so contexts have one word less.
+ORDER = 4
+#: Least training occurrences of a context, and of a next word after it.
+CONTEXT_COUNT, NEXT_COUNT = 10, 5
+#: Share of the training tokens from which a word or n-gram goes to the tasks.
+HOT_SHARE = 5e-7
+#: Most bits of a filter, as a power of two; a small table's has 16 bits a key.
+FILTER_BITS = 27
 #: Least likelihood-ratio statistic (chi-squared) per kept next word.
 DIVERGENCE = 4.0
 WEIGHT = 20.0
@@ -75,40 +84,39 @@ def grams(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return chain(one, t), chain(two, one, t), inside >= 1, inside >= 2
 
 
-_HITS = "kind int, a long, b long, c long, n long"
+def ngrams(t: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to order words, the hash of those that end at each token, and whether they lie in its text.
 
+    An n-gram is hashed from its context and its suffix, both n-grams of one word less.
+    """
+    inside = np.arange(len(t)) - np.repeat(first[:-1], np.diff(first))
+    out = [(t, np.ones(len(t), bool))]
+    for k in range(1, order):
+        context = np.zeros(len(t), np.uint64)
+        context[1:] = out[-1][0][:-1]
+        out.append((chain(context, out[-1][0]), inside >= k))
+    return out
 
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frequent words (kind 1), pairs (2) and triples (3) of blocks of tokens, and the blocks' tokens (0)."""
-    powers, held, size = Powers(), [], 0
 
-    def report() -> pa.RecordBatch:
-        nonlocal held, size
-        t = np.concatenate([x for x, _ in held])
-        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in held]))])
-        rows = [(np.zeros(1, np.int32), *(np.zeros(1, np.uint64) for _ in range(3)), np.array([len(t)]))]
-        one = np.concatenate([np.zeros(1, np.uint64), t[:-1]])
-        two = np.concatenate([np.zeros(1, np.uint64), one[:-1]])
-        pair, triple, has1, has2 = grams(t, first)
-        for kind, keys, ok, part, parts in ((1, t, None, WORD_SHARE, (t,)), (2, pair, has1, PAIR_SHARE, (one, t)), (3, triple, has2, PAIR_SHARE, (two, one, t))):
-            where = np.arange(len(t)) if ok is None else np.flatnonzero(ok)
-            _, at, n = np.unique(keys[where], return_index=True, return_counts=True)
-            keep = n >= part / 2 * len(t)
-            at, n = where[at[keep]], n[keep]
-            cols = [p[at] for p in parts] + [np.zeros(len(at), np.uint64)] * (3 - len(parts))
-            rows.append((np.full(len(at), kind, np.int32), *cols, n))
-        held, size = [], 0
-        kind, a, b, c, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(signed(x)) for x in (a, b, c)), pa.array(n, pa.int64())], ["kind", "a", "b", "c", "n"])
+class Maybe:
+    """A filter of bounded size: every key put in is found, and few others."""
+
+    def __init__(self, size: int, places: np.ndarray, bits: np.ndarray):
+        self.size = size
+        self.bits = np.zeros(1 << (size - 6), np.uint64)
+        self.bits[places] = bits
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        at = x >> np.uint64(64 - self.size)
+        return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
-    for b in batches:
-        for _, _, data, off in text_chunks(b.column("text")):
-            held.append(tokens(data, off, powers))
-            size += len(held[-1][0])
-            if size >= BLOCK_WORDS:
-                yield report()
-    if size:
-        yield report()
+
+def _maybe(keys: DataFrame) -> Maybe:
+    """The filter of a table's column key; what comes to the driver is at most the filter."""
+    size = min(FILTER_BITS, max(16, (16 * keys.count()).bit_length()))
+    at = keys.select(F.shiftrightunsigned("key", 64 - size).alias("at"))
+    bits = at.groupBy(F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    return Maybe(size, bits["place"].to_numpy(), bits["bits"].to_numpy().view(np.uint64))
 
 
 class Known:
@@ -129,46 +137,56 @@ class Known:
         return out
 
 
-def _count(shared):
-    """Exact counts: known words (1), pairs (2), triples (3) by key; all other words (0)."""
+def _count(order: int, shared=None):
+    """Counts of blocks: n-grams of order words as context and suffix (words: context 0) that the filters let pass."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, triples = pickle.loads(shared.value)
-        sums = [np.zeros(len(k.keys), np.int64) for k in (words, pairs, triples)]
-        powers, rare, size = Powers(), [], 0
-
-        def others() -> pa.RecordBatch:
-            nonlocal rare, size
-            keys, n = np.unique(np.concatenate(rare), return_counts=True)
-            rare, size = [], 0
-            return _rows(0, keys, n)
+        contexts, suffixes = pickle.loads(shared.value) if shared else (None, None)
+        powers, held, size = Powers(), [], 0
+
+        def report() -> pa.RecordBatch:
+            nonlocal held, size
+            context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+            if order == 1:
+                suffix, n = np.unique(suffix, return_counts=True)
+                context = np.zeros(len(suffix), np.uint64)
+            else:
+                _, at, n = np.unique(chain(context, suffix), return_index=True, return_counts=True)
+                context, suffix = context[at], suffix[at]
+            return pa.RecordBatch.from_arrays([pa.array(signed(context)), pa.array(signed(suffix)), pa.array(n, pa.int64())], ["context", "suffix", "n"])
 
         for b in batches:
             for _, _, data, off in text_chunks(b.column("text")):
                 t, first = tokens(data, off, powers)
-                pair, triple, has1, has2 = grams(t, first)
-                at = words.find(t)
-                for total, place in zip(sums, (at, pairs.find(pair[has1]), triples.find(triple[has2])), strict=True):
-                    total += np.bincount(place[place >= 0], minlength=len(total))
-                rare.append(t[at < 0])
-                size += len(rare[-1])
+                if order == 1:
+                    held.append((t[:0], t))
+                else:
+                    key, has = ngrams(t, first, order - 1)[-1]
+                    same = np.ones(len(t), bool)
+                    same[first[:-1]] = False
+                    at = np.flatnonzero(same[1:] & has[:-1] & has[1:])
+                    at = at[contexts.has(key[at])]
+                    at = at[suffixes.has(key[at + 1])]
+                    held.append((key[at], key[at + 1]))
+                size += len(held[-1][1])
                 if size >= BLOCK_WORDS:
-                    yield others()
+                    yield report()
         if size:
-            yield others()
-        for kind, k, n in zip((1, 2, 3), (words, pairs, triples), sums, strict=True):
-            has = n > 0
-            yield _rows(kind, k.keys[has], n[has])
+            yield report()
 
     return f
 
 
-def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(signed(np.ascontiguousarray(keys))), pa.array(n, pa.int64())], ["kind", "w", "n"])
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each n-gram beside its context and suffix."""
+    for b in batches:
+        context, suffix = (b.column(c).to_numpy().view(np.uint64) for c in ("context", "suffix"))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(chain(context, suffix))), b.column("context"), b.column("suffix"), b.column("n")], ["key", "context", "suffix", "n"])
 
 
 class Tree:
-    """The root over frequent words, the states of one and two words, and their kept next words."""
+    """The tree with contexts of one and two words, from counts in memory: the tables' arithmetic for small counts."""
 
     def __init__(self, hits: dict[int, np.ndarray], counts: dict[int, tuple[np.ndarray, np.ndarray]], total: int, distinct: int):
         self.scale = np.log10(total + 0.1 * (distinct + 1))
@@ -176,7 +194,7 @@ class Tree:
         order = np.argsort(counts[1][0])
         self.count = counts[1][1][order]
         self.base = np.log10(self.count + 0.1) - self.scale
-        least = CONTEXT_SHARE * total
+        least = CONTEXT_COUNT
         self.states, self.next = [], []
         p_word = dict(zip(self.words.keys.tolist(), (10**self.base).tolist(), strict=True))
         n_word = dict(zip(self.words.keys.tolist(), self.count.tolist(), strict=True))
@@ -187,11 +205,11 @@ class Tree:
             pair_of = dict(zip(chain(hits[2][:, 0], hits[2][:, 1]).tolist(), hits[2][:, :2].tolist(), strict=True))
         kids: dict[tuple, dict[int, int]] = {}
         for key, (a, w) in pair_of.items():
-            if a != END and n_word.get(a, 0) >= least and n_pair.get(key, 0) >= NEXT_SHARE * total:
+            if a != END and n_word.get(a, 0) >= least and n_pair.get(key, 0) >= NEXT_COUNT:
                 kids.setdefault((a,), {})[w] = n_pair[key]
         if len(hits[3]):
             for key, (a, b, w) in zip(chain(*hits[3].T).tolist(), hits[3].tolist(), strict=True):
-                if n_triple.get(key, 0) >= NEXT_SHARE * total:
+                if n_triple.get(key, 0) >= NEXT_COUNT:
                     kids.setdefault((a, b), {})[w] = n_triple[key]
         n_of_pair = {tuple(ab): n_pair.get(k, 0) for k, ab in pair_of.items()}
         probs: dict[tuple, dict[int, float]] = {}
@@ -258,35 +276,76 @@ class Tree:
 
 
 def _parts(shared, want: str):
-    """Per text its sums over frequent words (`sums`), or its other words with their counts (`rare`)."""
+    """Per text its sums over hot words and n-grams (`sums`), or its others with their counts (`rest`)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, powers = pickle.loads(shared.value), Powers()
+        (hot, base, value), maybe = pickle.loads(shared.value)
+        powers = Powers()
         for b in batches:
             for i, j, data, off in text_chunks(b.column("text")):
                 t, first = tokens(data, off, powers)
-                at, added, open_ = tree.score(t, first)
                 text = np.repeat(np.arange(j - i), np.diff(first))
-                if want == "rare":
-                    rare = np.flatnonzero(at < 0)
-                    key, where, n = np.unique(chain(t[rare], text[rare].astype(np.uint64), open_[rare].astype(np.uint64)), return_index=True, return_counts=True)
-                    where = rare[where]
-                    rows = pa.array(text[where] + i)
-                    yield pa.RecordBatch.from_arrays([b.column("k1").take(rows), b.column("k2").take(rows), pa.array(signed(t[where])), pa.array(n.astype(np.int32)), pa.array(np.where(open_[where], n, 0).astype(np.int32))], ["k1", "k2", "w", "n", "n_open"])
+                known, sums, added, rest = np.zeros(len(t), bool), np.zeros(len(t)), np.zeros(len(t)), []
+                for k, (key, has) in enumerate(ngrams(t, first, ORDER)):
+                    at = np.flatnonzero(has)
+                    place = hot.find(key[at])
+                    if want == "rest":
+                        other = at[place < 0]
+                        other = other if k == 0 else other[maybe.has(key[other])]
+                        rest.append((key[other], text[other], np.full(len(other), k == 0)))
+                        continue
+                    at, place = at[place >= 0], place[place >= 0]
+                    added[at] += value[place]
+                    if k == 0:
+                        known[at], sums[at] = True, base[place]
+                if want == "rest":
+                    key, where, word = (np.concatenate(x) for x in zip(*rest, strict=True))
+                    _, at, n = np.unique(chain(key, where.astype(np.uint64)), return_index=True, return_counts=True)
+                    rows = pa.array(where[at] + i)
+                    yield pa.RecordBatch.from_arrays([b.column("k1").take(rows), pa.array(signed(key[at])), pa.array(n.astype(np.int32)), pa.array(word[at])], ["k1", "w", "n", "word"])
                     continue
-                base = np.where(at >= 0, tree.base[np.maximum(at, 0)], 0.0) if len(tree.base) else np.zeros(len(t))
-                known = (at >= 0) & (tree.count[np.maximum(at, 0)] > 0) if len(tree.count) else np.zeros(len(t), bool)
                 s = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has a token
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("k1"), part.column("k2"), part.column("doc_id"), part.column("held_out"), pa.array(np.ones(j - i, np.int64)), pa.array(np.diff(first)), pa.array(s(known.astype(np.int64))), pa.array(s(base)), pa.array(s(added + np.where(open_, base, 0.0)))],
-                    ["k1", "k2", "doc_id", "held_out", "rows", "n_tokens", "n_known", "base_score", "score"],
+                    [part.column("k1"), part.column("doc_id"), part.column("held_out"), pa.array(np.ones(j - i, np.int64)), pa.array(np.diff(first)), pa.array(s(known.astype(np.int64))), pa.array(s(sums)), pa.array(s(added + sums))],
+                    ["k1", "doc_id", "held_out", "rows", "n_tokens", "n_known", "base_score", "score"],
                 )
 
     return f
 
 
-_SUMS = "k1 long, k2 long, doc_id long, held_out boolean, rows long, n_tokens long, n_known long, base_score double, score double"
+_SUMS = "k1 long, doc_id long, held_out boolean, rows long, n_tokens long, n_known long, base_score double, score double"
+
+
+_GRAM = "context long, suffix long, n long"
+
+
+def _tree(spark: SparkSession, scratch: Scratch, training: DataFrame, words: DataFrame, scale: float) -> DataFrame:
+    """key, n, v: what every occurrence of a state or kept n-gram adds to a score, and its count (a key may come twice)."""
+    counts, kept = words, words.where(F.col("n") >= NEXT_COUNT).select("key", ((F.col("n") + F.lit(0.1)) / F.lit(scale)).alias("p"))
+    out = None
+    for order in range(2, ORDER + 1):
+        contexts = counts.where((F.col("n") >= CONTEXT_COUNT) & (F.col("key") != F.lit(END)))
+        shared = share(spark, (_maybe(contexts), _maybe(kept)))
+        grams = training.mapInArrow(_count(order, shared), _GRAM).groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= NEXT_COUNT)
+        grams = scratch.save(grams.mapInArrow(_keyed, f"key long, {_GRAM}"), f"grams{order}", release=True)
+        shared.destroy()
+        rows = grams.join(contexts.select(F.col("key").alias("context"), F.col("n").alias("c")), "context").join(kept.select(F.col("key").alias("suffix"), F.col("p").alias("lower")), "suffix")
+        rows = scratch.save(rows.select("key", "context", "n", "c", "lower"), f"next{order}", release=True)
+        gain = F.col("n") * F.log(F.col("n") / (F.col("c") * F.col("lower")))
+        states = rows.groupBy("context").agg(F.max("c").alias("c"), F.greatest(F.max("c") - F.sum("n"), F.lit(0)).alias("rest"), F.greatest(1 - F.sum("lower"), F.lit(1e-9)).alias("rest_p"), F.sum(gain).alias("gain"), F.count(F.lit(1)).alias("kids"))
+        ratio = F.col("gain") + F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / (F.col("c") * F.col("rest_p")))).otherwise(0.0)
+        states = states.where(2 * ratio >= DIVERGENCE * (F.col("kids") + 1))
+        back = (F.col("rest") + WEIGHT * F.col("rest_p")) / (F.col("c") + WEIGHT) / F.col("rest_p")
+        states = scratch.save(states.select("context", F.col("c").alias("n"), F.log10(back).alias("v")), f"states{order}", release=True)
+        p = (F.col("n") + WEIGHT * F.col("lower")) / (F.col("c") + WEIGHT)
+        after = rows.join(small_side(states.select("context", F.col("v").alias("back")), states.count()), "context")
+        after = scratch.save(after.select("key", "n", p.alias("p"), (F.log10(p / F.col("lower")) - F.col("back")).alias("v")), f"kept{order}", release=True)
+        part = states.select(F.col("context").alias("key"), "n", "v").union(after.select("key", "n", "v"))
+        out = part if out is None else out.union(part)
+        scratch.drop(rows)
+        counts, kept = grams.select("key", "n"), after.select("key", "p")
+    return out
 
 
 def language_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -294,35 +353,31 @@ def language_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "suffixtree")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     training = rows.where(~F.col("held_out")).select("text")
-    sums = training.mapInArrow(_hits, _HITS).groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"))
-    sums = scratch.save(sums, "hits")
-    total = sums.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    part = F.when(F.col("kind") == 1, F.lit(WORD_SHARE)).otherwise(F.lit(PAIR_SHARE))
-    frequent = sums.where((F.col("kind") > 0) & (F.col("n") >= part / 2 * total)).toArrow()  # at most 2 / share rows of a kind
-    kind = frequent["kind"].to_numpy()
-    cols = np.stack([frequent[c].to_numpy().view(np.uint64) for c in "abc"], 1)
-    hits = {k: cols[kind == k][:, :k] for k in (1, 2, 3)}
-    known = (Known(hits[1][:, 0]), Known(chain(*hits[2].T)) if len(hits[2]) else Known(np.empty(0, np.uint64)), Known(chain(*hits[3].T)) if len(hits[3]) else Known(np.empty(0, np.uint64)))
-    counts = training.mapInArrow(_count(share(spark, known)), "kind int, w long, n long").groupBy("kind", "w").agg(F.sum("n").alias("n"))
-    counts = scratch.save(counts, "counts")
-    exact = counts.where("kind > 0").toArrow()
-    kind, w, n = exact["kind"].to_numpy(), exact["w"].to_numpy().view(np.uint64), exact["n"].to_numpy()
-    by = {k: (w[kind == k], n[kind == k]) for k in (1, 2, 3)}
-    distinct = len(by[1][0]) + counts.where("kind = 0").count()
-    tree = Tree(hits, by, total, distinct)
-    shared = share(spark, tree)
-    # documents are met again by two hashes of doc_id and text; repeated rows are told apart by their number only
-    keyed = rows.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id").cast("long")})
+    words = scratch.save(training.mapInArrow(_count(1), _GRAM).groupBy(F.col("suffix").alias("key")).agg(F.sum("n").alias("n")), "words", release=True)
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    scale = total + 0.1 * (distinct + 1)
+    tree = _tree(spark, scratch, training, words, scale)
+    values = words.select("key", "n", F.col("n").alias("c"), F.lit(0.0).alias("v")).union(tree.select("key", "n", F.lit(0).cast("long").alias("c"), "v"))
+    values = scratch.save(values.groupBy("key").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.sum("v").alias("v")), "values", release=True)
+    often = values.where(F.col("n") >= HOT_SHARE * total).toArrow()  # at most ORDER / HOT_SHARE rows
+    scratch.drop(words)
+    key, c, v = often["key"].to_numpy().view(np.uint64), often["c"].to_numpy(), often["v"].to_numpy()
+    order = np.argsort(key)
+    rest = values.where(F.col("n") < HOT_SHARE * total)
+    shared = share(spark, ((Known(key), np.log10(c[order] + 0.1) - np.log10(scale), v[order]), _maybe(rest.where("c = 0"))))
+    # documents are met again by a hash of doc_id and text (two of 15 million share one with a chance of 6e-6);
+    # repeated rows are told apart by their number only
+    keyed = rows.withColumn("k1", F.xxhash64("doc_id", "text"))
     first = keyed.mapInArrow(_parts(shared, "sums"), _SUMS)
-    rare = keyed.select("k1", "k2", "text").mapInArrow(_parts(shared, "rare"), "k1 long, k2 long, w long, n int, n_open int")
-    table = counts.where("kind = 0").select(F.col("w").alias("of"), F.col("n").alias("c"))
-    log_c = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1)) - F.lit(float(tree.scale))
-    others = rare.join(table, F.col("w") == F.col("of"), "left").select(
-        "k1", "k2", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"),
-        F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("n_known"), (F.col("n") * log_c).alias("base_score"), (F.col("n_open") * log_c).alias("score"),
+    others = keyed.select("k1", "text").mapInArrow(_parts(shared, "rest"), "k1 long, w long, n int, word boolean")
+    table = rest.select(F.col("key").alias("of"), "c", "v")
+    log_c = F.when(F.col("word"), F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1)) - F.lit(float(np.log10(scale)))).otherwise(0.0)
+    others = others.join(table, F.col("w") == F.col("of"), "left").select(
+        "k1", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"),
+        F.when(F.col("word") & (F.col("c") > 0), F.col("n")).otherwise(0).cast("long").alias("n_known"), (F.col("n") * log_c).alias("base_score"), (F.col("n") * (log_c + F.coalesce(F.col("v"), F.lit(0.0)))).alias("score"),
     )
     s = lambda c: F.sum(c).alias(c)
-    met = first.union(others).groupBy("k1", "k2").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), s("rows"), s("n_tokens"), s("n_known"), s("base_score"), s("score"))
+    met = first.union(others).groupBy("k1").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), s("rows"), s("n_tokens"), s("n_known"), s("base_score"), s("score"))
     each = lambda c, kind="double": (F.col(c) / F.col("rows")).cast(kind).alias(c)
     return met.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int")))).select(
         "doc_id", "held_out", each("n_tokens", "long"), each("n_known", "long"), F.lit(total).cast("long").alias("train_tokens"), each("base_score"), each("score"),

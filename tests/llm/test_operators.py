@@ -423,6 +423,59 @@ def test_tree_distributions_sum_to_one():
         assert abs(total - 1) < 1e-9
 
 
+def test_scores_are_those_of_the_tree_of_counts(spark):
+    """Against the tree in dictionaries, with contexts of three words and of a share under 1e-4."""
+    r = random.Random(3)
+    fresh = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(n))
+    grammar = {}
+    texts = [fresh(5000) for _ in range(60)]
+    for _ in range(400):
+        x = ["a", "b"]
+        while len(x) < 30:
+            x.append(grammar.setdefault(tuple(x[-3:]), r.choice("abcdef")) if r.random() < 0.8 else r.choice("abcdef"))
+        texts.append(" ".join(x))
+    texts += ["seldom seen pair " + fresh(3) for _ in range(15)]
+    rows = list(enumerate(texts)) + [(10_000 + k, "seldom seen pair") for k in range(30)]
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows}
+    rows = [x for x in rows if x[0] < 10_000 or held[x[0]]]
+    counts = [Counter() for _ in range(suffixtree.ORDER + 1)]
+    for d, text in rows:
+        if not held[d]:
+            x = [*words(text), "\0end"]
+            for k in range(1, suffixtree.ORDER + 1):
+                counts[k].update(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+    n = sum(counts[1].values())
+    p = {(): defaultdict(lambda: 0.1 / (n + 0.1 * (len(counts[1]) + 1)), {w: (c + 0.1) / (n + 0.1 * (len(counts[1]) + 1)) for (w,), c in counts[1].items()})}
+    back = {}
+
+    def prob(state, w):
+        while state and state not in back:
+            state = state[1:]
+        return p[()][w] if not state else p[state][w] if w in p[state] else back[state] * prob(state[1:], w)
+
+    for k in range(1, suffixtree.ORDER):
+        after = defaultdict(dict)
+        for g, c in counts[k + 1].items():
+            if c >= suffixtree.NEXT_COUNT:
+                after[g[:-1]][g[-1]] = c
+        for state, kids in after.items():
+            c = counts[k][state]
+            if c < suffixtree.CONTEXT_COUNT or (k > 1 and state[1:] not in back):
+                continue
+            low = {w: prob(state[1:], w) for w in kids}
+            rest, rest_p = c - sum(kids.values()), max(1 - sum(low.values()), 1e-9)
+            ratio = sum(m * math.log(m / (c * low[w])) for w, m in kids.items()) + (rest * math.log(rest / (c * rest_p)) if rest else 0.0)
+            if 2 * ratio >= suffixtree.DIVERGENCE * (len(kids) + 1):
+                p[state] = {w: (m + suffixtree.WEIGHT * low[w]) / (c + suffixtree.WEIGHT) for w, m in kids.items()}
+                back[state] = (rest + suffixtree.WEIGHT * rest_p) / (c + suffixtree.WEIGHT) / rest_p
+    assert {len(s) for s in back} == {1, 2, 3} and ("seldom", "seen") in p and counts[2]["seldom", "seen"] < 1e-4 * n
+    got = {r.doc_id: r for r in suffixtree.language_scores(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for d, text in rows:
+        x = [*words(text), "\0end"]
+        assert math.isclose(got[d].score, sum(math.log10(prob(tuple(x[max(0, i - 3) : i]), w)) for i, w in enumerate(x)), abs_tol=1e-6)
+        assert d < 10_000 or got[d].score > got[d].base_score + 2
+
+
 # substrings
 
 def test_substrings_against_brute_force(spark, awkward, empty, clashing):

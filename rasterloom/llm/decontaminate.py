@@ -13,6 +13,10 @@ of one of WALKS independent walks; windows whose sampled words equal those of an
 are candidates. The walks from all windows of a batch run together: walks that meet stay
 together, so they are merged as they go, which leaves a few of them after some steps.
 
+An item of more than PIECE words is indexed as pieces of PIECE / 2 to PIECE words. Of the
+edits allowed for the item, some piece has no more than are allowed for its own length,
+wherever they are, so a match has a piece that the tables find as they find short items.
+
 Windows start at every word. Before the walks a count drops windows that cannot match:
 a match within k edits needs all but k of the window's words to occur in the benchmark.
 Candidates are verified exactly by a semi-global edit distance. The benchmark is passed
@@ -48,6 +52,8 @@ WALKS, TABLES, SAMPLED = 8, 4, 4
 APART = 3
 #: Steps that may be sampled: this many for each word of the class's shortest item, at most LAST_STEP.
 STEPS_A_WORD, LAST_STEP = 1.25, 64
+#: Most words of an item or piece of one that is indexed: the sampled steps reach over about half of it.
+PIECE = 64
 #: Ratio of the longest to the shortest item of a class.
 RATIO = 1.4
 PART_WORDS = 500_000
@@ -89,14 +95,20 @@ class Index:
     def __init__(self, ids: list[int], words: list[np.ndarray]):
         keep = [i for i, w in enumerate(words) if len(w) >= MIN_WORDS]
         self.ids, self.words = [ids[i] for i in keep], [words[i] for i in keep]
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.pieces, of, offset = [], [], []
+        for i, w in enumerate(self.words):
+            cuts = np.linspace(0, len(w), -(-len(w) // PIECE) + 1).astype(int)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                self.pieces.append(w[a:b]), of.append(i), offset.append(int(a))
+        self.item_of, self.offset = np.array(of, np.int64), np.array(offset, np.int64)
+        self.lengths = np.array([len(w) for w in self.pieces], np.int64)
         self.vocab = np.unique(np.concatenate([*self.words, np.empty(0, np.uint64)]))
         self.bits = constants(WALKS * LAST_STEP, 4242).reshape(WALKS, LAST_STEP)
         self.exact = {}
         for w in range(MIN_WORDS, EDIT_WORDS):
             own = np.flatnonzero(self.lengths == w)
             if len(own):
-                keys = np.array([runs(self.words[i], w)[0] for i in own], np.uint64)
+                keys = np.array([runs(self.pieces[i], w)[0] for i in own], np.uint64)
                 order = np.argsort(keys)
                 self.exact[w] = (keys[order], own[order])
         self.classes = []
@@ -116,7 +128,7 @@ class Index:
         tables = [[spread() for _ in range(TABLES)] for _ in range(WALKS)]
         out = {"lo": lo, "hi": hi, "tables": tables, "found": []}
         first = np.concatenate([[0], np.cumsum(self.lengths[own])])
-        x = with_stops(np.concatenate([self.words[i] for i in own]), first)
+        x = with_stops(np.concatenate([self.pieces[i] for i in own]), first)
         for _, _, keys in self._keys(x, first[:-1] + np.arange(len(own)), out):
             order = np.argsort(keys, kind="stable")
             near = np.zeros(1 << 16, bool)
@@ -134,7 +146,7 @@ class Index:
                 yield r, t, mix(key)
 
     def candidates(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word index (into h) and item index of candidate starts in the texts with words h."""
+        """Word index (into h) and piece index of candidate starts in the texts with words h."""
         at, item = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if not len(h) or not len(self.ids):
             return at[0], item[0]
@@ -168,24 +180,25 @@ class Index:
 
     def verified(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, first word within the text) of every item that contaminates a text."""
-        at, item = self.candidates(h, first)
+        at, piece = self.candidates(h, first)
         if not len(at):
             return []
-        pairs = np.unique(np.stack([np.searchsorted(first, at, "right") - 1, item, at], 1), axis=0)
+        pairs = np.unique(np.stack([np.searchsorted(first, at, "right") - 1, self.item_of[piece], at - self.offset[piece]], 1), axis=0)
         cut = np.flatnonzero(np.any(pairs[1:, :2] != pairs[:-1, :2], axis=1)) + 1
         out = []
         for group in np.split(pairs, cut):
             d, i = int(group[0, 0]), int(group[0, 1])
-            w, k, lo, hi = self.words[i], allowed(int(self.lengths[i])), int(first[d]), int(first[d + 1])
+            w, k, lo, hi = self.words[i], allowed(len(self.words[i])), int(first[d]), int(first[d + 1])
             best = None
             for s in group[:, 2]:
-                if s + len(w) <= hi and np.array_equal(h[s : s + len(w)], w):
+                if lo <= s and s + len(w) <= hi and np.array_equal(h[s : s + len(w)], w):
                     best = (0, int(s) - lo)
                     break
             if best is None and k:
                 starts = group[:, 2]
                 for near in np.split(starts, np.flatnonzero(np.diff(starts) > len(w)) + 1):
-                    a, b = max(lo, int(near[0]) - k), min(hi, int(near[-1]) + len(w) + k)
+                    # a piece lies up to k words off its place in the item, and its candidate start some words off the piece
+                    a, b = max(lo, int(near[0]) - 2 * k), min(hi, int(near[-1]) + len(w) + 2 * k)
                     if np.isin(w, h[a:b]).sum() < len(w) - k:  # more words are missing than edits allowed
                         continue
                     e, s = closest(w, h[a:b])

@@ -332,6 +332,29 @@ def test_candidate_recall_at_the_allowed_edits():
     assert hit[0.0] == 100 and hit[1.0] >= 90
 
 
+def test_long_items_are_found_wherever_the_edits_are():
+    rng = np.random.default_rng(6)
+    vocab = decontaminate.mix(np.arange(1, 3001, dtype=np.uint64))
+    p = 1 / np.arange(1, 3001)
+    p /= p.sum()
+    draw = lambda n: vocab[rng.choice(3000, n, p=p)]
+    items = [draw(n) for n in (100, 200, 300, 400, 800, 1000) for _ in range(4)]
+    index = decontaminate.Index(list(range(len(items))), items)
+    for place in ("head", "middle", "tail", "even"):
+        for cut in (False, True):
+            found = 0
+            for i, w in enumerate(items):
+                k = decontaminate.allowed(len(w))
+                at = {"head": 0, "middle": (len(w) - k) // 2, "tail": len(w) - k}.get(place)
+                where = rng.choice(len(w), k, replace=False) if at is None else np.arange(at, at + k)
+                x = w.copy()
+                x[where] = draw(k)
+                x = np.delete(x, where) if cut else x
+                d = np.concatenate([draw(50), x, draw(50)])
+                found += any(r[1] == i and r[2] <= k for r in index.verified(d, np.array([0, len(d)])))
+            assert found >= 0.9 * len(items), (place, cut, found)
+
+
 def test_closest_is_the_edit_distance():
     r = random.Random(9)
     for _ in range(60):

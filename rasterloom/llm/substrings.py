@@ -2,7 +2,9 @@
 
 A sentence ends with a word that ends in . ! or ?, or before a line feed; one of more
 than LONG words is cut after words that end in a comma, semicolon or colon, and what is
-still longer every LONG words. From every sentence on, the shortest run of at least two
+still longer is cut after words whose hash, with the word before, is least among NEAR
+words on both sides, so that a passage is cut at the same places in any sentence; where
+no hash is least, as in one word repeated, it is cut every LONG words. From every sentence on, the shortest run of at least two
 consecutive sentences with SPAN_WORDS words is hashed in 128 bits, blind to case and
 white space. Runs that occur more than once are found by one grouped minimum, and every
 sentence covered by an occurrence other than the first (by doc_id and place) is removed,
@@ -29,10 +31,27 @@ from pyspark.sql import functions as F
 from rasterloom.llm.scratch import Scratch
 from rasterloom.llm.words import Powers, mix, signed, span_hashes, text_chunks, word_spans
 
-SENTENCES, SPAN_WORDS, LONG = 2, 20, 25
+SENTENCES, SPAN_WORDS, LONG, NEAR = 2, 20, 25, 4
 
 
-def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def content_cuts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each word's hash with the word before is least among NEAR words on both sides within its text."""
+    n = len(h)
+    before = np.zeros(n, np.uint64)
+    before[1:] = h[:-1]
+    before[first[:-1][np.diff(first) > 0]] = 0
+    key = mix(before * np.uint64(0x9FB21C651E98DF25) + h)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    out = np.ones(n, bool)
+    for d in range(1, min(NEAR, n - 1) + 1):
+        apart = text[d:] != text[:-d]
+        less = key[d:] < key[:-d]
+        out[d:] &= less | apart
+        out[:-d] &= ~less | apart
+    return out
+
+
+def sentences(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, word ends, words' first per text, each sentence's first word (one more at the end), sentences' first per text."""
     starts, ends, first = word_spans(data, off)
     n = len(starts)
@@ -44,11 +63,17 @@ def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stop = np.isin(last, (46, 33, 63))
     stop[:-1] |= feeds[starts[1:]] > feeds[ends[:-1]]
     stop[first[1:][first[1:] > 0] - 1] = True
-    for soft in (np.isin(last, (44, 59, 58)), None):
+    for way in ("marks", "content", "count"):
         heads = np.concatenate([[0], np.flatnonzero(stop) + 1])
         size = np.diff(heads)
         long = np.repeat(size > LONG, size)
-        if soft is None:
+        if not long.any():
+            break
+        if way == "marks":
+            soft = np.isin(last, (44, 59, 58))
+        elif way == "content":
+            soft = content_cuts(span_hashes(data, starts, ends, powers), first)
+        else:
             soft = (np.arange(n) - np.repeat(heads[:-1], size)) % LONG == LONG - 1
         stop |= long & soft
     heads = np.concatenate([[0], np.flatnonzero(stop) + 1])
@@ -79,7 +104,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for b in batches:
         for i, j, data, off in text_chunks(b.column("text")):
-            starts, ends, _, heads, of_text = sentences(data, off)
+            starts, ends, _, heads, of_text = sentences(data, off, powers)
             if not len(starts):
                 continue
             at, end, h1, h2 = spans(span_hashes(data, starts, ends, powers), heads, of_text)
@@ -91,9 +116,10 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    powers = Powers()
     for b in batches:
         for i, j, data, off in text_chunks(b.column("text")):
-            starts, _, _, heads, of_text = sentences(data, off)
+            starts, _, _, heads, of_text = sentences(data, off, powers)
             rows = b.column("removed").slice(i, j - i)
             null = b.column("text").slice(i, j - i).is_null()
             texts, removed = [], np.zeros(j - i, np.int32)

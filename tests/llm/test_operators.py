@@ -532,3 +532,16 @@ def test_substrings_against_brute_force(spark, awkward, empty, clashing):
     assert sum(map(len, gone.values())) >= 8 * 13
     out = substrings.dedup_substrings(spark, clashing).collect()
     assert len(out) == len(AWKWARD) and {x.doc_id: x.text for x in out}[1] is None
+
+
+def test_passages_spliced_into_sentences_are_found_at_any_offset(spark):
+    r = random.Random(8)
+    some = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    passage = some(70)
+    own = [(some(k), some(r.randint(0, 40))) for k in range(50)]
+    rows = [(d, " ".join([*a, *passage, *z])) for d, (a, z) in enumerate(own)]
+    for x in substrings.dedup_substrings(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        a, z = own[x.doc_id]
+        left = x.text.split()
+        assert left[: len(a)] == a and left[len(left) - len(z) :] == z
+        assert len(left) == len(a) + 70 + len(z) if x.doc_id == 0 else len(left) <= len(a) + 70 + len(z) - 25

@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join; nothing is collected and no group is held
-in memory. Each round's links are written to the shared folder, so a lost executor costs
+Every step is a grouped minimum and a join, in which the links of a node are dealt into
+SALTS parts, so that the middle of a giant component is not one task's; nothing is
+collected and no group is held in memory. Each round's links are written to the shared folder, so a lost executor costs
 one round at most.
 """
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.scratch import Scratch
 
+SALTS = 8
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """links (a > b) -> each neighbour of a node linked to the smallest of its neighbours and itself."""
@@ -20,7 +23,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         both = links
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    met = both.join(least.withColumnRenamed("a", "of"), F.col("a") == F.col("of"))
+    parts = least.select(F.col("a").alias("of"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    met = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(parts, (F.col("a") == F.col("of")) & (F.col("salt") == F.col("part")))
     if large:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -2,8 +2,8 @@
 
 Symbols are words (hashes of lower-cased text), and distances are word edits. A document is
 contaminated by an item of w words if some run of its words is within floor(0.15 w)
-edits (insertions, deletions, replacements) of the item; items of 5 to 7 words must
-occur unchanged, items below MIN_WORDS words take no part.
+edits (insertions, deletions, replacements) of the item, so items of up to six words must
+occur unchanged. Items of any length take part; an item without words matches nothing.
 
 The CGK embedding walks over a word sequence: at each step it outputs the word it
 stands on and moves on if a random bit of (step, word) says so. Two sequences within
@@ -25,8 +25,10 @@ to the tasks in parts of at most PART_WORDS words; a larger benchmark takes more
 Measured recall of the candidate search at exactly the allowed edits is held above 0.9 by
 a test; unchanged items are found always.
 
-Defined results: a null or empty text has no words; null items take no part; rows with a
-null or repeated doc_id are reported with it, each; an empty table gives no rows.
+Defined results: a null or empty text has no words and is clean; null items take no part,
+repeated ones are reported each; rows with a null or repeated doc_id are judged and
+reported each; of equally close runs the first is reported; a very long text is handled
+alone, whole; extra columns pass through decontaminate(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,13 +42,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.scratch import Scratch, share, small_side
-from rasterloom.llm.words import Powers, constants, mix, runs, text_chunks, word_hashes
+from rasterloom.llm.scratch import share
+from rasterloom.llm.words import constants, mix, runs, text_chunks, word_hashes
 
-MIN_WORDS = 5
-#: From so many words on, edits are allowed.
-EDIT_WORDS = 8
 EDIT_SHARE = 0.15
+#: Fewest words of an item in which an edit is allowed; shorter ones are looked up as they are.
+EDIT_WORDS = 7
 WALKS, TABLES, SAMPLED = 8, 4, 4
 #: Fewest steps between sampled steps: a walk stays on a word for two steps on average.
 APART = 3
@@ -60,7 +61,7 @@ PART_WORDS = 500_000
 
 
 def allowed(w: int) -> int:
-    return int(EDIT_SHARE * w) if w >= EDIT_WORDS else 0
+    return int(EDIT_SHARE * w + 1e-9)
 
 
 def with_stops(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -93,7 +94,7 @@ class Index:
     """A part of the benchmark, its length classes and their tables."""
 
     def __init__(self, ids: list[int], words: list[np.ndarray]):
-        keep = [i for i, w in enumerate(words) if len(w) >= MIN_WORDS]
+        keep = [i for i, w in enumerate(words) if len(w)]
         self.ids, self.words = [ids[i] for i in keep], [words[i] for i in keep]
         self.pieces, of, offset = [], [], []
         for i, w in enumerate(self.words):
@@ -105,7 +106,7 @@ class Index:
         self.vocab = np.unique(np.concatenate([*self.words, np.empty(0, np.uint64)]))
         self.bits = constants(WALKS * LAST_STEP, 4242).reshape(WALKS, LAST_STEP)
         self.exact = {}
-        for w in range(MIN_WORDS, EDIT_WORDS):
+        for w in range(1, EDIT_WORDS):
             own = np.flatnonzero(self.lengths == w)
             if len(own):
                 keys = np.array([runs(self.pieces[i], w)[0] for i in own], np.uint64)
@@ -228,10 +229,10 @@ def closest(w: np.ndarray, t: np.ndarray) -> tuple[int, int]:
 
 def _parts(items: DataFrame) -> Iterator[Index]:
     """The benchmark as indexes of at most PART_WORDS words each (or one longer item)."""
-    powers, ids, words, held = Powers(), [], [], 0
+    ids, words, held = [], [], 0
     for row in items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         _, _, data, off = next(text_chunks(pc.utf8_lower(pa.array([row.text]))))
-        h, _ = word_hashes(data, off, powers)
+        h, _ = word_hashes(data, off)
         if ids and held + len(h) > PART_WORDS:
             yield Index(ids, words)
             ids, words, held = [], [], 0
@@ -252,12 +253,9 @@ def contaminations(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Da
         shared = share(spark, index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, powers = pickle.loads(shared.value), Powers()
+            index = pickle.loads(shared.value)
             for b in batches:
-                found = []
-                for i, _, data, off in text_chunks(pc.utf8_lower(b.column("text"))):
-                    h, first = word_hashes(data, off, powers)
-                    found += [(d + i, *x) for d, *x in index.verified(h, first)]
+                found = [x for piece in _found(index, b.column("text")) for x in piece]
                 ids = b.column("doc_id")
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array([x[0] for x in found], pa.int64())), pa.array([index.ids[x[1]] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int32()), pa.array([x[3] for x in found], pa.int64())],
@@ -269,8 +267,27 @@ def contaminations(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Da
     return out if out is not None else spark.createDataFrame([], _FOUND)
 
 
+def _found(index: Index, texts: pa.Array) -> Iterator[list[tuple[int, int, int, int]]]:
+    """(row, item, edits, first word) of the items that contaminate a text, a list a piece of the column."""
+    for i, _, data, off in text_chunks(pc.utf8_lower(texts)):
+        h, first = word_hashes(data, off)
+        yield [(d + i, *x) for d, *x in index.verified(h, first)]
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the contaminated documents."""
-    scratch = Scratch(spark, "decontaminate")
-    gone = scratch.save(contaminations(spark, docs, items).where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(small_side(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs without the contaminated rows, each judged by its own text: nothing is joined or shuffled."""
+    out, names = docs, [f"c{k}" for k in range(len(docs.columns))]
+    at = [c.lower() for c in docs.columns].index("text")
+    for index in _parts(items):
+        shared = share(spark, index)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = pickle.loads(shared.value)
+            for b in batches:
+                keep = np.ones(len(b), bool)
+                for piece in _found(index, b.column(at)):
+                    keep[[x[0] for x in piece]] = False
+                yield b.filter(pa.array(keep))
+
+        out = out.toDF(*names).mapInArrow(clean, out.toDF(*names).schema)
+    return out.toDF(*docs.columns)

@@ -1,9 +1,12 @@
 """Main text of HTML pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks: maximal runs of text between block-level tags, each with
-the path of its ancestors. Scripts, styles, other raw or hidden elements, comments and the
-head are not text. Character references are decoded, white space inside a block becomes
-one space; a line break is white space. Every block gets features of its ancestors (tag
+the path of its ancestors. Scripts, styles, templates, frames, text areas, selections, the
+head, comments and elements hidden by attribute or style are not text. Character references
+are decoded, white space inside a block becomes one space; a line break is white space.
+The page is scanned once: open elements are kept with their places by name and a count of
+each feature that the field knows, so time and memory grow with the page's length, however
+deep its elements lie. Every block gets features of its ancestors (tag
 names and the words of class, id and role), of its text (length, share of linked text,
 signs, ending) and of its place; labels are "main" and "other". Weights of features and of
 the four label transitions are trained by maximum likelihood (forward-backward, gradient
@@ -15,8 +18,11 @@ headers, footers, sidebars, notices, adverts, forms and comments around them, as
 labelled pages come with the data. Training takes the same few seconds at every size.
 
 Defined results: a null or empty html gives an empty text; broken or unclosed tags are
-handled as browsers do for paragraphs, list items and cells; a page without main blocks
-has an empty text; repeated rows are extracted each; an empty table gives none.
+handled as browsers do for paragraphs, list items and cells; an attribute whose quote is
+never closed ends at the next >; a page without main blocks has an empty text; of two
+equally likely labels the block is not main; very long pages are read whole; repeated rows,
+and rows with null page_id or url, are extracted each; extra columns are not read; an empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import html as _html
 import pickle
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,25 +44,93 @@ _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_RAW = frozenset("script style noscript template textarea iframe svg math object canvas select title head".split())
+_RAW = frozenset("script style template textarea iframe select title head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes these open elements, up to the nearest of those that hold them.
 _CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_NAMES = re.compile(r"[^>=]*")
+_VALUE = re.compile(r"\s*([^\s>\"'][^\s>]*)?")
+_ATTR = re.compile(r"(?:^|\s)(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
+_HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]{2,}")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(features of the ancestors, text, share of it inside links) of each leaf block, in page order."""
+class _Open:
+    """The open elements: places by name, distinct features, and whether text in them is linked or hidden."""
+
+    def __init__(self, known: Container[str] | None):
+        self.known, self.stack = known, []
+        self.places: dict[str, list[int]] = {}
+        self.counts: dict[str, int] = {}
+        self.hidden: int | None = None
+        self._path: tuple[str, ...] | None = ()
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((at[-1] for at in map(self.places.get, names) if at), default=-1)
+
+    def push(self, name: str, features: list[str], hidden: bool) -> None:
+        features = [f for f in features if self.known is None or f in self.known]
+        self.places.setdefault(name, []).append(len(self.stack))
+        if hidden and self.hidden is None:
+            self.hidden = len(self.stack)
+        self.stack.append((name, features))
+        for f in features:
+            self.counts[f] = self.counts.get(f, 0) + 1
+            self._path = None
+
+    def cut(self, place: int) -> None:
+        """Close the element at the place and all inside it."""
+        while len(self.stack) > place:
+            name, features = self.stack.pop()
+            self.places[name].pop()
+            for f in features:
+                self._path = None
+                self.counts[f] -= 1
+                if not self.counts[f]:
+                    del self.counts[f]
+        if self.hidden is not None and self.hidden >= place:
+            self.hidden = None
+
+    def path(self) -> tuple[str, ...]:
+        if self._path is None:
+            self._path = tuple(self.counts)
+        return self._path
+
+
+def _tag_end(page: str, at: int, closed: dict[str, bool]) -> tuple[int, str]:
+    """Place of the > that ends the tag whose attributes start here (the page's length if none), and the text outside attribute values."""
+    outside = []
+    while True:
+        m = _NAMES.match(page, at)
+        outside.append(m[0])
+        at = m.end()
+        if at >= len(page) or page[at] == ">":
+            return at, " ".join(outside)
+        at = _VALUE.match(page, at + 1).end()
+        if at < len(page) and page[at] in "\"'" and page[at - 1] in "= \t\r\n\f":
+            quote = page[at]
+            end = page.find(quote, at + 1) if closed[quote] else -1
+            if end < 0:
+                closed[quote] = False  # no later search can find it
+                end = page.find(">", at + 1)
+                return (len(page) if end < 0 else end), " ".join(outside)
+            at = end + 1
+
+
+def blocks(page: str, known: Container[str] | None = None) -> list[tuple[tuple[str, ...], str, float]]:
+    """(distinct features of the ancestors, text, share of it inside links) of each leaf block, in page order; features outside known are left out."""
     out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open(known)
     parts: list[str] = []
     linked = 0
+    closed, head_ends = {'"': True, "'": True}, True
 
     def flush() -> None:
         nonlocal linked
@@ -64,57 +138,79 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             raw = "".join(parts)
             text = _SPACE.sub(" ", _html.unescape(raw)).strip()
             if text:
-                out.append((tuple(f for _, fs in stack for f in fs), text, min(1.0, linked / max(1, len(raw)))))
+                out.append((open_.path(), text, min(1.0, linked / max(1, len(raw)))))
             parts.clear()
         linked = 0
 
+    def say(piece: str) -> None:
+        nonlocal linked
+        if open_.hidden is None and piece:
+            parts.append(piece)
+            if open_.places.get("a"):
+                linked += len(piece.strip())
+
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.match(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
+            say(page[at:])
             break
-        at = m.end()
-        name = m[1]
-        if name is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                parts.append(piece)
-                if any(t == "a" for t, _ in stack):
-                    linked += len(piece.strip())
+        say(page[at:start])
+        at = start + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = n if end < 0 else end + 3
             continue
-        name = name.lower()
-        if page[m.start() + 1] == "/":
+        if page[at : at + 1] in ("!", "?"):
+            end = page.find(">", at)
+            at = n if end < 0 else end + 1
+            continue
+        m = _NAME.match(page, at)
+        if m is None:
+            say("<")
+            continue
+        name = m[1].lower()
+        end, outside = _tag_end(page, m.end(), closed)
+        attributes, ending = page[m.end() : end], page[at] == "/"
+        at = end + 1
+        if ending:
             if name == "br" or name in _BLOCK:
                 flush()
-            if any(t == name for t, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            place = open_.last(name)
+            if place >= 0:
+                open_.cut(place)
             continue
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>" if name != "head" else r"</head\s*>|<body\b", re.I).search(page, at)
-            if end is None and name == "head":
-                continue
-            at = n if end is None else end.end() if page[end.start() + 1] == "/" else end.start()
+            if name != "head":
+                found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                at = n if found is None else found.end()
+            elif head_ends:
+                found = _HEAD_END.search(page, at)
+                head_ends = found is not None
+                if found is not None:
+                    at = found.end() if page[found.start() + 1] == "/" else found.start()
             continue
         if name == "br":
-            parts.append(" ")
+            say(" ")
             continue
         if name in _BLOCK:
             flush()
-            if any(t == "p" for t, _ in stack) and name not in ("button", "caption", "legend", "summary"):
-                k = max(i for i, (t, _) in enumerate(stack) if t == "p")
-                del stack[k:]
+            if open_.places.get("p") and name not in ("button", "caption", "legend", "summary"):
+                open_.cut(open_.last("p"))
             if name in _CLOSES:
                 closes, holds = _CLOSES[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in holds:
-                        break
-                    if stack[k][0] in closes:
-                        del stack[k:]
-                        break
-        if name not in _VOID and not m[2].rstrip().endswith("/"):
-            words = [w for a in _ATTR.finditer(m[2]) for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower())]
-            stack.append((name, (f"t:{name}", *(f"c:{w}" for w in words)) if name in _BLOCK or words else ()))
+                place = open_.last(*closes)
+                if place > open_.last(*holds):
+                    open_.cut(place)
+        if name not in _VOID and not attributes.rstrip().endswith("/"):
+            words, hidden = [], "hidden" in outside.lower().split()
+            for a in _ATTR.finditer(attributes):
+                value = a[2] or a[3] or a[4] or ""
+                if a[1].lower() == "style":
+                    hidden = hidden or _HIDDEN.search(value) is not None
+                else:
+                    words += _WORD.findall(value.lower())
+            open_.push(name, [f"t:{name}", *(f"c:{w}" for w in dict.fromkeys(words))] if name in _BLOCK or words else [], hidden)
     flush()
     return out
 
@@ -123,7 +219,7 @@ def features(page_blocks: list[tuple[tuple[str, ...], str, float]]) -> list[list
     out, n = [], len(page_blocks)
     for i, (path, text, linked) in enumerate(page_blocks):
         words = text.count(" ") + 1
-        f = ["b", *dict.fromkeys(path), f"n{min(7, words.bit_length())}", f"l{int(linked * 3)}"]
+        f = ["b", *path, f"n{min(7, words.bit_length())}", f"l{int(linked * 3)}"]
         if text[-1] in ".!?":
             f.append("stop")
         if "©" in text or "copyright" in text.lower():
@@ -288,7 +384,7 @@ def trained(pages: list[tuple[str, list[str]]] | None = None) -> Crf:
 
 
 def main_text(page: str | None, crf: Crf) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", crf.weights)
     return "\n".join(b[1] for b, y in zip(found, crf.decode(features(found)), strict=True) if y) if found else ""
 
 

@@ -16,7 +16,9 @@ Counting happens per language on the executors, over SAMPLE_DOCS documents each;
 are collected (their number is that of the languages) and broadcast.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with no
-labelled row every text is; repeated rows are predicted each; an empty table gives none.
+labelled row every text is; languages that tie go to the first by name; repeated rows are
+predicted each; a very long text is handled alone, whole; columns named as the results are
+replaced, all others pass through; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rasterloom.llm.scratch import share
+from rasterloom.llm.scratch import columns, share
 from rasterloom.llm.words import give_back, mix, text_chunks
 
 ORDER = 4
@@ -150,13 +153,14 @@ class Model:
     def log_p(self, codes: list[np.ndarray], histories: list[np.ndarray]) -> np.ndarray:
         """log10 probability of the last letter, given codes[k] of the last k + 1 letters and histories[k] of the k before it."""
         out = np.full(len(codes[0]), self.floor)
-        for (c, p), (h, w), code, hist in zip(self.seen, self.back, codes, histories, strict=True):
+        for k, ((c, p), (h, w), code, hist) in enumerate(zip(self.seen, self.back, codes, histories, strict=True)):
             if not len(c):
                 continue
             i = np.minimum(np.searchsorted(h, hist), len(h) - 1)
             known = h[i] == hist
             j = np.minimum(np.searchsorted(c, code), len(c) - 1)
-            out = np.where(c[j] == code, p[j], out + np.where(known, w[i], 0) * (len(h) > 1))
+            # the floor holds the weight of the empty history
+            out = np.where(c[j] == code, p[j], out + (np.where(known, w[i], 0) if k else 0))
         return out
 
 
@@ -224,7 +228,7 @@ def _train(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def train(spark: SparkSession, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Identifier:
     """From rows (doc_id, text, lang) with lang and text not null."""
-    rows = labelled.where("lang is not null and text is not null")
+    rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     # first a threshold on the hash that leaves a few times sample_docs rows of a language, then the ranks of these
     key = F.xxhash64("doc_id", "text")
     share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("l_"), (F.lit(4.0 * sample_docs) / F.col("n")).alias("share"))  # a row per language
@@ -260,19 +264,23 @@ def train(spark: SparkSession, labelled: DataFrame, sample_docs: int = SAMPLE_DO
 def predict(spark: SparkSession, docs: DataFrame, identifier: Identifier) -> DataFrame:
     """docs with lang_pred, score and rejected; columns of docs with these names are replaced."""
     shared = share(spark, identifier)
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "rejected")]
+    own = ("lang_pred", "score", "rejected")
+    kept = docs.select([c for c, name in zip(columns(docs), docs.columns, strict=True) if name.lower() not in own])
+    names = kept.columns
+    plain = kept.toDF(*(f"c{k}" for k in range(len(names))))
+    at = [c.lower() for c in names].index("text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         them, letters = pickle.loads(shared.value), Letters()
         for b in batches:
-            for i, j, data, off in text_chunks(b.column("text"), CHUNK):
+            for i, j, data, off in text_chunks(b.column(at), CHUNK):
                 lang, score, rejected = them.predict(data, off, letters)
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*part.schema.names, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*part.schema.names, *own])
         give_back()
 
-    schema = docs.select([f.name for f in kept]).schema
-    return docs.select([f.name for f in kept]).mapInArrow(f, schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
+    schema = StructType(list(plain.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return plain.mapInArrow(f, schema).toDF(*names, *own)
 
 
 def held_out():
@@ -281,6 +289,6 @@ def held_out():
 
 
 def language_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score."""
+    """Per document: doc_id, held_out, lang_pred, score, rejected."""
     identifier = train(spark, docs.where(~held_out()).select("doc_id", "text", "lang"))
-    return predict(spark, docs.select("doc_id", "text"), identifier).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(spark, docs.select("doc_id", "text"), identifier).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

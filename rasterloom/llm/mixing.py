@@ -11,8 +11,10 @@ budget ends, and only that one is sorted. What decides about a document is then
 per source: its epochs and the last key taken. The text is never shuffled.
 
 Defined results: a null text has size 0 and weight 1; a null source is a source of its
-own, last in order; documents that share a doc_id share a key and are taken or left
-together; an empty table gives an empty result; other columns pass through mix().
+own, last in order; documents that share a doc_id, or have none and share a text, share a
+key and are taken or left together; a very long text is one row, of
+which the taken words differ from the target by at most half; an empty table gives an
+empty result; other columns, whatever their names, pass through mix().
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.scratch import Scratch, small_side
+from rasterloom.llm.scratch import Scratch, columns, free_names, small_side
 
 #: A word: a run of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,9 +48,9 @@ def quality_weight(text: Column) -> Column:
     return F.when(n > 0, 0.25 + 0.75 * clean / n).otherwise(F.lit(1.0))
 
 
-def sampling_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / w with u in (0, 1) from 52 bits of the MD5 of seed and doc_id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def sampling_key(doc_id: Column, text: Column, weight: Column, seed: str = SEED) -> Column:
+    """-ln(u) / w with u in (0, 1) from 52 bits of the MD5 of seed and doc_id, or for a null doc_id the text's MD5."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
@@ -57,7 +59,7 @@ def _measured(docs: DataFrame, seed: str) -> DataFrame:
     return docs.select(
         "source",
         word_count(F.col("text")).alias("size"),
-        sampling_key(F.col("doc_id"), quality_weight(F.col("text")), seed).alias("key"),
+        sampling_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text")), seed).alias("key"),
     )
 
 
@@ -135,39 +137,37 @@ def mixing_plan(spark: SparkSession, docs: DataFrame, seed: str = SEED, weights:
     return out
 
 
-def _decided(spark: SparkSession, docs: DataFrame, seed: str, weights: tuple[float, ...]) -> DataFrame:
+def _decided(spark: SparkSession, docs: DataFrame, seed: str, weights: tuple[float, ...]) -> tuple[DataFrame, Column, Column]:
+    """docs beside their sources' plan; the plan, and how often each row is taken."""
     plan = mixing_plan(spark, docs, seed, weights)
-    fields = [c for c in plan.columns if c != "source"]
-    side = plan.select(F.col("source").alias("_of"), F.struct(*fields).alias("_plan"))
-    key = sampling_key(F.col("doc_id"), quality_weight(F.col("text")), seed)
-    out = docs.join(small_side(side, plan.count()), F.col("source").eqNullSafe(F.col("_of"))).drop("_of").withColumn("_key", key)
-    p = lambda c: F.col(f"_plan.{c}")
-    picked = (_bucket(F.col("_key"), p("buckets")) < p("last_bucket")) | (F.col("_key") <= p("last_key"))
-    return out.withColumn("_copies", p("epochs") + (F.coalesce(picked, F.lit(False)) & (p("epochs") < MAX_EPOCHS)).cast("long"))
+    of, plan_, key = free_names(docs, "of", "plan", "key")
+    side = plan.select(F.col("source").alias(of), F.struct(*[c for c in plan.columns if c != "source"]).alias(plan_))
+    out = docs.join(small_side(side, plan.count()), F.col("source").eqNullSafe(F.col(of)))
+    out = out.withColumn(key, sampling_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text")), seed))
+    p = F.col(plan_)
+    picked = (_bucket(F.col(key), p["buckets"]) < p["last_bucket"]) | (F.col(key) <= p["last_key"])
+    return out, p, p["epochs"] + (F.coalesce(picked, F.lit(False)) & (p["epochs"] < MAX_EPOCHS)).cast("long")
 
 
 def mix(spark: SparkSession, docs: DataFrame, seed: str = SEED, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mixed corpus: every row of docs as many times as it is taken, with the columns of docs."""
-    out = _decided(spark, docs, seed, weights)
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))
-    return out.where("_copies > 0").withColumn("_copies", copies).select(docs.columns)
+    out, _, copies = _decided(spark, docs, seed, weights)
+    (times,) = free_names(out, "times")
+    return out.withColumn(times, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(columns(docs))
 
 
 def mix_report(spark: SparkSession, docs: DataFrame, seed: str = SEED, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """Per document: doc_id, size, source_size, target (its source's), taken (words, repeats counted)."""
-    out = _decided(spark, docs.select("doc_id", "text", "source"), seed, weights)
+    out, plan, copies = _decided(spark, docs.select("doc_id", "text", "source"), seed, weights)
     size = word_count(F.col("text"))
-    return out.select(
-        "doc_id", size.alias("size"), F.col("_plan.source_size").alias("source_size"),
-        F.col("_plan.target").alias("target"), (F.col("_copies") * size).alias("taken"),
-    )
+    return out.select("doc_id", size.alias("size"), plan["source_size"].alias("source_size"), plan["target"].alias("target"), (copies * size).alias("taken"))
 
 
 #: DuckDB SQL for mix_report() over documents; the constants are those above.
 ORACLE = rf"""
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-    -ln((CAST('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+    -ln((CAST('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
       / CASE WHEN length(text) > 0 THEN 0.25::DOUBLE + 0.75::DOUBLE * length(translate(text, '{JUNK}', '')) / length(text) ELSE 1.0::DOUBLE END AS key
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),

@@ -3,7 +3,7 @@
 1. A pass over the texts hashes every document's five-word shingles, takes 128 minima,
    hashes them in 32 bands of four, packs the low four bits of every minimum into eight
    longs, and fingerprints the set by two independent 64-bit sums of its shingles.
-2. Documents with the same set are one node, the smallest doc_id of them.
+2. Documents with the same set are one node, numbered when the table of sets is written.
 3. Nodes that share a band meet. In each bucket every node is paired with the bucket's
    smallest node only (a star, not all pairs). The collision-corrected share of equal
    bit groups estimates the similarity; a pair is dropped if it lies more than five
@@ -17,9 +17,16 @@
    want of a comparison, except with the chance of sharing no band at all, 5e-6 at
    similarity 0.75, or of an estimate five standard deviations off.
 
-Defined results: a document without words has no shingles and is linked with nothing;
-rows that share a doc_id are one node; a null doc_id takes no part in links of
-near-equal texts, and its component is the smallest doc_id with the same set, or null.
+Every row is a document of its own, whatever its doc_id; a component's id is the smallest
+doc_id in it.
+
+Defined results: a null text or one without words has no shingles, is linked with nothing
+and is always kept; rows that share a doc_id with other texts are linked each by its own
+text; rows with a null doc_id are linked as any, their component's id is null if none in
+it has one; repeated rows share a component, of which the report marks each row with its
+id and drop_duplicates() keeps one; a very long text is one row of the same steps, its set
+held by one task; an empty table gives no rows; extra columns are not read, and whatever
+their names pass through drop_duplicates().
 """
 
 from __future__ import annotations
@@ -32,8 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.components import connected_components
-from rasterloom.llm.scratch import Scratch, small_side
-from rasterloom.llm.words import Powers, constants, mix, shingles, signed, text_chunks, word_hashes
+from rasterloom.llm.scratch import Scratch, columns, free_names, small_side
+from rasterloom.llm.words import constants, mix, shingles, signed, text_chunks, word_hashes
 
 SHINGLE = 5
 #: Percent of the union that the intersection must reach.
@@ -50,7 +57,7 @@ BLOCK_BYTES = 16 << 20
 #: Parts in which the documents of a set are met again, so that a very common set is not one task's.
 SALTS = 16
 
-_SIGNED = "doc_id long, n long, h1 long, h2 long, bands array<long>, sig array<long>"
+_SIGNED = "doc_id long, th long, n long, h1 long, h2 long, bands array<long>, sig array<long>"
 
 
 def minima(h: np.ndarray, at: np.ndarray, hashes: int = HASHES) -> np.ndarray:
@@ -82,10 +89,9 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
     for b in batches:
         for i, j, data, off in text_chunks(b.column("text")):
-            words, first = word_hashes(data, off, powers)
+            words, first = word_hashes(data, off)
             h, at = shingles(words, first, SHINGLE)
             n = np.diff(at)
             rows = j - i
@@ -105,8 +111,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     u = np.unique(h[at[d] : at[d + 1]])
                     size[d], h1[d], h2[d] = len(u), u.sum(), mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(i, rows), pa.array(size), pa.array(signed(h1)), pa.array(signed(h2)), _lists(bands), _lists(sig)],
-                ["doc_id", "n", "h1", "h2", "bands", "sig"],
+                [b.column("doc_id").slice(i, rows), b.column("th").slice(i, rows), pa.array(size), pa.array(signed(h1)), pa.array(signed(h2)), _lists(bands), _lists(sig)],
+                ["doc_id", "th", "n", "h1", "h2", "bands", "sig"],
             )
 
 
@@ -116,10 +122,9 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, text -> node, its sorted distinct shingles as bytes."""
-    powers = Powers()
     for b in batches:
         for i, j, data, off in text_chunks(b.column("text")):
-            words, first = word_hashes(data, off, powers)
+            words, first = word_hashes(data, off)
             h, at = shingles(words, first, SHINGLE)
             yield pa.RecordBatch.from_arrays([b.column("node").slice(i, j - i), pa.array([np.unique(h[at[d] : at[d + 1]]).tobytes() for d in range(j - i)], pa.binary())], ["node", "grams"])
 
@@ -175,25 +180,25 @@ def _settle(percent: int):
     return f
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept."""
-    scratch = Scratch(spark, "neardup")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _groups(docs: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Per row of docs: doc_id, th (a hash of the text), n, h1, h2; and for the sets of rows that are not alone: h1, h2, component_id, and doc_id and th of the row to keep."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     signs = scratch.save(texts.mapInArrow(_sign, _SIGNED), "signs")
-    classes = signs.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("members")).where("node is not null")
-    nodes = (
-        signs.where("n > 0").withColumnRenamed("doc_id", "node")
-        .join(classes.select("h1", "h2", "node").withColumnsRenamed({"h1": "c1", "h2": "c2", "node": "of"}), (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("node") == F.col("of")), "left_semi")
-        .select("node", "n", "bands", "sig").dropDuplicates(["node"])
-    )
+    one = lambda c: F.first(c).alias(c)  # noqa: E731  equal sets have equal signatures
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")
+    classes = signs.where("n > 0").groupBy("h1", "h2").agg(rep, F.count(F.lit(1)).alias("members"), one("n"), one("bands"), one("sig"))
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes", release=True)
+    nodes = classes.select("node", "n", "bands")
     keys = scratch.save(nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key")), "keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first")).where("members > 1")
     members = scratch.save(keys.join(shared.withColumnRenamed("key", "of"), F.col("key") == F.col("of")).select("key", "node", "n", "first"), "members")
     scratch.drop(keys)
     met = scratch.save(members.select("node").distinct(), "met")
     n_met = met.count()
-    signed_nodes = scratch.save(signs.where("n > 0").select(F.col("doc_id").alias("node"), "sig", "bands").join(small_side(met, n_met), "node", "left_semi").dropDuplicates(["node"]), "signed")
-    grams = texts.withColumnRenamed("doc_id", "node").join(small_side(met, n_met), "node", "left_semi").dropDuplicates(["node"])
+    met_nodes = classes.join(small_side(met, n_met), "node", "left_semi")
+    signed_nodes = scratch.save(met_nodes.select("node", "sig", "bands"), "signed")
+    wanted = met_nodes.select("node", F.col("rep.doc_id").alias("of"), F.col("rep.th").alias("ot"))
+    grams = texts.join(small_side(wanted, n_met), (F.col("th") == F.col("ot")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text").dropDuplicates(["node"])
     grams = scratch.save(grams.mapInArrow(_shingle_sets, "node long, grams binary"), "grams")
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
@@ -220,15 +225,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     more = scratch.save(unsettled.groupBy("key", "left", "right").applyInArrow(_settle(percent), "a long, b long"), "more")
     if not more.isEmpty():
         component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
-    # only sets of several documents or in a larger component need a look-up; each meets its documents in SALTS parts
-    result = classes.join(component, "node", "left").where("members > 1 OR component IS NOT NULL")
-    result = result.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "node").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    out = signs.select("doc_id", "n", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = out.join(result, (F.col("n") > 0) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("salt") == F.col("part")), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    out = scratch.save(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
-    scratch.drop(signs, members, met, signed_nodes, grams)
-    return out
+    scratch.drop(members, met, signed_nodes, grams)
+    # a component's values meet its sets, and these their documents, in SALTS parts, so that a giant one is not one task's
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    placed = classes.join(component, "node", "left").select("h1", "h2", "rep", "members", F.coalesce("component", "node").alias("cid"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    least = placed.groupBy("cid").agg(F.min("rep").alias("keep"), F.sum("members").alias("rows")).where("rows > 1")
+    least = least.select(F.col("cid").alias("of"), "keep", parts.alias("part"))
+    result = placed.join(least, (F.col("cid") == F.col("of")) & (F.col("salt") == F.col("part")))
+    result = result.select("h1", "h2", F.col("keep.doc_id").alias("component_id"), F.col("keep.th").alias("keep_th"))
+    return signs.select("doc_id", "th", "n", "h1", "h2"), scratch.save(result, "result")
+
+
+def _met(signs: DataFrame, result: DataFrame, how: str) -> DataFrame:
+    """Rows of signs with component_id and keep_th of their sets."""
+    side = result.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "component_id", "keep_th", F.lit(True).alias("grouped"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    rows = signs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
+    return rows.join(side, (F.col("n") > 0) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("salt") == F.col("part")), how)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept."""
+    scratch = Scratch(spark, "neardup")
+    signs, result = _groups(docs, percent, scratch)
+    out = _met(signs, result, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _unsettled(members: DataFrame, component: DataFrame, signed_nodes: DataFrame, grams: DataFrame) -> DataFrame:
@@ -247,7 +267,16 @@ def _unsettled(members: DataFrame, component: DataFrame, signed_nodes: DataFrame
 
 
 def drop_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents that are not kept; the removed ids are joined away."""
-    gone = near_duplicates(spark, docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    n = gone.count()
-    return docs.join(small_side(gone, n), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs with one row of each component: the one with the smallest doc_id, of repeated rows any."""
+    scratch = Scratch(spark, "neardup")
+    signs, result = _groups(docs, percent, scratch)
+    keep = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("keep_th"))
+    met = _met(signs, result, "inner").groupBy("doc_id", "th").agg(F.max(keep).alias("keep"), F.count(F.lit(1)).alias("rows"))
+    d, t, key, times = free_names(docs, "doc_id", "th", "key", "times")
+    met = scratch.save(met.where("not keep or rows > 1").select(F.col("doc_id").alias(d), F.col("th").alias(t), F.when(F.col("keep"), F.col("rows")).otherwise(0).alias(times)), "met", release=True)
+    n, repeated = met.agg(F.count(F.lit(1)), F.coalesce(F.max(times), F.lit(0))).first()
+    same = (F.col(key) == F.col(t)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d))
+    out = docs.withColumn(key, F.xxhash64("text")).join(small_side(met, n), same, "left").where(F.col(times).isNull() | (F.col(times) > 0))
+    if repeated:
+        out = out.where(F.col(times).isNull()).unionAll(out.where(F.col(times) > 0).dropDuplicates(["doc_id", key]))
+    return out.select(columns(docs))

@@ -6,7 +6,7 @@ import os
 import uuid
 
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of 64-bit keys is broadcast (about 40 MB as a hash relation).
@@ -14,9 +14,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of this application only where it is unset."""
+    """The cluster's spark.checkpoint.dir; a folder of this application where it is unset and all runs on this machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         os.makedirs(root.removeprefix("file://"), exist_ok=True)
     return root.rstrip("/")
@@ -86,6 +88,22 @@ def small_side(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= bound else df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those asked for that df does not have, whatever its letters' case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of df, with any signs in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.scratch import Scratch
+from rasterloom.llm.scratch import Scratch, columns, free_names
 from rasterloom.llm.words import mix
 
 SHARDS = 8
@@ -65,45 +65,40 @@ def text_crc(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def numbered(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """rows with `row_number_` from 0 in the order of (doc_id, crc_, size_), and how many there are."""
+def numbered(spark: SparkSession, rows: DataFrame, order: list[str], scratch: Scratch) -> tuple[DataFrame, str, int]:
+    """rows with a column of numbers from 0 in the given order, that column's name, and how many rows there are."""
+    at, part, first, number = free_names(rows, "at", "part", "first", "number")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, "doc_id", "crc_", "size_").sortWithinPartitions("doc_id", "crc_", "size_")
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # monotonically_increasing_id is the partition in the upper bits and the place in it in the lower 33
-    ordered = scratch.save(ordered.withColumn("at_", F.monotonically_increasing_id()), "ordered")
-    part, place = F.shiftright("at_", 33), F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ordered.groupBy(part.alias("part_")).agg(F.count(F.lit(1)).alias("n_")).collect()  # a row per shuffle partition
+    ordered = scratch.save(ordered.withColumn(at, F.monotonically_increasing_id()), "ordered")
+    sizes = ordered.groupBy(F.shiftright(at, 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per shuffle partition
     starts, total = [], 0
-    for r in sorted(sizes, key=lambda r: r.part_):
-        starts.append((r.part_, total))
-        total += r.n_
-    if not starts:
-        return ordered.drop("at_").withColumn("row_number_", F.lit(0).cast("long")), 0
-    first = F.broadcast(spark.createDataFrame(starts, "part_ int, first_ long"))
-    out = ordered.withColumns({"part_": part.cast("int"), "place_": place}).join(first, "part_")
-    return out.withColumn("row_number_", F.col("first_") + F.col("place_")).drop("at_", "part_", "place_", "first_"), total
+    for r in sorted(sizes, key=lambda r: r.part):
+        starts.append((r.part, total))
+        total += r.n
+    firsts = F.broadcast(spark.createDataFrame(starts, f"`{part}` long, `{first}` long"))
+    out = ordered.join(firsts, F.shiftright(at, 33) == F.col(part))
+    return out.withColumn(number, F.col(first) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))), number, total
+
+
+def _sharded(spark: SparkSession, docs: DataFrame, kept: list[Column], shards: int, seed: int) -> DataFrame:
+    crc, size, place = free_names(docs, "crc", "size", "place")
+    rows = docs.select(*kept, text_crc(F.col("text")).alias(crc), text_size(F.col("text")).alias(size))
+    out, number, n = numbered(spark, rows, ["doc_id", crc, size], Scratch(spark, "sharding"))
+    return out.withColumn(place, _place(n, seed)(F.col(number))).select(
+        *kept, F.col(size).alias("size"), F.col(crc).alias("text_crc32"), F.lit("rows").alias("law"),
+        F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(F.col(place) / F.lit(shards)).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard; columns of docs with these names are replaced."""
     own = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    kept = [c for c in docs.columns if c not in own]
-    rows = docs.select(*kept, text_crc(F.col("text")).alias("crc_"), text_size(F.col("text")).alias("size_"))
-    out, n = numbered(spark, rows, Scratch(spark, "sharding"))
-    place = _place(n, seed)(F.col("row_number_"))
-    return out.withColumn("place_", place).select(
-        *kept, F.col("size_").alias("size"), F.col("crc_").alias("text_crc32"), F.lit("rows").alias("law"),
-        F.pmod("place_", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place_") / F.lit(shards)).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    return _sharded(spark, docs, [c for c, name in zip(columns(docs), docs.columns, strict=True) if name.lower() not in own], shards, seed)
 
 
 def shard_report(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """As shard(), with doc_id alone of the columns of docs; no text is shuffled."""
-    rows = docs.select("doc_id", text_crc(F.col("text")).alias("crc_"), text_size(F.col("text")).alias("size_"))
-    out, n = numbered(spark, rows, Scratch(spark, "sharding"))
-    return out.withColumn("place_", _place(n, seed)(F.col("row_number_"))).select(
-        "doc_id", F.col("size_").alias("size"), F.col("crc_").alias("text_crc32"), F.lit("rows").alias("law"),
-        F.pmod("place_", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place_") / F.lit(shards)).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    return _sharded(spark, docs, [F.col("doc_id")], shards, seed)

@@ -16,7 +16,11 @@ sentences is no longer than the document.
 
 Defined results: a null text stays null, with no sentences; texts without two sentences
 or SPAN_WORDS words have no run and stay as they are; rows that share a doc_id and a
-text count as the same document; an empty table gives an empty result.
+text count as the same document, so each keeps what the other keeps; rows that share a
+doc_id, or have none, with other texts are documents of their own, ordered by a hash of
+the text; a very long text is handled alone, whole, and its sentences are cut alike; ties
+of doc_id and place cannot be; extra columns are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.scratch import Scratch
-from rasterloom.llm.words import Powers, mix, signed, span_hashes, text_chunks, word_spans
+from rasterloom.llm.words import mix, signed, span_hashes, text_chunks, word_spans
 
 SENTENCES, SPAN_WORDS, LONG, NEAR = 2, 20, 25, 4
 
@@ -51,7 +55,7 @@ def content_cuts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def sentences(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, word ends, words' first per text, each sentence's first word (one more at the end), sentences' first per text."""
     starts, ends, first = word_spans(data, off)
     n = len(starts)
@@ -72,7 +76,7 @@ def sentences(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.nda
         if way == "marks":
             soft = np.isin(last, (44, 59, 58))
         elif way == "content":
-            soft = content_cuts(span_hashes(data, starts, ends, powers), first)
+            soft = content_cuts(span_hashes(data, starts, ends), first)
         else:
             soft = (np.arange(n) - np.repeat(heads[:-1], size)) % LONG == LONG - 1
         stop |= long & soft
@@ -80,6 +84,20 @@ def sentences(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.nda
     return starts, ends, first, heads, np.searchsorted(heads[:-1], first)
 
 
+#: Primes and bases of the four polynomials of a run's words; each has 31 bits, so no sum of 2**33 terms overflows.
+FIELDS = ((2147483647, 1389796513), (2147483629, 977241187), (2147483587, 2036401361), (2147483579, 1703119877))
+
+
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    out = np.ones(max(n, 1), np.uint64)
+    k = 1
+    while k < n:
+        m = min(k, n - k)
+        out[k : k + m] = out[:m] * np.uint64(pow(base, k, prime)) % np.uint64(prime)
+        k += m
+    return out[:n]
+
+
 def spans(word_hash: np.ndarray, heads: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First sentence, end sentence and 128-bit hash of each text's spans."""
     n = len(heads) - 1
@@ -87,39 +105,34 @@ def spans(word_hash: np.ndarray, heads: np.ndarray, of_text: np.ndarray) -> tupl
     end = np.maximum(np.searchsorted(heads, heads[:-1] + SPAN_WORDS), np.arange(n) + SENTENCES)
     ok = np.flatnonzero(end <= text_end)
     end = end[ok]
-    out = []
-    for base in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F):
-        up = np.full(len(word_hash) + 1, base, np.uint64)
-        down = np.full(len(word_hash) + 1, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    a, b, out = heads[ok], heads[end], []
+    for prime, base in FIELDS:
+        p = np.uint64(prime)
         sums = np.zeros(len(word_hash) + 1, np.uint64)
-        np.cumsum(mix(word_hash ^ np.uint64(base)) * up[:-1], out=sums[1:])
-        a, b = heads[ok], heads[end]
-        out.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
-    return ok, end, out[0], out[1]
+        np.cumsum(mix(word_hash ^ np.uint64(base)) % p * powers(base, prime, len(word_hash)) % p, out=sums[1:])
+        out.append((sums[b] - sums[a]) % p * powers(pow(base, -1, prime), prime, len(word_hash) + 1)[a] % p)
+    size = (b - a).astype(np.uint64)
+    return ok, end, mix((out[0] << np.uint64(32) | out[1]) ^ size), mix((out[2] << np.uint64(32) | out[3]) ^ size)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
     for b in batches:
         for i, j, data, off in text_chunks(b.column("text")):
-            starts, ends, _, heads, of_text = sentences(data, off, powers)
+            starts, ends, _, heads, of_text = sentences(data, off)
             if not len(starts):
                 continue
-            at, end, h1, h2 = spans(span_hashes(data, starts, ends, powers), heads, of_text)
+            at, end, h1, h2 = spans(span_hashes(data, starts, ends), heads, of_text)
             text = np.searchsorted(of_text, at, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(i, j - i).take(pa.array(text)), pa.array((at - of_text[text]).astype(np.int32)), pa.array((end - at).astype(np.int32)), pa.array(signed(h1)), pa.array(signed(h2))],
-                ["doc_id", "at", "n", "h1", "h2"],
+                [b.column("doc_id").slice(i, j - i).take(pa.array(text)), b.column("k").slice(i, j - i).take(pa.array(text)), pa.array((at - of_text[text]).astype(np.int32)), pa.array((end - at).astype(np.int32)), pa.array(signed(h1)), pa.array(signed(h2))],
+                ["doc_id", "k", "at", "n", "h1", "h2"],
             )
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
     for b in batches:
         for i, j, data, off in text_chunks(b.column("text")):
-            starts, _, _, heads, of_text = sentences(data, off, powers)
+            starts, _, _, heads, of_text = sentences(data, off)
             rows = b.column("removed").slice(i, j - i)
             null = b.column("text").slice(i, j - i).is_null()
             texts, removed = [], np.zeros(j - i, np.int32)
@@ -145,14 +158,14 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_substrings(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, text without repeated sentences, n_sentences before, n_removed."""
     scratch = Scratch(spark, "substrings")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.mapInArrow(_spans, "doc_id long, at int, n int, h1 long, h2 long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
+    found = scratch.save(texts.mapInArrow(_spans, "doc_id long, k long, at int, n int, h1 long, h2 long"), "spans")
     repeated = (
-        found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "at")).alias("first")).where("times > 1")
+        found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "k", "at")).alias("first")).where("times > 1")
         .select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first")
     )
-    repeated = scratch.save(repeated, "repeated")
-    covered = found.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
-    removed = covered.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("at", "n")).alias("removed"))
-    rows = texts.join(removed, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "removed")
+    repeated = scratch.save(repeated, "repeated", release=True)
+    covered = found.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k") == F.col("first.k")) & (F.col("at") == F.col("first.at"))))
+    removed = covered.groupBy(F.col("doc_id").alias("of"), F.col("k").alias("ok")).agg(F.collect_set(F.struct("at", "n")).alias("removed"))
+    rows = texts.join(removed, (F.col("k") == F.col("ok")) & F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "removed")
     return rows.mapInArrow(_clean, "doc_id long, text string, n_sentences int, n_removed int")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.scratch import Scratch, share, small_side
-from rasterloom.llm.words import Powers, mix, signed, text_chunks, word_hashes
+from rasterloom.llm.words import mix, signed, text_chunks, word_hashes
 
 END = 0x5EED0E2D5EED0E2D
 #: Words of the longest n-gram, so contexts have one word less.
@@ -61,9 +61,9 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def tokens(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all texts, an end after each, and each text's first token (one more at the end)."""
-    h, first = word_hashes(data, off, powers)
+    h, first = word_hashes(data, off)
     out = np.full(len(h) + len(off) - 1, END, np.uint64)
     out[np.arange(len(h)) + np.repeat(np.arange(len(off) - 1), np.diff(first))] = h
     return out, first + np.arange(len(off))
@@ -142,7 +142,7 @@ def _count(order: int, shared=None):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, suffixes = pickle.loads(shared.value) if shared else (None, None)
-        powers, held, size = Powers(), [], 0
+        held, size = [], 0
 
         def report() -> pa.RecordBatch:
             nonlocal held, size
@@ -158,7 +158,7 @@ def _count(order: int, shared=None):
 
         for b in batches:
             for _, _, data, off in text_chunks(b.column("text")):
-                t, first = tokens(data, off, powers)
+                t, first = tokens(data, off)
                 if order == 1:
                     held.append((t[:0], t))
                 else:
@@ -280,10 +280,9 @@ def _parts(shared, want: str):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (hot, base, value), maybe = pickle.loads(shared.value)
-        powers = Powers()
         for b in batches:
             for i, j, data, off in text_chunks(b.column("text")):
-                t, first = tokens(data, off, powers)
+                t, first = tokens(data, off)
                 text = np.repeat(np.arange(j - i), np.diff(first))
                 known, sums, added, rest = np.zeros(len(t), bool), np.zeros(len(t)), np.zeros(len(t)), []
                 for k, (key, has) in enumerate(ngrams(t, first, ORDER)):

@@ -12,6 +12,8 @@ from the end of the file, and decompresses only the frames that hold what it was
 Texts are encoded with the tokenizers library. A chunk of text between single spaces or
 line feeds that stand between other signs is encoded by itself and kept: the pattern that
 splits text before the merges always splits there, so the ids are those of the whole text.
+Kept chunks are looked up by a hash and compared byte by byte; one that only shares a hash
+is encoded anew.
 
 Defined results: a null text is empty and holds the end id alone; null doc_ids come first;
 repeated rows are written each; an empty table makes no file and an empty result.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.scratch import Scratch
-from rasterloom.llm.words import Powers, mix, span_hashes, text_chunks
+from rasterloom.llm.words import span_hashes, text_chunks
 
 END = 2
 #: Ids in a frame, about; a longer document has a frame of its own.
@@ -99,7 +101,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocab)
         self.tokenizer.encode_special_tokens = True
-        self.powers = Powers()
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.clear()
 
@@ -107,6 +108,7 @@ class Encoder:
         self.known = np.empty(0, np.uint64)  # sorted hashes
         self.row = np.empty(0, np.int64)  # of each, its row below
         self.first, self.length, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.at, self.size, self.bytes = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row and how many each has.
@@ -133,8 +135,11 @@ class Encoder:
             out[~of_plain] = np.concatenate(rest)
         return out, first
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        flat, first = self._ids(pieces)
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        flat, first = self._ids([p.decode("utf-8", "replace") for p in pieces])
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.at, self.size = np.concatenate([self.at, len(self.bytes) + np.cumsum(size) - size]), np.concatenate([self.size, size])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
         length = np.diff(np.append(first, len(flat)))
         self.row = np.concatenate([self.row, len(self.first) + np.arange(len(pieces))])
         self.first, self.length, self.ids = np.concatenate([self.first, first + len(self.ids)]), np.concatenate([self.length, length]), np.concatenate([self.ids, flat])
@@ -146,37 +151,42 @@ class Encoder:
         """Keep the first pieces that were met, which include the frequent ones."""
         old = self.row < kept
         self.known, self.row = self.known[old], self.row[old]
-        self.first, self.length = self.first[:kept], self.length[:kept]
+        self.first, self.length, self.at, self.size = self.first[:kept], self.length[:kept], self.at[:kept], self.size[:kept]
+        self.bytes = self.bytes[: int(self.at[-1] + self.size[-1])].copy() if kept else self.bytes[:0]
         self.ids = self.ids[: int(self.first[-1] + self.length[-1])].copy() if kept else self.ids[:0]
 
+    def _unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Which chunks, that together are data, have other bytes than their kept row."""
+        place = np.repeat(self.at[row] - starts, ends - starts)
+        place += np.arange(len(data))
+        np.minimum(place, len(self.bytes) - 1, out=place)
+        return np.flatnonzero(np.logical_or.reduceat(self.bytes[place] != data, starts) | (self.size[row] != ends - starts))
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts without end ids, and each text's first."""
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(off), np.int64)
         starts = cut_points(data, off)
         ends = np.append(starts[1:], len(data))
-        uniq, at, inverse = distinct(_case(data, starts, ends, self.powers))
+        uniq, at, inverse = distinct(span_hashes(data, starts, ends, fold=False))
         place = np.minimum(np.searchsorted(self.known, uniq), max(len(self.known) - 1, 0))
         new = np.flatnonzero(self.known[place] != uniq) if len(self.known) else np.arange(len(uniq))
         if len(new):
             text = data.tobytes()
-            self._learn(uniq[new], [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            self._learn(uniq[new], [text[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
         row = self.row[np.searchsorted(self.known, uniq)][inverse]
-        length, first = self.length[row], self.first[row]
+        length, first, ids = self.length[row], self.first[row], self.ids
+        for k in self._unlike(data, starts, ends, row):
+            own = np.array(self.tokenizer.encode(data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            length[k], first[k], ids = len(own), len(ids), np.concatenate([ids, own])
         upto = np.zeros(len(length) + 1, np.int64)
         np.cumsum(length, out=upto[1:])
-        out = self.ids[np.repeat(first - upto[:-1], length) + np.arange(upto[-1])]
+        out = ids[np.repeat(first - upto[:-1], length) + np.arange(upto[-1])]
         if len(self.first) > KEPT:
             self._forget(KEPT)
         return out, upto[np.searchsorted(starts, off)]
 
 
-def _case(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """Hashes of byte spans that tell A-Z from a-z: the case-blind hash with a second one over the capitals."""
-    upper = ((data >= 65) & (data <= 90)).view(np.uint8)
-    return mix(span_hashes(data, starts, ends, powers) * np.uint64(0x9FB21C651E98DF25) + span_hashes(upper, starts, ends, powers))
-
-
 def worker_encoder(vocab: str) -> Encoder:
     """The encoder of this worker process: a later task in the same process finds the chunks that earlier ones met."""
     state = sys.modules.setdefault("_token_encoder", types.ModuleType("_token_encoder"))

@@ -7,6 +7,7 @@ those bytes inside a longer character.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at a time; a longer text is handled alone.
 CHUNK = 1 << 20
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_M64 = (1 << 64) - 1
+#: Bytes from which on a span is hashed by itself.
+LONG_SPAN = 512
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,27 +36,13 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed)) | np.uint64(1)
 
 
-class Powers:
-    """Powers of the hash base and of its inverse, grown on demand, one object per task."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, CHUNK + 1)
-            for name, base in (("up", _P), ("down", _PINV)):
-                a = np.full(n, base, np.uint64)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
-        return self.up, self.down
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
-_LOWER += np.uint64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The low bytes of eight, by their number.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_BY_SIZE = constants(LONG_SPAN + 1, 4711)
 
 
 def text_chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -91,20 +77,29 @@ def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray | None = None)
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """64-bit hashes of the byte spans with A-Z lower-cased: a polynomial in a fixed odd base, mixed."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of the byte spans, with A-Z lower-cased if fold: eight bytes at a time into a state that is mixed after each."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    up, down = powers.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def word_hashes(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.zeros(len(data) + 8, np.uint8)
+    raw[: len(data)] = _LOWER[data] if fold else data
+    eight = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))  # those from each place on
+    size = ends - starts
+    out = mix(_BY_SIZE[np.minimum(size, LONG_SPAN)] ^ (eight[starts] & _MASKS[np.clip(size, 0, 8)]))
+    rest, k = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(rest):
+        out[rest] = mix(out[rest] ^ (eight[starts[rest] + k] & _MASKS[np.minimum(size[rest] - k, 8)]))
+        k += 8
+        rest = rest[size[rest] > k]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for each text the index of its first word (one more at the end)."""
     starts, ends, first = word_spans(data, off)
-    return span_hashes(data, starts, ends, powers), first
+    return span_hashes(data, starts, ends), first
 
 
 def runs(h: np.ndarray, size: int) -> np.ndarray:

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def layer_tree(spark: SparkSession, layers: DataFrame, deepest: int = 32) -> DataFrame:
-    """(layer_id, parent_id, z, visible) -> with depth, path (z from the root) and whether all ancestors are visible."""
-    layers.createOrReplaceTempView("_layer_tree")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # layers of all documents; levels bound the recursion
-    return spark.sql(f"""WITH RECURSIVE t(layer_id, depth, path, shown) AS (
-      SELECT layer_id, 0, array(z), visible FROM _layer_tree WHERE parent_id IS NULL
-      UNION ALL SELECT c.layer_id, t.depth + 1, array_append(t.path, c.z), t.shown AND c.visible FROM _layer_tree c JOIN t ON c.parent_id = t.layer_id WHERE t.depth < {deepest})
-      SELECT * FROM t""")
+def layer_tree(spark: SparkSession, layers: DataFrame) -> DataFrame:
+    """(layer_id, parent_id, z, visible) -> with depth, path (z from the root) and whether all ancestors are visible.
+
+    Every level is a join with the one above, however deep; layers whose ancestors run in a
+    circle or are missing are below no root and left out. Layers of all documents may be
+    more than Spark's bound on rows of a recursion, so the session's bound is lifted.
+    """
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql("""WITH RECURSIVE t(layer_id, depth, path, shown) MAX RECURSION LEVEL 1000000 AS (
+      SELECT layer_id, 0, array(z), visible FROM {layers} WHERE parent_id IS NULL
+      UNION ALL SELECT c.layer_id, t.depth + 1, array_append(t.path, c.z), t.shown AND c.visible FROM {layers} c JOIN t ON c.parent_id = t.layer_id)
+      SELECT * FROM t""", layers=layers)
 
 
 def clip_base(layers: DataFrame) -> DataFrame:

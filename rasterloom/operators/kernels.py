@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.color import TO_LAB, TO_LMS
+from rasterloom.functions.color import FROM_LAB, FROM_LMS, TO_LAB, TO_LMS
 from rasterloom.operators.raster import EPSILON, TRANSPARENT, lab_of
 
 
@@ -32,19 +32,9 @@ def _grid(pdf: pd.DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray
 
 
 def reach(allowed: np.ndarray, seed: tuple[int, int]) -> np.ndarray:
-    """Pixels reachable from seed through allowed ones, by four neighbours: rings of whole-image steps."""
-    out = np.zeros_like(allowed)
-    out[seed] = True
-    while True:
-        new = out.copy()
-        new[1:] |= out[:-1]
-        new[:-1] |= out[1:]
-        new[:, 1:] |= out[:, :-1]
-        new[:, :-1] |= out[:, 1:]
-        new = (new & allowed) | out
-        if (new == out).all():
-            return out
-        out = new
+    """Pixels reachable from seed through allowed ones, by four neighbours."""
+    label = components(allowed, allowed)
+    return label == label[seed] if allowed[seed] else np.zeros_like(allowed)
 
 
 def remove_background(px: DataFrame, tolerance: float) -> DataFrame:
@@ -65,33 +55,51 @@ def remove_background(px: DataFrame, tolerance: float) -> DataFrame:
     return px.groupBy("image_id").applyInPandas(f, px.schema)
 
 
+def components(value: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """A label for each pixel: the smallest place of its four-connected component of equal values; -1 where there is none."""
+    h, w = value.shape
+    place = np.arange(h * w).reshape(h, w)
+    across = has[:, 1:] & has[:, :-1] & (value[:, 1:] == value[:, :-1])
+    down = has[1:] & has[:-1] & (value[1:] == value[:-1])
+    a = np.concatenate([place[:, 1:][across], place[1:][down]])
+    b = np.concatenate([place[:, :-1][across], place[:-1][down]])
+    label = np.arange(h * w)
+    while True:  # roots hook to smaller roots, then paths are halved: few rounds whatever the shapes
+        p, q = label[a], label[b]
+        open_ = p != q
+        if not open_.any():
+            break
+        a, b, p, q = a[open_], b[open_], p[open_], q[open_]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+    return np.where(has, label.reshape(h, w), -1)
+
+
 def despeckle(idx: DataFrame, area: int) -> DataFrame:
     """Components of equal idx with at most area pixels take the commonest idx around them (ties: lowest) of the original."""
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x, img, has = _grid(pdf, ["idx"])
         img = img[..., 0]
-        seen, out = ~has, img.copy()
-        for i, j in zip(y, x, strict=True):
-            if seen[i, j]:
-                continue
-            part, todo, around = [], [(i, j)], {}
-            seen[i, j] = True
-            while todo:
-                p = todo.pop()
-                part.append(p)
-                for q in ((p[0] - 1, p[1]), (p[0] + 1, p[1]), (p[0], p[1] - 1), (p[0], p[1] + 1)):
-                    if 0 <= q[0] < img.shape[0] and 0 <= q[1] < img.shape[1] and has[q]:
-                        if img[q] != img[i, j]:
-                            around[img[q]] = around.get(img[q], 0) + 1
-                        elif not seen[q]:
-                            seen[q] = True
-                            todo.append(q)
-            if len(part) <= area and around:
-                best = min(around, key=lambda v: (-around[v], v))
-                for p in part:
-                    out[p] = best
-        return pdf.assign(idx=out[y, x])
+        label = components(img, has)
+        size = np.bincount(label[has], minlength=label.size)
+        small = has & (size[label] <= area)
+        # pairs (component, idx of a neighbour outside it), one for each pixel side
+        of, value = [], []
+        for p, q in (((slice(None), slice(1, None)), (slice(None), slice(None, -1))), ((slice(1, None),), (slice(None, -1),))):
+            for s, t in ((p, q), (q, p)):
+                met = small[s] & has[t] & (img[s] != img[t])
+                of.append(label[s][met]), value.append(img[t][met])
+        of, value = np.concatenate(of), np.concatenate(value)
+        if len(of):
+            pair, times = np.unique(np.stack([of, value], 1), axis=0, return_counts=True)
+            order = np.lexsort((pair[:, 1], -times, pair[:, 0]))
+            first = np.concatenate([[True], np.diff(pair[order, 0]) > 0])
+            new = np.full(label.size, -1, np.int64)
+            new[pair[order, 0][first]] = pair[order, 1][first]
+            img = np.where(small & (new[label] >= 0), new[label], img)
+        return pdf.assign(idx=img[y, x].astype(pdf["idx"].dtype))
 
     return idx.groupBy("image_id").applyInPandas(f, idx.schema)
 
@@ -143,50 +151,93 @@ def diffuse_own(px: DataFrame, palettes: DataFrame, kernel: str, strength: float
     return px.groupBy("image_id").cogroup(palettes.groupBy("image_id")).applyInPandas(f, "image_id long, y int, x int, idx int")
 
 
-def auto_palette(px: DataFrame, size: int, rounds: int = 8) -> DataFrame:
-    """At most size colours per image from its distinct colours and their counts.
+def _boxes(rgb: np.ndarray, n: np.ndarray, most: int) -> list[np.ndarray]:
+    """Mean colours (rounded) of at most `most` boxes of the 5-bit colour cube.
 
-    With no more than size distinct colours exactly those; else boxes of the 5-bit colour
-    cube are split where the weighted variance falls most, always the box with the largest
-    variance, and their means are refined by `rounds` of k-means in Oklab. Sorted by colour.
+    The box of the largest weighted variance is cut in two where the halves' means hold most
+    of its squares; one that cannot be cut is left as it is. Ties go to the earlier box, axis
+    and place. A box is the set of its occupied cells, a row each of weight, sums and squares.
     """
-    tones = px.where("a >= 128").groupBy("image_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+    cell, of = np.unique((rgb >> 3) @ np.array([1024, 32, 1]), return_inverse=True)
+    sums = np.stack([np.bincount(of, n * v, len(cell)) for v in (np.ones(len(rgb)), *rgb.T, (rgb**2).sum(1))], 1)
+    place = np.stack([cell >> 10, cell >> 5 & 31, cell & 31])
+
+    def variance(own: np.ndarray) -> float:
+        w, r, g, b, squares = sums[own].sum(0)
+        return squares - (r * r + g * g + b * b) / w
+
+    def held(t: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (t[:, 1] * t[:, 1] + t[:, 2] * t[:, 2] + t[:, 3] * t[:, 3]) / t[:, 0]
+
+    boxes = [np.arange(len(cell))]
+    spread = [variance(boxes[0])]
+    while len(boxes) < most and max(spread) > 0:
+        k = int(np.argmax(spread))
+        own, best = boxes[k], (0.0, None)
+        for axis in place:
+            below = np.cumsum(np.stack([np.bincount(axis[own], sums[own, c], 32) for c in range(4)], 1), 0)[:-1]
+            above = sums[own, :4].sum(0) - below
+            gain = np.where((below[:, 0] > 0) & (above[:, 0] > 0), held(below) + held(above), 0.0)
+            at = int(np.argmax(gain))
+            if gain[at] > best[0]:
+                best = (gain[at], axis[own] <= at)
+        if best[1] is None:
+            spread[k] = 0.0
+            continue
+        boxes[k], new = own[best[1]], own[~best[1]]
+        boxes.append(new)
+        spread[k] = variance(boxes[k])
+        spread.append(variance(new))
+    return [np.floor(sums[own, 1:4].sum(0) / sums[own, 0].sum() + 0.5) for own in boxes]
+
+
+def _nearest(lab: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Index of each colour's nearest entry; a later one must be nearer by more than EPSILON."""
+    best, d = np.zeros(len(lab), np.int64), ((lab - entries[0]) ** 2).sum(1)
+    for k in range(1, len(entries)):
+        e = ((lab - entries[k]) ** 2).sum(1)
+        nearer = e < d - EPSILON
+        best[nearer], d[nearer] = k, e[nearer]
+    return best
+
+
+def srgb(lab: np.ndarray) -> np.ndarray:
+    """8-bit colours of Oklab, clamped in linear light."""
+    lin = np.clip(((lab @ np.array(FROM_LAB).T) ** 3) @ np.array(FROM_LMS).T, 0, 1)
+    out = np.where(lin <= 0.0031308, lin * 12.92, 1.055 * lin ** (1 / 2.4) - 0.055)
+    return np.floor(out * 255 + 0.5).astype(np.int64)
+
+
+def palette_of(rgb: np.ndarray, n: np.ndarray, size: int, rounds: int = 8) -> np.ndarray:
+    """At most size colours for distinct colours (sorted) with counts: these if they are few enough, else boxes refined by k-means in Oklab."""
+    if not len(rgb):
+        return np.zeros((1, 3), np.int64)
+    if len(rgb) <= size:
+        return rgb
+    lab, middle = oklab(rgb), oklab(np.array(_boxes(rgb, n, size)))
+    for _ in range(rounds):
+        own = _nearest(lab, middle)
+        w = np.bincount(own, n, len(middle))
+        new = np.stack([np.bincount(own, n * lab[:, c], len(middle)) for c in range(3)], 1)
+        new = np.where(w[:, None] > 0, new / np.maximum(w, 1)[:, None], middle)
+        if (new == middle).all():
+            break
+        middle = new
+    return np.unique(srgb(middle), axis=0)
+
+
+def auto_palette(px: DataFrame, size: int, rounds: int = 8, threshold: int = 128) -> DataFrame:
+    """At most size colours (image_id, i, r, g, b) per image, sorted, from its distinct opaque colours and their counts; black where none is opaque."""
+    if size < 1:
+        raise ValueError(f"a palette has at least one colour, not {size}")
+    tone = F.when(F.col("a") >= threshold, F.col("r") * 65536 + F.col("g") * 256 + F.col("b"))
+    tones = px.groupBy("image_id", tone.cast("int").alias("tone")).agg(F.count(F.lit(1)).alias("n"))
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["r", "g", "b"])
-        c, n = pdf[["r", "g", "b"]].to_numpy(np.float64), pdf["n"].to_numpy(np.float64)
-        if len(c) > size:
-            cell = c.astype(int) >> 3
-            boxes = [np.arange(len(c))]
-            spread = lambda i: float((n[i] * (c[i] ** 2).sum(1)).sum() - ((n[i, None] * c[i]).sum(0) ** 2).sum() / n[i].sum())
-            while len(boxes) < size:
-                k = int(np.argmax([spread(i) if len(i) > 1 else -1.0 for i in boxes]))
-                own, best = boxes[k], None
-                for axis in range(3):
-                    for cut in np.unique(cell[own, axis])[:-1]:
-                        left = cell[own, axis] <= cut
-                        gain = spread(own) - spread(own[left]) - spread(own[~left])
-                        if best is None or gain > best[0]:
-                            best = (gain, left)
-                if best is None:
-                    break
-                boxes[k : k + 1] = [own[best[1]], own[~best[1]]]
-            lab = oklab(c)
-            middle = oklab(np.array([(n[i, None] * c[i]).sum(0) / n[i].sum() for i in boxes]))
-            own = np.zeros(len(c), int)
-            for _ in range(rounds):
-                own = ((lab[:, None] - middle[None]) ** 2).sum(2).argmin(1)
-                new = np.array([np.average(lab[own == k], 0, n[own == k]) if (own == k).any() else middle[k] for k in range(len(middle))])
-                if (new == middle).all():
-                    break
-                middle = new
-            from rasterloom.functions import color as C
-
-            lin = ((middle @ np.array(C.FROM_LAB).T) ** 3) @ np.array(C.FROM_LMS).T
-            lin = np.clip(lin, 0, 1)
-            s = np.where(lin <= 0.0031308, lin * 12.92, 1.055 * lin ** (1 / 2.4) - 0.055)
-            c = np.unique(np.floor(s * 255 + 0.5), axis=0)
-        c = c.astype(np.int32)
+        own = pdf.dropna(subset="tone").sort_values("tone")
+        t = own["tone"].to_numpy(np.int64)
+        c = palette_of(np.stack([t >> 16, t >> 8 & 255, t & 255], 1), own["n"].to_numpy(np.float64), size, rounds).astype(np.int32)
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "i": np.arange(len(c), dtype=np.int32), "r": c[:, 0], "g": c[:, 1], "b": c[:, 2]})
 
     return tones.groupBy("image_id").applyInPandas(f, "image_id long, i int, r int, g int, b int")

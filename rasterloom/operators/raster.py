@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.functions.color import coarse_key, from_linear, half_up, to_linear, with_oklab
+from rasterloom.functions.color import TO_LAB, TO_LMS, coarse_key, from_linear, half_up, to_linear, with_oklab
 
 #: A candidate must be nearer than the best so far by more than this.
 EPSILON = 1e-9
@@ -60,33 +63,51 @@ def resolve_alpha(a: Column, threshold: int = 128, preserve: bool = False) -> Co
 
 def lab_of(color: tuple[int, int, int]) -> tuple[float, float, float]:
     """Oklab of an 8-bit colour, on the driver (for palettes)."""
-    from rasterloom.functions import color as C
-
     lin = [c / 255 / 12.92 if c / 255 <= 0.04045 else ((c / 255 + 0.055) / 1.055) ** 2.4 for c in color]
-    lms = [sum(m * x for m, x in zip(row, lin, strict=True)) for row in C.TO_LMS]
-    return tuple(sum(m * (x ** (1 / 3)) for m, x in zip(row, lms, strict=True)) for row in C.TO_LAB)
-
-
-def nearest_index(lab: tuple[Column, Column, Column], palette: list[tuple[int, int, int]]) -> Column:
-    """Index of the nearest palette colour in Oklab: an ordered fold, as a later entry must be nearer by EPSILON."""
-    entries = F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(v).alias(n) for n, v in zip("lab", lab_of(c), strict=True))) for i, c in enumerate(palette)))
-
-    def step(best: Column, e: Column) -> Column:
-        d = reduce(lambda x, y: x + y, ((p - e[n]) * (p - e[n]) for n, p in zip("lab", lab, strict=True)))
-        return F.when(d < best["d"] - EPSILON, F.struct(d.alias("d"), e["i"].alias("i"))).otherwise(best)
-
-    return F.aggregate(entries, F.struct(F.lit(float("inf")).alias("d"), F.lit(0).alias("i")), step, lambda best: best["i"])
-
-
-def quantize(px: DataFrame, palette: list[tuple[int, int, int]], shift: Column | None = None) -> DataFrame:
-    """px with idx (65535 where transparent) and a resolved; distances are computed once per distinct colour and shift."""
-    a = resolve_alpha(F.col("a"))
-    lane = F.lit(0.0) if shift is None else shift
-    rows = px.withColumns({"_a": a, "_shift": lane, "_c": (F.col("r") * 65536 + F.col("g") * 256 + F.col("b"))})
-    tones = with_oklab(rows.where("_a > 0").select("_c", "_shift", "r", "g", "b").distinct()).withColumn("lab_l", F.col("lab_l") + F.col("_shift"))
-    tones = tones.select("_c", "_shift", nearest_index(tuple(F.col(f"lab_{k}") for k in "lab"), palette).alias("_i"))
-    out = rows.join(tones, ["_c", "_shift"], "left")
-    return out.withColumn("idx", F.when(F.col("_a") == 0, TRANSPARENT).otherwise(F.col("_i")).cast("int")).withColumn("a", F.col("_a").cast("int")).drop("_a", "_shift", "_c", "_i")
+    lms = [sum(m * x for m, x in zip(row, lin, strict=True)) for row in TO_LMS]
+    return tuple(sum(m * (x ** (1 / 3)) for m, x in zip(row, lms, strict=True)) for row in TO_LAB)
+
+
+def _index_of(palette: list[tuple[int, int, int]], space: str):
+    """Arrow function (tone, shift) -> index of the nearest entry; each distinct pair of a batch is compared once, entry by entry over all of them."""
+    to_lms, to_lab = np.array(TO_LMS).T, np.array(TO_LAB).T
+    entries = np.array([lab_of(c) for c in palette] if space == "oklab" else palette, np.float64)
+    epsilon = EPSILON if space == "oklab" else 0.0
+
+    def f(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for tone, shift in batches:
+            key = np.stack([tone.to_numpy(np.float64), shift.to_numpy(np.float64)])
+            order = np.lexsort(key[::-1])
+            new = np.ones(len(order), bool)
+            new[1:] = (key[:, order[1:]] != key[:, order[:-1]]).any(0)
+            t, s = key[0, order[new]].astype(np.int64), key[1, order[new]]
+            c = np.stack([t >> 16, t >> 8 & 255, t & 255], 1).astype(np.float64)
+            if space == "oklab":
+                c = c / 255.0
+                c = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+                c = np.cbrt(c @ to_lms) @ to_lab
+                c[:, 0] += s
+            best, d = np.zeros(len(c), np.int32), np.full(len(c), np.inf)
+            for i, e in enumerate(entries):
+                x = ((c - e) ** 2).sum(1)
+                nearer = x < d - epsilon
+                best[nearer], d[nearer] = i, x[nearer]
+            out = np.empty(len(order), np.int32)
+            out[order] = best[np.cumsum(new) - 1]
+            yield pd.Series(out)
+
+    return F.pandas_udf(f, "int")
+
+
+def quantize(px: DataFrame, palette: list[tuple[int, int, int]], shift: Column | None = None, threshold: int = 128, preserve: bool = False, space: str = "oklab") -> DataFrame:
+    """px with idx (65535 where transparent) and a resolved: one projection, nothing is shuffled.
+
+    Distances are in Oklab, or with space "srgb" in 8-bit channels, where shifts do not count.
+    """
+    a = resolve_alpha(F.col("a"), threshold, preserve)
+    tone = (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("int")
+    index = _index_of(palette, space)(tone, F.lit(0.0) if shift is None else shift.cast("double"))
+    return px.withColumns({"idx": F.when(a == 0, TRANSPARENT).otherwise(index).cast("int"), "a": a.cast("int")})
 
 
 def quantize_own(px: DataFrame, palettes: DataFrame, n: int = 0, strength: float = 1.0) -> DataFrame:

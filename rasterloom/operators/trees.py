@@ -9,14 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels that an ancestor is sought in; deeper trees or cycles end there.
-DEEPEST = 32
-
 
 def ancestors(parents: Column, layer: Column) -> Column:
-    """layer, its parent and so on up to the root; parents is a map from layer to parent."""
+    """layer, its parent and so on up to the root; parents is a map from layer to parent, whose size bounds the steps, so a circle ends too."""
     up = lambda path: F.try_element_at(parents, F.element_at(path, -1))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(DEEPEST)), F.array(layer), lambda path, _: F.when(up(path).isNull(), path).otherwise(F.array_append(path, up(path))))
+    return F.aggregate(F.sequence(F.lit(1), F.size(parents)), F.array(layer), lambda path, _: F.when(up(path).isNull(), path).otherwise(F.array_append(path, up(path))))
 
 
 def _with_trees(layers: DataFrame, edits: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Queries over conversion, drawing, tiles and compositing."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color as C
@@ -108,19 +110,32 @@ def polygon_fill(spark: SparkSession, d: str) -> DataFrame:
     return H.polygon_fill(c.select(k.alias("polygon"), "i", ((k * (3 + i * 7) + i * 11) % 29 + 0.25).alias("x"), ((k * (5 + i * 3) + i * 17) % 23).cast("double").alias("y")))
 
 
-def _strokes(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    p, k = spark.read.parquet(f"{d}/part.parquet"), F.col("p_partkey")
-    return p.select(k.alias("stroke"), H.points(kind)(k % 13, k % 7, k % 17 + 2, k % 11).alias("points"))
+def _strokes(spark: SparkSession, d: str, curve: Callable[..., Column]) -> DataFrame:
+    p, k = spark.read.parquet(f"{d}/part.parquet"), F.col("p_partkey").cast("int")
+    return p.select(F.col("p_partkey").alias("stroke"), curve(k % 13, k % 7, k % 17 + 2, k % 11).alias("points"))
 
 
-@query()
-def line_strokes(spark: SparkSession, d: str) -> DataFrame:
-    return H.stamp(_strokes(spark, d, "line"), 2)
+_BOXES = "s AS (SELECT p_partkey stroke, p_partkey % 13 x0, p_partkey % 7 y0, p_partkey % 17 + 2 x1, p_partkey % 11 y1 FROM part)"
 
 
-@query()
+@query(f"""WITH {_BOXES}, l AS (SELECT *, abs(x1 - x0) dx, abs(y1 - y0) dy, greatest(abs(x1 - x0), abs(y1 - y0)) n FROM s),
+p AS (SELECT stroke, CASE WHEN n = 0 THEN x0 ELSE x0 + sign(x1 - x0) * ((2 * k * dx + n) // (2 * n)) END x, CASE WHEN n = 0 THEN y0 ELSE y0 + sign(y1 - y0) * ((2 * k * dy + n) // (2 * n)) END y FROM l, range(40) r(k) WHERE k <= n)
+SELECT DISTINCT stroke, (x + i)::INT x, (y + j)::INT y FROM p, range(2) a(i), range(2) b(j)""")
+def line_strokes(spark: SparkSession, d: str) -> DataFrame:
+    return H.stamp(_strokes(spark, d, H.line), 2)
+
+
+@query(f"""WITH {_BOXES}, e AS (SELECT stroke, least(x0, x1) l, least(y0, y1) t, abs(x1 - x0) w, abs(y1 - y0) h FROM s),
+u AS (SELECT stroke, l, t, w, h, v, k, abs(k * k * h * h - w * w * (h * h - v * v)) off FROM e, range(40) a(v), range(40) b(k) WHERE w > 0 AND h > 0 AND v <= h AND k <= w AND (v - h) % 2 = 0 AND (k - w) % 2 = 0),
+rows_ AS (SELECT stroke, l, t, w, h, v, arg_min(k, (off, k)) k FROM u GROUP BY ALL),
+c AS (SELECT stroke, l, t, w, h, k, v, abs(v * v * w * w - h * h * (w * w - k * k)) off FROM u WHERE NOT EXISTS (SELECT 1 FROM rows_ r WHERE r.stroke = u.stroke AND r.k = u.k)),
+q AS (SELECT * FROM rows_ UNION ALL SELECT stroke, l, t, w, h, arg_min(v, (off, -v)) v, k FROM c GROUP BY stroke, l, t, w, h, k),
+o AS (SELECT stroke, (2 * l + w + i * k) // 2 x, (2 * t + h + j * v) // 2 y FROM q, (VALUES (-1), (1)) a(i), (VALUES (-1), (1)) b(j)
+  UNION ALL SELECT stroke, l + i, t + j FROM e, range(40) a(i), range(40) b(j) WHERE (w = 0 OR h = 0) AND i <= w AND j <= h),
+spans AS (SELECT stroke, y, min(x) a, max(x) b FROM o GROUP BY ALL)
+SELECT stroke, unnest(range(a, b + 1))::INT x, y::INT y FROM spans""")
 def filled_ellipses(spark: SparkSession, d: str) -> DataFrame:
-    return H.fill_spans(_strokes(spark, d, "ellipse").select("stroke", F.explode("points").alias("p")).select("stroke", "p.x", "p.y"))
+    return H.fill_spans(_strokes(spark, d, H.ellipse).select("stroke", F.explode("points").alias("p")).select("stroke", "p.x", "p.y"))
 
 
 @query(f"""WITH {PIXELS}, s AS (SELECT * FROM px WHERE a >= 128), d(side, dx, dy) AS (VALUES ('left', -1, 0), ('right', 1, 0), ('top', 0, -1), ('bottom', 0, 1))

@@ -180,11 +180,8 @@ _CB = " UNION ALL ".join(f"SELECT image_id, y, x, '{m}' AS mode, " + ", ".join(f
 
 @query(f"WITH {PIXELS} {_CB}")
 def color_vision(spark: SparkSession, d: str) -> DataFrame:
-    px, out = pixels(spark, d), None
-    for m in C.VISION:
-        part = px.select("image_id", "y", "x", F.lit(m).alias("mode"), *(c.alias(n) for c, n in zip(C.simulate_vision(m, F.col("r"), F.col("g"), F.col("b")), "rgb")))
-        out = part if out is None else out.union(part)
-    return out
+    seen = F.array(*(F.struct(F.lit(m).alias("mode"), *(c.alias(n) for c, n in zip(C.simulate_vision(m, F.col("r"), F.col("g"), F.col("b")), "rgb"))) for m in C.VISION))
+    return pixels(spark, d).select("image_id", "y", "x", F.inline(seen))
 
 
 _HARD = "(CASE WHEN {s} <= 0.5 THEN {d} * (2 * {s}) ELSE {d} + (2 * {s} - 1) - {d} * (2 * {s} - 1) END)"
@@ -215,11 +212,8 @@ _ST = "st AS (SELECT image_id, y, x, g / 255.0::DOUBLE sr, b / 255.0::DOUBLE sg,
 @query(f"WITH {PIXELS}, {_ST} " + " UNION ALL ".join(_over_sql(m) for m in ("normal", *_SEP)))
 def composite_separable(spark: SparkSession, d: str) -> DataFrame:
     px, src, dst = _pair(spark, d)
-    out = None
-    for m in ("normal", *C.SEPARABLE):
-        part = px.select("image_id", "y", "x", F.lit(m).alias("mode"), *(c.alias(n) for c, n in zip(C.over(src, F.lit(0.75), dst, m), "rgba")))
-        out = part if out is None else out.union(part)
-    return out
+    modes = F.array(*(F.struct(F.lit(m).alias("mode"), *(c.alias(n) for c, n in zip(C.over(src, F.lit(0.75), dst, m), "rgba"))) for m in ("normal", *C.SEPARABLE)))
+    return px.select("image_id", "y", "x", F.inline(modes))
 
 
 _LUM = "(0.3::DOUBLE * {0} + 0.59::DOUBLE * {1} + 0.11::DOUBLE * {2})"
@@ -244,11 +238,10 @@ def _non_sql(mode: str) -> str:
 @query(f"WITH {PIXELS}, {_ST}, " + ", ".join(_non_sql(m) for m in C.NON_SEPARABLE) + " " + " UNION ALL ".join(f"SELECT * FROM {m}" for m in C.NON_SEPARABLE))
 def composite_non_separable(spark: SparkSession, d: str) -> DataFrame:
     px, src, dst = _pair(spark, d)
-    out = None
+    out = px
     for m in C.NON_SEPARABLE:
-        part = C.over_non_separable(px, src, F.lit(0.75), dst, m).select("image_id", "y", "x", F.lit(m).alias("mode"), *(F.col(f"out_{n}").alias(n) for n in "rgba"))
-        out = part if out is None else out.union(part)
-    return out
+        out = C.over_non_separable(out, src, F.lit(0.75), dst, m).withColumn(f"as_{m}", F.struct(F.lit(m).alias("mode"), *(F.col(f"out_{n}").alias(n) for n in "rgba")))
+    return out.select("image_id", "y", "x", F.inline(F.array(*(F.col(f"as_{m}") for m in C.NON_SEPARABLE))))
 
 
 @query(f"WITH {PIXELS} SELECT image_id, y, x, printf('#%02x%02x%02x', r, g, b) hex FROM px")

@@ -18,14 +18,26 @@ from rasterloom.streaming import logs as L
 DIR = "/root/testdata/sf0.001"
 
 
-def test_lines_and_ellipses():
-    assert H.line(0, 0, 3, 1) == [(0, 0), (1, 0), (2, 1), (3, 1)] and H.line(2, 2, 2, 2) == [(2, 2)]
-    assert H.ellipse(0, 0, 0, 3) == [(0, y) for y in range(4)]
-    for w in range(1, 12):
-        for h in range(1, 12):
-            p = set(H.ellipse(0, 0, w, h))
-            assert p == {(w - x, y) for x, y in p} == {(x, h - y) for x, y in p}
-            assert {min(x for x, _ in p), max(x for x, _ in p)} == {0, w} and {min(y for _, y in p), max(y for _, y in p)} == {0, h}
+def test_lines_and_ellipses(spark):
+    boxes = spark.createDataFrame([(0, 0, 3, 1), (2, 2, 2, 2), (5, 1, 0, 4), (1, 6, 2, 0)], "a int, b int, c int, d int")
+    got = [[(p.x, p.y) for p in r[0]] for r in boxes.select(H.line(*map(F.col, "abcd"))).collect()]
+    assert got[:2] == [[(0, 0), (1, 0), (2, 1), (3, 1)], [(2, 2)]]
+    for (x0, y0, x1, y1), p in zip([tuple(r) for r in boxes.collect()], got):
+        assert p[0] == (x0, y0) and p[-1] == (x1, y1) and all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(p, p[1:]))
+    boxes = spark.createDataFrame([(0, 0, w, h) for w in range(14) for h in range(14)] + [(7, 9, 3, 2)], "a int, b int, c int, d int")
+    for r in boxes.select("*", H.ellipse(*map(F.col, "abcd")).alias("p")).collect():
+        p, (left, right), (top, bottom) = {(q.x, q.y) for q in r.p}, sorted((r.a, r.c)), sorted((r.b, r.d))
+        assert p == {(left + right - x, y) for x, y in p} == {(x, top + bottom - y) for x, y in p} and len(r.p) == len(p)
+        assert {min(x for x, _ in p), max(x for x, _ in p)} == {left, right} and {y for _, y in p} == set(range(top, bottom + 1))
+        todo, seen = [next(iter(p))], set()  # one closed curve: each point touches others
+        while todo:
+            x, y = todo.pop()
+            if (x, y) not in seen:
+                seen.add((x, y))
+                todo += [q for q in ((x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)) if q in p]
+        assert seen == p
+    five = {(q.x, q.y) for q in boxes.where("c = 4 AND d = 4 AND a = 0").select(H.ellipse(*map(F.col, "abcd")).alias("p")).first().p}
+    assert five == {(1, 0), (2, 0), (3, 0), (0, 1), (4, 1), (0, 2), (4, 2), (0, 3), (4, 3), (1, 4), (2, 4), (3, 4)}
 
 
 def test_png_and_filters():

@@ -190,3 +190,31 @@ def from_hsv(h: Column, s: Column, v: Column) -> RGB:
         return v - v * s * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
 
     return channel(5), channel(3), channel(1)
+
+
+def hsv_shift(rows: DataFrame, h: float, s: float, v: float) -> DataFrame:
+    """Opaque and half-opaque rows (r, g, b, a) with the hue turned by h degrees and saturation and value moved by s and v percent."""
+    out = rows.withColumns(dict(zip(("_h", "_s", "_v"), to_hsv(*(F.col(c) / 255.0 for c in "rgb")), strict=True)))
+    out = out.withColumns({"_h": F.pmod(F.col("_h") + h, F.lit(360.0)), "_s": clamp(F.col("_s") + s / 100, 0.0, 1.0), "_v": clamp(F.col("_v") + v / 100, 0.0, 1.0)})
+    new = from_hsv(F.col("_h"), F.col("_s"), F.col("_v"))
+    return out.withColumns({c: F.when(F.col("a") > 0, half_up(n * 255)).otherwise(F.col(c)).cast("int") for c, n in zip("rgb", new, strict=True)}).drop("_h", "_s", "_v")
+
+
+def from_hex(text: Column) -> RGB:
+    """Channels of a colour written in six hexadecimal digits, with or without #; anything else is black."""
+    digits = F.regexp_extract(F.trim(text), "^#?([0-9a-fA-F]{6})$", 1)
+    return tuple(F.when(digits == "", 0).otherwise(F.conv(F.substring(digits, 1 + 2 * k, 2), 16, 10).cast("int")) for k in range(3))
+
+
+def to_css(r: Column, g: Column, b: Column, a: Column) -> Column:
+    return F.concat(F.lit("rgba("), F.concat_ws(",", r.cast("string"), g.cast("string"), b.cast("string"), (a / 255.0).cast("string")), F.lit(")"))
+
+
+def same_rgb(p: Column, q: Column) -> Column:
+    return (p["r"] == q["r"]) & (p["g"] == q["g"]) & (p["b"] == q["b"])
+
+
+def similar(p: Column, q: Column, tolerance: float = 0.392157 * 255) -> Column:
+    """Whether two pixels differ by no more than the tolerance in each channel, or are both transparent."""
+    near = reduce(lambda x, y: x & y, (F.abs(p[c] - q[c]) <= tolerance for c in "rgba"))
+    return near | ((p["a"] == 0) & (q["a"] == 0))

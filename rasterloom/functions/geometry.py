@@ -88,3 +88,33 @@ def fit_rect(w: Column, h: Column, box_w: int, box_h: int) -> tuple[Column, ...]
     """Largest placement of w x h inside the box, centred: x, y, width, height (doubles)."""
     scale = F.least(F.lit(float(box_w)) / w, F.lit(float(box_h)) / h)
     return (box_w - w * scale) / 2, (box_h - h * scale) / 2, w * scale, h * scale
+
+
+def default_grid_offset(shape: Column, tile_width: Column, canvas_width: Column) -> tuple[Column, Column]:
+    """Where a new grid starts: an isometric one in the middle of the top edge, as it grows both ways."""
+    return F.when(shape == "isometric", F.floor(canvas_width / 2 - tile_width / 2 + 0.5)).otherwise(0).cast("int"), F.lit(0)
+
+
+#: Colours of new tags, in turn.
+TAG_COLORS = ("#4d9de0", "#e15554", "#3bb273", "#e1b12c", "#7768ae", "#e67e22")
+
+
+def next_tag_color(existing: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, TAG_COLORS)), (F.pmod(existing, F.lit(len(TAG_COLORS))) + 1).cast("int"))
+
+
+def without_corners(points: Column) -> Column:
+    """Points of a stroke (x, y) in order, without a point that only turns a corner between two diagonal neighbours.
+
+    A removed point no longer counts for the next ones, so this is a fold; a point equal to the last is left out.
+    """
+    step = lambda p, q: F.abs(p["x"] - q["x"]) + F.abs(p["y"] - q["y"])
+
+    def add(kept: Column, c: Column) -> Column:
+        a, b = F.try_element_at(kept, F.lit(-2)), F.try_element_at(kept, F.lit(-1))
+        diagonal = (F.abs(a["x"] - c["x"]) == 1) & (F.abs(a["y"] - c["y"]) == 1)
+        corner = F.coalesce((F.size(kept) >= 2) & diagonal & (step(a, b) == 1) & (step(c, b) == 1), F.lit(False))
+        same = F.coalesce((b["x"] == c["x"]) & (b["y"] == c["y"]), F.lit(False))
+        return F.when(same, kept).when(corner, F.array_append(F.slice(kept, F.lit(1), F.size(kept) - 1), c)).otherwise(F.array_append(kept, c))
+
+    return F.aggregate(points, F.array().cast("array<struct<x:int,y:int>>"), add)

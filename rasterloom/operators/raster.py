@@ -17,15 +17,18 @@ EPSILON = 1e-9
 TRANSPARENT = 65535
 
 
-def _cells(dst: int, src: int, name: str) -> Column:
-    """All target cells that a source coordinate falls into (more than one only when dst > src)."""
+def _cells(dst: int, src: int | Column, name: str) -> Column:
+    """All target cells that a source coordinate falls into (more than one only when dst > src); src may differ by row."""
     cells = F.sequence(F.lit(0), F.lit(dst - 1))
     start = lambda d: F.floor(d * src / dst)
     end = lambda d: F.greatest(start(d) + 1, F.floor((d + 1) * src / dst))
-    if dst <= src:  # cells partition the source: the last cell whose start is not beyond
-        guess = F.floor(F.col(name) * dst / src)
-        return F.array(F.when(start(guess + 1) <= F.col(name), guess + 1).otherwise(guess).cast("int"))
-    return F.filter(cells, lambda d: (start(d) <= F.col(name)) & (F.col(name) < end(d)))
+    # where dst <= src cells partition the source: the last cell whose start is not beyond
+    guess = F.floor(F.col(name) * dst / src)
+    one = F.array(F.when(start(guess + 1) <= F.col(name), guess + 1).otherwise(guess).cast("int"))
+    many = F.filter(cells, lambda d: (start(d) <= F.col(name)) & (F.col(name) < end(d)))
+    if isinstance(src, Column):
+        return F.when(src >= dst, one).otherwise(many)
+    return one if dst <= src else many
 
 
 def _dealt(px: DataFrame, w: int, h: int, dst_w: int, dst_h: int) -> DataFrame:
@@ -41,11 +44,17 @@ def box_downscale(px: DataFrame, w: int, h: int, dst_w: int, dst_h: int) -> Data
     return g.select("image_id", "y", "x", *map(mean, "rgb"), half_up(F.col("s") / F.col("n")).cast("int").alias("a"))
 
 
-def nearest_downscale(px: DataFrame, w: int, h: int, dst_w: int, dst_h: int) -> DataFrame:
+def _middles(dst: int, src: int | Column, name: str) -> Column:
+    """All target cells whose middle lies in a source coordinate: none, one, or more when dst > src."""
+    at = F.col(name)
+    some = F.sequence(F.greatest(F.lit(0), F.floor(at * dst / src) - 1).cast("int"), F.least(F.lit(dst - 1), F.floor((at + 1) * dst / src) + 1).cast("int"))
+    return F.filter(some, lambda c: F.floor((2 * c + 1) * src / (2 * dst)) == at)
+
+
+def nearest_downscale(px: DataFrame, w: int | Column, h: int | Column, dst_w: int, dst_h: int) -> DataFrame:
     """The source pixel at the middle of each cell."""
-    out = _dealt(px, w, h, dst_w, dst_h)
-    middle = lambda c, dst, src: F.least(F.lit(src - 1), F.floor((2 * F.col(c) + 1) * src / (2 * dst)))
-    return out.where((F.col("x") == middle("cx", dst_w, w)) & (F.col("y") == middle("cy", dst_h, h))).select("image_id", F.col("cy").alias("y"), F.col("cx").alias("x"), "r", "g", "b", "a")
+    out = px.withColumn("_cx", F.explode(_middles(dst_w, w, "x"))).withColumn("_cy", F.explode(_middles(dst_h, h, "y")))
+    return out.select("image_id", F.col("_cy").alias("y"), F.col("_cx").alias("x"), "r", "g", "b", "a")
 
 
 def dominant_downscale(px: DataFrame, w: int, h: int, dst_w: int, dst_h: int) -> DataFrame:
@@ -110,25 +119,26 @@ def quantize(px: DataFrame, palette: list[tuple[int, int, int]], shift: Column |
     return px.withColumns({"idx": F.when(a == 0, TRANSPARENT).otherwise(index).cast("int"), "a": a.cast("int")})
 
 
-def quantize_own(px: DataFrame, palettes: DataFrame, n: int = 0, strength: float = 1.0) -> DataFrame:
+def quantize_own(px: DataFrame, palettes: DataFrame, n: int = 0, strength: float = 1.0, threshold: int = 128, preserve: bool = False, space: str = "oklab") -> DataFrame:
     """As quantize(), or for n > 0 as quantize_ordered(), with a palette of each image's own (image_id, i, r, g, b).
 
     A palette is an array in its image's row; only distinct colours of an image meet it.
     """
-    entry = F.struct("i", *(F.col(f"lab_{k}").alias(k) for k in "lab"))
+    axes = tuple(f"lab_{k}" for k in "lab") if space == "oklab" else ("r", "g", "b")
+    entry = F.struct("i", *(F.col(c).cast("double").alias(k) for c, k in zip(axes, "lab", strict=True)))
     pal = with_oklab(palettes).groupBy("image_id").agg(F.array_sort(F.collect_list(entry)).alias("_pal"))
     apart = lambda p, q: sum(((p[k] - q[k]) * (p[k] - q[k]) for k in "lab"), F.lit(0.0))
     nearest_other = F.transform("_pal", lambda p: F.sqrt(F.array_min(F.transform(F.filter("_pal", lambda q: q["i"] != p["i"]), lambda q: apart(p, q)))))
     spread = F.when(F.size("_pal") < 2, 0.0).otherwise(F.aggregate(nearest_other, F.lit(0.0), lambda x, y: x + y) / F.size("_pal"))
     pal = pal.withColumn("_spread", spread if n else F.lit(0.0))
     shift = ((bayer(F.col("x"), F.col("y"), n) + 0.5) / float(n * n) - 0.5) * strength if n else F.lit(0.0)
-    rows = px.withColumns({"_a": resolve_alpha(F.col("a")), "_shift": shift, "_c": F.col("r") * 65536 + F.col("g") * 256 + F.col("b")})
+    rows = px.withColumns({"_a": resolve_alpha(F.col("a"), threshold, preserve), "_shift": shift, "_c": F.col("r") * 65536 + F.col("g") * 256 + F.col("b")})
     tones = rows.where("_a > 0").select("image_id", "_c", "_shift", "r", "g", "b").distinct().join(pal, "image_id")
     tones = with_oklab(tones).withColumn("lab_l", F.col("lab_l") + F.col("_shift") * F.col("_spread"))
 
     def step(best: Column, e: Column) -> Column:
-        d = reduce(lambda x, y: x + y, ((F.col(f"lab_{k}") - e[k]) * (F.col(f"lab_{k}") - e[k]) for k in "lab"))
-        return F.when(d < best["d"] - EPSILON, F.struct(d.alias("d"), e["i"].alias("i"))).otherwise(best)
+        d = reduce(lambda x, y: x + y, ((F.col(c) - e[k]) * (F.col(c) - e[k]) for c, k in zip(axes, "lab", strict=True)))
+        return F.when(d < best["d"] - (EPSILON if space == "oklab" else 0.0), F.struct(d.alias("d"), e["i"].alias("i"))).otherwise(best)
 
     index = F.aggregate("_pal", F.struct(F.lit(float("inf")).alias("d"), F.lit(0).alias("i")), step, lambda best: best["i"])
     out = rows.join(tones.select("image_id", "_c", "_shift", index.alias("_i")), ["image_id", "_c", "_shift"], "left")
@@ -153,9 +163,9 @@ def palette_spread(palette: list[tuple[int, int, int]]) -> float:
     return sum(d**0.5 for d in near) / len(near)
 
 
-def quantize_ordered(px: DataFrame, palette: list[tuple[int, int, int]], n: int, strength: float = 1.0) -> DataFrame:
+def quantize_ordered(px: DataFrame, palette: list[tuple[int, int, int]], n: int, strength: float = 1.0, **alpha: int | bool) -> DataFrame:
     threshold = (bayer(F.col("x"), F.col("y"), n) + 0.5) / float(n * n) - 0.5
-    return quantize(px, palette, threshold * (strength * palette_spread(palette)))
+    return quantize(px, palette, threshold * (strength * palette_spread(palette)), **alpha)
 
 
 def row_window(r: int) -> Window:
@@ -186,7 +196,34 @@ def feather(px: DataFrame, radius: int, c: str = "a") -> DataFrame:
     return px.withColumn(c, half_up(F.avg(c).over(column_window(radius))).cast("int"))
 
 
-def outline(idx: DataFrame, color: int, corners: bool = False) -> DataFrame:
+def nearest_of(color: tuple[int, int, int], palette: list[tuple[int, int, int]]) -> int:
+    """Index of the entry nearest to a colour in Oklab, on the driver."""
+    lab, best = lab_of(color), (float("inf"), 0)
+    for i, c in enumerate(palette):
+        d = sum((p - q) ** 2 for p, q in zip(lab, lab_of(c), strict=True))
+        best = (d, i) if d < best[0] - EPSILON else best
+    return best[1]
+
+
+def nearest_entry(palettes: DataFrame, color: tuple[int, int, int]) -> DataFrame:
+    """image_id, i of the entry nearest to one colour in each image's palette (image_id, i, r, g, b)."""
+    pal = with_oklab(palettes)
+    d = reduce(lambda x, y: x + y, ((F.col(f"lab_{k}") - v) * (F.col(f"lab_{k}") - v) for k, v in zip("lab", lab_of(color), strict=True)))
+    entries = pal.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("i", d.alias("d")))).alias("e"))
+    best = F.aggregate("e", F.struct(F.lit(float("inf")).alias("d"), F.lit(0).alias("i")), lambda b, e: F.when(e["d"] < b["d"] - EPSILON, F.struct(e["d"].alias("d"), e["i"].alias("i"))).otherwise(b), lambda b: b["i"])
+    return entries.select("image_id", best.alias("i"))
+
+
+def outlined(idx: DataFrame, color: Column, alpha: int, thickness: int = 1, corners: bool = False) -> DataFrame:
+    """(image_id, y, x, idx, a) with so many rings of a palette index in transparent space, at the given alpha."""
+    out = idx.withColumns({"_was": F.col("idx"), "_color": color})
+    for _ in range(max(0, thickness)):
+        out = outline(out, F.col("_color"), corners)
+    new = (F.col("_was") == TRANSPARENT) & (F.col("idx") != TRANSPARENT)
+    return out.withColumn("a", F.when(new, alpha).otherwise(F.col("a")).cast("int")).drop("_was", "_color")
+
+
+def outline(idx: DataFrame, color: int | Column, corners: bool = False) -> DataFrame:
     """One ring of color around what is not transparent."""
     full = (F.col("idx") != TRANSPARENT).cast("int")
     rows, cols = F.max(full).over(row_window(1)), F.max(full).over(column_window(1))
@@ -200,3 +237,33 @@ def outline(idx: DataFrame, color: int, corners: bool = False) -> DataFrame:
 def opaque_bounds(px: DataFrame, threshold: int = 128) -> DataFrame:
     b = px.where(F.col("a") >= threshold).groupBy("image_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     return b.select("image_id", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0") + 1).alias("width"), (F.col("y1") - F.col("y0") + 1).alias("height"))
+
+
+#: Fixed values of grid detection: fewest edges of a period, least confidence, share of the best that is as good.
+EDGES, CONFIDENT, AS_GOOD = 6, 3.0, 0.75
+
+
+def axis_period(px: DataFrame, axis: str, least: int = 2, most: int = 64) -> DataFrame:
+    """image_id, period, confidence along x or y: the smallest period whose edges stand out nearly as much as the best's.
+
+    The signal of a place is the sum of the differences of all four channels to the place before.
+    """
+    across = {"x": "y", "y": "x"}[axis]
+    w = Window.partitionBy("image_id", across).orderBy(axis)
+    diff = reduce(lambda p, q: p + q, (F.abs(F.col(c) - F.lag(c).over(w)) for c in "rgba"))
+    s = px.withColumn("_d", diff).groupBy("image_id", F.col(axis).alias("at")).agg(F.coalesce(F.sum("_d"), F.lit(0)).alias("diff"))
+    one = Window.partitionBy("image_id")
+    s = s.withColumns({"size": F.max("at").over(one) + 1, "mean": F.avg(F.when(F.col("at") > 0, F.col("diff"))).over(one)}).where("at > 0 AND mean > 0")
+    longest = F.least(F.lit(most), F.floor((F.col("size") - 1) / 2)).cast("int")
+    p = s.where(longest >= least).withColumn("period", F.explode(F.sequence(F.lit(least), longest))).where(F.col("at") % F.col("period") == 0)
+    p = p.groupBy("image_id", "period").agg((F.avg("diff") / F.first("mean")).alias("confidence"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= EDGES)
+    p = p.withColumn("best", F.max("confidence").over(one)).where((F.col("best") >= CONFIDENT) & (F.col("confidence") >= AS_GOOD * F.col("best")))
+    return p.groupBy("image_id").agg(F.min("period").alias("period"), F.min_by("confidence", "period").alias("confidence"))
+
+
+def detect_grid(px: DataFrame, least: int = 2, most: int = 64) -> DataFrame:
+    """image_id, period, agreement: both axes' period if they agree, else the more confident one's (columns if equal), or the only one's."""
+    x, y = (axis_period(px, a, least, most).select("image_id", F.col("period").alias(f"p{a}"), F.col("confidence").alias(f"c{a}")) for a in "xy")
+    both = x.join(y, "image_id", "full_outer")
+    period = F.when(F.col("py").isNull() | (F.col("cx") >= F.col("cy")), F.col("px")).otherwise(F.col("py"))
+    return both.select("image_id", period.alias("period"), F.coalesce(F.col("px") == F.col("py"), F.lit(False)).alias("agreement"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import color as C
 from rasterloom.functions import geometry as G
 from rasterloom.operators import convert as V
+from rasterloom.operators import export as X
 from rasterloom.operators import raster as R
 from rasterloom.operators import shapes as H
 from rasterloom.plans import sql as S
@@ -56,10 +57,8 @@ def tile_gids(spark: SparkSession, d: str) -> DataFrame:
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     odd = lambda c: F.col(c) % 2
     u = G.unpack_tile(G.pack_tile(F.col("l_partkey") % 1000, odd("l_linenumber"), odd("l_suppkey"), odd("l_orderkey")))
-    gid = u["tile"]
-    for flag, bit in (("flip_h", 31), ("flip_v", 30), ("transpose", 29)):
-        gid = gid.bitwiseOR(F.when(u[flag], F.lit(1 << bit)).otherwise(F.lit(0)))
-    return li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.when(u["tile"] == 0, 0).otherwise(gid).cast("long").alias("gid"))
+    gid = X.tile_gid(u["tile"], u["flip_h"], u["flip_v"], u["transpose"])
+    return li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), gid.alias("gid"))
 
 
 _FORMS = [(t, v, h) for t in (0, 1) for v, h in ((0, 0), (0, 1), (1, 0), (1, 1))]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.scratch import Scratch
-from rasterloom.llm.words import span_hashes, text_chunks
+from rasterloom.llm.words import LONG_SPAN, MASKS, eights, span_hashes, text_chunks
 
 END = 2
 #: Ids in a frame, about; a longer document has a frame of its own.
@@ -108,7 +108,7 @@ class Encoder:
         self.known = np.empty(0, np.uint64)  # sorted hashes
         self.row = np.empty(0, np.int64)  # of each, its row below
         self.first, self.length, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
-        self.at, self.size, self.bytes = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
+        self.at, self.size, self.bytes = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(8, np.uint8)  # eight more than are used
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row and how many each has.
@@ -138,8 +138,8 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         flat, first = self._ids([p.decode("utf-8", "replace") for p in pieces])
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.at, self.size = np.concatenate([self.at, len(self.bytes) + np.cumsum(size) - size]), np.concatenate([self.size, size])
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.at, self.size = np.concatenate([self.at, len(self.bytes) - 8 + np.cumsum(size) - size]), np.concatenate([self.size, size])
+        self.bytes = np.concatenate([self.bytes[:-8], np.frombuffer(b"".join(pieces) + bytes(8), np.uint8)])
         length = np.diff(np.append(first, len(flat)))
         self.row = np.concatenate([self.row, len(self.first) + np.arange(len(pieces))])
         self.first, self.length, self.ids = np.concatenate([self.first, first + len(self.ids)]), np.concatenate([self.length, length]), np.concatenate([self.ids, flat])
@@ -152,15 +152,23 @@ class Encoder:
         old = self.row < kept
         self.known, self.row = self.known[old], self.row[old]
         self.first, self.length, self.at, self.size = self.first[:kept], self.length[:kept], self.at[:kept], self.size[:kept]
-        self.bytes = self.bytes[: int(self.at[-1] + self.size[-1])].copy() if kept else self.bytes[:0]
+        self.bytes = self.bytes[: int(self.at[-1] + self.size[-1]) + 8].copy() if kept else np.zeros(8, np.uint8)
         self.ids = self.ids[: int(self.first[-1] + self.length[-1])].copy() if kept else self.ids[:0]
 
     def _unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Which chunks, that together are data, have other bytes than their kept row."""
-        place = np.repeat(self.at[row] - starts, ends - starts)
-        place += np.arange(len(data))
-        np.minimum(place, len(self.bytes) - 1, out=place)
-        return np.flatnonzero(np.logical_or.reduceat(self.bytes[place] != data, starts) | (self.size[row] != ends - starts))
+        """Which chunks have other bytes than their kept row, eight bytes at a time."""
+        size, at = ends - starts, self.at[row]
+        unlike = self.size[row] != size
+        own, kept = eights(np.concatenate([data, np.zeros(8, np.uint8)])), eights(self.bytes)
+        rest, k = np.flatnonzero(~unlike & (size <= LONG_SPAN)), 0
+        while len(rest):
+            differ = ((own[starts[rest] + k] ^ kept[at[rest] + k]) & MASKS[np.minimum(size[rest] - k, 8)]) != 0
+            unlike[rest[differ]] = True
+            k += 8
+            rest = rest[~differ & (size[rest] > k)]
+        for i in np.flatnonzero(~unlike & (size > LONG_SPAN)):
+            unlike[i] = not np.array_equal(data[starts[i] : ends[i]], self.bytes[at[i] : at[i] + size[i]])
+        return np.flatnonzero(unlike)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts without end ids, and each text's first."""

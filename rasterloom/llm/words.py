@@ -41,7 +41,7 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: The low bytes of eight, by their number.
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _BY_SIZE = constants(LONG_SPAN + 1, 4711)
 
 
@@ -77,18 +77,22 @@ def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray | None = None)
     return starts, ends, np.searchsorted(starts, off)
 
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, for all but the last eight places."""
+    return np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), strides=(1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """64-bit hashes of the byte spans, with A-Z lower-cased if fold: eight bytes at a time into a state that is mixed after each."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    raw = np.zeros(len(data) + 8, np.uint8)
-    raw[: len(data)] = _LOWER[data] if fold else data
-    eight = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))  # those from each place on
+    raw = np.concatenate([_LOWER[data] if fold else data, np.zeros(8, np.uint8)])
+    eight = eights(raw)
     size = ends - starts
-    out = mix(_BY_SIZE[np.minimum(size, LONG_SPAN)] ^ (eight[starts] & _MASKS[np.clip(size, 0, 8)]))
+    out = mix(_BY_SIZE[np.minimum(size, LONG_SPAN)] ^ (eight[starts] & MASKS[np.clip(size, 0, 8)]))
     rest, k = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
     while len(rest):
-        out[rest] = mix(out[rest] ^ (eight[starts[rest] + k] & _MASKS[np.minimum(size[rest] - k, 8)]))
+        out[rest] = mix(out[rest] ^ (eight[starts[rest] + k] & MASKS[np.minimum(size[rest] - k, 8)]))
         k += 8
         rest = rest[size[rest] > k]
     for i in np.flatnonzero(size > LONG_SPAN):

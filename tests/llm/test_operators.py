@@ -305,6 +305,22 @@ def test_nearest_recall_ties_and_awkward_vectors(spark):
     assert nearest.nearest(spark, df.limit(0)).count() == 0
 
 
+def test_nearest_recall_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SHARD_ROWS", 700)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 7)
+    v = np.random.default_rng(3).normal(size=(4000, 24)).astype(np.float32)
+    got = defaultdict(list)
+    for r in nearest.nearest(spark, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    found = 0
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((v.astype(float) - v[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        found += len(set(np.argsort(d)[:10]) & {i for i, _ in got[q]})
+        assert len(got[q]) == 10 and all(abs(s - d[i]) < 1e-12 for i, s in got[q])
+    assert len(got) == 40 and found / 400 >= 0.9
+
+
 # decontamination
 
 def test_candidate_recall_at_the_allowed_edits():

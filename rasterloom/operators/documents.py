@@ -75,3 +75,14 @@ def latest_wins(requests: DataFrame, by: str, order: str, busy: int) -> DataFram
 
     done = lambda s: F.when(s["waits"].isNotNull(), F.array_append(s["ran"], s["waits"])).otherwise(s["ran"])
     return requests.groupBy(by).agg(F.array_sort(F.collect_list(F.col(order).cast("long"))).alias("all")).select(by, F.explode(F.aggregate("all", state, step, done)).alias(order))
+
+
+#: Least and largest side of a document.
+SIDES = (1, 4096)
+
+
+def blank(sizes: DataFrame) -> DataFrame:
+    """Pixels of new documents (sprite_id, width, height), all clear: sizes are brought into bounds, then rounded."""
+    side = lambda c: F.floor(F.greatest(F.lit(SIDES[0]), F.least(F.lit(SIDES[1]), F.col(c))) + 0.5).cast("int")
+    rows = sizes.select("sprite_id", F.explode(F.sequence(F.lit(0), side("height") - 1)).alias("y"), side("width").alias("_w"))
+    return rows.select("sprite_id", "y", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)).alias("x"), *(F.lit(0).alias(c) for c in "rgba"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color as C
 from rasterloom.functions import geometry as G
+from rasterloom.operators.shapes import line
 
 
 def placed(x: Column, y: Column, u: dict[str, Column], tw: int, th: int) -> tuple[Column, Column]:
@@ -61,3 +62,17 @@ def thumbnail(px: DataFrame, width: int, height: int, side: int = 256) -> DataFr
 
     rows = px.withColumn("ty", F.explode(drawn("y", height, h))).withColumn("tx", F.explode(drawn("x", width, w)))
     return rows.select("image_id", (F.col("ty") + (side - h) // 2).cast("int").alias("y"), (F.col("tx") + (side - w) // 2).cast("int").alias("x"), "r", "g", "b", "a")
+
+
+def stamped(strokes: DataFrame, grids: DataFrame) -> DataFrame:
+    """Cells that strokes of stamps leave: map_id, row, col, tile; strokes (map_id, stroke, seq, col, row, tile), grids (map_id, cols, rows).
+
+    Between two places of a stroke the cells of the line are stamped too, with the later place's tile;
+    the last stamp of a cell stays, and cells outside the grid take none.
+    """
+    before = Window.partitionBy("map_id", "stroke").orderBy("seq")
+    was = lambda c: F.coalesce(F.lag(c).over(before), F.col(c)).cast("int")
+    at = strokes.withColumn("_cells", line(was("col"), was("row"), F.col("col").cast("int"), F.col("row").cast("int")))
+    each = at.select("map_id", "stroke", "seq", "tile", F.posexplode("_cells").alias("_n", "_p")).join(grids, "map_id")
+    each = each.where("_p.x >= 0 AND _p.y >= 0 AND _p.x < cols AND _p.y < rows")
+    return each.groupBy("map_id", F.col("_p.y").alias("row"), F.col("_p.x").alias("col")).agg(F.max_by("tile", F.struct("stroke", "seq", "_n")).alias("tile"))

@@ -67,15 +67,8 @@ def _merge(n: int, src: str, opacity: float, mode: str, into: str, base: str | N
     return f"f{n + 1} AS (SELECT * REPLACE ({', '.join(map(channel, 'rgb'))}, CASE WHEN {shown} THEN CASE WHEN {o} <= 0 THEN 0 ELSE floor({o} * 255 + 0.5) END ELSE {into}a END AS {into}a) FROM f{n})"
 
 
-@query(f"""WITH {PIXELS}, p AS (SELECT * FROM px WHERE x < 24 AND y < 20), q AS (SELECT image_id, y + 2 y, x - 3 x, b r, r g, g b, a // 2 a FROM p),
-g AS (SELECT DISTINCT image_id FROM p), canvas AS (SELECT image_id, y::INT y, x::INT x FROM g, range(20) _(y), range(24) _(x)),
-f0 AS (SELECT c.image_id, c.y, c.x, {', '.join(f'coalesce(p.{c}, 0)::DOUBLE p{c}' for c in 'rgba')}, coalesce(p.g, 0)::DOUBLE sr, coalesce(p.b, 0)::DOUBLE sg, coalesce(p.r, 0)::DOUBLE sb, coalesce(255 - p.a, 0)::DOUBLE sa,
-  {', '.join(f'coalesce(q.{c}, 0)::DOUBLE q{c}' for c in 'rgba')}, {', '.join(f'0::DOUBLE g{c}, 0::DOUBLE u{c}' for c in 'rgba')} FROM canvas c LEFT JOIN p USING (image_id, y, x) LEFT JOIN q USING (image_id, y, x)),
-{_merge(0, 's', 0.9, 'normal', 'g')}, {_merge(1, 'q', 0.8, 'screen', 'g', 'floor(sa * 0.9::DOUBLE + 0.5)')},
-{_merge(2, 'p', 1.0, 'normal', 'u')}, {_merge(3, 'g', 0.5, 'multiply', 'u')}, {_merge(4, 'q', 0.75, 'difference', 'u', 'floor(ga * 0.5::DOUBLE + 0.5)')}
-SELECT image_id sprite_id, 1::BIGINT frame_id, y, x, {', '.join(f'u{c}::INT {c}' for c in 'rgba')} FROM f5""")
-def flatten_groups(spark: SparkSession, d: str) -> DataFrame:
-    """A raster layer; a group, multiplied at half opacity, of a layer and one clipped to it; a linked cel off the canvas clipped to the group; layers that do not show."""
+def grouped_sprites(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Sprites, their layers, cels and buffers: a group, clips, a linked cel, and layers that do not show."""
     px = pixels(spark, d).where("x < 24 AND y < 20")
     sprites = px.select(F.col("image_id").alias("sprite_id")).distinct().withColumns({"width": F.lit(24), "height": F.lit(20)})
     cel = lambda k: (F.col("image_id") * 8 + k).alias("cel_id")
@@ -86,7 +79,22 @@ def flatten_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = [(0, 1, None, "raster", True, 1.0, "normal", False), (1, 2, None, "group", True, 0.5, "multiply", False), (0, 3, 2, "raster", True, 0.9, "normal", False), (1, 4, 2, "raster", True, 0.8, "screen", True),
             (2, 6, None, "raster", False, 1.0, "normal", False), (3, 7, None, "raster", True, 0.0, "hue", False), (4, 5, None, "raster", True, 0.75, "difference", True)]
     layers = spark.createDataFrame([(*r, None) for r in rows], "z int, layer_id long, parent_id long, kind string, visible boolean, opacity double, blend string, clipping boolean, effects " + f"array<{K.EFFECT}>")
-    return K.flatten(sprites, sprites.select("sprite_id").join(F.broadcast(layers)), cels, buffers)  # seven layers
+    return sprites, sprites.select("sprite_id").join(F.broadcast(layers)), cels, buffers  # seven layers
+
+
+FLATTENED = f"""WITH {PIXELS}, p AS (SELECT * FROM px WHERE x < 24 AND y < 20), q AS (SELECT image_id, y + 2 y, x - 3 x, b r, r g, g b, a // 2 a FROM p),
+g AS (SELECT DISTINCT image_id FROM p), canvas AS (SELECT image_id, y::INT y, x::INT x FROM g, range(20) _(y), range(24) _(x)),
+f0 AS (SELECT c.image_id, c.y, c.x, {', '.join(f'coalesce(p.{c}, 0)::DOUBLE p{c}' for c in 'rgba')}, coalesce(p.g, 0)::DOUBLE sr, coalesce(p.b, 0)::DOUBLE sg, coalesce(p.r, 0)::DOUBLE sb, coalesce(255 - p.a, 0)::DOUBLE sa,
+  {', '.join(f'coalesce(q.{c}, 0)::DOUBLE q{c}' for c in 'rgba')}, {', '.join(f'0::DOUBLE g{c}, 0::DOUBLE u{c}' for c in 'rgba')} FROM canvas c LEFT JOIN p USING (image_id, y, x) LEFT JOIN q USING (image_id, y, x)),
+{_merge(0, 's', 0.9, 'normal', 'g')}, {_merge(1, 'q', 0.8, 'screen', 'g', 'floor(sa * 0.9::DOUBLE + 0.5)')},
+{_merge(2, 'p', 1.0, 'normal', 'u')}, {_merge(3, 'g', 0.5, 'multiply', 'u')}, {_merge(4, 'q', 0.75, 'difference', 'u', 'floor(ga * 0.5::DOUBLE + 0.5)')}
+SELECT image_id sprite_id, 1::BIGINT frame_id, y, x, {', '.join(f'u{c}::INT {c}' for c in 'rgba')} FROM f5"""
+
+
+@query(FLATTENED)
+def flatten_groups(spark: SparkSession, d: str) -> DataFrame:
+    """A raster layer; a group, multiplied at half opacity, of a layer and one clipped to it; a linked cel off the canvas clipped to the group; layers that do not show."""
+    return K.flatten(*grouped_sprites(spark, d))
 
 
 def _hsv_sql(h: float, s: float, v: float) -> str:

@@ -1,4 +1,4 @@
-"""PNG, GIF and project files: encoders and a decoder that need only zlib, for rows of binary files."""
+"""PNG, GIF, bare and project files, with encoders and a decoder that need only zlib; other images by Spark's image source."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -112,6 +113,67 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", F.col("content").alias("png")).withColumn("image_id", F.xxhash64("path"))
 
 
+#: Endings of files that can be decoded.
+ENDINGS = ("png", "jpg", "jpeg")
+
+
+def is_image(path: Column) -> Column:
+    """Whether what follows a path's last dot, in any case, is one of the endings."""
+    return F.coalesce(F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1)).isin(*ENDINGS), F.lit(False))
+
+
+def first_images(dropped: DataFrame) -> DataFrame:
+    """The first image of each drop of files (drop_id, pos, path): drop_id, path, null where there is none."""
+    return dropped.groupBy("drop_id").agg(F.min_by("path", F.when(is_image(F.col("path")), F.col("pos"))).alias("path"))
+
+
+def _exploded(images: DataFrame) -> DataFrame:
+    """(image_id, width, height, rgba, error) -> a row a pixel, or one with the error."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, w, h, raw, error in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                flat, n = (np.frombuffer(raw, np.uint8).reshape(-1, 4).astype(np.int32), w * h) if error is None else (None, 1)
+                at = np.arange(n, dtype=np.int32)
+                place = [pa.nulls(1, pa.int32())] * 6 if error is not None else [pa.array(at // w), pa.array(at % w), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(4))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int64)), *place, pa.array([error] * n, pa.string())], ["image_id", "y", "x", *"rgba", "error"])
+
+    return images.select("image_id", "width", "height", "rgba", "error").mapInArrow(f, "image_id long, y int, x int, r int, g int, b int, a int, error string")
+
+
+def read_photos(spark: SparkSession, folder: str) -> DataFrame:
+    """Pixels of a folder's JPEG and other images, decoded by Spark's image source on the JVM; a file that does not decode gives its error."""
+    files = spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for h, w, n, raw in zip(*(b.column(c).to_pylist() for c in ("height", "width", "nChannels", "data")), strict=True):
+                if n not in (1, 3, 4):
+                    out.append((0, 0, None, "the image cannot be decoded"))
+                    continue
+                flat = np.frombuffer(raw, np.uint8).reshape(-1, n)
+                alpha = flat[:, 3:] if n == 4 else np.full((len(flat), 1), 255, np.uint8)
+                out.append((w, h, np.hstack([flat[:, 2::-1] if n > 1 else flat.repeat(3, 1), alpha]).tobytes(), None))
+            w, h, rgba, error = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(rgba, pa.binary()), pa.array(error, pa.string())], ["image_id", "width", "height", "rgba", "error"])
+
+    images = files.select(F.xxhash64("origin").alias("image_id"), "height", "width", "nChannels", "data").mapInArrow(f, "image_id long, width int, height int, rgba binary, error string")
+    return _exploded(images)
+
+
+def read_raw(spark: SparkSession, folder: str, sizes: DataFrame) -> DataFrame:
+    """Pixels of files of bare RGBA bytes (NAME.rgba); sizes (name, width, height). A file of another length gives its error.
+
+    Files that sizes lacks are left out.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rgba").load(folder)
+    named = files.select("path", "length", F.col("content").alias("rgba"), F.regexp_extract("path", r"([^/]*)\.rgba$", 1).alias("name")).join(sizes.select("name", "width", "height"), "name")
+    want = F.col("width") * F.col("height") * 4
+    error = F.when(F.col("length") != want, F.concat("name", F.lit(".rgba has "), F.col("length").cast("string"), F.lit(" bytes, not "), want.cast("string")))
+    return _exploded(named.select(F.xxhash64("name").alias("image_id"), "width", "height", "rgba", error.alias("error")))
+
+
 def gif_bytes(frames: list[np.ndarray], palette: list[tuple[int, int, int]], delays_ms: list[int], transparent: int = 255) -> bytes:
     """Index images of one size -> a GIF that loops for ever; delays of 10 ms at least; LZW codes of variable width."""
     h, w = frames[0].shape

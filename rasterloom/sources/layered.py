@@ -27,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 COLUMNS = ("kind", "n", "layer", "frame", "parent", "name", "x", "y", "width", "height", "value", "data")
 SCHEMA = "image_id long, kind string, n int, layer int, frame int, parent int, name string, x int, y int, width int, height int, value long, data binary"
@@ -179,3 +180,27 @@ def decode_layered(files: DataFrame) -> DataFrame:
                 yield pd.DataFrame([[i, *(r.get(c) for c in COLUMNS)] for r in rows], columns=["image_id", *COLUMNS], dtype=object)
 
     return files.select("image_id", "content").mapInPandas(f, SCHEMA)
+
+
+#: The file's numbers of blend modes, from 0, that have a counterpart, and of tag directions.
+BLENDS = (
+    "normal", "multiply", "screen", "overlay", "darken", "lighten", "color-dodge", "color-burn",
+    "hard-light", "soft-light", "difference", "exclusion", "hue", "saturation", "color", "luminosity",
+)
+WAYS = ("forward", "reverse", "pingpong")
+
+
+def _named(number: Column, names: tuple[str, ...], fallback: str, what: str, of: Column) -> tuple[Column, Column]:
+    known = F.get(F.array(*map(F.lit, names)), number.cast("int"))
+    warning = F.concat(F.lit(f"{what} '"), F.coalesce(of, F.lit("")), F.lit("': number "), F.coalesce(number.cast("string"), F.lit("null")), F.lit(f" is not known here; taken for {fallback}"))
+    return F.coalesce(known, F.lit(fallback)), F.when(known.isNull(), warning)
+
+
+def blend_mode(number: Column, layer: Column) -> tuple[Column, Column]:
+    """A layer's blend mode, and a warning (else null) where the number has none: it is normal then."""
+    return _named(number, BLENDS, "normal", "layer", layer)
+
+
+def tag_direction(number: Column, tag: Column) -> tuple[Column, Column]:
+    """A tag's direction, and a warning (else null) where the number has none: it is pingpong then."""
+    return _named(number, WAYS, "pingpong", "tag", tag)

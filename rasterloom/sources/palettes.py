@@ -80,3 +80,23 @@ def parse_riff(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["name", "pos", "r", "g", "b", "a"])
 
     return files.select("name", "content").mapInPandas(f, "name string, pos int, r int, g int, b int, a int")
+
+
+def registered_ids(ids: Column) -> Column:
+    """The ids under which palettes are kept, of those they were added with, in order: a taken id gets the first free number from 2 behind it."""
+
+    def kept(done: Column, name: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(done) + 1), lambda k: F.when(k == 1, name).otherwise(F.concat(name, F.lit("-"), k.cast("string"))))
+        return F.array_append(done, F.get(F.array_except(tries, done), F.lit(0)))
+
+    return F.aggregate(ids, F.array().cast("array<string>"), kept)
+
+
+def custom_colors(colors: Column) -> Column:
+    """A list of added colours without those it has already."""
+    return F.array_distinct(colors)
+
+
+def without_color(colors: Column, at: Column) -> Column:
+    """A list of colours without the one at a place, from 0; all of them if there is none."""
+    return F.filter(colors, lambda _, i: i != at)

@@ -13,6 +13,7 @@ from rasterloom.operators import tilemaps as T
 from rasterloom.plans import sql as S
 from rasterloom.plans.library import FLATTENED, grouped_sprites
 from rasterloom.registry import query
+from rasterloom.sources import archives as A
 from rasterloom.sources import generated as N
 from rasterloom.sources import images as I
 from rasterloom.sources import layered as L
@@ -168,3 +169,22 @@ def _chart(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 def charts(spark: SparkSession, d: str) -> DataFrame:
     """Printable charts of 13 x 11 cells with up to eleven colours."""
     return H.chart_pixels(*_chart(spark, d), 14)
+
+
+@query(f"WITH {PIXELS} SELECT image_id archive_id, 1 AS format, 'multiply' blend, 120 ms, (y - 8)::INT y, (x - 8)::INT x, r, g, b, a FROM px WHERE x BETWEEN 8 AND 15 AND y BETWEEN 8 AND 15")
+def project_archives(spark: SparkSession, d: str) -> DataFrame:
+    """Projects of one layer written as archives and opened again."""
+    px = pixels(spark, d).where("x BETWEEN 8 AND 15 AND y BETWEEN 8 AND 15")
+    sign = lambda c: F.lpad(F.hex(c), 2, "0")
+    each = px.select(F.col("image_id").alias("archive_id"), F.struct("y", "x", F.concat(*(sign(F.col(c)) for c in "rgba")).alias("h")).alias("p")).groupBy("archive_id").agg(F.unhex(F.array_join(F.array_sort(F.collect_list("p"))["h"], "")).alias("data"))
+    text = """{"width": 8, "height": 8, "layers": [{"kind": "raster", "id": "l", "name": "one", "visible": true, "locked": false, "opacity": 1, "blendMode": "multiply"}],
+        "frames": [{"id": "f", "durationMs": 120}], "cels": [{"id": "c", "layerId": "l", "frameId": "f", "x": 0, "y": 0, "width": 8, "height": 8}], "tags": [], "tilesets": []}"""
+    document = each.select("archive_id", F.from_json(F.lit(text), A.DOCUMENT).alias("sprite"), F.lit(None).cast("string").alias("error"))
+    content = each.select("archive_id", F.lit("cel").alias("kind"), F.lit("l").alias("owner"), F.lit("c").alias("id"), A.cel_entry(F.lit("c"), F.lit(False)).alias("name"), F.lit(False).alias("raw"), F.lit(8).alias("width"), F.lit(8).alias("height"), "data", F.lit(None).cast("string").alias("warning"))
+    entry = A.entries(A.packed(document, content))
+    opened = A.documents(entry)
+    heads = opened.select("archive_id", "format", F.get("sprite.layers", F.lit(0))["blendMode"].alias("blend"), F.get("sprite.frames", F.lit(0))["durationMs"].alias("ms"))
+    at = A.contents(opened, entry).select("archive_id", "width", F.hex("data").alias("h"), F.posexplode(F.sequence(F.lit(0), F.expr("octet_length(data) div 4 - 1").cast("int"))).alias("i", "_"))
+    byte = lambda k: F.conv(F.substring(F.col("h"), F.col("i") * 8 + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+    rows = at.select("archive_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), *(byte(k).alias(c) for k, c in enumerate("rgba")))
+    return heads.join(rows, "archive_id")

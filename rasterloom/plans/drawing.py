@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.operators import chart as H
+from rasterloom.operators import commands as E
 from rasterloom.operators import compose as K
 from rasterloom.operators import documents as D
 from rasterloom.operators import rotate as O
@@ -188,3 +189,31 @@ def project_archives(spark: SparkSession, d: str) -> DataFrame:
     byte = lambda k: F.conv(F.substring(F.col("h"), F.col("i") * 8 + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
     rows = at.select("archive_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), *(byte(k).alias(c) for k, c in enumerate("rgba")))
     return heads.join(rows, "archive_id")
+
+
+def _edit_log(spark: SparkSession, d: str) -> DataFrame:
+    o, k = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey")
+    names = ["add frame", "set duration", "add tag", "delete frame", "swap frames", "update tag", "set duration", "delete tag"]
+    command = F.element_at(F.array(*map(F.lit, names)), (k * 7 % 8 + 1).cast("int"))
+    what = F.when(k % 11 == 0, "undo").when(k % 13 == 0, "redo").otherwise("do")
+    return o.select(
+        F.col("o_custkey").alias("owner"), k.alias("seq"), what.alias("what"), F.when(command == "set duration", "duration").alias("key"), command.alias("command"),
+        (k * 3 % 7).alias("id"), (k * 5 % 7).alias("other"), (k % 5).cast("int").alias("at"), (k % 5 + k % 3).cast("int").alias("to"), (k % 90 + 1).cast("int").alias("ms"),
+    )
+
+
+@query()
+def undo_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of a customer as commands with undo and redo: which stand."""
+    return E.history(_edit_log(spark, d).select("owner", "seq", F.col("what").alias("command"), "key"))
+
+
+@query()
+def edited_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Frames and tags after the commands that stand."""
+    log = _edit_log(spark, d)
+    stands = E.history(log.select("owner", "seq", F.col("what").alias("command"), "key")).where("fate = 'done'").select("owner", "seq")
+    base = log.select("owner").distinct().select("owner", F.expr("transform(sequence(0, 3), i -> struct(cast(i as long) as id, 100 as ms))").alias("frames"), F.expr("array(struct(9L as id, 1 as lo, 2 as hi))").alias("tags"))
+    out = E.edited(base, log.join(stands, ["owner", "seq"]))
+    text = lambda c, *names: F.array_join(F.transform(c, lambda i: F.concat_ws(":", *(i[n].cast("string") for n in names))), " ")
+    return out.select("owner", text("frames", "id", "ms").alias("frames"), text("tags", "id", "lo", "hi").alias("tags"))

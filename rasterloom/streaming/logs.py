@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,26 +13,28 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def history_stream(log: DataFrame, most: int = 200) -> DataFrame:
     """A stream of (owner, seq, command, key) -> the undo depth after each batch: owner, done, undone.
 
-    `do` pushes (joined with the step before when its key is the same and not null) and
+    `do` pushes (joined with the newest step when its key is the same and not null, after an undo too) and
     clears what was undone; `undo` and `redo` move one step; the oldest beyond `most` go.
     Within a batch an owner's commands are taken in the order of seq.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, undone, last = state.get if state.exists else (0, 0, None)
+        past, future = map(json.loads, state.get) if state.exists else ([], [])
         rows = pd.concat(list(batches)).sort_values("seq")
         for r in rows.itertuples():
             if r.command == "do":
-                same = r.key is not None and r.key == last and done > 0
-                done, undone, last = min(most, done + (not same)), 0, r.key
-            elif r.command == "undo" and done:
-                done, undone, last = done - 1, undone + 1, None
-            elif r.command == "redo" and undone:
-                done, undone, last = done + 1, undone - 1, None
-        state.update((done, undone, last))
-        yield pd.DataFrame({"owner": [key[0]], "done": [done], "undone": [undone]})
-
-    return log.groupBy("owner").applyInPandasWithState(step, "owner long, done int, undone int", "done int, undone int, last string", "update", GroupStateTimeout.NoTimeout)
+                own = r.key if isinstance(r.key, str) else None
+                if not past or own is None or past[-1] != own:
+                    past = [*past, own][-most:]
+                future = []
+            elif r.command == "undo" and past:
+                future.append(past.pop())
+            elif r.command == "redo" and future:
+                past.append(future.pop())
+        state.update((json.dumps(past), json.dumps(future)))
+        yield pd.DataFrame({"owner": [key[0]], "done": [len(past)], "undone": [len(future)]})
+
+    return log.groupBy("owner").applyInPandasWithState(step, "owner long, done int, undone int", "past string, future string", "update", GroupStateTimeout.NoTimeout)
 
 
 def preview_stream(requests: DataFrame, busy: int) -> DataFrame:

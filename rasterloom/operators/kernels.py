@@ -112,25 +112,43 @@ DIFFUSION = {
 
 
 def _diffused(pdf: pd.DataFrame, labs: np.ndarray, kernel: str, strength: float, threshold: int) -> pd.DataFrame:
+    """A pixel's colour hangs on all before it, so the pass is one of plain numbers, row by row; margins take what leaves the image."""
     terms, turns = DIFFUSION[kernel]
     y, x, img, has = _grid(pdf, ["r", "g", "b", "a"])
-    lab, h, w = oklab(img[..., :3]), *has.shape
-    out = np.full((h, w), TRANSPARENT)
+    h, w = has.shape
+    pad = max(abs(dx) for dx, _, _ in terms)
+    depth = max(dy for _, dy, _ in terms)
+    lab = np.zeros((3, h + depth, w + 2 * pad))
+    lab[:, :h, pad : pad + w] = np.moveaxis(oklab(img[..., :3]), 2, 0)
+    ahead = [[channel[i].tolist() for channel in lab] for i in range(depth + 1)]
+    shown = has & (img[..., 3] >= threshold)
+    entries, out = [(k, *map(float, e)) for k, e in enumerate(labs)], np.full((h, w + 2 * pad), TRANSPARENT)
     for i in range(h):
         step = -1 if turns and i % 2 else 1
-        for j in range(w)[::step]:
-            if not has[i, j] or img[i, j, 3] < threshold:
-                continue
-            best, d = 0, np.inf
-            for k, e in enumerate(((labs - lab[i, j]) ** 2).sum(1)):
-                if e < d - EPSILON:
-                    best, d = k, e
-            out[i, j] = best
-            error = (lab[i, j] - labs[best]) * strength
-            for dx, dy, share in terms:
-                if 0 <= j + dx * step < w and i + dy < h:
-                    lab[i + dy, j + dx * step] += error * share
-    return pdf[["image_id", "y", "x"]].assign(idx=out[y, x].astype("int32"))
+        l, p, q = ahead[0]
+        spread = [(*ahead[dy], dx * step, share) for dx, dy, share in terms]
+        row = out[i].tolist()
+        for j in (np.flatnonzero(shown[i]) + pad).tolist()[::step]:
+            l0, p0, q0, best, least = l[j], p[j], q[j], None, math.inf
+            for e in entries:
+                d = e[1] - l0
+                d *= d
+                if d < least:
+                    u, v = e[2] - p0, e[3] - q0
+                    d += u * u
+                    d += v * v
+                    if d < least - EPSILON:
+                        best, least = e, d
+            k, u, v, d = best
+            row[j] = k
+            u, v, d = (l0 - u) * strength, (p0 - v) * strength, (q0 - d) * strength
+            for ls, ps, qs, dx, share in spread:
+                ls[j + dx] += u * share
+                ps[j + dx] += v * share
+                qs[j + dx] += d * share
+        out[i] = row
+        ahead = [*ahead[1:], [channel[i + depth + 1].tolist() for channel in lab] if i + 1 < h else []]
+    return pdf[["image_id", "y", "x"]].assign(idx=out[y, x + pad].astype("int32"))
 
 
 def diffuse(px: DataFrame, palette: list[tuple[int, int, int]], kernel: str, strength: float = 1.0, threshold: int = 128) -> DataFrame:

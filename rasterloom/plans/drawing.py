@@ -166,7 +166,26 @@ def _chart(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return charts, cells, legend
 
 
-@query()
+_GLYPHS = ", ".join(f"({d}, {c}, {r})" for d, rows in enumerate(H.DIGITS) for r in range(5) for c in range(3) if rows[r] >> (2 - c) & 1)
+_INK = "struct_pack(r := 0, g := 0, b := 0, a := 255)"
+_OWN = "struct_pack(r := r::INT, g := g::INT, b := b::INT, a := 255)"
+_LINE = "CASE WHEN i % 10 = 0 THEN struct_pack(r := 70, g := 70, b := 70, a := 255) ELSE struct_pack(r := 200, g := 200, b := 200, a := 255) END"
+
+
+@query(f"""WITH {PIXELS}, cell AS (SELECT image_id k, y::INT cy, x::INT cx, ((r + x) % 12 - 1)::INT idx FROM px WHERE x < 13 AND y < 11), chart AS (SELECT DISTINCT k FROM cell),
+leg AS (SELECT k, idx, idx * 23 % 256 r, idx * 71 % 256 g, idx * 9 % 256 b, count(*) n FROM cell WHERE idx >= 0 GROUP BY ALL), {S.labs('leg')},
+known AS (SELECT *, CASE WHEN l > 0.6 THEN {_INK} ELSE struct_pack(r := 255, g := 255, b := 255, a := 255) END ink, length(max(n) OVER (PARTITION BY k)::VARCHAR) places FROM lab),
+size AS (SELECT k, 167 + CASE WHEN count(idx) > 0 THEN count(idx) * 18 + 8 ELSE 0 END h FROM chart LEFT JOIN leg USING (k) GROUP BY 1),
+box(k, z, x, y, w, h, c) AS (SELECT k, 0, 0, 0, 195, h, struct_pack(r := 255, g := 255, b := 255, a := 255) FROM size UNION ALL SELECT k, 2, 11 + cx * 14, 9 + cy * 14, 14, 14, {_OWN} FROM cell JOIN known USING (k, idx)
+  UNION ALL SELECT k, 4, 11 + i * 14, 9, 1, 154, {_LINE} FROM chart, range(14) _(i) UNION ALL SELECT k, 5, 11, 9 + i * 14, 182, 1, {_LINE} FROM chart, range(12) _(i) UNION ALL SELECT k, 6, 11, 173 + idx * 18, 14, 14, {_OWN} FROM known),
+word(k, z, t, x, y, c) AS (SELECT k, 1, (i + 1)::VARCHAR, 11 + i * 14 + (15 - 4 * length((i + 1)::VARCHAR)) // 2, 2, {_INK} FROM chart, range(13) _(i) UNION ALL SELECT k, 1, (i + 1)::VARCHAR, 10 - 4 * length((i + 1)::VARCHAR), 13 + i * 14, {_INK} FROM chart, range(11) _(i)
+  UNION ALL SELECT k, 3, (idx + 1)::VARCHAR, 11 + cx * 14 + (15 - 4 * length((idx + 1)::VARCHAR)) // 2, 13 + cy * 14, ink FROM cell JOIN known USING (k, idx)
+  UNION ALL SELECT k, 7, (idx + 1)::VARCHAR, 11 + (15 - 4 * length((idx + 1)::VARCHAR)) // 2, 177 + idx * 18, ink FROM known
+  UNION ALL SELECT k, 6, unnest([lpad(r::VARCHAR, 3, '0'), lpad(g::VARCHAR, 3, '0'), lpad(b::VARCHAR, 3, '0'), lpad(n::VARCHAR, places::INT, '0')]), unnest([31, 48, 65, 82]), 177 + idx * 18, {_INK} FROM known),
+glyph(d, gx, gy) AS (VALUES {_GLYPHS}), dot AS (SELECT k, z, x + i * 4 + gx x, y + gy y, c FROM word, range(8) _(i), glyph WHERE i < length(t) AND d = substr(t, i + 1, 1)::INT),
+every AS (SELECT k, z, x + i x, y + j y, c FROM box, range(195) _(i), range(400) __(j) WHERE i < w AND j < box.h UNION ALL SELECT * FROM dot),
+top AS (SELECT k, y, x, max_by(c, z) c FROM every GROUP BY ALL)
+SELECT k chart_id, y::INT y, x::INT x, c.r r, c.g g, c.b b, c.a a FROM top""")
 def charts(spark: SparkSession, d: str) -> DataFrame:
     """Printable charts of 13 x 11 cells with up to eleven colours."""
     return H.chart_pixels(*_chart(spark, d), 14)

@@ -42,7 +42,7 @@ def convert_folder(spark: SparkSession, folder: str, out: str, settings: V.Setti
     files = I.read_images(spark, folder)
     names = files.select("image_id", "path")
     pixels = f"{out}/_pixels"
-    I.decode_png(files).write.mode("overwrite").parquet(pixels)  # decoded once, whatever the number of sizes
+    I.decode_folder(spark, folder).write.mode("overwrite").parquet(pixels)  # decoded once, whatever the number of sizes
     px = spark.read.parquet(pixels)
     failed = px.where("error IS NOT NULL").select("image_id", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("long").alias("colors_used"), F.lit(None).cast("binary").alias("png"), "error")
     px = px.where("error IS NULL").drop("error")

@@ -44,6 +44,23 @@ def box_downscale(px: DataFrame, w: int, h: int, dst_w: int, dst_h: int) -> Data
     return g.select("image_id", "y", "x", *map(mean, "rgb"), half_up(F.col("s") / F.col("n")).cast("int").alias("a"))
 
 
+#: Fixed value: longest edge of a preview's stand-in.
+PROXY_EDGE = 1024
+
+
+def proxy_size(w: int, h: int, most: int = PROXY_EDGE) -> tuple[int, int]:
+    """An image's size within the longest edge, its ratio kept; a smaller one stays."""
+    if max(w, h) <= most:
+        return w, h
+    return max(1, int(w * (most / max(w, h)) + 0.5)), max(1, int(h * (most / max(w, h)) + 0.5))
+
+
+def preview_proxy(px: DataFrame, w: int, h: int, most: int = PROXY_EDGE) -> DataFrame:
+    """The images a preview works on: box means if an edge is too long, else the images themselves."""
+    size = proxy_size(w, h, most)
+    return px.select("image_id", "y", "x", "r", "g", "b", "a") if size == (w, h) else box_downscale(px, w, h, *size)
+
+
 def _middles(dst: int, src: int | Column, name: str) -> Column:
     """All target cells whose middle lies in a source coordinate: none, one, or more when dst > src."""
     at = F.col(name)

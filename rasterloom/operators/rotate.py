@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.color import similar
+from rasterloom.operators.kernels import clean_edge
 
 #: Fixed value: angles this near to a quarter turn are taken for it.
 NEAR = 1e-6
@@ -93,3 +94,22 @@ def rotate(px: DataFrame, width: int, height: int, angle: float, pivot_x: float
     ends = F.broadcast(ends) if width * height <= BROADCAST_PLACES else ends
     out = parts(px, width).join(ends, ["y", "x"])
     return out.select("image_id", F.col("to_y").alias("y"), F.col("to_x").alias("x"), F.get("parts", F.col("part")).alias("p")).select("image_id", "y", "x", "p.r", "p.g", "p.b", "p.a")
+
+
+def transformed(px: DataFrame, width: int, height: int, bounds: tuple[int, int, int, int] | None, degrees: float, percent: float = 100.0, method: str = "nine") -> DataFrame:
+    """Images of one size with what lies in bounds (x, y, width, height; all if None) turned about its own middle; the rest stays.
+
+    method "nine" only turns, "clean" scales too. Bounds are cut to the image; if nothing is left, images stay.
+    """
+    if method not in ("nine", "clean"):
+        raise ValueError(f"no method {method!r}")
+    x, y, w, h = bounds or (0, 0, width, height)
+    left, top, right, bottom = max(x, 0), max(y, 0), min(x + w, width), min(y + h, height)
+    names = ["image_id", "y", "x", "r", "g", "b", "a"]
+    if left >= right or top >= bottom:
+        return px.select(names)
+    inside = F.col("x").between(left, right - 1) & F.col("y").between(top, bottom - 1)
+    region = px.where(inside).select("image_id", (F.col("y") - top).alias("y"), (F.col("x") - left).alias("x"), "r", "g", "b", "a")
+    size, angle = (right - left, bottom - top), math.radians(degrees)
+    out = rotate(region, *size, angle) if method == "nine" else clean_edge(region, *size, angle, max(0.01, percent / 100))
+    return px.where(~inside).select(names).union(out.select("image_id", F.col("y") + top, F.col("x") + left, "r", "g", "b", "a"))

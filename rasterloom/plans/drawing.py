@@ -9,7 +9,9 @@ from rasterloom.operators import chart as H
 from rasterloom.operators import commands as E
 from rasterloom.operators import compose as K
 from rasterloom.operators import documents as D
+from rasterloom.operators import raster as R
 from rasterloom.operators import rotate as O
+from rasterloom.operators import shapes as W
 from rasterloom.operators import tilemaps as T
 from rasterloom.plans import sql as S
 from rasterloom.plans.library import FLATTENED, grouped_sprites
@@ -236,3 +238,28 @@ def edited_documents(spark: SparkSession, d: str) -> DataFrame:
     out = E.edited(base, log.join(stands, ["owner", "seq"]))
     text = lambda c, *names: F.array_join(F.transform(c, lambda i: F.concat_ws(":", *(i[n].cast("string") for n in names))), " ")
     return out.select("owner", text("frames", "id", "ms").alias("frames"), text("tags", "id", "lo", "hi").alias("tags"))
+
+
+@query("""WITH s AS (SELECT o_orderkey k, (o_orderkey % 13)::INT x0, (o_custkey % 11)::INT y0, (o_orderkey // 13 % 13)::INT x1, (o_custkey // 11 % 11)::INT y1 FROM orders WHERE o_orderkey % 10 = 0)
+SELECT k, kind, x::INT x, y::INT y FROM s, range(13) _(x), range(11) __(y), (VALUES ('full'), ('rim')) v(kind) WHERE x BETWEEN least(x0, x1) AND greatest(x0, x1) AND y BETWEEN least(y0, y1) AND greatest(y0, y1) AND (kind = 'full' OR x IN (x0, x1) OR y IN (y0, y1))""")
+def rectangles_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Rims and areas of rectangles, some of one row, column or point."""
+    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 10 = 0")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    corners = [e.cast("int") for e in (k % 13, c % 11, F.floor(k / 13) % 13, F.floor(c / 11) % 11)]
+    kinds = F.array(*(F.struct(F.lit(n).alias("kind"), W.rectangle(*corners, full).alias("points")) for n, full in (("full", True), ("rim", False))))
+    rows = o.select(k.alias("k"), F.inline(kinds)).select("k", "kind", F.explode("points").alias("p"))
+    return rows.select("k", "kind", "p.x", "p.y")
+
+
+@query(f"""WITH {PIXELS}, e AS (SELECT t FROM range(48) _(t))
+SELECT image_id, j.t::INT y, i.t::INT x, floor(sum(a) / count(*)::DOUBLE + 0.5)::INT a FROM px, e i, e j WHERE {S.cells(48, 64, 'x').replace('(t ', '(i.t ').replace('((t ', '((i.t ')} AND {S.cells(48, 64, 'y').replace('(t ', '(j.t ').replace('((t ', '((j.t ')} GROUP BY 1, 2, 3""")
+def proxies(spark: SparkSession, d: str) -> DataFrame:
+    """Alpha of stand-ins whose longest edge is 48."""
+    return R.preview_proxy(pixels(spark, d), SIDE, SIDE, 48).select("image_id", "y", "x", "a")
+
+
+@query(f"WITH {PIXELS} SELECT image_id, CASE WHEN x BETWEEN 40 AND 63 AND y BETWEEN 2 AND 16 THEN 18 - y ELSE y END::INT y, CASE WHEN x BETWEEN 40 AND 63 AND y BETWEEN 2 AND 16 THEN 103 - x ELSE x END::INT x, r, g, b, a FROM px")
+def turned_selection(spark: SparkSession, d: str) -> DataFrame:
+    """A selection that leaves the image turned by half."""
+    return O.transformed(pixels(spark, d), SIDE, SIDE, (40, 2, 50, 15), 180.0)

@@ -158,10 +158,18 @@ def read_photos(spark: SparkSession, folder: str) -> DataFrame:
             w, h, rgba, error = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(rgba, pa.binary()), pa.array(error, pa.string())], ["image_id", "width", "height", "rgba", "error"])
 
-    images = files.select(F.xxhash64("origin").alias("image_id"), "height", "width", "nChannels", "data").mapInArrow(f, "image_id long, width int, height int, rgba binary, error string")
+    path = F.regexp_replace("origin", "^file:/+", "file:/")  # as the other readers write it
+    images = files.select(F.xxhash64(path).alias("image_id"), "height", "width", "nChannels", "data").mapInArrow(f, "image_id long, width int, height int, rgba binary, error string")
     return _exploded(images)
 
 
+def decode_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Pixels of a folder's files, told apart by their first bytes: PNG by decode_png(), all others as photos."""
+    files = read_images(spark, folder)
+    png = F.col("png").startswith(F.lit(b"\x89PNG"))
+    return decode_png(files.where(png)).union(read_photos(spark, folder).join(files.where(~png).select("image_id"), "image_id", "left_semi"))
+
+
 def read_raw(spark: SparkSession, folder: str, sizes: DataFrame) -> DataFrame:
     """Pixels of files of bare RGBA bytes (NAME.rgba); sizes (name, width, height). A file of another length gives its error.
 

@@ -20,12 +20,14 @@ def test_batch(spark, tmp_path):
     for name, img in (("half.png", half), ("wide.dat", wide), ("empty.png", empty), ("deeper/no.png", half)):
         (folder / name).write_bytes(I.png_bytes(img))
     (folder / "bad.png").write_bytes(b"not an image")
+    photo = spark._jvm.java.awt.image.BufferedImage(16, 16, 1)
+    spark._jvm.javax.imageio.ImageIO.write(photo, "jpg", spark._jvm.java.io.File(str(folder / "photo.jpg")))
     args = [str(folder), "--out", str(out), "--pixel-size", "8", "--scale", "2", "--files"]
     assert batch.main(args) == 1
     rows = {r.name: r for r in spark.read.parquet(f"{out}/converted").collect()}
-    assert sorted(rows) == ["bad.png", "empty.png", "half.png", "wide.png"]
+    assert sorted(rows) == ["bad.png", "empty.png", "half.png", "photo.png", "wide.png"]
     assert rows["bad.png"].error and rows["bad.png"].png is None
-    assert [(rows[n].width, rows[n].height, rows[n].colors_used) for n in ("half.png", "wide.png", "empty.png")] == [(4, 4, 2), (8, 2, 1), (4, 4, 0)]
+    assert [(rows[n].width, rows[n].height, rows[n].colors_used) for n in ("half.png", "wide.png", "empty.png", "photo.png")] == [(4, 4, 2), (8, 2, 1), (4, 4, 0), (4, 4, 1)]
     img = I.png_pixels(bytes((out / "half.png").read_bytes()))
     assert (img[:, :2] == (200, 0, 0, 255)).all() and (img[:, 2:] == (0, 0, 200, 255)).all()
     (folder / "bad.png").unlink()

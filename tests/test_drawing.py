@@ -227,3 +227,26 @@ def test_bare_files(spark, tmp_path):
     got = I.read_raw(spark, str(tmp_path), sizes).collect()
     assert [g["error"] for g in got if g["error"]] == ["two.rgba has 5 bytes, not 4"]
     assert image_of([g for g in got if g["error"] is None], 3, 5).tolist() == image.tolist()
+
+
+@pytest.mark.parametrize("bounds,method", [((2, -1, 6, 7), "nine"), (None, "nine"), ((3, 2, 4, 4), "clean"), ((20, 20, 3, 3), "nine")])
+def test_transformed_selections(spark, bounds, method):
+    from rasterloom.operators.kernels import clean_edge
+
+    r = np.random.default_rng(2)
+    image = r.choice([0, 90, 255], (9, 10, 1)).repeat(4, 2)
+    px = spark.createDataFrame(rows_of(image), PX)
+    got = image_of(O.transformed(px, 10, 9, bounds, 25.0, 150.0, method).collect(), 9, 10)
+    x, y, w, h = bounds or (0, 0, 10, 9)
+    x, y, right, bottom = max(x, 0), max(y, 0), min(x + w, 10), min(y + h, 9)
+    want = image.copy()
+    if x < right and y < bottom:
+        part = image[y:bottom, x:right]
+        want[y:bottom, x:right] = turned(part, math.radians(25)) if method == "nine" else image_of(clean_edge(spark.createDataFrame(rows_of(part), PX), right - x, bottom - y, math.radians(25), 1.5).collect(), bottom - y, right - x)
+    assert got.tolist() == want.tolist()
+
+
+def test_proxy_sizes():
+    from rasterloom.operators.raster import proxy_size
+
+    assert [proxy_size(*s) for s in ((1024, 3), (2048, 1024), (3000, 1), (1500, 1001))] == [(1024, 3), (1024, 512), (1024, 1), (1024, 683)]

@@ -109,8 +109,12 @@ def decode_png(files: DataFrame) -> DataFrame:
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """The regular files of a folder (not its subfolders), as path and content, for decode_png()."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", F.col("content").alias("png")).withColumn("image_id", F.xxhash64("path"))
+    """The regular files of a folder (not its subfolders), as path and content, for decode_png(); empty ones, which Spark's reader skips, too."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    empty = [(s.getPath().toString(), b"") for s in listed if s.isFile() and not s.getLen() and s.getPath().getName()[0] not in "._"]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", F.col("content").alias("png"))
+    return files.union(spark.createDataFrame(empty, files.schema)).withColumn("image_id", F.xxhash64("path"))
 
 
 #: Endings of files that can be decoded.
@@ -166,7 +170,7 @@ def read_photos(spark: SparkSession, folder: str) -> DataFrame:
 def decode_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Pixels of a folder's files, told apart by their first bytes: PNG by decode_png(), all others as photos."""
     files = read_images(spark, folder)
-    png = F.col("png").startswith(F.lit(b"\x89PNG"))
+    png = F.col("png").startswith(F.lit(b"\x89PNG")) | (F.octet_length("png") == 0)
     return decode_png(files.where(png)).union(read_photos(spark, folder).join(files.where(~png).select("image_id"), "image_id", "left_semi"))
 
 

@@ -36,3 +36,21 @@ def test_batch(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"unknown": 1}')
     assert batch.main([*args[:3], "--settings", str(tmp_path / "s.json")]) == 2
     assert batch.main(["--scale", "3"]) == 2
+
+
+def test_a_stopped_batch_keeps_what_is_done(spark, tmp_path, capsys):
+    folder, out, calls = tmp_path / "in", str(tmp_path / "out"), []
+    folder.mkdir()
+    for k in range(4):
+        (folder / f"{k}.png").write_bytes(I.png_bytes(np.full((8 + 8 * (k // 2), 8, 4), 255, np.uint8)))
+    (folder / "bad.png").write_bytes(b"")
+
+    def proceed(done, total):
+        calls.append((done, total))
+        return done < 3
+
+    rows = batch.convert_folder(spark, str(folder), out, batch.settings_from(None), 8.0, 1, proceed)
+    assert calls == [(1, 5), (3, 5)] and sorted(r["name"] for r in rows.collect()) == ["0.png", "1.png", "bad.png"]
+    assert batch.main([str(folder), "--out", out, "--progress"]) == 1
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert lines == [{"done": 1, "total": 5}, {"done": 3, "total": 5}, {"succeeded": 4, "failed": 1}]

@@ -75,6 +75,32 @@ def move_among_siblings(layers: DataFrame, edits: DataFrame) -> DataFrame:
     return out.withColumn("z", new.cast("int")).select(layers.columns)
 
 
+def add_groups(layers: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits (sprite_id, layer_id, group_id, wrap) -> layers with a new group right above the layer, beside it, and a dense z from 0.
+
+    With wrap the layer goes into the group. A layer that is missing is not wrapped; a bare group
+    is then at the bottom of the top level.
+    """
+    flat = Window.partitionBy("sprite_id").orderBy("z", "layer_id")
+    rows = layers.withColumn("_at", F.row_number().over(flat) - 1)
+    e = edits.select("sprite_id", "layer_id", "group_id", "wrap").join(rows.select("sprite_id", "layer_id", F.col("parent_id").alias("_up"), F.col("_at").alias("_below")), ["sprite_id", "layer_id"], "left")
+    e = e.where("NOT wrap OR _below IS NOT NULL").withColumn("_below", F.coalesce("_below", F.lit(-1)))
+    out = rows.join(e.select("sprite_id", F.col("layer_id").alias("_layer"), F.col("group_id").alias("_group"), "wrap", "_below"), "sprite_id", "left")
+    shift = F.coalesce((F.col("_at") > F.col("_below")).cast("int"), F.lit(0))
+    inside = F.coalesce(F.col("wrap") & (F.col("layer_id") == F.col("_layer")), F.lit(False))
+    out = out.withColumns({"z": (F.col("_at") + shift).cast("int"), "parent_id": F.when(inside, F.col("_group")).otherwise(F.col("parent_id"))}).select(layers.columns)
+    groups = e.select("sprite_id", F.col("group_id").alias("layer_id"), F.col("_up").alias("parent_id"), F.lit("group").alias("kind"), (F.col("_below") + 1).cast("int").alias("z"))
+    return out.unionByName(groups, allowMissingColumns=True).select(layers.columns)
+
+
+def with_properties(layers: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits (sprite_id, layer_id, and any columns of layers) -> layers with what an edit names and is not null."""
+    keys = ["sprite_id", "layer_id"]
+    named = [c for c in edits.columns if c not in keys]
+    out = layers.join(edits.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in named)), keys, "left")
+    return out.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in named else F.col(c) for c in layers.columns))
+
+
 def released_cels(cels: DataFrame, removed: DataFrame) -> DataFrame:
     """Cels (cel_id, linked_to) whose buffers go with the removed ones (cel_id): neither links themselves nor linked to by a cel that stays."""
     staying = cels.join(removed.select("cel_id"), "cel_id", "left_anti").where("linked_to IS NOT NULL").select(F.col("linked_to").alias("cel_id"))

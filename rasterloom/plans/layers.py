@@ -183,3 +183,16 @@ def fitted_to_subject(spark: SparkSession, d: str) -> DataFrame:
     out = px.where(F.col("x0").isNull() | (x.between(F.col("x0"), F.col("x1")) & y.between(F.col("y0"), F.col("y1"))))
     start = lambda c: F.greatest(F.lit(0), F.coalesce(F.col(c), F.lit(0)))
     return out.select("image_id", (y - start("y0")).cast("int").alias("y"), (x - start("x0")).cast("int").alias("x"), "a")
+
+
+@query(f"""WITH {_LAYERS}, e AS (SELECT sprite_id, sprite_id * 12 + sprite_id % 13 layer_id, 1000000 + sprite_id group_id, sprite_id % 2 = 0 wrap FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY sprite_id ORDER BY z, layer_id) - 1 n FROM l), g AS (SELECT e.*, r.parent_id up, coalesce(r.n, -1) n0 FROM e LEFT JOIN r ON r.sprite_id = e.sprite_id AND r.layer_id = e.layer_id WHERE NOT wrap OR r.n IS NOT NULL)
+SELECT r.sprite_id, r.layer_id, CASE WHEN g.wrap AND g.layer_id = r.layer_id THEN g.group_id ELSE r.parent_id END parent_id, CASE WHEN r.layer_id % 5 = 0 THEN 'other' ELSE r.kind END kind, (n + CASE WHEN n > n0 THEN 1 ELSE 0 END)::INT z FROM r LEFT JOIN g USING (sprite_id)
+UNION ALL SELECT sprite_id, group_id, up, 'group', (n0 + 1)::INT FROM g""")
+def layers_grouped(spark: SparkSession, d: str) -> DataFrame:
+    """A new group in each document, around a layer or beside it, and another kind for some layers."""
+    layers, docs = _layers(spark, d)
+    s = F.col("sprite_id")
+    other = layers.where("layer_id % 5 = 0").select("sprite_id", "layer_id", F.lit("other").alias("kind"))
+    edits = docs.select("sprite_id", (s * 12 + s % 13).alias("layer_id"), (s + 1000000).alias("group_id"), (s % 2 == 0).alias("wrap"))
+    return T.add_groups(T.with_properties(layers, other), edits)

@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ over the whole tables, and their SQL where SQL can express them."""
+"""The queries op1_ to op13_ over the whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import decontaminate, extraction, langid, mixing, nearest, neardup, sharding, substrings, suffixtree, tokenfile
+from rasterloom.llm import conversations, decontaminate, extraction, importance, langid, mixing, nearest, neardup, sharding, substrings, suffixtree, tokenfile, topk
 from rasterloom.llm.scratch import table
 
 
@@ -50,9 +50,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(spark, table(spark, sf_dir, "conversations"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampling_report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_main_text, op3_language_id, op4_token_file, op5_minhash, op6_nearest, op7_decontamination, op8_sharding, op9_suffix_tree, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_main_text, op3_language_id, op4_token_file, op5_minhash, op6_nearest, op7_decontamination, op8_sharding, op9_suffix_tree, op10_substring_dedup, op11_conversation_repair, op12_importance_resampling, op13_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op11_conversation_repair": conversations.ORACLE, "op12_importance_resampling": importance.ORACLE, "op13_exact_top_k": topk.ORACLE}

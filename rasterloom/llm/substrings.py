@@ -14,8 +14,8 @@ Only runs that repeat are joined back, by a join that Spark may split where a ru
 frequent; what is joined grows with the corpus, so nothing is broadcast by hand. A document's list of removed
 sentences is no longer than the document.
 
-Defined results: a null text stays null, with no sentences; texts without two sentences
-or SPAN_WORDS words have no run and stay as they are; rows that share a doc_id and a
+Defined results: a null text stays null, with no sentences; texts of two sentences with
+fewer than SPAN_WORDS words, or of one, have no run and stay as they are; rows that share a doc_id and a
 text count as the same document, so each keeps what the other keeps; rows that share a
 doc_id, or have none, with other texts are documents of their own, ordered by a hash of
 the text; a very long text is handled alone, whole, and its sentences are cut alike; ties
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm.scratch import Scratch
 from rasterloom.llm.words import mix, signed, span_hashes, text_chunks, word_spans
 
-SENTENCES, SPAN_WORDS, LONG, NEAR = 2, 20, 25, 4
+SENTENCES, SPAN_WORDS, LONG, NEAR = 3, 20, 25, 4
 
 
 def content_cuts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -100,11 +100,14 @@ def powers(base: int, prime: int, n: int) -> np.ndarray:
 
 def spans(word_hash: np.ndarray, heads: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First sentence, end sentence and 128-bit hash of each text's spans."""
-    n = len(heads) - 1
-    text_end = np.repeat(of_text[1:], np.diff(of_text))
-    end = np.maximum(np.searchsorted(heads, heads[:-1] + SPAN_WORDS), np.arange(n) + SENTENCES)
-    ok = np.flatnonzero(end <= text_end)
-    end = end[ok]
+    n, text_end = len(heads) - 1, np.repeat(of_text[1:], np.diff(of_text))
+    place, fewer = np.arange(n), SENTENCES - 1
+    inside = place + fewer <= text_end
+    wordy = np.zeros(n + 1, bool)
+    wordy[:n] = inside & (heads[np.minimum(place + fewer, n)] - heads[:-1] >= SPAN_WORDS)
+    short = np.flatnonzero(wordy[:n])
+    whole = np.flatnonzero((place + SENTENCES <= text_end) & ~(wordy[:n] & wordy[1:]))
+    ok, end = np.concatenate([short, whole]), np.concatenate([short + fewer, whole + SENTENCES])
     a, b, out = heads[ok], heads[end], []
     for prime, base in FIELDS:
         p = np.uint64(prime)

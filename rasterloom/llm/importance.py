@@ -23,6 +23,7 @@ other name pass through resample(), those named as its results are replaced.
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -166,15 +167,15 @@ def bucket_counts(texts: DataFrame, n: int = WORDS, buckets: int = BUCKETS) -> D
     return found.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def gains(spark: SparkSession, docs: DataFrame, target: DataFrame, n: int = WORDS, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, gain of every bucket: 1000 times the log of the smoothed target share over the corpus share, floored."""
-    both = bucket_counts(docs, n, buckets).select("bucket", F.col("n").alias("s"), F.lit(0).cast("long").alias("t")).union(bucket_counts(target, n, buckets).select("bucket", F.lit(0).cast("long"), "n"))
-    both = both.union(spark.range(buckets).select(F.col("id"), F.lit(0).cast("long"), F.lit(0).cast("long")))
-    each = both.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    sums = each.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))  # one row
-    d = lambda c: F.col(c).cast("double")
-    ratio = (d("t") + 1) * (d("all_s") + buckets) / ((d("s") + 1) * (d("all_t") + buckets))
-    return each.join(F.broadcast(sums)).select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
+def gains(docs: DataFrame, target: DataFrame, n: int = WORDS, buckets: int = BUCKETS) -> np.ndarray:
+    """Of every bucket: 1000 times the log of the smoothed target share over the corpus share, floored. Two counts a bucket are collected."""
+    sides = bucket_counts(docs, n, buckets).withColumn("side", F.lit(0)).union(bucket_counts(target, n, buckets).withColumn("side", F.lit(1)))
+    counts = np.zeros((2, buckets))
+    for r in sides.collect():  # at most 2 * buckets rows
+        counts[r.side, r.bucket] = r.n
+    s, t = counts
+    ratio = (t + 1) * (s.sum() + buckets) / ((s + 1) * (t.sum() + buckets))
+    return np.array([math.floor(1000 * math.log(x)) for x in ratio], np.int64)
 
 
 def _weights(n: int, buckets: int, sent: Broadcast):
@@ -209,8 +210,7 @@ RESULTS = ("n_features", "weight", "score", "rank")
 
 def _ranked(spark: SparkSession, docs: DataFrame, target: DataFrame, kept: list[Column], n: int, buckets: int, least_words: int, percent: int, seed: int) -> DataFrame:
     scratch = Scratch(spark, "importance")
-    found = gains(spark, docs, target, n, buckets).orderBy("bucket").select("gain").collect()  # `buckets` rows
-    sent = share(spark, np.array([r.gain for r in found], np.int64))
+    sent = share(spark, gains(docs, target, n, buckets))
     w, score, late, down = free_names(docs, "weights", "score", "late", "down")
     rows = docs.withColumn(w, _weights(n, buckets, sent)(F.col("text").cast("string"))).withColumn(score, F.col(f"{w}.weight") + gumbel(F.col("doc_id"), seed))
     rows = rows.select(*kept, w, score, (F.col(f"{w}.words") < least_words).alias(late), (-F.col(score)).alias(down))

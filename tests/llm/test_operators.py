@@ -1,5 +1,6 @@
 """The corpus operators against brute force, round trips and held-out accuracy, and on awkward tables."""
 
+import itertools
 import math
 import random
 import re
@@ -323,29 +324,28 @@ def test_nearest_recall_over_several_shards(spark, monkeypatch):
 
 # decontamination
 
-def test_candidate_recall_at_the_allowed_edits():
+PLACES = {"head": (0, 0.35), "first half": (0, 0.5), "middle": (0.25, 0.75), "tail": (0.6, 1), "spread": (0, 1)}
+
+
+@pytest.mark.parametrize("length", [*range(7, 41), 47, 54, 60, 64, 65, 80, 100, 200, 500, "mixed"])
+def test_recall_at_the_allowed_edits_by_length_and_place(length):
+    """Words replaced, inserted and deleted in each part of the item; one pooled index a length, and one of all lengths together."""
     rng = np.random.default_rng(5)
-    vocab = decontaminate.mix(np.arange(1, 3001, dtype=np.uint64))
-    p = 1 / np.arange(1, 3001)
-    p /= p.sum()
-    draw = lambda n: vocab[rng.choice(3000, n, p=p)]
-    items = [draw(rng.integers(8, 75)) for _ in range(100)]
-    index = decontaminate.Index(list(range(100)), items)
-    hit = {0.0: 0, 1.0: 0}
-    for share in hit:
-        for i, w in enumerate(items):
-            x = list(w)
-            for _ in range(int(decontaminate.allowed(len(w)) * share)):
-                k, at = rng.integers(3), rng.integers(len(x))
-                if k == 0:
-                    x[at] = draw(1)[0]
-                elif k == 1:
-                    x.insert(at, draw(1)[0])
-                else:
-                    del x[at]
-            d = np.concatenate([draw(50), np.array(x, np.uint64), draw(50)])
-            hit[share] += any(r[1] == i for r in index.verified(d, np.array([0, len(d)])))
-    assert hit[0.0] == 100 and hit[1.0] >= 90
+    draw = lambda n: decontaminate.mix(rng.integers(1, 1 << 62, n).astype(np.uint64))
+    trials = 50 if length == "mixed" else 30 if length < 100 else 12
+    items = [draw(n) for n in (rng.integers(7, 101, trials) if length == "mixed" else [length] * trials)]
+    index = decontaminate.Index(list(range(trials)), items)
+    for (place, (lo, hi)), kind in itertools.product(PLACES.items(), ("replaced", "inserted", "deleted")):
+        texts = []
+        for w in items:
+            k, x = decontaminate.allowed(len(w)), list(w)
+            a = min(int(lo * len(w)), len(w) - k)
+            for at in sorted(rng.choice(np.arange(a, max(a + k, int(hi * len(w)))), k, replace=False), reverse=True):
+                x[at : at + (kind != "inserted")] = [] if kind == "deleted" else draw(1).tolist()
+            texts.append(np.concatenate([draw(20), np.array(x, np.uint64), draw(20)]))
+        first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        found = {(r[0], r[1]) for r in index.verified(np.concatenate(texts), first) if r[2] <= decontaminate.allowed(len(items[r[1]]))}
+        assert sum((i, i) in found for i in range(trials)) >= 0.9 * trials, (place, kind)
 
 
 def test_long_items_are_found_wherever_the_edits_are():
@@ -533,15 +533,12 @@ def test_substrings_against_brute_force(spark, awkward, empty, clashing):
     seen, gone = {}, defaultdict(set)
     for d, t in enumerate(texts):
         ss = [s for s in re.split(r"(?<=\.)\s+", t) if s]
-        for i in range(len(ss)):
-            j, n = i, 0
-            while j < len(ss) and (j - i < 2 or n < substrings.SPAN_WORDS):
-                n += len(ss[j].split())
-                j += 1
-            if j - i >= 2 and n >= substrings.SPAN_WORDS:
-                key = tuple(" ".join(ss[i:j]).lower().split())
+        for i, k in itertools.product(range(len(ss)), (2, 3)):
+            run = ss[i : i + k]
+            if len(run) == k and (k == 3 or len(" ".join(run).split()) >= substrings.SPAN_WORDS):
+                key = tuple(" ".join(run).lower().split())
                 if key in seen:
-                    gone[d].update(range(i, j))
+                    gone[d].update(range(i, i + k))
                 seen.setdefault(key, (d, i))
         assert got[d].n_sentences == len(ss) and got[d].n_removed == len(gone[d])
         assert got[d].text.split() == [w for i, s in enumerate(ss) if i not in gone[d] for w in s.split()]
@@ -550,6 +547,15 @@ def test_substrings_against_brute_force(spark, awkward, empty, clashing):
     assert len(out) == len(AWKWARD) and {x.doc_id: x.text for x in out}[1] is None
 
 
+def test_three_short_sentences_are_a_run(spark):
+    r = random.Random(3)
+    some = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(5)) + "."
+    shared = [some() for _ in range(3)]
+    rows = [(d, " ".join([some(), some(), *shared, some(), some()])) for d in range(6)]
+    got = substrings.dedup_substrings(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.n_removed for x in got} == {d: 3 * (d > 0) for d in range(6)}
+
+
 def test_passages_spliced_into_sentences_are_found_at_any_offset(spark):
     r = random.Random(8)
     some = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]

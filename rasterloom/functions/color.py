@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -119,31 +120,53 @@ def _lum(c: RGB) -> Column:
 NON_SEPARABLE = {"hue": ("s", "d", "d"), "saturation": ("d", "s", "d"), "color": ("s", None, "d"), "luminosity": ("d", None, "s")}
 
 
-def over_non_separable(rows: DataFrame, src: tuple[Column, ...], opacity: Column, dst: tuple[Column, ...], mode: str) -> DataFrame:
-    """rows with out_r to out_a, composited as over() does.
+def _clipped(rows: DataFrame) -> DataFrame:
+    """Colours _ur, _ug, _ub brought into 0..1 toward their own lightness, first from below, then from above."""
+    rgb = tuple(F.col(f"_u{c}") for c in "rgb")
+    for low in (True, False):
+        rows = rows.withColumns({"_l": _lum(rgb), "_k": F.least(*rgb) if low else F.greatest(*rgb)})
+        l, k = F.col("_l"), F.col("_k")
+        rows = rows.withColumns({f"_u{c}": F.when(k < 0, l + F.try_divide((v - l) * l, l - k)).otherwise(v) if low else F.when(k > 1, l + F.try_divide((v - l) * (1 - l), k - l)).otherwise(v) for c, v in zip("rgb", rgb, strict=True)})
+    return rows
+
 
-    Each step is a projection of its own: as one expression the generated code is too large.
+def over_modes(rows: DataFrame, src: tuple[Column, ...], opacity: Column, dst: tuple[Column, ...], modes: Iterable[str]) -> DataFrame:
+    """rows with mode and out_r to out_a, a row for each of these modes, composited as over() does.
+
+    The mode is a column, so a blend is a branch of one expression and the compositing around
+    it is there once: the generated code stays small however many modes there are. What is
+    used more than once is a projection of its own.
     """
-    base, sat, lum = NON_SEPARABLE[mode]
+    modes = list(modes)
+    number, named = {m: i for i, m in enumerate(modes)}, F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(i).alias("_m")) for i, m in enumerate(modes)))
+    kept = rows.columns
     rgb = lambda k: tuple(F.col(f"_{k}{c}") for c in "rgb")
-    rows = rows.withColumns({f"_{k}{c}": (v / 255.0) for k, vs in (("s", src), ("d", dst)) for c, v in zip("rgb", vs[:3], strict=True)} | {"_sa": src[3] / 255.0 * opacity, "_da": dst[3] / 255.0})
-    if sat:
-        rows = rows.withColumns({"_lo": F.least(*rgb(base)), "_hi": F.greatest(*rgb(base)), "_sat": F.greatest(*rgb(sat)) - F.least(*rgb(sat))})
-        rows = rows.withColumns({f"_u{c}": F.when(F.col("_hi") > F.col("_lo"), F.try_divide((v - F.col("_lo")) * F.col("_sat"), F.col("_hi") - F.col("_lo"))).otherwise(0.0) for c, v in zip("rgb", rgb(base), strict=True)})
-    else:
-        rows = rows.withColumns({f"_u{c}": v for c, v in zip("rgb", rgb(base), strict=True)})
-    rows = rows.withColumn("_e", _lum(rgb(lum)) - _lum(rgb("u")))
-    rows = rows.withColumns({f"_u{c}": F.col(f"_u{c}") + F.col("_e") for c in "rgb"})
-    for low in (True, False):
-        rows = rows.withColumns({"_l": _lum(rgb("u")), "_k": F.least(*rgb("u")) if low else F.greatest(*rgb("u"))})
-        l, k = F.col("_l"), F.col("_k")
-        rows = rows.withColumns({f"_u{c}": F.when(k < 0, l + F.try_divide((v - l) * l, l - k)).otherwise(v) if low else F.when(k > 1, l + F.try_divide((v - l) * (1 - l), k - l)).otherwise(v) for c, v in zip("rgb", rgb("u"), strict=True)})
+    known = lambda v: F.coalesce(v, F.lit(0.0))  # noqa: E731  columns that are never null need no checks in the generated code
+    rows = rows.withColumns({f"_{k}{c}": known(v / 255.0) for k, vs in (("s", src), ("d", dst)) for c, v in zip("rgb", vs[:3], strict=True)} | {"_sa": known(src[3] / 255.0 * opacity), "_da": known(dst[3] / 255.0)})
+    rows = rows.withColumn("_o", F.col("_sa") + F.col("_da") * (1 - F.col("_sa"))).select("*", F.inline(named))
+    among = lambda ms: F.col("_m").isin([number[m] for m in ms if m in number])
+    apart = [m for m in modes if m in NON_SEPARABLE]
+    if apart:
+        pick = lambda part: tuple(F.when(among(m for m in apart if NON_SEPARABLE[m][part] == "s"), s).otherwise(d) for s, d in zip(rgb("s"), rgb("d"), strict=True))
+        rows = rows.withColumns({f"_{n}{c}": v for n, part in (("b", 0), ("t", 1), ("w", 2)) for c, v in zip("rgb", pick(part), strict=True)})
+        rows = rows.withColumns({"_lo": F.least(*rgb("b")), "_hi": F.greatest(*rgb("b")), "_sat": F.greatest(*rgb("t")) - F.least(*rgb("t"))})
+        spread = lambda v: F.when(F.col("_hi") > F.col("_lo"), F.try_divide((v - F.col("_lo")) * F.col("_sat"), F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+        rows = rows.withColumns({f"_u{c}": F.when(among(m for m in apart if NON_SEPARABLE[m][1]), spread(v)).otherwise(v) for c, v in zip("rgb", rgb("b"), strict=True)})
+        rows = rows.withColumn("_e", _lum(rgb("w")) - _lum(rgb("u")))
+        rows = _clipped(rows.withColumns({f"_u{c}": F.col(f"_u{c}") + F.col("_e") for c in "rgb"}))
+    blended = {}
+    for c in "rgb":
+        d, s = F.col(f"_d{c}"), F.col(f"_s{c}")
+        e = F.when(F.lit(False), s)
+        for m in modes:
+            if m in SEPARABLE:
+                e = e.when(F.col("_m") == number[m], SEPARABLE[m](d, s))
+        blended[f"_v{c}"] = e.otherwise(F.col(f"_u{c}") if apart else s)
+    rows = rows.withColumns(blended)
     sa, da = F.col("_sa"), F.col("_da")
-    rows = rows.withColumn("_o", sa + da * (1 - sa))
-    mixed = {c: F.when(da > 0, ((1 - da) * s + da * u) * 255).otherwise(s * 255) for c, s, u in zip("rgb", rgb("s"), rgb("u"), strict=True)}
+    mixed = {c: F.when(da > 0, ((1 - da) * s + da * v) * 255).otherwise(s * 255) for c, s, v in zip("rgb", rgb("s"), rgb("v"), strict=True)}
     out = {f"out_{c}": half_up(F.try_divide(mixed[c] * sa + F.col(f"_d{c}") * 255 * da * (1 - sa), F.col("_o"))) for c in "rgb"} | {"out_a": half_up(F.col("_o") * 255)}
-    rows = rows.withColumns({n: F.when(F.col("_o") <= 0, 0).otherwise(v).cast("int") for n, v in out.items()})
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+    return rows.withColumns({n: F.when(F.col("_o") <= 0, 0).otherwise(v).cast("int") for n, v in out.items()}).select(*kept, "mode", *out)
 
 
 MODES = ("normal", *SEPARABLE, *NON_SEPARABLE)

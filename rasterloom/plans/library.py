@@ -69,8 +69,8 @@ def _merge(n: int, src: str, opacity: float, mode: str, into: str, base: str | N
 
 def grouped_sprites(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """Sprites, their layers, cels and buffers: a group, clips, a linked cel, and layers that do not show."""
-    px = pixels(spark, d).where("x < 24 AND y < 20")
-    sprites = px.select(F.col("image_id").alias("sprite_id")).distinct().withColumns({"width": F.lit(24), "height": F.lit(20)})
+    px = pixels(spark, d)
+    sprites = px.select(F.col("image_id").alias("sprite_id")).distinct().withColumns({"width": F.lit(SIDE), "height": F.lit(SIDE)})
     cel = lambda k: (F.col("image_id") * 8 + k).alias("cel_id")
     buffers = px.select(cel(1), "y", "x", "r", "g", "b", "a").union(px.select(cel(3), "y", "x", "g", "b", "r", 255 - F.col("a"))).union(px.select(cel(4), "y", "x", "b", "r", "g", F.floor(F.col("a") / 2).cast("int")))
     cels = "array(struct(1L, 1, 0, 0, cast(null as int)), (3L, 3, 0, 0, null), (4L, 4, -3, 2, null), (5L, 5, -3, 2, 4), (6L, 1, 0, 0, 1), (7L, 3, 0, 0, 3))"
@@ -82,8 +82,8 @@ def grouped_sprites(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     return sprites, sprites.select("sprite_id").join(F.broadcast(layers)), cels, buffers  # seven layers
 
 
-FLATTENED = f"""WITH {PIXELS}, p AS (SELECT * FROM px WHERE x < 24 AND y < 20), q AS (SELECT image_id, y + 2 y, x - 3 x, b r, r g, g b, a // 2 a FROM p),
-g AS (SELECT DISTINCT image_id FROM p), canvas AS (SELECT image_id, y::INT y, x::INT x FROM g, range(20) _(y), range(24) _(x)),
+FLATTENED = f"""WITH {PIXELS}, p AS (SELECT * FROM px), q AS (SELECT image_id, y + 2 y, x - 3 x, b r, r g, g b, a // 2 a FROM p),
+g AS (SELECT DISTINCT image_id FROM p), canvas AS (SELECT image_id, y::INT y, x::INT x FROM g, range(64) _(y), range(64) _(x)),
 f0 AS (SELECT c.image_id, c.y, c.x, {', '.join(f'coalesce(p.{c}, 0)::DOUBLE p{c}' for c in 'rgba')}, coalesce(p.g, 0)::DOUBLE sr, coalesce(p.b, 0)::DOUBLE sg, coalesce(p.r, 0)::DOUBLE sb, coalesce(255 - p.a, 0)::DOUBLE sa,
   {', '.join(f'coalesce(q.{c}, 0)::DOUBLE q{c}' for c in 'rgba')}, {', '.join(f'0::DOUBLE g{c}, 0::DOUBLE u{c}' for c in 'rgba')} FROM canvas c LEFT JOIN p USING (image_id, y, x) LEFT JOIN q USING (image_id, y, x)),
 {_merge(0, 's', 0.9, 'normal', 'g')}, {_merge(1, 'q', 0.8, 'screen', 'g', 'floor(sa * 0.9::DOUBLE + 0.5)')},

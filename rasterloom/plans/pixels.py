@@ -212,8 +212,12 @@ _ST = "st AS (SELECT image_id, y, x, g / 255.0::DOUBLE sr, b / 255.0::DOUBLE sg,
 @query(f"WITH {PIXELS}, {_ST} " + " UNION ALL ".join(_over_sql(m) for m in ("normal", *_SEP)))
 def composite_separable(spark: SparkSession, d: str) -> DataFrame:
     px, src, dst = _pair(spark, d)
-    modes = F.array(*(F.struct(F.lit(m).alias("mode"), *(c.alias(n) for c, n in zip(C.over(src, F.lit(0.75), dst, m), "rgba"))) for m in ("normal", *C.SEPARABLE)))
-    return px.select("image_id", "y", "x", F.inline(modes))
+    return _all_modes(px, src, dst, ("normal", *C.SEPARABLE))
+
+
+def _all_modes(px: DataFrame, src: tuple, dst: tuple, modes: tuple[str, ...]) -> DataFrame:
+    out = C.over_modes(px, src, F.lit(0.75), dst, modes)
+    return out.select("image_id", "y", "x", "mode", *(F.col(f"out_{n}").alias(n) for n in "rgba"))
 
 
 _LUM = "(0.3::DOUBLE * {0} + 0.59::DOUBLE * {1} + 0.11::DOUBLE * {2})"
@@ -238,10 +242,7 @@ def _non_sql(mode: str) -> str:
 @query(f"WITH {PIXELS}, {_ST}, " + ", ".join(_non_sql(m) for m in C.NON_SEPARABLE) + " " + " UNION ALL ".join(f"SELECT * FROM {m}" for m in C.NON_SEPARABLE))
 def composite_non_separable(spark: SparkSession, d: str) -> DataFrame:
     px, src, dst = _pair(spark, d)
-    out = px
-    for m in C.NON_SEPARABLE:
-        out = C.over_non_separable(out, src, F.lit(0.75), dst, m).withColumn(f"as_{m}", F.struct(F.lit(m).alias("mode"), *(F.col(f"out_{n}").alias(n) for n in "rgba")))
-    return out.select("image_id", "y", "x", F.inline(F.array(*(F.col(f"as_{m}") for m in C.NON_SEPARABLE))))
+    return _all_modes(px, src, dst, tuple(C.NON_SEPARABLE))
 
 
 @query(f"WITH {PIXELS} SELECT image_id, y, x, printf('#%02x%02x%02x', r, g, b) hex FROM px")

@@ -31,14 +31,24 @@ def test_blends_are_those_of_the_columns(spark, mode):
     rows = [(int(i), *map(int, s), *map(int, t)) for i, (s, t) in enumerate(zip(src.reshape(-1, 4), dst.reshape(-1, 4)))]
     df = spark.createDataFrame(rows, "i int, sr int, sg int, sb int, sa int, dr int, dg int, db int, da int")
     s, t = (tuple(F.col(f"{k}{c}") for c in "rgba") for k in "sd")
-    if mode in C.NON_SEPARABLE:
-        got = C.over_non_separable(df, s, F.lit(0.7), t, mode).select("i", *(f"out_{c}" for c in "rgba"))
-    else:
-        got = df.select("i", *C.over(s, F.lit(0.7), t, mode))
+    got = C.over_modes(df, s, F.lit(0.7), t, [mode]).select("i", *(f"out_{c}" for c in "rgba"))
+    assert mode in C.NON_SEPARABLE or got.exceptAll(df.select("i", *C.over(s, F.lit(0.7), t, mode))).count() == 0
     want = K.over(src, 0.7, dst, mode).reshape(-1, 4)
     assert [list(r[1:]) for r in got.orderBy("i").collect()] == want.astype(int).tolist()
 
 
+@pytest.mark.parametrize("name", ["composite_separable", "composite_non_separable", "oklab_roundtrip"])
+def test_generated_code_is_compiled(spark, name):
+    """Methods of more than 8,000 bytes are never compiled by the JVM, and of more than 64 KB not even loaded."""
+    from rasterloom.plans import QUERIES
+
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    stages = debug.codegenStringSeq(plan)
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and 0 < max(sizes) < 8000, sizes
+
+
 def test_rings_go_by_steps_from_the_silhouette():
     px = some(3)
     seen = px[..., 3] > 0
@@ -84,18 +94,45 @@ def test_hsv_columns_and_arrays_agree(spark):
     assert got == K.with_effects(px, [EMPTY | {"kind": "hsv-shift", "h": -200.0, "s": 20.0, "v": -15.0}]).reshape(-1, 4).astype(int).tolist()
 
 
-def test_a_clip_without_a_base_shows_nothing_and_groups_are_units(spark):
+def flattened(spark, layers, content, shape=(7, 9)):
+    """K.flatten of one sprite with a frame, whose raster layers have the contents."""
+    h, w = shape
+    sprites = spark.createDataFrame([(1, w, h)], "sprite_id long, width int, height int")
+    rows = [(1, *(x[c] for c in "z layer_id parent_id kind visible opacity blend clipping effects".split())) for x in layers]
+    tree = spark.createDataFrame(rows, f"sprite_id long, z int, layer_id long, parent_id long, kind string, visible boolean, opacity double, blend string, clipping boolean, effects array<{K.EFFECT}>")
+    cels = spark.createDataFrame([(1, 1, x["layer_id"], x["layer_id"], 0, 0, None) for x in layers if x["kind"] != "group"], "sprite_id long, frame_id long, layer_id long, cel_id long, x int, y int, linked_to long")
+    held = [(k, y, x, *map(int, v[y, x])) for k, v in content.items() for y in range(h) for x in range(w) if v[y, x].any()]
+    px = spark.createDataFrame(held, "cel_id long, y int, x int, r int, g int, b int, a int")
+    out = np.zeros((h, w, 4))
+    for r in K.flatten(sprites, tree, cels, px).collect():
+        out[r.y, r.x] = r.r, r.g, r.b, r.a
+    return out
+
+
+def test_a_clip_without_a_base_shows_nothing_and_groups_are_units(spark, monkeypatch):
     px = {1: some(6), 2: some(7), 3: some(8)}
     layer = lambda k, z, parent=None, kind="raster", **more: {"layer_id": k, "z": z, "parent_id": parent, "kind": kind, "visible": True, "opacity": 1.0, "blend": "normal", "clipping": False, "effects": None} | more
-    flat = lambda *layers: K.flatten_scope(list(layers), px, (7, 9))
+    flat = lambda *layers: flattened(spark, layers, px)
     assert (flat(layer(1, 0, clipping=True)) == 0).all()
     assert (flat(layer(1, 0, visible=False), layer(2, 1, clipping=True)) == 0).all()
     one = K.over(px[2], 1.0, K.over(px[1], 1.0, np.zeros((7, 9, 4))))
-    assert (flat(layer(9, 0, kind="group", opacity=0.5), layer(1, 0, 9), layer(2, 1, 9)) == np.where(one[..., 3:] > 0, K.over(one, 0.5, np.zeros((7, 9, 4))), 0)).all()
+    half = np.where(one[..., 3:] > 0, K.over(one, 0.5, np.zeros((7, 9, 4))), 0)
+    assert (flat(layer(9, 0, kind="group", opacity=0.5), layer(1, 0, 9), layer(2, 1, 9)) == half).all()
     # a clip in a group does not see layers outside it
-    assert (flat(layer(1, 0), layer(9, 1, kind="group"), layer(2, 0, 9, clipping=True)) == flat(layer(1, 0))).all()
+    alone = flat(layer(1, 0))
+    assert (flat(layer(1, 0), layer(9, 1, kind="group"), layer(2, 0, 9, clipping=True)) == alone).all()
     deep = [layer(100, 0, kind="group"), *(layer(100 + k, 0, 99 + k, kind="group") for k in range(1, 60)), layer(3, 0, 159)]
-    assert (flat(*deep) == flat(layer(3, 0))).all()
+    assert (flat(*deep) == K.over(px[3], 1.0, np.zeros((7, 9, 4)))).all()
+    # a layer below no root, and one whose ancestors run in a circle, show nowhere
+    assert (flat(layer(1, 0), layer(2, 0, 77), layer(50, 0, 51, kind="group"), layer(51, 0, 50, kind="group"), layer(3, 0, 50)) == alone).all()
+    # blocks: without effects a pixel hangs on its own place only
+    tree = [layer(9, 0, kind="group", opacity=0.5, blend="multiply"), layer(1, 0, 9), layer(2, 1, 9, clipping=True, opacity=0.7), layer(3, 1, blend="hue")]
+    whole = flat(*tree)
+    monkeypatch.setattr(K, "BLOCK", 4)
+    assert (flat(*tree) == whole).all()
+    ring = [{"kind": "outline", "enabled": True, "color": [1, 2, 3, 255], "thickness": 2, "corners": True, "dx": 0, "dy": 0, "h": 0.0, "s": 0.0, "v": 0.0, "palette": None}]
+    edged = flat(layer(1, 0, effects=ring))
+    assert (edged == K.over(K.with_effects(px[1], ring), 1.0, np.zeros((7, 9, 4)))).all()
 
 
 def test_scales_sheets_and_tiles(spark):

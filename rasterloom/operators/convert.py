@@ -24,6 +24,9 @@ class Settings:
     dither: str = "none"  # none, bayer2, bayer4, bayer8, floyd-steinberg, atkinson
     strength: float = 1.0
     background: float | None = None  # tolerance of the flood fill
+    mask_threshold: int | None = None  # of what the flood fill leaves, made all or nothing
+    mask_close: int = 0
+    mask_feather: int = 0
     crop: tuple[int, int, int, int] | None = None  # x, y, width, height
     brightness: float = 0.0
     contrast: float = 0.0
@@ -73,7 +76,7 @@ def render(idx: DataFrame, palette: DataFrame) -> DataFrame:
 def prepare(px: DataFrame, s: Settings, width: int, height: int) -> DataFrame:
     """The images as they are when their colours are chosen: without background, cut, adjusted, downscaled."""
     if s.background is not None:
-        px = K.remove_background(px, s.background)
+        px = R.post_process(K.remove_background(px, s.background), s.mask_threshold, s.mask_close, s.mask_feather)
     if s.crop:
         px = crop(px, *s.crop, width, height)
         (x, y, w, h), (left, top) = s.crop, (max(0, int(s.crop[0])), max(0, int(s.crop[1])))

@@ -9,7 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.color import FROM_LAB, FROM_LMS, TO_LAB, TO_LMS
@@ -37,20 +37,62 @@ def reach(allowed: np.ndarray, seed: tuple[int, int]) -> np.ndarray:
     return label == label[seed] if allowed[seed] else np.zeros_like(allowed)
 
 
+def without_background(img: np.ndarray, has: np.ndarray, tolerance: float) -> np.ndarray:
+    """What is reached from the four corners through colours within tolerance of the corner's."""
+    lab = oklab(img)
+    gone = np.zeros(has.shape, bool)
+    h, w = has.shape
+    for seed in ((0, 0), (0, w - 1), (h - 1, 0), (h - 1, w - 1)):
+        if gone[seed] or not has[seed]:
+            continue
+        near = ((lab - lab[seed]) ** 2).sum(2) <= tolerance * tolerance + EPSILON
+        gone |= reach(near & has & ~gone, seed)
+    return gone
+
+
 def remove_background(px: DataFrame, tolerance: float) -> DataFrame:
-    """Alpha 0 for what is reached from the four corners through colours within tolerance of the corner's."""
+    """Alpha 0 for the background within tolerance of the corners' colours."""
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x, img, has = _grid(pdf, ["r", "g", "b"])
-        lab = oklab(img)
-        gone = np.zeros(has.shape, bool)
-        h, w = has.shape
-        for seed in ((0, 0), (0, w - 1), (h - 1, 0), (h - 1, w - 1)):
-            if gone[seed] or not has[seed]:
-                continue
-            near = ((lab - lab[seed]) ** 2).sum(2) <= tolerance * tolerance + EPSILON
-            gone |= reach(near & has & ~gone, seed)
-        return pdf.assign(a=np.where(gone[y, x], 0, pdf["a"]))
+        return pdf.assign(a=np.where(without_background(img, has, tolerance)[y, x], 0, pdf["a"]))
+
+    return px.groupBy("image_id").applyInPandas(f, px.schema)
+
+
+def _shifted(a: np.ndarray, dy: int, dx: int, fill: float) -> np.ndarray:
+    out = np.full_like(a, fill)
+    h, w = a.shape
+    out[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)] = a[max(0, -dy) : h + min(0, -dy), max(0, -dx) : w + min(0, -dx)]
+    return out
+
+
+def processed_mask(a: np.ndarray, threshold: int | None, close_by: int, feather_by: int) -> np.ndarray:
+    """As raster.post_process(), for one image's alpha as an array."""
+    if threshold is not None:
+        a = np.where(a < threshold, 0, 255)
+    for best, outside in ((np.maximum, 0), (np.minimum, 255)):
+        for _ in range(close_by):
+            a = best.reduce([a, *(_shifted(a, dy, dx, outside) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0)))])
+    for axis in (1, 0):
+        if feather_by > 0:
+            n = a.shape[axis]
+            sums = np.concatenate([np.zeros_like(a.take([0], axis)), np.cumsum(a, axis)], axis)
+            lo, hi = np.maximum(np.arange(n) - feather_by, 0), np.minimum(np.arange(n) + feather_by, n - 1) + 1
+            size = (hi - lo).reshape((1, -1) if axis else (-1, 1))
+            a = np.floor((sums.take(hi, axis) - sums.take(lo, axis)) / size + 0.5).astype(a.dtype)
+    return a
+
+
+def cut_out(px: DataFrame, tolerance: str, threshold: str, close_by: str, feather_by: str) -> DataFrame:
+    """Backgrounds removed and masks processed, by columns that are the same over an image."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x, img, has = _grid(pdf, ["r", "g", "b", "a"])
+        one = pdf.iloc[0]
+        a = np.where(without_background(img[..., :3], has, float(one[tolerance])), 0, img[..., 3])
+        a = processed_mask(a, None if pd.isna(one[threshold]) else int(one[threshold]), int(one[close_by]), int(one[feather_by]))
+        return pdf.assign(a=a[y, x].astype(pdf["a"].dtype))
 
     return px.groupBy("image_id").applyInPandas(f, px.schema)
 
@@ -76,15 +118,15 @@ def components(value: np.ndarray, has: np.ndarray) -> np.ndarray:
     return np.where(has, label.reshape(h, w), -1)
 
 
-def despeckle(idx: DataFrame, area: int) -> DataFrame:
-    """Components of equal idx with at most area pixels take the commonest idx around them (ties: lowest) of the original."""
+def despeckle(idx: DataFrame, area: int | str) -> DataFrame:
+    """Components of equal idx with at most area pixels take the commonest idx around them (ties: lowest) of the original; area may be a column that is the same over an image."""
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x, img, has = _grid(pdf, ["idx"])
         img = img[..., 0]
         label = components(img, has)
         size = np.bincount(label[has], minlength=label.size)
-        small = has & (size[label] <= area)
+        small = has & (size[label] <= (pdf[area].iloc[0] if isinstance(area, str) else area))
         # pairs (component, idx of a neighbour outside it), one for each pixel side
         of, value = [], []
         for p, q in (((slice(None), slice(1, None)), (slice(None), slice(None, -1))), ((slice(1, None),), (slice(None, -1),))):
@@ -111,7 +153,7 @@ DIFFUSION = {
 }
 
 
-def _diffused(pdf: pd.DataFrame, labs: np.ndarray, kernel: str, strength: float, threshold: int) -> pd.DataFrame:
+def diffused(pdf: pd.DataFrame, labs: np.ndarray, kernel: str, strength: float, threshold: int) -> pd.DataFrame:
     """A pixel's colour hangs on all before it, so the pass is one of plain numbers, row by row; margins take what leaves the image."""
     terms, turns = DIFFUSION[kernel]
     y, x, img, has = _grid(pdf, ["r", "g", "b", "a"])
@@ -154,7 +196,7 @@ def _diffused(pdf: pd.DataFrame, labs: np.ndarray, kernel: str, strength: float,
 def diffuse(px: DataFrame, palette: list[tuple[int, int, int]], kernel: str, strength: float = 1.0, threshold: int = 128) -> DataFrame:
     """Quantise with error diffusion in Oklab; transparent pixels pass nothing on."""
     labs = np.array([lab_of(c) for c in palette])
-    return px.groupBy("image_id").applyInPandas(lambda pdf: _diffused(pdf, labs, kernel, strength, threshold), "image_id long, y int, x int, idx int")
+    return px.groupBy("image_id").applyInPandas(lambda pdf: diffused(pdf, labs, kernel, strength, threshold), "image_id long, y int, x int, idx int")
 
 
 def diffuse_own(px: DataFrame, palettes: DataFrame, kernel: str, strength: float = 1.0, threshold: int = 128) -> DataFrame:
@@ -164,7 +206,7 @@ def diffuse_own(px: DataFrame, palettes: DataFrame, kernel: str, strength: float
         if not len(pdf):
             return pd.DataFrame({c: [] for c in ("image_id", "y", "x", "idx")})
         labs = np.array([lab_of(c) for c in pal.sort_values("i")[["r", "g", "b"]].itertuples(index=False)]).reshape(-1, 3)
-        return _diffused(pdf, labs if len(labs) else np.zeros((1, 3)), kernel, strength, threshold)
+        return diffused(pdf, labs if len(labs) else np.zeros((1, 3)), kernel, strength, threshold)
 
     return px.groupBy("image_id").cogroup(palettes.groupBy("image_id")).applyInPandas(f, "image_id long, y int, x int, idx int")
 
@@ -245,17 +287,21 @@ def palette_of(rgb: np.ndarray, n: np.ndarray, size: int, rounds: int = 8) -> np
     return np.unique(srgb(middle), axis=0)
 
 
-def auto_palette(px: DataFrame, size: int, rounds: int = 8, threshold: int = 128) -> DataFrame:
-    """At most size colours (image_id, i, r, g, b) per image, sorted, from its distinct opaque colours and their counts; black where none is opaque."""
-    if size < 1:
+def auto_palette(px: DataFrame, size: int | str, rounds: int = 8, threshold: int | Column = 128) -> DataFrame:
+    """At most size colours (image_id, i, r, g, b) per image, sorted, from its distinct opaque colours and their counts; black where none is opaque.
+
+    size may be a column that is the same over an image.
+    """
+    if not isinstance(size, str) and size < 1:
         raise ValueError(f"a palette has at least one colour, not {size}")
     tone = F.when(F.col("a") >= threshold, F.col("r") * 65536 + F.col("g") * 256 + F.col("b"))
-    tones = px.groupBy("image_id", tone.cast("int").alias("tone")).agg(F.count(F.lit(1)).alias("n"))
+    most = F.col(size) if isinstance(size, str) else F.lit(size)
+    tones = px.groupBy("image_id", tone.cast("int").alias("tone")).agg(F.count(F.lit(1)).alias("n"), F.first(most).alias("most"))
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.dropna(subset="tone").sort_values("tone")
         t = own["tone"].to_numpy(np.int64)
-        c = palette_of(np.stack([t >> 16, t >> 8 & 255, t & 255], 1), own["n"].to_numpy(np.float64), size, rounds).astype(np.int32)
+        c = palette_of(np.stack([t >> 16, t >> 8 & 255, t & 255], 1), own["n"].to_numpy(np.float64), int(pdf["most"].iloc[0]), rounds).astype(np.int32)
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "i": np.arange(len(c), dtype=np.int32), "r": c[:, 0], "g": c[:, 1], "b": c[:, 2]})
 
     return tones.groupBy("image_id").applyInPandas(f, "image_id long, i int, r int, g int, b int")

@@ -17,25 +17,28 @@ EPSILON = 1e-9
 TRANSPARENT = 65535
 
 
-def _cells(dst: int, src: int | Column, name: str) -> Column:
-    """All target cells that a source coordinate falls into (more than one only when dst > src); src may differ by row."""
-    cells = F.sequence(F.lit(0), F.lit(dst - 1))
+def _cells(dst: int | Column, src: int | Column, name: str) -> Column:
+    """All target cells that a source coordinate falls into (more than one only when dst > src); both sizes may differ by row."""
+    last = dst - 1 if isinstance(dst, Column) else F.lit(dst - 1)
     start = lambda d: F.floor(d * src / dst)
     end = lambda d: F.greatest(start(d) + 1, F.floor((d + 1) * src / dst))
     # where dst <= src cells partition the source: the last cell whose start is not beyond
     guess = F.floor(F.col(name) * dst / src)
     one = F.array(F.when(start(guess + 1) <= F.col(name), guess + 1).otherwise(guess).cast("int"))
-    many = F.filter(cells, lambda d: (start(d) <= F.col(name)) & (F.col(name) < end(d)))
-    if isinstance(src, Column):
-        return F.when(src >= dst, one).otherwise(many)
+    many = F.filter(F.sequence(F.lit(0), last.cast("int")), lambda d: (start(d) <= F.col(name)) & (F.col(name) < end(d)))
+    if isinstance(src, Column) or isinstance(dst, Column):
+        return F.when(F.lit(src) >= F.lit(dst), one).otherwise(many)
     return one if dst <= src else many
 
 
-def _dealt(px: DataFrame, w: int, h: int, dst_w: int, dst_h: int) -> DataFrame:
+Size = int | Column
+
+
+def _dealt(px: DataFrame, w: Size, h: Size, dst_w: Size, dst_h: Size) -> DataFrame:
     return px.withColumn("cx", F.explode(_cells(dst_w, w, "x"))).withColumn("cy", F.explode(_cells(dst_h, h, "y")))
 
 
-def box_downscale(px: DataFrame, w: int, h: int, dst_w: int, dst_h: int) -> DataFrame:
+def box_downscale(px: DataFrame, w: Size, h: Size, dst_w: Size, dst_h: Size) -> DataFrame:
     """Mean in linear light weighted by alpha; alpha is the plain mean. Sums are of scaled integers, so order does not matter."""
     scaled = lambda c: (half_up(to_linear(F.col(c) / 255.0) * float(1 << 40)) * F.col("a")).cast("long")
     g = _dealt(px, w, h, dst_w, dst_h).groupBy("image_id", F.col("cy").alias("y"), F.col("cx").alias("x"))
@@ -61,20 +64,20 @@ def preview_proxy(px: DataFrame, w: int, h: int, most: int = PROXY_EDGE) -> Data
     return px.select("image_id", "y", "x", "r", "g", "b", "a") if size == (w, h) else box_downscale(px, w, h, *size)
 
 
-def _middles(dst: int, src: int | Column, name: str) -> Column:
+def _middles(dst: Size, src: Size, name: str) -> Column:
     """All target cells whose middle lies in a source coordinate: none, one, or more when dst > src."""
     at = F.col(name)
-    some = F.sequence(F.greatest(F.lit(0), F.floor(at * dst / src) - 1).cast("int"), F.least(F.lit(dst - 1), F.floor((at + 1) * dst / src) + 1).cast("int"))
+    some = F.sequence(F.greatest(F.lit(0), F.floor(at * dst / src) - 1).cast("int"), F.least(F.lit(dst) - 1, F.floor((at + 1) * dst / src) + 1).cast("int"))
     return F.filter(some, lambda c: F.floor((2 * c + 1) * src / (2 * dst)) == at)
 
 
-def nearest_downscale(px: DataFrame, w: int | Column, h: int | Column, dst_w: int, dst_h: int) -> DataFrame:
+def nearest_downscale(px: DataFrame, w: Size, h: Size, dst_w: Size, dst_h: Size) -> DataFrame:
     """The source pixel at the middle of each cell."""
     out = px.withColumn("_cx", F.explode(_middles(dst_w, w, "x"))).withColumn("_cy", F.explode(_middles(dst_h, h, "y")))
     return out.select("image_id", F.col("_cy").alias("y"), F.col("_cx").alias("x"), "r", "g", "b", "a")
 
 
-def dominant_downscale(px: DataFrame, w: int, h: int, dst_w: int, dst_h: int) -> DataFrame:
+def dominant_downscale(px: DataFrame, w: Size, h: Size, dst_w: Size, dst_h: Size) -> DataFrame:
     """The first pixel of each cell's commonest coarse colour (ties: lowest key); alpha is the mean of all."""
     cells = _dealt(px, w, h, dst_w, dst_h).select("image_id", "cy", "cx", F.struct((F.col("y") * w + F.col("x")).alias("p"), "r", "g", "b").alias("first"), coarse_key(F.col("r"), F.col("g"), F.col("b")).alias("key"), "a")
     buckets = cells.groupBy("image_id", "cy", "cx", F.when(F.col("a") > 0, F.col("key")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("s"), F.min("first").alias("first"))
@@ -201,11 +204,29 @@ def erode(px: DataFrame, c: str = "a") -> DataFrame:
     return px.withColumn(c, F.least(F.min(c).over(row_window(1)), F.min(c).over(column_window(1))))
 
 
+def _diamond(px: DataFrame, radius: int, c: str, most: bool) -> DataFrame:
+    """The largest (or smallest) value within so many steps to a side: that of each row's reach, which shrinks by a pixel a row, over the rows around.
+
+    Two shuffles, whatever the radius: the reaches of all lengths are windows over the same sorted rows.
+    """
+    best = F.max if most else F.min
+    px = px.withColumns({f"_r{k}": best(c).over(row_window(k)) for k in range(radius + 1)})
+    column = Window.partitionBy("image_id", "x").orderBy("y")
+    far = [F.col(f"_r{radius}"), *(side(f"_r{radius - d}", d).over(column) for d in range(1, radius + 1) for side in (F.lag, F.lead))]
+    return px.withColumn(c, (F.greatest if most else F.least)(*far) if radius else F.col("_r0")).drop(*(f"_r{k}" for k in range(radius + 1)))
+
+
 def close(px: DataFrame, radius: int, c: str = "a") -> DataFrame:
-    for step in (dilate, erode):
-        for _ in range(radius):
-            px = step(px, c)
-    return px
+    """So many dilations, then as many erosions; outside the image there is nothing to grow from or to eat in from."""
+    return _diamond(_diamond(px, radius, c, True), radius, c, False) if radius > 0 else px
+
+
+def post_process(px: DataFrame, threshold: int | None, close_by: int, feather_by: int) -> DataFrame:
+    """A mask's alpha made all or nothing, its holes closed, its edge softened: each step only if asked for."""
+    if threshold is not None:
+        px = px.withColumn("a", F.when(F.col("a") < threshold, 0).otherwise(255).cast("int"))
+    px = close(px, close_by)
+    return feather(px, feather_by) if feather_by > 0 else px
 
 
 def feather(px: DataFrame, radius: int, c: str = "a") -> DataFrame:

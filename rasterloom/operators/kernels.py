@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.color import FROM_LAB, FROM_LMS, TO_LAB, TO_LMS
+from rasterloom.operators import candidates
 from rasterloom.operators.raster import EPSILON, TRANSPARENT, lab_of
 
 
@@ -153,6 +154,10 @@ DIFFUSION = {
 }
 
 
+#: Comparisons of an image from which on it pays to make a palette's lists.
+LISTS_FROM = 200_000
+
+
 def diffused(pdf: pd.DataFrame, labs: np.ndarray, kernel: str, strength: float, threshold: int) -> pd.DataFrame:
     """A pixel's colour hangs on all before it, so the pass is one of plain numbers, row by row; margins take what leaves the image."""
     terms, turns = DIFFUSION[kernel]
@@ -165,6 +170,9 @@ def diffused(pdf: pd.DataFrame, labs: np.ndarray, kernel: str, strength: float,
     ahead = [[channel[i].tolist() for channel in lab] for i in range(depth + 1)]
     shown = has & (img[..., 3] >= threshold)
     entries, out = [(k, *map(float, e)) for k, e in enumerate(labs)], np.full((h, w + 2 * pad), TRANSPARENT)
+    lists = candidates.of(labs) if len(labs) >= candidates.WORTH and len(labs) * h * w >= LISTS_FROM else None
+    held: dict[int, list] = {}
+    side, (low0, low1, low2), (step0, step1, step2) = candidates.SIDE, candidates.LOW.tolist(), candidates.STEP.tolist()
     for i in range(h):
         step = -1 if turns and i % 2 else 1
         l, p, q = ahead[0]
@@ -172,7 +180,15 @@ def diffused(pdf: pd.DataFrame, labs: np.ndarray, kernel: str, strength: float,
         row = out[i].tolist()
         for j in (np.flatnonzero(shown[i]) + pad).tolist()[::step]:
             l0, p0, q0, best, least = l[j], p[j], q[j], None, math.inf
-            for e in entries:
+            among = entries
+            if lists:
+                x0, x1, x2 = (l0 - low0) / step0, (p0 - low1) / step1, (q0 - low2) / step2
+                if 0 <= x0 < side and 0 <= x1 < side and 0 <= x2 < side:
+                    cell = (int(x0) * side + int(x1)) * side + int(x2)
+                    among = held.get(cell)
+                    if among is None:
+                        among = held[cell] = [entries[k] for k in lists.members[lists.first[cell] : lists.first[cell + 1]]]
+            for e in among:
                 d = e[1] - l0
                 d *= d
                 if d < least:

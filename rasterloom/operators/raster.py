@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.color import TO_LAB, TO_LMS, coarse_key, from_linear, half_up, to_linear, with_oklab
+from rasterloom.operators import candidates
 
 #: A candidate must be nearer than the best so far by more than this.
 EPSILON = 1e-9
@@ -98,10 +99,11 @@ def lab_of(color: tuple[int, int, int]) -> tuple[float, float, float]:
 
 
 def _index_of(palette: list[tuple[int, int, int]], space: str):
-    """Arrow function (tone, shift) -> index of the nearest entry; each distinct pair of a batch is compared once, entry by entry over all of them."""
+    """Arrow function (tone, shift) -> index of the nearest entry; each distinct pair of a batch is compared once, with the entries that can be nearest."""
     to_lms, to_lab = np.array(TO_LMS).T, np.array(TO_LAB).T
     entries = np.array([lab_of(c) for c in palette] if space == "oklab" else palette, np.float64)
     epsilon = EPSILON if space == "oklab" else 0.0
+    lists = candidates.of(entries) if space == "oklab" and len(entries) >= candidates.WORTH else None
 
     def f(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for tone, shift in batches:
@@ -116,11 +118,14 @@ def _index_of(palette: list[tuple[int, int, int]], space: str):
                 c = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
                 c = np.cbrt(c @ to_lms) @ to_lab
                 c[:, 0] += s
-            best, d = np.zeros(len(c), np.int32), np.full(len(c), np.inf)
-            for i, e in enumerate(entries):
-                x = ((c - e) ** 2).sum(1)
-                nearer = x < d - epsilon
-                best[nearer], d[nearer] = i, x[nearer]
+            if lists is not None:
+                best = lists.nearest(c)
+            else:
+                best, d = np.zeros(len(c), np.int32), np.full(len(c), np.inf)
+                for i, e in enumerate(entries):
+                    x = ((c - e) ** 2).sum(1)
+                    nearer = x < d - epsilon
+                    best[nearer], d[nearer] = i, x[nearer]
             out = np.empty(len(order), np.int32)
             out[order] = best[np.cumsum(new) - 1]
             yield pd.Series(out)

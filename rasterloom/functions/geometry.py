@@ -31,6 +31,21 @@ def cell_origin(shape: str, col: Column, row: Column, tw: int, th: int, ox: int
     return ox + col * tw, oy + row * th
 
 
+def grid_size(shape: str, w: Column, h: Column, tw: int, th: int, ox: int = 0, oy: int = 0) -> tuple[Column, Column]:
+    """Cells along the first row and down the first column whose boxes lie on the canvas, up to the first that does not, however many."""
+    fit = lambda room, step: F.greatest(F.lit(0), F.floor(room / step) + 1)  # noqa: E731  places 0, step, 2 step, ... within room
+    across, down = w - ox - tw, h - oy - th
+    first = F.lit(ox >= 0 and oy >= 0) & (across >= 0) & (down >= 0)
+    if shape == "isometric":
+        # to the right cells also go down, and down they also go to the left
+        cols, rows = F.least(fit(across, tw / 2), fit(down, th / 2)), F.least(fit(F.lit(float(ox)), tw / 2), fit(down, th / 2))
+    elif shape == "hexagonal":
+        cols, rows = fit(across, tw), F.when(across >= tw / 2, fit(down, th * HEX_STEP)).otherwise(F.least(F.lit(1), fit(down, th * HEX_STEP)))
+    else:
+        cols, rows = fit(across, tw), fit(down, th)
+    return F.when(first, cols).otherwise(0).cast("long"), F.when(first, rows).otherwise(0).cast("long")
+
+
 def pixel_to_cell(shape: str, x: Column, y: Column, tw: int, th: int, ox: int = 0, oy: int = 0) -> tuple[Column, Column]:
     """Cell of a pixel; for hexagons the nearest middle of nine, the first in scan order among equals."""
     if shape == "isometric":

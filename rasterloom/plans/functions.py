@@ -149,13 +149,7 @@ def grid_sizes(spark: SparkSession, d: str) -> DataFrame:
     sizes = _t(spark, d, "part").select((20 + F.col("p_partkey") % 300).cast("int").alias("w"), (20 + F.col("p_size") * 5).cast("int").alias("h")).distinct()
     out = None
     for shape in ("rect", "isometric", "hexagonal"):
-        def fits(col, row, shape=shape):
-            x, y = G.cell_origin(shape, col, row, 16, 12)
-            return (x >= 0) & (y >= 0) & (x + 16 <= F.col("w")) & (y + 12 <= F.col("h"))
-
-        far = F.sequence(F.lit(0), F.lit(399))
-        first = lambda miss: F.coalesce(F.array_min(miss), F.lit(400)).cast("long")
-        cols, rows = first(F.filter(far, lambda c: ~fits(c, F.lit(0)))), first(F.filter(far, lambda r: ~fits(F.lit(0), r)))
+        cols, rows = G.grid_size(shape, F.col("w"), F.col("h"), 16, 12)
         part = sizes.select(F.lit(shape).alias("shape"), "w", "h", cols.alias("cols"), rows.alias("rows_"))
         out = part if out is None else out.union(part)
     return out

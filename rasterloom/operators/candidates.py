@@ -84,8 +84,15 @@ def plain_nearest(lab: np.ndarray, entries: np.ndarray) -> np.ndarray:
     return best
 
 
-#: Lists that this process has made, by palette; the oldest goes when there are more than KEPT.
-_MADE: dict[bytes, Candidates] = {}
+class _Made(dict):
+    """Lists that a process has made, by palette; they stay behind when functions that use them are sent to workers."""
+
+    def __reduce__(self) -> tuple:
+        return _Made, ()
+
+
+_MADE = _Made()
+#: Lists kept; the oldest goes when there are more.
 KEPT = 64
 
 

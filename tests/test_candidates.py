@@ -5,6 +5,7 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from rasterloom.operators import candidates as N
@@ -66,6 +67,7 @@ def test_lists_are_kept_within_bounds():
     for k in range(N.KEPT + 5):
         N.of(np.array([[k / 100, 0.0, 0.0]] * 2))
     assert len(N._MADE) <= N.KEPT
+    assert len(cloudpickle.dumps(N.of)) < 50_000  # what is kept does not travel with functions
     began = time.perf_counter()
     N.of(np.array([R.lab_of(c) for c in palette(256)]))
     assert time.perf_counter() - began < 20

@@ -16,7 +16,8 @@ vectors; each query's K best over all shards remain, ties to the smaller vec_id.
 
 Defined results: vectors that are null, empty, zero, or hold null, NaN or infinity, and
 rows with a null vec_id, take no part; vectors are compared with those of their own
-dimension; rows that share a vec_id with the query are its own; with fewer than K
+dimension; rows that share a vec_id with the query are its own, and where they have other
+vectors, each distinct vector is a query with a list of its own; with fewer than K
 candidates all are returned; an empty table gives no rows.
 """
 
@@ -149,12 +150,12 @@ def _build(t: pa.Table) -> pa.Table:
     )
 
 
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = "q long, query_id long, vec_id long, score double"
 
 
 def _search(k: int, ef: int):
     def f(index: pa.Table, queries: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
+        out_k, out_q, out_v, out_s = [], [], [], []
         if len(index) and len(queries):
             r = index.slice(0, 1).to_pylist()[0]
             v = np.frombuffer(r["vectors"], np.float64).reshape(r["n"], -1)
@@ -162,13 +163,13 @@ def _search(k: int, ef: int):
             layers = [(m, np.frombuffer(x, np.int32).reshape(len(m), -1)) for m, x in zip(members, r["levels"], strict=True)]
             g, ids = Graph(v, layers, r["entry"]), r["ids"]
             qs = np.array(queries["vector"].combine_chunks().flatten(), np.float64).reshape(len(queries), -1)
-            for qid, q in zip(queries["query_id"].to_pylist(), qs, strict=True):
+            for key, qid, q in zip(queries["q"].to_pylist(), queries["query_id"].to_pylist(), qs, strict=True):
                 found = g.search(q, ef)
                 exact = np.sqrt(((v[found] - q) ** 2).sum(1)).tolist()
                 best = heapq.nsmallest(k, ((d, i) for d, p in zip(exact, found.tolist(), strict=True) for i in ids[p] if i != qid))
                 for d, i in best:
-                    out_q.append(qid), out_v.append(i), out_s.append(d)
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
+                    out_k.append(key), out_q.append(qid), out_v.append(i), out_s.append(d)
+        return pa.table({"q": pa.array(out_k, pa.int64()), "query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
     return f
 
@@ -190,11 +191,11 @@ def nearest(spark: SparkSession, rows: DataFrame, k: int = K, every: int = EVERY
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int"))
     index = scratch.save(dealt.groupBy("dim", "shard").applyInArrow(_build, _INDEX), "index")
     scratch.drop(distinct)
-    queries = points.where(F.pmod("vec_id", F.lit(every)) == 0).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id", "vector"])
+    queries = points.where(F.pmod("vec_id", F.lit(every)) == 0).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id", "vector"]).withColumn("q", F.xxhash64("query_id", "vector"))
     blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", all_of(shards))
     held = index.withColumn("block", all_of(blocks))
     found = held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(_search(k, ef), _FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

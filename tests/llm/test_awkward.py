@@ -256,3 +256,11 @@ def test_short_items_are_found_wherever_the_edits_are(place):
         d = np.concatenate([draw(50), x, draw(50)])
         found += any(r[1] == i and r[2] <= k for r in index.verified(d, np.array([0, len(d)])))
     assert found >= 0.9 * len(items), found
+
+
+def test_vectors_that_share_an_id_are_queries_of_their_own(spark):
+    rows = [(100, [0.0, 1.0]), (100, [9.0, 9.0]), (100, [9.0, 9.0]), *((k, [float(k), 1.0]) for k in range(1, 30))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest.nearest(spark, df, k=3).collect()
+    lists = sorted([r.vec_id for r in sorted(got, key=lambda r: r.score) if math.isclose(r.score, math.dist(v, (r.vec_id, 1.0)))] for v in ((0.0, 1.0), (9.0, 9.0)))
+    assert len(got) == 6 and lists == [[1, 2, 3], [9, 8, 10]]

@@ -233,6 +233,84 @@ def gif_bytes(frames: list[np.ndarray], palette: list[tuple[int, int, int]], del
     return b"".join([*out, b"\x3b"])
 
 
+def _unpacked(data: bytes, bits: int) -> bytes:
+    """LZW codes of growing width -> indices; a code that cannot be is an error."""
+    clear, end = 1 << bits, (1 << bits) + 1
+    table: list[bytes] = []
+    out, held, count, width, last = bytearray(), 0, 0, bits + 1, b""
+    for byte in data:
+        held |= byte << count
+        count += 8
+        while count >= width:
+            code = held & ((1 << width) - 1)
+            held >>= width
+            count -= width
+            if code == end:
+                return bytes(out)
+            if code == clear or not table:
+                table, width, last = [bytes([i]) for i in range(clear)] + [b"", b""], bits + 1, b""
+                if code == clear:
+                    continue
+            if code < len(table):
+                word = table[code]
+            elif code == len(table) and last:
+                word = last + last[:1]
+            else:
+                raise ValueError(f"code {code} is not known yet")
+            if last and len(table) < 4096:
+                table.append(last + word[:1])
+                if len(table) == 1 << width and width < 12:
+                    width += 1
+            out += word
+            last = word
+    return bytes(out)
+
+
+def gif_frames(raw: bytes) -> list[tuple[np.ndarray, int, bytes]]:
+    """A GIF's frames: indices, milliseconds, and the colours (three bytes each) they mean; frames of the whole canvas that are not interlaced."""
+    if raw[:6] not in (b"GIF87a", b"GIF89a"):
+        raise ValueError("not a GIF")
+    flags, at = raw[10], 13
+    shared = b""
+    if flags & 0x80:
+        n = 3 << (flags & 7) + 1
+        shared, at = raw[at : at + n], at + n
+    frames, ms = [], 0
+
+    def blocks() -> bytes:
+        nonlocal at
+        out = bytearray()
+        while raw[at]:
+            out += raw[at + 1 : at + 1 + raw[at]]
+            at += 1 + raw[at]
+        at += 1
+        return bytes(out)
+
+    while at < len(raw) and raw[at] != 0x3B:
+        if raw[at] == 0x21:
+            label, at = raw[at + 1], at + 2
+            own = blocks()
+            if label == 0xF9:
+                ms = int.from_bytes(own[1:3], "little") * 10
+        elif raw[at] == 0x2C:
+            w, h, own = *struct.unpack_from("<HH", raw, at + 5), raw[at + 9]
+            if own & 0x40:
+                raise ValueError("interlaced frames are not read")
+            at += 10
+            palette = shared
+            if own & 0x80:
+                n = 3 << (own & 7) + 1
+                palette, at = raw[at : at + n], at + n
+            bits, at = raw[at], at + 1
+            pixels = _unpacked(blocks(), bits)
+            if len(pixels) < w * h:
+                raise ValueError("a frame ends early")
+            frames.append((np.frombuffer(pixels[: w * h], np.uint8).reshape(h, w), ms, palette))
+        else:
+            raise ValueError(f"no block begins with {raw[at]}")
+    return frames
+
+
 FORMAT_VERSION = 1
 
 

@@ -167,16 +167,21 @@ def records(raw: bytes) -> list[dict]:
     return out
 
 
+def read_records(raw: bytes) -> list[dict]:
+    """A file's records, or one that says why it cannot be read."""
+    try:
+        return records(raw)
+    except (ValueError, IndexError, KeyError, struct.error, zlib.error) as e:
+        return [{"kind": "error", "n": 0, "name": str(e) or type(e).__name__}]
+
+
 def decode_layered(files: DataFrame) -> DataFrame:
     """(image_id, content) -> records."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i, raw in zip(b["image_id"], b["content"], strict=True):
-                try:
-                    rows = records(bytes(raw or b""))
-                except (ValueError, IndexError, KeyError, struct.error, zlib.error) as e:
-                    rows = [{"kind": "error", "n": 0, "name": str(e) or type(e).__name__}]
+                rows = read_records(bytes(raw or b""))
                 yield pd.DataFrame([[i, *(r.get(c) for c in COLUMNS)] for r in rows], columns=["image_id", *COLUMNS], dtype=object)
 
     return files.select("image_id", "content").mapInPandas(f, SCHEMA)

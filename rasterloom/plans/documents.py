@@ -172,9 +172,22 @@ def latest_wins(spark: SparkSession, d: str) -> DataFrame:
     return D.latest_wins(_t(spark, d, "events"), "user_id", "event_id", 400)
 
 
-@query("SELECT palette_id, i, r, g, b FROM (VALUES " + ", ".join(f"('{n}', {i}, {c[0]}, {c[1]}, {c[2]})" for n in (*P.BUILTIN, *(f"grayscale-{k}" for k in P.GRAY_STEPS)) for i, c in enumerate(P.colors(n))) + ") v(palette_id, i, r, g, b)")
+_ENTRIES = ", ".join(f"('{n}', {i}, {c[0]}, {c[1]}, {c[2]})" for n in (*P.BUILTIN, *(f"grayscale-{k}" for k in P.GRAY_STEPS)) for i, c in enumerate(P.colors(n)))
+
+
+@query(f"""WITH pal(palette_id, i, r, g, b) AS (VALUES {_ENTRIES}), c AS (SELECT p_partkey k, p_partkey * 7919 % 256 r, p_partkey * 104729 % 256 g, p_size * 5 % 256 b FROM part),
+best AS (SELECT palette_id, k, min(((c.r - pal.r) ** 2 + (c.g - pal.g) ** 2 + (c.b - pal.b) ** 2) * 256 + i)::BIGINT % 256 i FROM c, pal GROUP BY ALL)
+SELECT palette_id, i, r, g, b, count(k) parts FROM pal LEFT JOIN best USING (palette_id, i) GROUP BY ALL""")
 def builtin_palettes(spark: SparkSession, d: str) -> DataFrame:
-    return P.builtin_palettes(spark)
+    """Every entry of the built-in palettes, and of how many parts' colours it is the nearest of its palette."""
+    k = F.col("p_partkey")
+    tones = spark.read.parquet(f"{d}/part.parquet").select(F.lit(255).alias("a"), (k * 7919 % 256).cast("int").alias("r"), (k * 104729 % 256).cast("int").alias("g"), (F.col("p_size") * 5 % 256).cast("int").alias("b"))
+    names = [*P.BUILTIN, *(f"grayscale-{n}" for n in P.GRAY_STEPS)]
+    near = None
+    for n in names:
+        own = R.quantize(tones, P.colors(n), space="srgb").groupBy(F.col("idx").alias("i")).agg(F.count(F.lit(1)).alias("parts")).withColumn("palette_id", F.lit(n))
+        near = own if near is None else near.unionByName(own)
+    return P.builtin_palettes(spark).join(near, ["palette_id", "i"], "left").fillna(0, ["parts"])
 
 
 @query(f"WITH {PIXELS}, s AS (SELECT image_id, y, x, r, a FROM px WHERE a > 0) SELECT p.image_id, p.y, p.x, p.r, (q.r IS NOT NULL)::INT shadow FROM px p LEFT JOIN s q ON q.image_id = p.image_id AND q.x = p.x - 2 AND q.y = p.y - 3")

@@ -56,11 +56,14 @@ UNION ALL SELECT image, y, x, {', '.join(f'{_list(N.FLAT, k)}[{_FLAT}]' for k in
 UNION ALL SELECT image, y, x, {', '.join(f"{_list(N.SPRITE, k)}[substr('{_KEYS}', y // 8 * 16 + x // 8 + 1, 1)::INT + 1]" for k in range(4))} FROM place WHERE image = 'pixel-art'
 UNION ALL SELECT image, y, x, CASE WHEN {_SOFT} > 0 THEN 245 ELSE 0 END, CASE WHEN {_SOFT} > 0 THEN 120 ELSE 255 END, CASE WHEN {_SOFT} > 0 THEN 40 ELSE 0 END, {_SOFT} FROM place WHERE image = 'alpha'
 UNION ALL SELECT image, y, x, c, c, c, 255 FROM (SELECT *, CASE WHEN CASE WHEN y > 67 THEN x // 2 % 2 = 0 ELSE (x // 3 + y // 3) % 2 = 0 END THEN 255 ELSE 0 END c FROM place WHERE image = 'high-contrast')
-UNION ALL SELECT image, y, x, 255 * (x / 127::DOUBLE), 255 * (y / 63::DOUBLE), 255 * (1 - (x / 127::DOUBLE) * (y / 63::DOUBLE)), 255 FROM place WHERE image = 'gradient')
-SELECT image, y, x, {', '.join(f'greatest(0, least(255, floor({c} + 0.5)))::INT {c}' for c in 'rgba')} FROM v""")
+UNION ALL SELECT image, y, x, 255 * (x / 127::DOUBLE), 255 * (y / 63::DOUBLE), 255 * (1 - (x / 127::DOUBLE) * (y / 63::DOUBLE)), 255 FROM place WHERE image = 'gradient'),
+gold AS (SELECT image, y, x, {', '.join(f'greatest(0, least(255, floor({c} + 0.5)))::INT {c}' for c in 'rgba')} FROM v), {PIXELS}
+SELECT image, image_id, count(*) compared, {', '.join(f'sum(abs(gold.{c} - px.{c}))::BIGINT {c}' for c in 'rgba')} FROM gold JOIN px ON gold.y = px.y AND gold.x = px.x GROUP BY ALL""")
 def golden_images(spark: SparkSession, d: str) -> DataFrame:
-    """The seven synthetic images at their own sizes."""
-    return N.all_generated(spark)
+    """How far every derived image is from each of the seven synthetic ones, channel by channel, where both have pixels."""
+    gold = F.broadcast(N.all_generated(spark).select("image", F.col("y").alias("gy"), F.col("x").alias("gx"), *(F.col(c).alias(f"g{c}") for c in "rgba")))  # seven images of at most 128 x 128
+    met = pixels(spark, d).join(gold, (F.col("y") == F.col("gy")) & (F.col("x") == F.col("gx")))
+    return met.groupBy("image", "image_id").agg(F.count(F.lit(1)).alias("compared"), *(F.sum(F.abs(F.col(f"g{c}") - F.col(c))).alias(c) for c in "rgba"))
 
 
 def _alike(p: str, q: str) -> str:
@@ -160,9 +163,10 @@ def dropped_images(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chart(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    px = pixels(spark, d).where("x < 13 AND y < 11")
-    cells = px.select(F.col("image_id").alias("chart_id"), F.col("y").alias("row"), F.col("x").alias("col"), ((F.col("r") + F.col("x")) % 12 - 1).cast("int").alias("idx"))
-    charts = cells.select("chart_id").distinct().withColumns({"width": F.lit(13), "height": F.lit(11)})
+    px = pixels(spark, d)
+    chart = F.col("image_id") * 16 + F.floor(F.col("y") / 16) * 4 + F.floor(F.col("x") / 16)
+    cells = px.select(chart.alias("chart_id"), (F.col("y") % 16).alias("row"), (F.col("x") % 16).alias("col"), ((F.col("r") + F.col("x")) % 12 - 1).cast("int").alias("idx"))
+    charts = cells.select("chart_id").distinct().withColumns({"width": F.lit(16), "height": F.lit(16)})
     counts = cells.where("idx >= 0").groupBy("chart_id", "idx").agg(F.count(F.lit(1)).alias("count"))
     legend = counts.select("chart_id", "idx", (F.col("idx") * 23 % 256).alias("r"), (F.col("idx") * 71 % 256).alias("g"), (F.col("idx") * 9 % 256).alias("b"), "count")
     return charts, cells, legend
@@ -174,35 +178,40 @@ _OWN = "struct_pack(r := r::INT, g := g::INT, b := b::INT, a := 255)"
 _LINE = "CASE WHEN i % 10 = 0 THEN struct_pack(r := 70, g := 70, b := 70, a := 255) ELSE struct_pack(r := 200, g := 200, b := 200, a := 255) END"
 
 
-@query(f"""WITH {PIXELS}, cell AS (SELECT image_id k, y::INT cy, x::INT cx, ((r + x) % 12 - 1)::INT idx FROM px WHERE x < 13 AND y < 11), chart AS (SELECT DISTINCT k FROM cell),
+@query(f"""WITH {PIXELS}, cell AS (SELECT image_id * 16 + y // 16 * 4 + x // 16 k, (y % 16)::INT cy, (x % 16)::INT cx, ((r + x) % 12 - 1)::INT idx FROM px), chart AS (SELECT DISTINCT k FROM cell),
 leg AS (SELECT k, idx, idx * 23 % 256 r, idx * 71 % 256 g, idx * 9 % 256 b, count(*) n FROM cell WHERE idx >= 0 GROUP BY ALL), {S.labs('leg')},
 known AS (SELECT *, CASE WHEN l > 0.6 THEN {_INK} ELSE struct_pack(r := 255, g := 255, b := 255, a := 255) END ink, length(max(n) OVER (PARTITION BY k)::VARCHAR) places FROM lab),
-size AS (SELECT k, 167 + CASE WHEN count(idx) > 0 THEN count(idx) * 18 + 8 ELSE 0 END h FROM chart LEFT JOIN leg USING (k) GROUP BY 1),
-box(k, z, x, y, w, h, c) AS (SELECT k, 0, 0, 0, 195, h, struct_pack(r := 255, g := 255, b := 255, a := 255) FROM size UNION ALL SELECT k, 2, 11 + cx * 14, 9 + cy * 14, 14, 14, {_OWN} FROM cell JOIN known USING (k, idx)
-  UNION ALL SELECT k, 4, 11 + i * 14, 9, 1, 154, {_LINE} FROM chart, range(14) _(i) UNION ALL SELECT k, 5, 11, 9 + i * 14, 182, 1, {_LINE} FROM chart, range(12) _(i) UNION ALL SELECT k, 6, 11, 173 + idx * 18, 14, 14, {_OWN} FROM known),
-word(k, z, t, x, y, c) AS (SELECT k, 1, (i + 1)::VARCHAR, 11 + i * 14 + (15 - 4 * length((i + 1)::VARCHAR)) // 2, 2, {_INK} FROM chart, range(13) _(i) UNION ALL SELECT k, 1, (i + 1)::VARCHAR, 10 - 4 * length((i + 1)::VARCHAR), 13 + i * 14, {_INK} FROM chart, range(11) _(i)
+size AS (SELECT k, 237 + CASE WHEN count(idx) > 0 THEN count(idx) * 18 + 8 ELSE 0 END h FROM chart LEFT JOIN leg USING (k) GROUP BY 1),
+box(k, z, x, y, w, h, c) AS (SELECT k, 0, 0, 0, 237, h, struct_pack(r := 255, g := 255, b := 255, a := 255) FROM size UNION ALL SELECT k, 2, 11 + cx * 14, 9 + cy * 14, 14, 14, {_OWN} FROM cell JOIN known USING (k, idx)
+  UNION ALL SELECT k, 4, 11 + i * 14, 9, 1, 224, {_LINE} FROM chart, range(17) _(i) UNION ALL SELECT k, 5, 11, 9 + i * 14, 224, 1, {_LINE} FROM chart, range(17) _(i) UNION ALL SELECT k, 6, 11, 243 + idx * 18, 14, 14, {_OWN} FROM known),
+word(k, z, t, x, y, c) AS (SELECT k, 1, (i + 1)::VARCHAR, 11 + i * 14 + (15 - 4 * length((i + 1)::VARCHAR)) // 2, 2, {_INK} FROM chart, range(16) _(i) UNION ALL SELECT k, 1, (i + 1)::VARCHAR, 10 - 4 * length((i + 1)::VARCHAR), 13 + i * 14, {_INK} FROM chart, range(16) _(i)
   UNION ALL SELECT k, 3, (idx + 1)::VARCHAR, 11 + cx * 14 + (15 - 4 * length((idx + 1)::VARCHAR)) // 2, 13 + cy * 14, ink FROM cell JOIN known USING (k, idx)
-  UNION ALL SELECT k, 7, (idx + 1)::VARCHAR, 11 + (15 - 4 * length((idx + 1)::VARCHAR)) // 2, 177 + idx * 18, ink FROM known
-  UNION ALL SELECT k, 6, unnest([lpad(r::VARCHAR, 3, '0'), lpad(g::VARCHAR, 3, '0'), lpad(b::VARCHAR, 3, '0'), lpad(n::VARCHAR, places::INT, '0')]), unnest([31, 48, 65, 82]), 177 + idx * 18, {_INK} FROM known),
+  UNION ALL SELECT k, 7, (idx + 1)::VARCHAR, 11 + (15 - 4 * length((idx + 1)::VARCHAR)) // 2, 247 + idx * 18, ink FROM known
+  UNION ALL SELECT k, 6, unnest([lpad(r::VARCHAR, 3, '0'), lpad(g::VARCHAR, 3, '0'), lpad(b::VARCHAR, 3, '0'), lpad(n::VARCHAR, places::INT, '0')]), unnest([31, 48, 65, 82]), 247 + idx * 18, {_INK} FROM known),
 glyph(d, gx, gy) AS (VALUES {_GLYPHS}), dot AS (SELECT k, z, x + i * 4 + gx x, y + gy y, c FROM word, range(8) _(i), glyph WHERE i < length(t) AND d = substr(t, i + 1, 1)::INT),
-every AS (SELECT k, z, x + i x, y + j y, c FROM box, range(195) _(i), range(400) __(j) WHERE i < w AND j < box.h UNION ALL SELECT * FROM dot),
+every AS (SELECT k, z, x + i x, y + j y, c FROM box, range(237) _(i), range(500) __(j) WHERE i < w AND j < box.h UNION ALL SELECT * FROM dot),
 top AS (SELECT k, y, x, max_by(c, z) c FROM every GROUP BY ALL)
-SELECT k chart_id, y::INT y, x::INT x, c.r r, c.g g, c.b b, c.a a FROM top""")
+SELECT k chart_id, y::INT y, count(*) pixels, sum((x + 1) * (c.r + c.g * 3 + c.b * 7 + c.a * 11))::BIGINT "sum" FROM top GROUP BY ALL""")
 def charts(spark: SparkSession, d: str) -> DataFrame:
-    """Printable charts of 13 x 11 cells with up to eleven colours."""
-    return H.chart_pixels(*_chart(spark, d), 14)
+    """Printable charts of 16 x 16 cells with up to eleven colours, sixteen an image; a checksum of each row of their pixels."""
+    drawn = H.chart_pixels(*_chart(spark, d), 14)
+    return drawn.groupBy("chart_id", "y").agg(F.count(F.lit(1)).alias("pixels"), F.sum((F.col("x") + 1).cast("long") * (F.col("r") + F.col("g") * 3 + F.col("b") * 7 + F.col("a") * 11)).alias("sum"))
 
 
-@query(f"WITH {PIXELS} SELECT image_id archive_id, 1 AS format, 'multiply' blend, 120 ms, (y - 8)::INT y, (x - 8)::INT x, r, g, b, a FROM px WHERE x BETWEEN 8 AND 15 AND y BETWEEN 8 AND 15")
+@query(f"WITH {PIXELS} SELECT image_id archive_id, 1 AS format, 'multiply' blend, 120 ms, y, x, coalesce(r, 0) r, coalesce(g, 0) g, coalesce(b, 0) b, coalesce(a, 0) a FROM (SELECT image_id, y::INT y, x::INT x FROM (SELECT image_id, max(y) + 1 h FROM px GROUP BY 1), range(64) _(y), range(64) _x(x) WHERE y < h) LEFT JOIN px USING (image_id, y, x)")
 def project_archives(spark: SparkSession, d: str) -> DataFrame:
-    """Projects of one layer written as archives and opened again."""
-    px = pixels(spark, d).where("x BETWEEN 8 AND 15 AND y BETWEEN 8 AND 15")
+    """Projects of one layer, an image each, written as archives and opened again; a row of pixels that ends early is filled up."""
+    px = pixels(spark, d)
     sign = lambda c: F.lpad(F.hex(c), 2, "0")
-    each = px.select(F.col("image_id").alias("archive_id"), F.struct("y", "x", F.concat(*(sign(F.col(c)) for c in "rgba")).alias("h")).alias("p")).groupBy("archive_id").agg(F.unhex(F.array_join(F.array_sort(F.collect_list("p"))["h"], "")).alias("data"))
-    text = """{"width": 8, "height": 8, "layers": [{"kind": "raster", "id": "l", "name": "one", "visible": true, "locked": false, "opacity": 1, "blendMode": "multiply"}],
-        "frames": [{"id": "f", "durationMs": 120}], "cels": [{"id": "c", "layerId": "l", "frameId": "f", "x": 0, "y": 0, "width": 8, "height": 8}], "tags": [], "tilesets": []}"""
-    document = each.select("archive_id", F.from_json(F.lit(text), A.DOCUMENT).alias("sprite"), F.lit(None).cast("string").alias("error"))
-    content = each.select("archive_id", F.lit("cel").alias("kind"), F.lit("l").alias("owner"), F.lit("c").alias("id"), A.cel_entry(F.lit("c"), F.lit(False)).alias("name"), F.lit(False).alias("raw"), F.lit(8).alias("width"), F.lit(8).alias("height"), "data", F.lit(None).cast("string").alias("warning"))
+    place = F.explode(F.sequence(F.lit(0), F.col("height") * SIDE - 1))
+    canvas = px.groupBy("image_id").agg((F.max("y") + 1).alias("height")).select("image_id", "height", place.alias("p"))
+    full = canvas.join(px.withColumn("p", F.col("y") * SIDE + F.col("x")).select("image_id", "p", F.concat(*(sign(F.col(c)) for c in "rgba")).alias("h")), ["image_id", "p"], "left")
+    each = full.groupBy(F.col("image_id").alias("archive_id"), "height").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("h", F.lit("00000000")).alias("h")))).alias("s"))
+    each = each.select("archive_id", "height", F.unhex(F.array_join(F.col("s")["h"], "")).alias("data"))
+    text = """{"width": 64, "height": %d, "layers": [{"kind": "raster", "id": "l", "name": "one", "visible": true, "locked": false, "opacity": 1, "blendMode": "multiply"}],
+        "frames": [{"id": "f", "durationMs": 120}], "cels": [{"id": "c", "layerId": "l", "frameId": "f", "x": 0, "y": 0, "width": 64, "height": %d}], "tags": [], "tilesets": []}"""
+    document = each.select("archive_id", F.from_json(F.format_string(text, "height", "height"), A.DOCUMENT).alias("sprite"), F.lit(None).cast("string").alias("error"))
+    content = each.select("archive_id", F.lit("cel").alias("kind"), F.lit("l").alias("owner"), F.lit("c").alias("id"), A.cel_entry(F.lit("c"), F.lit(False)).alias("name"), F.lit(False).alias("raw"), F.lit(SIDE).alias("width"), "height", "data", F.lit(None).cast("string").alias("warning"))
     entry = A.entries(A.packed(document, content))
     opened = A.documents(entry)
     heads = opened.select("archive_id", "format", F.get("sprite.layers", F.lit(0))["blendMode"].alias("blend"), F.get("sprite.frames", F.lit(0))["durationMs"].alias("ms"))
@@ -240,11 +249,11 @@ def edited_documents(spark: SparkSession, d: str) -> DataFrame:
     return out.select("owner", text("frames", "id", "ms").alias("frames"), text("tags", "id", "lo", "hi").alias("tags"))
 
 
-@query("""WITH s AS (SELECT o_orderkey k, (o_orderkey % 13)::INT x0, (o_custkey % 11)::INT y0, (o_orderkey // 13 % 13)::INT x1, (o_custkey // 11 % 11)::INT y1 FROM orders WHERE o_orderkey % 10 = 0)
+@query("""WITH s AS (SELECT o_orderkey k, (o_orderkey % 13)::INT x0, (o_custkey % 11)::INT y0, (o_orderkey // 13 % 13)::INT x1, (o_custkey // 11 % 11)::INT y1 FROM orders)
 SELECT k, kind, x::INT x, y::INT y FROM s, range(13) _(x), range(11) __(y), (VALUES ('full'), ('rim')) v(kind) WHERE x BETWEEN least(x0, x1) AND greatest(x0, x1) AND y BETWEEN least(y0, y1) AND greatest(y0, y1) AND (kind = 'full' OR x IN (x0, x1) OR y IN (y0, y1))""")
 def rectangles_drawn(spark: SparkSession, d: str) -> DataFrame:
     """Rims and areas of rectangles, some of one row, column or point."""
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 10 = 0")
+    o = spark.read.parquet(f"{d}/orders.parquet")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     corners = [e.cast("int") for e in (k % 13, c % 11, F.floor(k / 13) % 13, F.floor(c / 11) % 11)]
     kinds = F.array(*(F.struct(F.lit(n).alias("kind"), W.rectangle(*corners, full).alias("points")) for n, full in (("full", True), ("rim", False))))

@@ -130,15 +130,20 @@ _SPREAD = [(n, [R.lab_of(c) for c in P.colors(n)]) for n in ("gameboy", "cga", "
 _PAL = ", ".join(f"('{n}', {i}, {c[0]}, {c[1]}, {c[2]})" for n, _ in _SPREAD for i, c in enumerate(P.colors(n)))
 
 
-@query(f"""WITH pal(name, i, r, g, b) AS (VALUES {_PAL}), {S.labs('pal')}, d AS (SELECT a.name, a.i, min((a.l - b.l) ** 2 + (a.p - b.p) ** 2 + (a.q - b.q) ** 2) d FROM lab a JOIN lab b ON a.name = b.name AND a.i <> b.i GROUP BY ALL)
-SELECT name, round(avg(sqrt(d)), 6) spread FROM d GROUP BY 1""")
+@query(f"""WITH pal(name, i, r, g, b) AS (VALUES {_PAL}), {S.labs('pal')}, d AS (SELECT a.name, a.i, min((a.l - b.l) ** 2 + (a.p - b.p) ** 2 + (a.q - b.q) ** 2) d FROM lab a JOIN lab b ON a.name = b.name AND a.i <> b.i GROUP BY ALL),
+s AS (SELECT name, avg(sqrt(d)) spread FROM d GROUP BY 1), c AS (SELECT p_partkey k, p_partkey * 7919 % 256 r, p_partkey * 104729 % 256 g, p_size * 5 % 256 b FROM part), {S.labs('c', 'tone')},
+n AS (SELECT name, k, min((t.l - e.l) ** 2 + (t.p - e.p) ** 2 + (t.q - e.q) ** 2) d FROM tone t, lab e GROUP BY ALL)
+SELECT name, round(any_value(spread), 6) spread, count(*) parts, count(*) FILTER (sqrt(d) < spread) inside FROM n JOIN s USING (name) GROUP BY name""")
 def palette_spread(spark: SparkSession, d: str) -> DataFrame:
-    """Mean distance of each colour to its nearest other: a self join of at most a palette's size."""
-    p = C.with_oklab(P.builtin_palettes(spark).where(F.col("palette_id").isin(*(n for n, _ in _SPREAD))))
-    a, b = p.alias("a"), p.alias("b")
-    dist = sum(((F.col(f"a.lab_{k}") - F.col(f"b.lab_{k}")) ** 2 for k in "lab"), F.lit(0.0))
-    near = a.join(b, (F.col("a.palette_id") == F.col("b.palette_id")) & (F.col("a.i") != F.col("b.i"))).groupBy(F.col("a.palette_id").alias("name"), F.col("a.i").alias("i")).agg(F.min(dist).alias("d"))
-    return near.groupBy("name").agg(F.round(F.avg(F.sqrt("d")), 6).alias("spread"))
+    """Mean distance of each palette's colours to their nearest others, and how many parts' colours lie within it of an entry."""
+    k, out = F.col("p_partkey"), None
+    tones = C.with_oklab(_t(spark, d, "part").select((k * 7919 % 256).cast("int").alias("r"), (k * 104729 % 256).cast("int").alias("g"), (F.col("p_size") * 5 % 256).cast("int").alias("b")))
+    for name, labs in _SPREAD:
+        spread = R.palette_spread(P.colors(name))
+        near = F.least(*(sum(((F.col(f"lab_{c}") - v) * (F.col(f"lab_{c}") - v) for c, v in zip("lab", e)), F.lit(0.0)) for e in labs))
+        own = tones.select(near.alias("d")).agg(F.count(F.lit(1)).alias("parts"), F.count_if(F.sqrt("d") < spread).alias("inside")).select(F.lit(name).alias("name"), F.round(F.lit(spread), 6).alias("spread"), "parts", "inside")
+        out = own if out is None else out.union(own)
+    return out
 
 
 @query("""WITH s AS (SELECT shape, w, h FROM (VALUES ('rect'), ('isometric'), ('hexagonal')) v(shape), (SELECT (20 + p_partkey % 300)::INT w, (20 + p_size * 5)::INT h FROM part) GROUP BY ALL)

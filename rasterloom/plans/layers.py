@@ -69,10 +69,10 @@ def tile_translation(spark: SparkSession, d: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), M.translate_tile(raw, *masks).alias("packed"))
 
 
-@query(f"""WITH {PIXELS}, v AS (SELECT t, t * 64 // 256 s FROM range(256) r(t)), h AS (SELECT t, t * 48 // 192 s FROM range(192) r(t))
-SELECT image_id, v.t::INT y, (h.t + 32)::INT x, r, g, b, a FROM px JOIN v ON v.s = px.y JOIN h ON h.s = px.x""")
+@query(f"""WITH {PIXELS}, v AS (SELECT t, t * 64 // 256 s FROM range(256) r(t)), h AS (SELECT t, t * 64 // 256 s FROM range(256) r(t))
+SELECT image_id, v.t::INT y, h.t::INT x, r, g, b, a FROM px JOIN v ON v.s = px.y JOIN h ON h.s = px.x""")
 def thumbnails(spark: SparkSession, d: str) -> DataFrame:
-    return M.thumbnail(pixels(spark, d).where("x < 48"), 48, SIDE)
+    return M.thumbnail(pixels(spark, d), SIDE, SIDE)
 
 
 _ANGLE, _SCALE = 0.5, 1.3

@@ -122,13 +122,13 @@ def indexed_pixels(spark: SparkSession, d: str) -> DataFrame:
     return N.from_indexed(raw, colors("c64")).withColumnRenamed("i", "shown")
 
 
-@query(f"""WITH {PIXELS}, f AS (SELECT image_id // 5 sprite_id, image_id % 5 frame, y, x, r, g, b, a FROM px WHERE x < 12 AND y < 10), n AS (SELECT sprite_id, greatest(1, least(3, max(frame) + 1)) c FROM f GROUP BY 1)
-SELECT sprite_id, ((y + (frame // c) * 10) * 2 + j)::INT y, ((x + (frame % c) * 12) * 2 + i)::INT x, r, g, b, a FROM f JOIN n USING (sprite_id), range(2) _(i), range(2) __(j)""")
+@query(f"""WITH {PIXELS}, f AS (SELECT image_id // 5 sprite_id, image_id % 5 frame, y, x, r, g, b, a FROM px), n AS (SELECT sprite_id, greatest(1, least(3, max(frame) + 1)) c FROM f GROUP BY 1)
+SELECT sprite_id, ((y + (frame // c) * 64) * 2 + j)::INT y, ((x + (frame % c) * 64) * 2 + i)::INT x, r, g, b, a FROM f JOIN n USING (sprite_id), range(2) _(i), range(2) __(j)""")
 def sheets(spark: SparkSession, d: str) -> DataFrame:
     """Five frames a sprite on sheets of three columns, twice as large."""
-    px = pixels(spark, d).where("x < 12 AND y < 10")
+    px = pixels(spark, d)
     frames = px.select(F.floor(F.col("image_id") / 5).alias("sprite_id"), (F.col("image_id") % 5).alias("frame"), "y", "x", "r", "g", "b", "a")
-    return X.scale_nearest(X.sheet(frames, 3, 12, 10), 2)
+    return X.scale_nearest(X.sheet(frames, 3, SIDE, SIDE), 2)
 
 
 @query("""WITH f AS (SELECT o_custkey s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 f, greatest(o_orderkey % 120, 1) ms FROM orders), n AS (SELECT s, count(*) n, greatest(1, least(s % 4 + 1, count(*))) c FROM f GROUP BY 1),
@@ -182,11 +182,11 @@ def _axis_sql(axis: str, across: str) -> str:
 {axis}4 AS (SELECT *, max(conf) OVER (PARTITION BY image_id) top FROM {axis}3), {axis}5 AS (SELECT image_id, min(p) p, arg_min(conf, p) conf FROM {axis}4 WHERE top >= 3 AND conf >= 0.75 * top GROUP BY 1)"""
 
 
-@query(f"""WITH {PIXELS}, q AS (SELECT image_id, y, x, CASE WHEN image_id % 3 = 0 THEN (x // 5) * 37 % 256 ELSE 0 END r, CASE WHEN image_id % 3 < 2 THEN (y // (4 + image_id % 3)) * 91 % 256 ELSE 0 END g, 0 b, 255 a FROM px WHERE x < 60 AND y < 60), {_axis_sql('x', 'y')}, {_axis_sql('y', 'x')}
+@query(f"""WITH {PIXELS}, q AS (SELECT image_id, y, x, CASE WHEN image_id % 3 = 0 THEN (x // 5) * 37 % 256 ELSE 0 END r, CASE WHEN image_id % 3 < 2 THEN (y // (4 + image_id % 3)) * 91 % 256 ELSE 0 END g, 0 b, 255 a FROM px), {_axis_sql('x', 'y')}, {_axis_sql('y', 'x')}
 SELECT image_id, (CASE WHEN y5.p IS NULL OR x5.conf >= y5.conf THEN x5.p ELSE y5.p END)::INT period, coalesce(x5.p = y5.p, false) agreement FROM x5 FULL JOIN y5 USING (image_id)""")
 def grid_decision(spark: SparkSession, d: str) -> DataFrame:
     """The size of enlarged pixels from both axes, of images enlarged along one, along both, or not."""
-    px, third = pixels(spark, d).where("x < 60 AND y < 60"), F.col("image_id") % 3
+    px, third = pixels(spark, d), F.col("image_id") % 3
     r = F.when(third == 0, F.floor(F.col("x") / 5) * 37 % 256).otherwise(0)
     g = F.when(third < 2, F.floor(F.col("y") / (4 + third)) * 91 % 256).otherwise(0)
     return R.detect_grid(px.select("image_id", "y", "x", r.cast("int").alias("r"), g.cast("int").alias("g"), F.lit(0).alias("b"), F.lit(255).alias("a")))
@@ -218,7 +218,7 @@ def palette_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pixel_perfect_strokes(spark: SparkSession, d: str) -> DataFrame:
-    """Strokes of orders' places without the corners that a fold over them finds redundant."""
-    px = pixels(spark, d).where("x < 6 AND y < 40")
+    """Strokes of orders' places, one through each column of an image, without the corners that a fold over them finds redundant."""
+    px = pixels(spark, d).withColumn("image_id", F.col("image_id") * SIDE + F.col("x"))
     strokes = px.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x"))), lambda p: F.struct(((p["x"] + p["y"]) / 2).cast("int").alias("x"), ((p["y"] * 3 + p["x"]) / 4).cast("int").alias("y"))).alias("points"))
     return strokes.select("image_id", F.posexplode(G.without_corners(F.col("points"))).alias("n", "p")).select("image_id", "n", "p.x", "p.y")

@@ -83,14 +83,15 @@ def ordered_dither(spark: SparkSession, d: str) -> DataFrame:
     return R.quantize_ordered(pixels(spark, d), colors("gameboy"), 4).select("image_id", "y", "x", "idx")
 
 
-@query("""WITH RECURSIVE b(n, x, y, v) AS (SELECT 1, 0, 0, 0 UNION ALL
+@query(f"""WITH RECURSIVE {PIXELS}, b(n, x, y, v) AS (SELECT 1, 0, 0, 0 UNION ALL
  SELECT n * 2, x + dx * n, y + dy * n, v * 4 + e FROM b, (VALUES (0, 0, 0), (1, 0, 2), (0, 1, 3), (1, 1, 1)) q(dx, dy, e) WHERE n < 8)
-SELECT n::INT n, x::INT x, y::INT y, v::INT v FROM b WHERE n > 1""")
+SELECT n::INT n, b.x::INT x, b.y::INT y, v::INT v, count(*) pixels, count(*) FILTER (px.r * n * n > v * 256) lit FROM b JOIN px ON px.x % n = b.x AND px.y % n = b.y WHERE n > 1 GROUP BY ALL""")
 def bayer_matrices(spark: SparkSession, d: str) -> DataFrame:
-    out = None
+    """The pixels on each entry of the three matrices, and how many are above its threshold in red."""
+    px, out = pixels(spark, d), None
     for n in (2, 4, 8):
-        xy = spark.range(n * n).select(F.lit(n).alias("n"), (F.col("id") % n).cast("int").alias("x"), F.floor(F.col("id") / n).cast("int").alias("y"))
-        m = xy.withColumn("v", R.bayer(F.col("x"), F.col("y"), n).cast("int"))
+        m = px.select(F.lit(n).alias("n"), (F.col("x") % n).alias("x"), (F.col("y") % n).alias("y"), R.bayer(F.col("x"), F.col("y"), n).cast("int").alias("v"), "r")
+        m = m.groupBy("n", "x", "y", "v").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("r") * n * n > F.col("v") * 256).alias("lit"))
         out = m if out is None else out.union(m)
     return out
 

@@ -200,11 +200,27 @@ def flatten_layers(rows: DataFrame) -> DataFrame:
     return stack.select("image_id", "y", "x", F.aggregate("stack", zero, step).alias("c")).select("image_id", "y", "x", "c.r", "c.g", "c.b", "c.a")
 
 
-@query()
+@query(f"""WITH {PIXELS}, n AS (SELECT image_id, max(y) h, max(x) w FROM px GROUP BY 1)
+SELECT image_id, j::INT y, i::INT x, coalesce(r, 0) r, coalesce(g, 0) g, coalesce(b, 0) b, coalesce(a, 0) a FROM n, range(64) _(j), range(64) __(i) LEFT JOIN px ON px.image_id = n.image_id AND px.y = j AND px.x = i WHERE j <= h AND i <= w""".replace("SELECT image_id, j::INT", "SELECT n.image_id, j::INT"))
 def png_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Images as PNG files and back; what an image lacks of its rectangle is transparent."""
     return I.decode_png(I.encode_png(pixels(spark, d))).drop("error")
 
 
+_FRAME = "SELECT image_id // 4 sprite_id, (image_id % 4)::INT frame, y, x, (r // 8 + y % 3)::INT idx FROM px"
+
+
+@query(f"""WITH {PIXELS}, f AS ({_FRAME}), s AS (SELECT sprite_id, max(y) + 1 h FROM f GROUP BY 1)
+SELECT f.sprite_id, frame, 64 AS width, any_value(h)::INT height, (greatest(10, 37 * frame) // 10 * 10)::INT ms, sum(idx)::BIGINT total, sum(idx * (y * 64 + x))::BIGINT placed FROM f JOIN s USING (sprite_id) GROUP BY ALL""")
+def gif_files(spark: SparkSession, d: str) -> DataFrame:
+    """Animations of four images each, written as GIF and read again: size and time of every frame, and its indices by sums."""
+    px = pixels(spark, d)
+    idx = px.select(F.floor(F.col("image_id") / 4).alias("sprite_id"), (F.col("image_id") % 4).cast("int").alias("frame"), "y", "x", (F.floor(F.col("r") / 8) + F.col("y") % 3).cast("int").alias("idx"))
+    frames = I.decode_gifs(I.encode_gifs(idx.withColumn("ms", 37 * F.col("frame"))))
+    at = frames.select("sprite_id", "frame", "width", "height", "ms", F.posexplode(F.col("indices")).alias("p", "i"))
+    return at.groupBy("sprite_id", "frame", "width", "height", "ms").agg(F.sum("i").alias("total"), F.sum(F.col("i").cast("long") * F.col("p")).alias("placed"))
+
+
 @query(f"""WITH {PIXELS}, m AS (SELECT image_id, y, x, a > 0 AS k FROM px), e AS (SELECT p.image_id, p.y, p.x, p.k, count(*) FILTER (q.k) n FROM m p LEFT JOIN m q ON q.image_id = p.image_id AND abs(q.x - p.x) + abs(q.y - p.y) = 1 GROUP BY ALL)
 SELECT image_id, y, x, (CASE WHEN k AND n < 4 THEN 1 ELSE 0 END)::INT ring FROM e""")
 def inner_outline(spark: SparkSession, d: str) -> DataFrame:

@@ -25,57 +25,110 @@ def png_bytes(rgba: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
+#: Samples of a pixel by colour type; fixed values of the format, as are the passes of interlacing: first x and y, and steps.
+BANDS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+
+
+def unfiltered(kinds: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
+    """Scan lines without their filters; step is the distance in bytes to the pixel on the left.
+
+    Lines that hang on the left or the upper neighbour alone are running sums. If any hangs on
+    both, all go together along the diagonals, whose places hang on the two diagonals before.
+    """
+    h, n = lines.shape
+    if kinds.size and kinds.max() > 4:
+        raise ValueError(f"no filter {kinds.max()}")
+    if not (kinds > 2).any():
+        out = lines.copy()
+        for y in range(h):
+            if kinds[y] == 1:
+                padded = np.pad(out[y], (0, -n % step)).reshape(-1, step)
+                out[y] = np.add.accumulate(padded, 0, dtype=np.uint8).reshape(-1)[:n]
+            elif kinds[y] == 2 and y:
+                out[y] += out[y - 1]
+        return out
+    w = -(-n // step)
+    cells = np.pad(lines, ((0, 0), (0, w * step - n))).reshape(h, w, step).astype(np.int16)
+    out = np.zeros((h + 1, w + 1, step), np.int16)
+    for t in range(w + h - 1):
+        y = np.arange(max(0, t - w + 1), min(h - 1, t) + 1)
+        x, kind = t - y, kinds[y][:, None]
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        p = left + up - corner
+        of_left, of_up, of_corner = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        nearest = np.where((of_left <= of_up) & (of_left <= of_corner), left, np.where(of_up <= of_corner, up, corner))
+        guess = np.where(kind == 4, nearest, np.where(kind == 3, (left + up) >> 1, np.where(kind == 2, up, np.where(kind == 1, left, 0))))
+        out[y + 1, x + 1] = (cells[y, x] + guess) & 255
+    return out[1:, 1:].reshape(h, w * step)[:, :n].astype(np.uint8)
+
+
+def _samples(data: bytes, at: int, w: int, h: int, depth: int, bands: int) -> tuple[np.ndarray, int]:
+    """h x w x bands samples as they are stored, from scan lines that begin at a place; and where they end."""
+    n = -(-w * depth * bands // 8)
+    if len(data) < at + h * (n + 1):
+        raise ValueError("the pixels end early")
+    rows = np.frombuffer(data, np.uint8, h * (n + 1), at).reshape(h, n + 1)
+    lines = unfiltered(rows[:, 0], rows[:, 1:], max(1, depth * bands // 8))
+    if depth == 16:
+        px = lines.reshape(h, w, bands, 2).astype(np.uint16)
+        px = (px[..., 0] << 8) | px[..., 1]
+    elif depth == 8:
+        px = lines.reshape(h, w, bands)
+    else:
+        bits = np.unpackbits(lines, axis=1)[:, : w * depth].reshape(h, w, depth)
+        px = (bits << np.arange(depth - 1, -1, -1)).sum(-1, dtype=np.uint8)[..., None]
+    return px, at + h * (n + 1)
+
+
 def png_pixels(raw: bytes) -> np.ndarray:
-    """An 8-bit PNG (gray, gray with alpha, colour, palette, colour with alpha; not interlaced) -> height x width x 4."""
+    """A PNG of any colour type and depth, interlaced or not -> height x width x 4 bytes; 16 bits are rounded to 8."""
     if raw[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
-    at, data, colors, alphas = 8, b"", None, b""
+    at, data, colors, clear, head = 8, [], None, b"", None
     while at + 8 <= len(raw):
         (n,), kind = struct.unpack_from(">I", raw, at), raw[at + 4 : at + 8]
         body = raw[at + 8 : at + 8 + n]
         if kind == b"IHDR":
-            w, h, depth, color, _, _, lace = struct.unpack(">IIBBBBB", body)
-            if depth != 8 or lace:
-                raise ValueError("only 8-bit PNG without interlacing")
+            head = struct.unpack(">IIBBBBB", body)
         elif kind == b"PLTE":
             colors = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"tRNS":
-            alphas = body
+            clear = body
         elif kind == b"IDAT":
-            data += body
+            data.append(body)
         at += 12 + n
-    bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * bands)
-    out = np.zeros((h, w * bands), np.uint8)
-    for y in range(h):
-        kind, line = rows[y, 0], rows[y, 1:].astype(np.int64)
-        up = out[y - 1].astype(np.int64) if y else np.zeros(w * bands, np.int64)
-        if kind in (0, 2):
-            out[y] = (line + (up if kind == 2 else 0)) & 255
-            continue
-        done = np.zeros(w * bands + bands, np.int64)  # shifted by one pixel
-        for i in range(w * bands):
-            left, corner = done[i], up[i - bands] if i >= bands else 0
-            if kind == 1:
-                guess = left
-            elif kind == 3:
-                guess = (left + up[i]) // 2
-            else:
-                p = left + up[i] - corner
-                guess = min((abs(p - left), 0, left), (abs(p - up[i]), 1, up[i]), (abs(p - corner), 2, corner))[2]
-            done[i + bands] = (line[i] + guess) & 255
-        out[y] = done[bands:]
-    px = out.reshape(h, w, bands)
+    if head is None:
+        raise ValueError("no header")
+    w, h, depth, color, _, _, lace = head
+    if depth not in DEPTHS.get(color, ()) or not w or not h or lace > 1:
+        raise ValueError(f"no PNG has {w} x {h} pixels of {depth} bits and colour type {color}")
+    stream, bands = zlib.decompress(b"".join(data)), BANDS[color]
+    if not lace:
+        px, _ = _samples(stream, 0, w, h, depth, bands)
+    else:
+        px, at = np.zeros((h, w, bands), np.uint16 if depth == 16 else np.uint8), 0
+        for x0, y0, dx, dy in PASSES:
+            pw, ph = -(-max(0, w - x0) // dx), -(-max(0, h - y0) // dy)
+            if pw and ph:  # a pass without pixels has no lines
+                px[y0::dy, x0::dx], at = _samples(stream, at, pw, ph, depth, bands)
     full = np.full((h, w, 4), 255, np.uint8)
     if color == 3:
+        if colors is None or px.max() >= len(colors):
+            raise ValueError("a colour is not in the palette")
         full[..., :3] = colors[px[..., 0]]
         table = np.full(256, 255, np.uint8)
-        table[: len(alphas)] = np.frombuffer(alphas, np.uint8)
+        table[: len(clear)] = np.frombuffer(clear, np.uint8)
         full[..., 3] = table[px[..., 0]]
-    else:
-        full[..., :3] = px[..., :3] if bands >= 3 else px[..., :1]
-        if bands in (2, 4):
-            full[..., 3] = px[..., -1]
+        return full
+    eight = px if depth == 8 else ((px.astype(np.uint32) + 128) // 257 if depth == 16 else px.astype(np.uint32) * 255 // ((1 << depth) - 1))
+    full[..., :3] = eight[..., :3] if bands >= 3 else eight[..., :1]
+    if bands in (2, 4):
+        full[..., 3] = eight[..., -1]
+    elif clear:
+        see_through = np.frombuffer(clear, ">u2")[:bands]
+        full[..., 3] = np.where((px == see_through).all(-1), 0, 255)
     return full
 
 
@@ -311,6 +364,32 @@ def gif_frames(raw: bytes) -> list[tuple[np.ndarray, int, bytes]]:
     return frames
 
 
+def encode_gifs(frames: DataFrame) -> DataFrame:
+    """(sprite_id, frame, ms, y, x, idx) -> sprite_id, gif; a sprite's frames have one size, and what a frame lacks has index 0. Colour i is gray i."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        shape, images, delays = (pdf["y"].max() + 1, pdf["x"].max() + 1), [], []
+        for _, own in pdf.groupby("frame"):
+            img = np.zeros(shape, np.uint8)
+            img[own["y"], own["x"]] = own["idx"]
+            images.append(img), delays.append(int(own["ms"].iloc[0]))
+        return pd.DataFrame({"sprite_id": [pdf["sprite_id"].iloc[0]], "gif": [gif_bytes(images, [(i, i, i) for i in range(255)], delays)]})
+
+    return frames.groupBy("sprite_id").applyInPandas(f, "sprite_id long, gif binary")
+
+
+def decode_gifs(files: DataFrame) -> DataFrame:
+    """(sprite_id, gif) -> sprite_id, frame, ms, width, height, indices row by row."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s, raw in zip(b["sprite_id"], b["gif"], strict=True):
+                for k, (img, ms, _) in enumerate(gif_frames(bytes(raw))):
+                    yield pd.DataFrame({"sprite_id": [s], "frame": [k], "ms": [ms], "width": [img.shape[1]], "height": [img.shape[0]], "indices": [img.ravel().astype(np.int32)]})
+
+    return files.select("sprite_id", "gif").mapInPandas(f, "sprite_id long, frame int, ms int, width int, height int, indices array<int>")
+
+
 FORMAT_VERSION = 1
 
 

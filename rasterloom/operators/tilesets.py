@@ -31,10 +31,10 @@ def _turned(values: Column, w: int, h: int, turn: tuple[int, int, int]) -> Colum
 
 
 def tile_values(px: DataFrame, w: int, h: int, keys: list[str]) -> DataFrame:
-    """keys, tile, v: the pixels of every whole tile (keys, tile, y, x, r, g, b, a) as one array of packed colours, row by row."""
+    """keys, tile, _v: the pixels of every whole tile (keys, tile, y, x, r, g, b, a) as one array of packed colours, row by row."""
     color = (F.col("r").cast("long") * 16777216 + F.col("g") * 65536 + F.col("b") * 256 + F.col("a")).alias("c")
-    one = px.groupBy(*keys, "tile").agg(F.array_sort(F.collect_list(F.struct((F.col("y") * w + F.col("x")).alias("p"), color))).alias("s"))
-    return one.where(F.size("s") == w * h).select(*keys, "tile", F.transform("s", lambda s: s["c"]).alias("v"))
+    one = px.groupBy(*keys, "tile").agg(F.array_sort(F.collect_list(F.struct((F.col("y") * w + F.col("x")).alias("p"), color))).alias("_s"))
+    return one.where(F.size("_s") == w * h).select(*keys, "tile", F.transform("_s", lambda s: s["c"]).alias("_v"))
 
 
 def identified(px: DataFrame, w: int, h: int, keys: list[str]) -> DataFrame:
@@ -44,11 +44,11 @@ def identified(px: DataFrame, w: int, h: int, keys: list[str]) -> DataFrame:
     """
     turns = TURNS if w == h else TURNS[:4]
     tiles = tile_values(px, w, h, keys)
-    name = F.least(*(_turned(F.col("v"), w, h, t) for t in turns))
-    tiles = tiles.withColumn("name", F.sha2(F.to_json(name).cast("binary"), 256))
-    first = tiles.groupBy(*keys, "name").agg(F.min_by("v", "tile").alias("_v"), F.min("tile").alias("found"))
-    both = tiles.join(first, [*keys, "name"])
-    turn = F.coalesce(*(F.when(_turned(F.col("_v"), w, h, t) == F.col("v"), k) for k, t in enumerate(turns)))
+    name = F.least(*(_turned(F.col("_v"), w, h, t) for t in turns))
+    tiles = tiles.withColumn("_name", F.sha2(F.to_json(name).cast("binary"), 256))
+    first = tiles.groupBy(*keys, "_name").agg(F.min_by("_v", "tile").alias("_first"), F.min("tile").alias("found"))
+    both = tiles.join(first, [*keys, "_name"])
+    turn = F.coalesce(*(F.when(_turned(F.col("_first"), w, h, t) == F.col("_v"), k) for k, t in enumerate(turns)))
     return both.select(*keys, "tile", "found", turn.alias("turn"))
 
 

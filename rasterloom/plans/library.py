@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import color as C
 from rasterloom.functions import geometry as G
+from rasterloom.operators import cache as H
 from rasterloom.operators import compose as K
 from rasterloom.operators import convert as V
 from rasterloom.operators import export as X
@@ -15,6 +16,7 @@ from rasterloom.plans.pixels import _BOX, _COL, _ROW, _SEP
 from rasterloom.registry import query
 from rasterloom.sources.palettes import colors
 from rasterloom.sources.rasters import PIXELS, SIDE, pixels
+from rasterloom.tables import settled
 
 _CGA = ", ".join(f"(r - {c[0]}) * (r - {c[0]}) + (g - {c[1]}) * (g - {c[1]}) + (b - {c[2]}) * (b - {c[2]})" for c in colors("cga"))
 
@@ -50,7 +52,7 @@ def two_rings(spark: SparkSession, d: str) -> DataFrame:
     return R.outlined(idx, F.lit(3), 90, thickness=2)
 
 
-def _merge(n: int, src: str, opacity: float, mode: str, into: str, base: str | None = None) -> str:
+def _merge(n: int, src: str, opacity: float | str, mode: str, into: str, base: str | None = None) -> str:
     """Columns {into}r.. of step n: the source over what is there; with a base clipped to it."""
     if base:
         a, shown, opacity = f"floor({src}a * {opacity}::DOUBLE * ({base} / 255.0::DOUBLE) + 0.5)", f"{src}a > 0 AND {base} > 0", 1.0
@@ -82,21 +84,39 @@ def grouped_sprites(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     return sprites, sprites.select("sprite_id").join(F.broadcast(layers)), cels, buffers  # seven layers
 
 
-FLATTENED = f"""WITH {PIXELS}, p AS (SELECT * FROM px), q AS (SELECT image_id, y + 2 y, x - 3 x, b r, r g, g b, a // 2 a FROM p),
+def _flattened(second: str = "0.9") -> str:
+    """The sprites flattened, with this opacity of the layer within the group."""
+    return f"""WITH {PIXELS}, p AS (SELECT * FROM px), q AS (SELECT image_id, y + 2 y, x - 3 x, b r, r g, g b, a // 2 a FROM p),
 g AS (SELECT DISTINCT image_id FROM p), canvas AS (SELECT image_id, y::INT y, x::INT x FROM g, range(64) _(y), range(64) _(x)),
 f0 AS (SELECT c.image_id, c.y, c.x, {', '.join(f'coalesce(p.{c}, 0)::DOUBLE p{c}' for c in 'rgba')}, coalesce(p.g, 0)::DOUBLE sr, coalesce(p.b, 0)::DOUBLE sg, coalesce(p.r, 0)::DOUBLE sb, coalesce(255 - p.a, 0)::DOUBLE sa,
   {', '.join(f'coalesce(q.{c}, 0)::DOUBLE q{c}' for c in 'rgba')}, {', '.join(f'0::DOUBLE g{c}, 0::DOUBLE u{c}' for c in 'rgba')} FROM canvas c LEFT JOIN p USING (image_id, y, x) LEFT JOIN q USING (image_id, y, x)),
-{_merge(0, 's', 0.9, 'normal', 'g')}, {_merge(1, 'q', 0.8, 'screen', 'g', 'floor(sa * 0.9::DOUBLE + 0.5)')},
+{_merge(0, 's', second, 'normal', 'g')}, {_merge(1, 'q', 0.8, 'screen', 'g', f'floor(sa * {second}::DOUBLE + 0.5)')},
 {_merge(2, 'p', 1.0, 'normal', 'u')}, {_merge(3, 'g', 0.5, 'multiply', 'u')}, {_merge(4, 'q', 0.75, 'difference', 'u', 'floor(ga * 0.5::DOUBLE + 0.5)')}
 SELECT image_id sprite_id, 1::BIGINT frame_id, y, x, {', '.join(f'u{c}::INT {c}' for c in 'rgba')} FROM f5"""
 
 
+FLATTENED = _flattened()
+
+
 @query(FLATTENED)
 def flatten_groups(spark: SparkSession, d: str) -> DataFrame:
     """A raster layer; a group, multiplied at half opacity, of a layer and one clipped to it; a linked cel off the canvas clipped to the group; layers that do not show."""
     return K.flatten(*grouped_sprites(spark, d))
 
 
+@query(f"""SELECT sprite_id, frame_id, sprite_id % 3 > 0 reused, count(*) pixels, sum((y * 64 + x + 1) * (r + 3 * g + 7 * b + 11 * a))::BIGINT placed
+FROM ({_flattened("(CASE WHEN image_id % 3 = 0 THEN 0.4 ELSE 0.9 END)")}) WHERE sprite_id % 5 <> 3 GROUP BY ALL""")
+def recomposited(spark: SparkSession, d: str) -> DataFrame:
+    """All sprites flattened into a cache, then a layer of every third one changed and some sprites deleted: what is composited anew, and what every frame shows."""
+    sprites, layers, cels, px = grouped_sprites(spark, d)
+    cached = settled(H.filled(sprites, layers, cels, px), "frames")
+    alive = F.col("sprite_id") % 5 != 3
+    edited = layers.withColumn("opacity", F.when((F.col("sprite_id") % 3 == 0) & (F.col("layer_id") == 3), 0.4).otherwise(F.col("opacity")))
+    now = H.refreshed(cached, sprites.where(alive), edited, cels.where(alive), px)
+    placed = (F.col("y") * SIDE + F.col("x") + 1).cast("long") * (F.col("r") + 3 * F.col("g") + 7 * F.col("b") + 11 * F.col("a"))
+    return now.groupBy("sprite_id", "frame_id", "reused").agg(F.count(F.lit(1)).alias("pixels"), F.sum(placed).alias("placed"))
+
+
 def _hsv_sql(h: float, s: float, v: float) -> str:
     n = [f"(({k} + nh / 60.0::DOUBLE) - 6 * floor(({k} + nh / 60.0::DOUBLE) / 6))" for k in (5, 3, 1)]
     out = ", ".join(f"CASE WHEN a > 0 THEN floor((nv - nv * ns * greatest(0::DOUBLE, least({k}, 4 - {k}, 1::DOUBLE))) * 255 + 0.5) ELSE {c} END::INT {c}" for k, c in zip(n, "rgb"))

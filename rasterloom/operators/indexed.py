@@ -29,6 +29,24 @@ def raster_buffers(layers: DataFrame, cels: DataFrame) -> DataFrame:
     return own.select(F.coalesce("linked_to", "cel_id").alias("buffer_id")).distinct()
 
 
+def converted_documents(sprites: DataFrame, layers: DataFrame, cels: DataFrame, pixels: DataFrame, palette: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents in colours made documents of indices: their outcome, the new buffers, and what undoing needs.
+
+    sprites (sprite_id, mode) -> sprite_id, mode, reason: one that has indices already, or gets an
+    empty palette, stays as it is and has a reason. Buffers (cel_id, y, x, i) are those of raster
+    layers' cels, each once however many cels show it; tile grids and groups keep their colours.
+    The last is the pixels that those buffers had.
+    """
+    reason = F.when(F.col("mode") == "indexed", "already-indexed").when(F.lit(not palette), "empty-palette")
+    told = sprites.withColumn("reason", reason)
+    changed = told.where("reason IS NULL").select("sprite_id")
+    own = cels.join(changed, "sprite_id", "left_semi")
+    buffers = raster_buffers(layers.join(changed, "sprite_id", "left_semi"), own).withColumnRenamed("buffer_id", "cel_id")
+    before = pixels.join(buffers, "cel_id", "left_semi")
+    outcome = told.select("sprite_id", F.when(F.col("reason").isNull(), "indexed").otherwise(F.col("mode")).alias("mode"), "reason")
+    return outcome, to_indexed(before, palette).select("cel_id", "y", "x", "i"), before
+
+
 def palette_fingerprint(palette_id: Column, colors: Column) -> Column:
     """id:r,g,b,a|r,g,b,a… of an array of colour arrays; - without a palette."""
     return F.coalesce(F.concat(palette_id, F.lit(":"), F.concat_ws("|", F.transform(colors, lambda c: F.concat_ws(",", c.cast("array<string>"))))), F.lit("-"))

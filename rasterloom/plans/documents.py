@@ -166,7 +166,11 @@ def tick_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") >= 50).alias("slow"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("top"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id o, event_id::BIGINT e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) n FROM events), last AS (SELECT o, max(n) m FROM e GROUP BY 1),
+s(o, n, free, waits, waited, came) AS (SELECT DISTINCT o, 0::BIGINT, -1099511627776::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM e UNION ALL
+ SELECT o, n, CASE WHEN f <= e THEN e + 400 ELSE f END, CASE WHEN f <= e THEN NULL ELSE e END, CASE WHEN starts THEN waits END, CASE WHEN f <= e THEN e END
+ FROM (SELECT *, free + CASE WHEN starts THEN 400 ELSE 0 END f FROM (SELECT s.o, e.n, e.e, s.waits, s.free, coalesce(s.waits IS NOT NULL AND s.free <= e.e, false) starts FROM s JOIN e ON e.o = s.o AND e.n = s.n + 1)))
+SELECT o user_id, r event_id FROM (SELECT o, waited r FROM s UNION ALL SELECT o, came FROM s UNION ALL SELECT s.o, s.waits FROM s JOIN last ON last.o = s.o AND last.m = s.n) WHERE r IS NOT NULL""")
 def latest_wins(spark: SparkSession, d: str) -> DataFrame:
     """Preview requests that run: one at a time, the newest waiting one next."""
     return D.latest_wins(_t(spark, d, "events"), "user_id", "event_id", 400)

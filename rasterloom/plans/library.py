@@ -131,6 +131,19 @@ def hsv_shifted(spark: SparkSession, d: str) -> DataFrame:
     return C.hsv_shift(pixels(spark, d), 37.0, -12.5, 9.5)
 
 
+@query(f"""WITH {PIXELS}, b AS (SELECT image_id, image_id * 8 + 1 cel_id, y, x, r, g, b, a FROM px UNION ALL SELECT image_id, image_id * 8 + 4, y, x, b, r, g, a // 2 FROM px), {S.labs('b')}, {S.nearest('lab', 'c64')}
+SELECT image_id sprite_id, CASE WHEN image_id % 4 = 2 THEN 'already-indexed' END reason, CASE WHEN image_id % 4 <> 2 THEN cel_id END cel_id, CASE WHEN image_id % 4 <> 2 THEN count(*) END pixels,
+  CASE WHEN image_id % 4 <> 2 THEN sum(CASE WHEN a = 0 THEN 0 ELSE (i + 1) * (y * 64 + x + 1) END)::BIGINT END placed FROM near GROUP BY image_id, near.cel_id, image_id % 4 HAVING image_id % 4 <> 2 OR near.cel_id % 8 = 1""")
+def indexed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents converted to indices of sixteen colours: two buffers that several raster layers show; one of tile grids stays. Every fourth is indexed already."""
+    sprites, layers, cels, px = grouped_sprites(spark, d)
+    sprites = sprites.select("sprite_id", F.when(F.col("sprite_id") % 4 == 2, "indexed").otherwise("rgba").alias("mode"))
+    own = layers.withColumns({"kind": F.when(F.col("layer_id").isin(3, 7), "tilemap").otherwise(F.col("kind")), "layer_id": F.col("sprite_id") * 10 + F.col("layer_id")})
+    outcome, buffers, _ = N.converted_documents(sprites, own, cels.withColumn("layer_id", F.col("sprite_id") * 10 + F.col("layer_id")), px, colors("c64"))
+    sums = buffers.groupBy("cel_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("i").cast("long") * (F.col("y") * SIDE + F.col("x") + 1)).alias("placed"))
+    return outcome.select("sprite_id", "reason").join(sums.withColumn("sprite_id", F.floor(F.col("cel_id") / 8)), "sprite_id", "left")
+
+
 _C64 = ", ".join(f"({i + 1}, {c[0]}, {c[1]}, {c[2]})" for i, c in enumerate(colors("c64")))
 
 
@@ -236,7 +249,11 @@ def palette_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return pals.select(r.alias("k"), N.palette_fingerprint(F.when(r > 0, F.concat(F.lit("p"), r.cast("string"))), F.col("colors")).alias("print"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PIXELS}, q AS (SELECT image_id * 64 + x k, row_number() OVER (PARTITION BY image_id, x ORDER BY y) n, {{'x': ((x + y) // 2)::INT, 'y': ((y * 3 + x) // 4)::INT}} c FROM px), ends AS (SELECT k, max(n) m FROM q GROUP BY 1),
+s(k, n, kept) AS (SELECT k, n, [c] FROM q WHERE n = 1 UNION ALL
+ SELECT k, n, CASE WHEN b = c THEN kept WHEN a IS NOT NULL AND abs(a.x - c.x) = 1 AND abs(a.y - c.y) = 1 AND abs(a.x - b.x) + abs(a.y - b.y) = 1 AND abs(c.x - b.x) + abs(c.y - b.y) = 1 THEN list_append(kept[:len(kept) - 1], c) ELSE list_append(kept, c) END
+ FROM (SELECT q.k, q.n, q.c, s.kept, s.kept[len(s.kept)] b, CASE WHEN len(s.kept) > 1 THEN s.kept[len(s.kept) - 1] END a FROM s JOIN q ON q.k = s.k AND q.n = s.n + 1))
+SELECT k image_id, (unnest(range(len(kept))))::INT n, unnest(kept).x x, unnest(kept).y y FROM s JOIN ends USING (k) WHERE s.n = m""")
 def pixel_perfect_strokes(spark: SparkSession, d: str) -> DataFrame:
     """Strokes of orders' places, one through each column of an image, without the corners that a fold over them finds redundant."""
     px = pixels(spark, d).withColumn("image_id", F.col("image_id") * SIDE + F.col("x"))

@@ -232,7 +232,20 @@ def _edit_log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+_LOG = "SELECT o_custkey o, o_orderkey q, CASE WHEN o_orderkey % 11 = 0 THEN 'undo' WHEN o_orderkey % 13 = 0 THEN 'redo' ELSE 'do' END w, CASE WHEN o_orderkey * 7 % 8 IN (1, 6) THEN 'duration' END k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) n FROM orders"
+_LAST = "past[len(past)]"
+_HISTORY = f"""e AS ({_LOG}), ends AS (SELECT o, max(n) m FROM e GROUP BY 1),
+s(o, n, past, future, dropped, count, fixed) AS (SELECT DISTINCT o, 0::BIGINT, []::STRUCT(n BIGINT, k VARCHAR, q BIGINT[])[], []::STRUCT(n BIGINT, k VARCHAR, q BIGINT[])[], []::BIGINT[], 0::BIGINT, 0::BIGINT FROM e UNION ALL
+ SELECT o, n, p, CASE WHEN w = 'do' THEN [] WHEN goes THEN list_append(future, {_LAST}) WHEN comes THEN future[:len(future) - 1] ELSE future END, CASE WHEN w = 'do' THEN list_concat(dropped, flatten(list_transform(future, lambda f: f.q))) ELSE dropped END,
+  count + CASE WHEN w = 'do' AND NOT joins THEN 1 ELSE 0 END, CASE WHEN w = 'do' THEN greatest(fixed, len(p) - 200) ELSE fixed END
+ FROM (SELECT *, CASE WHEN joins THEN list_append(past[:len(past) - 1], {{'n': {_LAST}.n, 'k': {_LAST}.k, 'q': list_append({_LAST}.q, q)}}) WHEN w = 'do' THEN list_append(past, {{'n': count, 'k': k, 'q': [q]}})
+   WHEN goes THEN past[:len(past) - 1] WHEN comes THEN list_append(past, future[len(future)]) ELSE past END p
+  FROM (SELECT s.o, e.n, e.w, e.k, e.q, past, future, dropped, count, fixed, e.w = 'do' AND len(past) > fixed AND coalesce(e.k = {_LAST}.k, false) joins, e.w = 'undo' AND len(past) > fixed goes, e.w = 'redo' AND len(future) > 0 comes FROM s JOIN e ON e.o = s.o AND e.n = s.n + 1))),
+final AS (SELECT s.* FROM s JOIN ends ON ends.o = s.o AND ends.m = s.n),
+fates AS (SELECT o owner, unnest(f.q) seq, f.n step, 'done' fate FROM (SELECT o, unnest(past) f FROM final) UNION ALL SELECT o, unnest(f.q), f.n, 'undone' FROM (SELECT o, unnest(future) f FROM final) UNION ALL SELECT o, unnest(dropped), NULL, 'dropped' FROM final)"""
+
+
+@query(f"WITH RECURSIVE {_HISTORY} SELECT owner, seq::BIGINT seq, step, fate FROM fates")
 def undo_steps(spark: SparkSession, d: str) -> DataFrame:
     """Orders of a customer as commands with undo and redo: which stand."""
     return E.history(_edit_log(spark, d).select("owner", "seq", F.col("what").alias("command"), "key"))

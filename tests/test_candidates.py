@@ -47,6 +47,25 @@ def test_diffusion_is_the_same_with_lists(monkeypatch):
         assert K.diffused(pdf, labs, kernel, 1.3, 100).equals(slow)
 
 
+@pytest.mark.parametrize("kernel", list(K.DIFFUSION))
+def test_images_diffuse_together_as_alone(spark, kernel):
+    """Of several sizes, with holes, and with entries that are equally near."""
+    r = np.random.default_rng(7)
+    rows = []
+    for i in range(30):
+        h, w = r.integers(1, 9, 2)
+        rows += [(int(i) * 1000003, y, x, *map(int, r.integers(0, 256, 3) if i % 3 else (128, 128, 128)), int(r.integers(0, 256))) for y in range(h) for x in range(w) if r.random() < 0.95]
+    pdf = pd.DataFrame(rows, columns=["image_id", "y", "x", *"rgba"])
+    pal = [(0, 0, 0), (255, 255, 255), (200, 30, 30), (200, 30, 30), (30, 30, 200)]
+    labs = np.array([R.lab_of(c) for c in pal])
+    want = pd.concat([K.diffused(own, labs, kernel, 0.9, 100) for _, own in pdf.groupby("image_id")])
+    want = {(q.image_id, q.y, q.x): q.idx for q in want.itertuples()}
+    got = K.diffused_together(pdf, labs, kernel, 0.9, 100)
+    assert {(q.image_id, q.y, q.x): q.idx for q in got.itertuples()} == want
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int, a int")
+    assert {(q.image_id, q.y, q.x): q.idx for q in K.diffuse(df, pal, kernel, 0.9, 100).collect()} == want
+
+
 def test_quantising_and_ordered_dithering_use_them(spark):
     pal = palette(64, 3)
     r = np.random.default_rng(6)

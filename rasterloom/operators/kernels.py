@@ -257,7 +257,10 @@ def diffuse(px: DataFrame, palette: list[tuple[int, int, int]], kernel: str, str
     sizes = px.groupBy("image_id").agg(F.pow(F.lit(2.0), F.floor(F.log2(fit))).cast("int").alias("_fit"))
     many = {r["_fit"]: r["n"] for r in sizes.groupBy("_fit").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per power of two
     groups = F.coalesce(*(F.when(F.col("_fit") == fit, -(-n // fit)) for fit, n in many.items()), F.lit(1))
-    dealt = px.join(sizes, "image_id").withColumn("_group", F.pmod(F.xxhash64("image_id"), groups))
+    spark = px.sparkSession
+    # a set number of tasks: by their few bytes Spark would put many groups, which are slow, into one
+    tasks = max(1, min(sum(-(-n // fit) for fit, n in many.items()), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)))
+    dealt = px.join(sizes, "image_id").withColumn("_group", F.pmod(F.xxhash64("image_id"), groups)).repartition(tasks, "_fit", "_group")
     return dealt.groupBy("_fit", "_group").applyInPandas(lambda pdf: diffused_together(pdf, labs, kernel, strength, threshold), "image_id long, y int, x int, idx int")
 
 

@@ -45,7 +45,8 @@ def scroll_thumb(content: Column, view: Column, pan: Column) -> tuple[Column, Co
 
 
 def megabytes(n: Column) -> Column:
-    return F.format_string("%.1f MB", n / F.lit(1048576.0))
+    """Bytes as megabytes with one place; what lies halfway goes to the even digit."""
+    return F.format_string("%.1f MB", F.bround(n / F.lit(1048576.0), 1))
 
 
 def url_host(url: Column) -> Column:

@@ -233,7 +233,7 @@ def parsed_colors(spark: SparkSession, d: str) -> DataFrame:
     """Colours from text, the colour of a new tag, and where a new grid starts."""
     k = F.col("p_partkey")
     p = spark.read.parquet(f"{d}/part.parquet")
-    text = F.when(k % 4 == 0, F.concat(F.lit("#"), F.lpad(F.lower(F.hex(k * 7919 % 16777216)), 6, "0"))).when(k % 4 == 1, F.concat(F.lit(" "), F.lpad(F.hex(k * 104729 % 16777216), 6, "0"), F.lit(" "))).when(k % 4 == 2, F.lpad(F.lower(F.hex(k)), 5, "0")).otherwise(F.concat(F.lit("x"), k.cast("string")))
+    text = F.when(k % 4 == 0, F.concat(F.lit("#"), F.lpad(F.lower(F.hex(k * 7919 % 16777216)), 6, "0"))).when(k % 4 == 1, F.concat(F.lit(" "), F.lpad(F.hex(k * 104729 % 16777216), 6, "0"), F.lit(" "))).when(k % 4 == 2, F.format_string("%05x", k)).otherwise(F.concat(F.lit("x"), k.cast("string")))
     r, g, b = C.from_hex(text)
     off, _ = G.default_grid_offset(F.when(k % 3 == 0, "isometric").otherwise("rectangular"), k % 17, k % 90)
     return p.select(k.alias("k"), r.alias("r"), g.alias("g"), b.alias("b"), G.next_tag_color(k).alias("tag_color"), off.alias("off"))

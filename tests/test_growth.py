@@ -17,3 +17,7 @@ def same_as_sql(spark, name, folder, **tables):
 
 def test_sizes_halfway_between_two_tenths(spark, tmp_path):
     same_as_sql(spark, "chart_labels", tmp_path, events="select i * 262144 + j event_id from range(12) _(i), range(3) __(j)")
+
+
+def test_colors_of_part_keys_beyond_five_digits(spark, tmp_path):
+    same_as_sql(spark, "parsed_colors", tmp_path, part="select 1048570 + i p_partkey from range(20) _(i)")

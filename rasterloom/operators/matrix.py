@@ -5,6 +5,9 @@ thresholds and adjustments differ from row to row, and no step is planned per se
 per size. An image is prepared (cut, adjusted, downscaled) once for all its settings that
 agree on how. An image under a setting is one of its own for the operators: its id is
 image_id * IDS + setting_id, so setting_ids are 0 to IDS - 1.
+
+Settings are few and meet pixels by broadcast; what has a row per image or per image and
+setting grows with the images and is never broadcast, however small its files are.
 """
 
 from __future__ import annotations
@@ -93,21 +96,33 @@ def prepared(px: DataFrame, used: Row) -> DataFrame:
 def _used(settings: DataFrame) -> Row:
     """Which steps the settings need at all: one row, from the settings alone."""
     adjust_ = reduce(lambda x, y: x | y, (F.col(c) != 0 for c in ("brightness", "contrast", "saturation", "hue")))
-    some = {"background": F.col("background").isNotNull(), "crop": F.col("crop").isNotNull(), "fit": F.col("fit"), "adjust": adjust_, "despeckle": F.col("despeckle") > 0, "diffused": F.col("dither").isin(list(K.DIFFUSION))}
+    some = {"background": F.col("background").isNotNull(), "crop": F.col("crop").isNotNull(), "fit": F.col("fit"), "adjust": adjust_, "despeckle": F.col("despeckle") > 0, "automatic": F.size("palette") == 0, "diffused": F.col("dither").isin(list(K.DIFFUSION))}
     rings = F.max(F.when(F.col("outline_color").isNotNull(), F.col("thickness")))
     return settings.agg(*(F.coalesce(F.bool_or(e), F.lit(False)).alias(n) for n, e in some.items()), F.collect_set("mode").alias("modes"), F.coalesce(rings, F.lit(0)).alias("rings")).first()
 
 
-def _palettes(px: DataFrame, asked: DataFrame) -> DataFrame:
-    """image_id, pal (entries by number, in both colour spaces) and spread of every image's palette: the setting's, or one made from its pixels."""
-    given = asked.where(F.size("palette") > 0).select("image_id", F.posexplode("palette").alias("i", "c")).select("image_id", "i", *(F.col("c")[k].alias(n) for k, n in enumerate("rgb")))
-    own = K.auto_palette(px.where("automatic"), "max_colors", threshold=F.col("alpha_threshold"))
+def _entries(colors_: DataFrame, by: str) -> DataFrame:
+    """pal (entries by number, in both colour spaces) and spread of each palette, from its colours (i, r, g, b)."""
     entry = F.struct("i", F.col("lab_l").alias("l"), F.col("lab_a").alias("p"), F.col("lab_b").alias("q"), "r", "g", "b")
-    pal = with_oklab(given.union(own)).groupBy("image_id").agg(F.array_sort(F.collect_list(entry)).alias("pal"))
+    pal = with_oklab(colors_).groupBy(by).agg(F.array_sort(F.collect_list(entry)).alias("pal"))
     apart = lambda p, q: sum(((p[k] - q[k]) * (p[k] - q[k]) for k in "lpq"), F.lit(0.0))
     near = F.transform("pal", lambda p: F.sqrt(F.array_min(F.transform(F.filter("pal", lambda q: q["i"] != p["i"]), lambda q: apart(p, q)))))
     spread = F.when(F.size("pal") < 2, 0.0).otherwise(F.aggregate(near, F.lit(0.0), lambda x, y: x + y) / F.size("pal"))
-    return settled(pal.withColumn("spread", spread), "palettes")
+    return pal.withColumn("spread", spread)
+
+
+def _palettes(px: DataFrame, settings: DataFrame, automatic: bool) -> tuple[DataFrame, DataFrame | None]:
+    """The palettes of settings (_setting, pal, spread), and those made from the pixels of images whose settings have none (image_id, pal, spread)."""
+    given = settings.where(F.size("palette") > 0).select(F.col("setting_id").alias("_setting"), F.posexplode("palette").alias("i", "c")).select("_setting", "i", *(F.col("c")[k].alias(n) for k, n in enumerate("rgb")))
+    own = settled(_entries(K.auto_palette(px.where("automatic"), "max_colors", threshold=F.col("alpha_threshold")), "image_id"), "palettes") if automatic else None
+    return settled(_entries(given, "_setting"), "palettes"), own
+
+
+def _with_palette(rows: DataFrame, palettes: tuple[DataFrame, DataFrame | None]) -> DataFrame:
+    """rows with pal and spread of their image."""
+    given, own = palettes
+    out = rows.join(F.broadcast(given), F.pmod("image_id", F.lit(IDS)) == F.col("_setting")).drop("_setting")
+    return out if own is None else out.union(rows.join(own.hint("merge"), "image_id").select(out.columns))
 
 
 def _nearest(pal: Column, point: dict[str, Column], slack: float) -> Column:
@@ -120,7 +135,7 @@ def _nearest(pal: Column, point: dict[str, Column], slack: float) -> Column:
     return F.aggregate(pal, F.struct(F.lit(float("inf")).alias("d"), F.lit(0).alias("i")), step, lambda b: b["i"])
 
 
-def _quantized(px: DataFrame, pal: DataFrame) -> DataFrame:
+def _quantized(px: DataFrame, palettes: tuple[DataFrame, DataFrame | None]) -> DataFrame:
     """px with idx, without diffusion: only the distinct colours of an image, with their shifts, meet its palette."""
     order = F.regexp_extract("dither", r"^bayer(\d)$", 1)
     matrix = lambda n: (R.bayer(F.col("x"), F.col("y"), n) + 0.5) / float(n * n) - 0.5
@@ -128,14 +143,14 @@ def _quantized(px: DataFrame, pal: DataFrame) -> DataFrame:
     plain = (F.col("dither") == "none") & (F.col("color_space") == "srgb")
     rows = px.withColumns({"_shift": shift, "_plain": plain})
     by = ["image_id", "r", "g", "b", "_shift", "_plain"]
-    tones = with_oklab(rows.where("_a > 0").select(by).distinct().join(pal, "image_id")).withColumn("lab_l", F.col("lab_l") + F.col("_shift") * F.col("spread"))
+    tones = with_oklab(_with_palette(rows.where("_a > 0").select(by).distinct(), palettes)).withColumn("lab_l", F.col("lab_l") + F.col("_shift") * F.col("spread"))
     labs = {"l": F.col("lab_l"), "p": F.col("lab_a"), "q": F.col("lab_b")}
     index = F.when(F.col("_plain"), _nearest(F.col("pal"), {k: F.col(k).cast("double") for k in "rgb"}, 0.0)).otherwise(_nearest(F.col("pal"), labs, R.EPSILON))
     out = rows.join(tones.select(*by, index.alias("_i")), by, "left")
     return out.withColumn("idx", F.when(F.col("_a") == 0, R.TRANSPARENT).otherwise(F.col("_i")).cast("int")).select(*px.columns, "idx")
 
 
-def _diffused(px: DataFrame, pal: DataFrame) -> DataFrame:
+def _diffused(px: DataFrame, palettes: tuple[DataFrame, DataFrame | None]) -> DataFrame:
     def f(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame({c: [] for c in ("image_id", "y", "x", "idx")})
@@ -143,11 +158,12 @@ def _diffused(px: DataFrame, pal: DataFrame) -> DataFrame:
         labs = np.array([[e["l"], e["p"], e["q"]] for e in own["pal"].iloc[0]]) if len(own) else np.zeros((1, 3))
         return K.diffused(pdf, labs, one["dither"], float(one["strength"]), int(one["alpha_threshold"]))
 
-    idx = px.groupBy("image_id").cogroup(pal.select("image_id", "pal").groupBy("image_id")).applyInPandas(f, "image_id long, y int, x int, idx int")
+    pal = _with_palette(px.select("image_id").distinct(), palettes).select(F.col("image_id").alias("_image"), "pal")
+    idx = px.groupBy("image_id").cogroup(pal.groupBy("_image")).applyInPandas(f, "image_id long, y int, x int, idx int")
     return px.join(idx, ["image_id", "y", "x"])
 
 
-def _cleaned(px: DataFrame, pal: DataFrame, specks: bool, rings: int) -> DataFrame:
+def _cleaned(px: DataFrame, palettes: tuple[DataFrame, DataFrame | None], specks: bool, rings: int) -> DataFrame:
     """Specks and outlines, where asked for; so many steps of rings are planned as the widest outline has."""
     opaque = F.when(F.col("idx") == R.TRANSPARENT, 0).when(F.col("a") == 0, 255).otherwise(F.col("a"))
     if specks:
@@ -157,9 +173,9 @@ def _cleaned(px: DataFrame, pal: DataFrame, specks: bool, rings: int) -> DataFra
         return px
     rest, px = px.where("outline_color IS NULL"), px.where("outline_color IS NOT NULL")
     color = {k: F.col("outline_color")[i] for i, k in enumerate("rgb")}
-    wanted = with_oklab(px.select("image_id", *(v.alias(k) for k, v in color.items())).distinct()).join(pal, "image_id")
+    wanted = _with_palette(with_oklab(px.select("image_id", *(v.alias(k) for k, v in color.items())).distinct()), palettes)
     wanted = wanted.select("image_id", _nearest(F.col("pal"), {"l": F.col("lab_l"), "p": F.col("lab_a"), "q": F.col("lab_b")}, R.EPSILON).alias("_ring"))
-    out = px.join(wanted, "image_id").withColumn("_was", F.col("idx"))
+    out = px.join(wanted.hint("merge"), "image_id").withColumn("_was", F.col("idx"))
     for k in range(rings):
         for corners in (False, True):
             grown = R.outline(out.withColumn("_now", F.col("idx")), F.col("_ring"), corners)
@@ -175,15 +191,17 @@ def convert_each(px: DataFrame, sizes: DataFrame, asked: DataFrame, settings: Da
     """
     settings = settings.withColumn("_fit_threshold", F.when(F.col("fit"), F.col("alpha_threshold")))
     settings = settings.withColumn("_prep", F.min("setting_id").over(Window.partitionBy(*_PREPARED_BY)))  # settings alone
-    asked = asked.select("image_id", "setting_id").distinct().join(settings, "setting_id").withColumn("_source", F.col("image_id") * IDS + F.col("_prep"))
-    sources = asked.select("image_id", "_source", *_PREPARED_BY).distinct()
-    sources = sources.join(sizes.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "image_id")
+    asked = asked.select("image_id", "setting_id").distinct().join(F.broadcast(settings.select("setting_id", "_prep")), "setting_id").withColumn("_source", F.col("image_id") * IDS + F.col("_prep"))
+    sources = asked.select("image_id", "_source", "_prep").distinct()
+    sources = sources.join(sizes.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")).hint("merge"), "image_id")
     used = _used(settings)
-    ready = prepared(px.select("image_id", "y", "x", "r", "g", "b", "a").join(sources, "image_id").drop("image_id").withColumnRenamed("_source", "image_id"), used)
-    works = asked.select((F.col("image_id") * IDS + F.col("setting_id")).alias("_id"), "_source", *(c for c in _NAMES if c not in (*_PREPARED_BY, "setting_id")))
-    rows = ready.withColumnRenamed("image_id", "_source").join(works.withColumn("automatic", F.size("palette") == 0).drop("palette"), "_source")
-    rows = rows.drop("_source").withColumnRenamed("_id", "image_id").withColumn("_a", F.when(F.col("a") < F.col("alpha_threshold"), 0).otherwise(F.when(F.col("preserve_alpha"), F.col("a")).otherwise(255)).cast("int"))
-    pal = _palettes(rows, works.drop("_source").withColumnRenamed("_id", "image_id"))
+    each = px.select("image_id", "y", "x", "r", "g", "b", "a").join(sources.hint("shuffle_hash"), "image_id").drop("image_id").withColumnRenamed("_source", "image_id")
+    ready = prepared(each.join(F.broadcast(settings.where("setting_id = _prep").select("_prep", *_PREPARED_BY)), "_prep").drop("_prep"), used)
+    works = asked.select((F.col("image_id") * IDS + F.col("setting_id")).alias("_id"), "_source", "setting_id")
+    finish = settings.select(*(c for c in _NAMES if c not in (*_PREPARED_BY, "palette")), (F.size("palette") == 0).alias("automatic"))
+    rows = ready.withColumnRenamed("image_id", "_source").join(works.hint("shuffle_hash"), "_source").join(F.broadcast(finish), "setting_id").drop("_source", "setting_id")
+    rows = rows.withColumnRenamed("_id", "image_id").withColumn("_a", F.when(F.col("a") < F.col("alpha_threshold"), 0).otherwise(F.when(F.col("preserve_alpha"), F.col("a")).otherwise(255)).cast("int"))
+    pal = _palettes(rows, settings, used.automatic)
     spreads = F.col("dither").isin(list(K.DIFFUSION))
     out = _quantized(rows.where(~spreads), pal)
     if used.diffused:
@@ -199,8 +217,9 @@ def differences(converted: DataFrame, plain: DataFrame) -> DataFrame:
 
     plain (setting_id, plain_id) says with which setting a setting is compared.
     """
+    converted = settled(converted, "converted")
     other = converted.select("image_id", F.col("setting_id").alias("plain_id"), "y", "x", F.col("idx").alias("_idx"))
-    both = converted.join(plain, "setting_id").join(other, ["image_id", "plain_id", "y", "x"])
+    both = converted.join(F.broadcast(plain), "setting_id").join(other.hint("merge"), ["image_id", "plain_id", "y", "x"])
     apart = F.col("idx") != F.col("_idx")
     return both.groupBy("image_id", "setting_id").agg(
         F.count(F.lit(1)).alias("pixels"), F.count_distinct(F.when(F.col("idx") != R.TRANSPARENT, F.col("idx"))).alias("used"), F.count_if(apart).alias("differing"), F.min(F.when(apart, F.struct("y", "x"))).alias("first")

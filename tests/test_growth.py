@@ -2,6 +2,8 @@
 
 import duckdb
 
+from rasterloom.operators import matrix as M
+from rasterloom.operators.convert import Settings
 from rasterloom.plans import ORACLES, QUERIES
 from test_queries import canon
 
@@ -21,3 +23,19 @@ def test_sizes_halfway_between_two_tenths(spark, tmp_path):
 
 def test_colors_of_part_keys_beyond_five_digits(spark, tmp_path):
     same_as_sql(spark, "parsed_colors", tmp_path, part="select 1048570 + i p_partkey from range(20) _(i)")
+
+
+def test_no_broadcast_grows_with_the_images(spark):
+    """With files as small as these tests', Spark would broadcast every table that carries no hint."""
+    settings = M.settings_table(spark, [(Settings(palette=((0, 0, 0), (255, 255, 255)), dither=d), 2) for d in ("none", "bayer2", "bayer4")])
+
+    def broadcast_rows(images):
+        px = spark.range(images * 16).selectExpr("id div 16 image_id", "cast(id % 16 div 4 as int) y", "cast(id % 4 as int) x", *(f"cast(id * {k} % 256 as int) {c}" for k, c in ((7, "r"), (5, "g"), (3, "b"))), "255 a")
+        sizes = px.select("image_id").distinct().selectExpr("image_id", "4 width", "4 height")
+        asked = sizes.selectExpr("image_id", "explode(sequence(0L, 2L)) setting_id")
+        out = M.differences(M.convert_each(px, sizes, asked, settings), spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "setting_id long, plain_id long"))
+        assert out.count() == 3 * images
+        plan = out._jdf.queryExecution().executedPlan()
+        return str(plan.toString()).count("BroadcastExchange")
+
+    assert broadcast_rows(40) == 1  # which setting is compared with which

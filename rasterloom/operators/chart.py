@@ -1,14 +1,17 @@
 """Printable charts of index rasters: numbered cells, axis labels, gridlines and a legend.
 
 Everything drawn is a rectangle of one colour on a level; a number is a rectangle for each lit part of
-its digits. Rectangles are made by column arithmetic, cut into pixels, and the highest level of
-each pixel shows: one grouped maximum, combined before the shuffle.
+its digits. Rectangles are made by column arithmetic and dealt by chart; a task paints one chart
+after the other, level by level, and gives the runs of one colour in each row of its pixels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +94,49 @@ def layouts(charts: DataFrame, legend: DataFrame, cell: int) -> DataFrame:
     })
 
 
+RUN = "chart_id long, y int, x int, n int, color long"
+#: Cells that a task paints; a chart is never parted.
+PAINTED = 100_000
+
+
+def _runs(chart: int, image: np.ndarray) -> pa.RecordBatch:
+    """Runs of one colour in each row; places that nothing covers (-1) are in none."""
+    first = np.ones(image.shape, bool)
+    first[:, 1:] = image[:, 1:] != image[:, :-1]
+    y, x = np.nonzero(first)
+    start = y * image.shape[1] + x
+    n, color = np.diff(start, append=image.size), image[y, x]
+    on = color >= 0
+    return pa.RecordBatch.from_arrays([pa.array(np.full(on.sum(), chart, np.int64)), *(pa.array(v[on].astype(np.int32)) for v in (y, x, n)), pa.array(color[on])], names=["chart_id", "y", "x", "n", "color"])
+
+
+def _painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Charts from their rectangles, which come chart by chart, the lowest level first."""
+    chart = image = None
+    for b in batches:
+        charts, *columns = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        edges = np.flatnonzero(np.diff(charts)) + 1
+        for lo, hi in zip([0, *edges], [*edges, len(charts)]):
+            if lo == hi:
+                continue
+            if charts[lo] != chart:
+                if image is not None:
+                    yield _runs(chart, image)
+                chart, image = int(charts[lo]), np.full((columns[1][lo], columns[0][lo]), -1, np.int64)
+            for x, y, w, h, c in zip(*(v[lo:hi].tolist() for v in columns[2:])):
+                image[max(y, 0) : max(y + h, 0), max(x, 0) : max(x + w, 0)] = c
+    if image is not None:
+        yield _runs(chart, image)
+
+
 def chart_pixels(charts: DataFrame, cells: DataFrame, legend: DataFrame, cell: int) -> DataFrame:
-    """chart_id, y, x, r, g, b, a of whole charts; cells (chart_id, row, col, idx), idx -1 or null for none.
+    """chart_id, y, x, r, g, b, a of whole charts, from what chart_runs() reads."""
+    runs = chart_runs(charts, cells, legend, cell)
+    return runs.select("chart_id", "y", F.explode(F.sequence("x", F.col("x") + F.col("n") - 1)).alias("x"), "r", "g", "b", "a")
+
+
+def chart_runs(charts: DataFrame, cells: DataFrame, legend: DataFrame, cell: int) -> DataFrame:
+    """chart_id, y, x, n, r, g, b, a: runs of n pixels of one colour, of whole charts; cells (chart_id, row, col, idx), idx -1 or null for none.
 
     legend (chart_id, idx, r, g, b, count) counts idx from 0; a cell whose idx it lacks is left
     blank, as is one outside its chart. A chart without cells or legend has its grid and labels only.
@@ -126,7 +170,11 @@ def chart_pixels(charts: DataFrame, cells: DataFrame, legend: DataFrame, cell: i
     entries = lit.join(at, "chart_id").select("chart_id", "canvas_w", "canvas_h", F.inline(F.concat(F.array(_rect(6, left, row_y, swatch, swatch, F.col("own"))), _inside(7, label(F.col("idx")), left, row_y, swatch, F.col("ink")), *fields, counted)))
 
     rects = reduce(DataFrame.union, (frame, squares, entries))
-    px = rects.withColumn("py", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1))).withColumn("px", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)))
-    px = px.where("px >= 0 AND py >= 0 AND px < canvas_w AND py < canvas_h")
-    top_most = px.groupBy("chart_id", F.col("py").alias("y"), F.col("px").alias("x")).agg(F.max_by("color", "level").alias("c"))
-    return top_most.select("chart_id", "y", "x", "c.r", "c.g", "c.b", "c.a")
+    shift = F.col("color.r").cast("long") * (1 << 24) + F.col("color.g") * (1 << 16) + F.col("color.b") * (1 << 8) + F.col("color.a")
+    rects = rects.select("chart_id", "canvas_w", "canvas_h", "x", "y", "w", "h", shift.alias("c"), "level")
+    size = charts.agg(F.sum(F.col("width").cast("long") * F.col("height"))).first()[0] or 0
+    tasks = max(1, -(-size // PAINTED))
+    rects = rects.repartition(tasks, "chart_id").sortWithinPartitions("chart_id", "level").drop("level")
+    runs = rects.mapInArrow(_painted, RUN)
+    byte = lambda k: F.shiftright("color", k).bitwiseAND(F.lit(255).cast("long")).cast("int")
+    return runs.select("chart_id", "y", "x", "n", *(byte(k).alias(c) for c, k in zip("rgba", (24, 16, 8, 0))))

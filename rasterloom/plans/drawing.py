@@ -194,8 +194,10 @@ top AS (SELECT k, y, x, max_by(c, z) c FROM every GROUP BY ALL)
 SELECT k chart_id, y::INT y, count(*) pixels, sum((x + 1) * (c.r + c.g * 3 + c.b * 7 + c.a * 11))::BIGINT "sum" FROM top GROUP BY ALL""")
 def charts(spark: SparkSession, d: str) -> DataFrame:
     """Printable charts of 16 x 16 cells with up to eleven colours, sixteen an image; a checksum of each row of their pixels."""
-    drawn = H.chart_pixels(*_chart(spark, d), 14)
-    return drawn.groupBy("chart_id", "y").agg(F.count(F.lit(1)).alias("pixels"), F.sum((F.col("x") + 1).cast("long") * (F.col("r") + F.col("g") * 3 + F.col("b") * 7 + F.col("a") * 11)).alias("sum"))
+    runs = H.chart_runs(*_chart(spark, d), 14)
+    n, color = F.col("n").cast("long"), F.col("r") + F.col("g") * 3 + F.col("b") * 7 + F.col("a") * 11
+    places = n * (F.col("x") + 1) + F.expr("cast(n as long) * (n - 1) div 2")  # the sum of x + 1 along a run
+    return runs.groupBy("chart_id", "y").agg(F.sum(n).alias("pixels"), F.sum(places * color).alias("sum"))
 
 
 @query(f"WITH {PIXELS} SELECT image_id archive_id, 1 AS format, 'multiply' blend, 120 ms, y, x, coalesce(r, 0) r, coalesce(g, 0) g, coalesce(b, 0) b, coalesce(a, 0) a FROM (SELECT image_id, y::INT y, x::INT x FROM (SELECT image_id, max(y) + 1 h FROM px GROUP BY 1), range(64) _(y), range(64) _x(x) WHERE y < h) LEFT JOIN px USING (image_id, y, x)")

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from rasterloom.operators import chart as H
 from rasterloom.operators import matrix as M
 from rasterloom.operators.convert import Settings
 from rasterloom.plans import ORACLES, QUERIES
@@ -39,3 +40,13 @@ def test_no_broadcast_grows_with_the_images(spark):
         return str(plan.toString()).count("BroadcastExchange")
 
     assert broadcast_rows(40) == 1  # which setting is compared with which
+
+
+def test_charts_are_shuffled_as_rectangles_and_come_as_runs(spark):
+    charts = spark.createDataFrame([(5, 30, 20)], "chart_id long, width int, height int")
+    cells = spark.range(600).selectExpr("5L chart_id", "cast(id div 30 as int) row", "cast(id % 30 as int) col", "cast(id % 2 as int) idx")
+    legend = spark.createDataFrame([(5, k, 9 * k, 80, 200, 300) for k in (0, 1)], "chart_id long, idx int, r int, g int, b int, count long")
+    runs = H.chart_runs(charts, cells, legend, 6).collect()
+    pixels = {(p.y, p.x): tuple(p)[3:] for p in H.chart_pixels(charts, cells, legend, 6).collect()}
+    assert {(r.y, r.x + k): tuple(r)[4:] for r in runs for k in range(r.n)} == pixels
+    assert len(runs) * 2 < sum(r.n for r in runs) == len(pixels)

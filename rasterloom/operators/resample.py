@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.color import half_up
+from rasterloom.tables import dealt
 
 
 def _sinc(x: Column) -> Column:
@@ -47,11 +48,16 @@ def _along(px: DataFrame, axis: str, src: int, dst: int, kernel: str, values: li
     return met.groupBy("image_id", other, F.col("to").alias(axis)).agg(*(F.sum(F.col(v) * F.col("weight")).alias(v) for v in values))
 
 
+#: Pixels that a task resamples; an image is never parted.
+PIXELS = 200_000
+
+
 def resample(px: DataFrame, values: list[str], size: tuple[int, int], to: tuple[int, int], kernel: str = "lanczos3") -> DataFrame:
     """Whole images of one size (width, height) at another, each value by itself as a double: first along columns, then along rows."""
     px = px.select("image_id", "y", "x", *(F.col(v).cast("double").alias(v) for v in values))
     if size == to:
         return px
+    px = dealt(px, "image_id", PIXELS)  # both passes stay within an image, so that pixels are shuffled once, before they become more
     px = _along(px, "y", size[1], to[1], kernel, values)
     return _along(px, "x", size[0], to[0], kernel, values).select("image_id", "y", "x", *values)
 

@@ -25,3 +25,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(df)}/rasterloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, by: str, rows: int) -> DataFrame:
+    """df dealt by a key to as many tasks as it has so many rows; for rows of which far more is made than their size in files and shuffles tells Spark."""
+    return df.repartition(max(1, -(-df.count() // rows)), by)

@@ -1,6 +1,9 @@
 """Keys and tables larger than the given ones: results against the SQL, and what must not grow with the tables."""
 
+import re
+
 import duckdb
+import pytest
 
 from rasterloom.operators import chart as H
 from rasterloom.operators import matrix as M
@@ -50,3 +53,20 @@ def test_charts_are_shuffled_as_rectangles_and_come_as_runs(spark):
     pixels = {(p.y, p.x): tuple(p)[3:] for p in H.chart_pixels(charts, cells, legend, 6).collect()}
     assert {(r.y, r.x + k): tuple(r)[4:] for r in runs for k in range(r.n)} == pixels
     assert len(runs) * 2 < sum(r.n for r in runs) == len(pixels)
+
+
+GROWN = {
+    "line_strokes": ("stroke", "part", "select i p_partkey from range(25000) _(i)"), "filled_ellipses": ("stroke", "part", "select i p_partkey from range(25000) _(i)"),
+    "polygon_fill": ("polygon", "customer", "select i c_custkey from range(5000) _(i)"), "lanczos_up": ("image_id", "orders", "select i o_orderkey, i % 15000 o_custkey from range(450000) _(i)"),
+    "stamped_cells": ("map_id", "orders", "select i o_orderkey, i % 15000 o_custkey from range(250000) _(i)"), "undo_steps": ("owner", "orders", "select i o_orderkey, i % 15000 o_custkey from range(1200000) _(i)"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(GROWN))
+def test_tasks_grow_with_the_rows(spark, tmp_path, name):
+    """Rows are shuffled once, by their key, to a number of tasks that follows from theirs, before more is made of them."""
+    key, table, sql = GROWN[name]
+    duckdb.execute(f"copy ({sql}) to '{tmp_path}/{table}.parquet' (format parquet)")
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#\d+L, (\d+)\), REPARTITION_BY_NUM", plan) == [(key, "3")]
+    assert plan.count("Exchange hashpartitioning") == {"stamped_cells": 2, "lanczos_up": 3}.get(name, 1)  # grids, and weights, shuffle what is theirs

@@ -14,6 +14,7 @@ from rasterloom.operators import shapes as H
 from rasterloom.plans import sql as S
 from rasterloom.plans.pixels import _BOX
 from rasterloom.registry import query
+from rasterloom.tables import dealt
 from rasterloom.sources import images as I
 from rasterloom.sources import palettes as P
 from rasterloom.sources.rasters import PIXELS, SIDE, pixels
@@ -110,8 +111,8 @@ def polygon_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _strokes(spark: SparkSession, d: str, curve: Callable[..., Column]) -> DataFrame:
-    p, k = spark.read.parquet(f"{d}/part.parquet"), F.col("p_partkey").cast("int")
-    return p.select(F.col("p_partkey").alias("stroke"), curve(k % 13, k % 7, k % 17 + 2, k % 11).alias("points"))
+    p, k = spark.read.parquet(f"{d}/part.parquet"), F.col("stroke").cast("int")
+    return dealt(p.select(F.col("p_partkey").alias("stroke")), "stroke", H.MADE).select("stroke", curve(k % 13, k % 7, k % 17 + 2, k % 11).alias("points"))
 
 
 _BOXES = "s AS (SELECT p_partkey stroke, p_partkey % 13 x0, p_partkey % 7 y0, p_partkey % 17 + 2 x1, p_partkey % 11 y1 FROM part)"

@@ -22,6 +22,7 @@ from rasterloom.sources import images as I
 from rasterloom.sources import layered as L
 from rasterloom.sources import palettes as P
 from rasterloom.sources.rasters import PIXELS, SIDE, pixels
+from rasterloom.tables import dealt, settled
 
 
 def _draw(name: str, n: str) -> str:
@@ -203,24 +204,17 @@ def charts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PIXELS} SELECT image_id archive_id, 1 AS format, 'multiply' blend, 120 ms, y, x, coalesce(r, 0) r, coalesce(g, 0) g, coalesce(b, 0) b, coalesce(a, 0) a FROM (SELECT image_id, y::INT y, x::INT x FROM (SELECT image_id, max(y) + 1 h FROM px GROUP BY 1), range(64) _(y), range(64) _x(x) WHERE y < h) LEFT JOIN px USING (image_id, y, x)")
 def project_archives(spark: SparkSession, d: str) -> DataFrame:
     """Projects of one layer, an image each, written as archives and opened again; a row of pixels that ends early is filled up."""
-    px = pixels(spark, d)
-    sign = lambda c: F.lpad(F.hex(c), 2, "0")
-    place = F.explode(F.sequence(F.lit(0), F.col("height") * SIDE - 1))
-    canvas = px.groupBy("image_id").agg((F.max("y") + 1).alias("height")).select("image_id", "height", place.alias("p"))
-    full = canvas.join(px.withColumn("p", F.col("y") * SIDE + F.col("x")).select("image_id", "p", F.concat(*(sign(F.col(c)) for c in "rgba")).alias("h")), ["image_id", "p"], "left")
-    each = full.groupBy(F.col("image_id").alias("archive_id"), "height").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("h", F.lit("00000000")).alias("h")))).alias("s"))
-    each = each.select("archive_id", "height", F.unhex(F.array_join(F.col("s")["h"], "")).alias("data"))
+    each = settled(A.canvases(dealt(pixels(spark, d), "image_id", 500_000), SIDE).withColumnRenamed("image_id", "archive_id"), "canvases")
     text = """{"width": 64, "height": %d, "layers": [{"kind": "raster", "id": "l", "name": "one", "visible": true, "locked": false, "opacity": 1, "blendMode": "multiply"}],
         "frames": [{"id": "f", "durationMs": 120}], "cels": [{"id": "c", "layerId": "l", "frameId": "f", "x": 0, "y": 0, "width": 64, "height": %d}], "tags": [], "tilesets": []}"""
     document = each.select("archive_id", F.from_json(F.format_string(text, "height", "height"), A.DOCUMENT).alias("sprite"), F.lit(None).cast("string").alias("error"))
     content = each.select("archive_id", F.lit("cel").alias("kind"), F.lit("l").alias("owner"), F.lit("c").alias("id"), A.cel_entry(F.lit("c"), F.lit(False)).alias("name"), F.lit(False).alias("raw"), F.lit(SIDE).alias("width"), "height", "data", F.lit(None).cast("string").alias("warning"))
-    entry = A.entries(A.packed(document, content))
-    opened = A.documents(entry)
+    # an archive is small and holds many pixels: tasks have a set number of archives, and rows are made last
+    entry = settled(A.entries(A.packed(document, content)), "entries")
+    opened = settled(A.documents(entry), "opened")
     heads = opened.select("archive_id", "format", F.get("sprite.layers", F.lit(0))["blendMode"].alias("blend"), F.get("sprite.frames", F.lit(0))["durationMs"].alias("ms"))
-    at = A.contents(opened, entry).select("archive_id", "width", F.hex("data").alias("h"), F.posexplode(F.sequence(F.lit(0), F.expr("octet_length(data) div 4 - 1").cast("int"))).alias("i", "_"))
-    byte = lambda k: F.conv(F.substring(F.col("h"), F.col("i") * 8 + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
-    rows = at.select("archive_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), *(byte(k).alias(c) for k, c in enumerate("rgba")))
-    return heads.join(rows, "archive_id")
+    found = heads.join(A.contents(opened, entry).select("archive_id", "width", "data"), "archive_id")
+    return A.content_pixels(found.repartition(max(1, -(-each.count() // 100)), "archive_id"))
 
 
 def _edit_log(spark: SparkSession, d: str) -> DataFrame:

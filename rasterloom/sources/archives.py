@@ -131,6 +131,37 @@ def contents(document: DataFrame, entry: DataFrame) -> DataFrame:
     return found.mapInPandas(f, CONTENT)
 
 
+def canvases(px: DataFrame, width: int) -> DataFrame:
+    """Pixels -> image_id, height, data: straight RGBA down to the last row with a pixel; what is missing is transparent."""
+
+    def f(t: pa.Table) -> pa.Table:
+        y = t.column("y").to_numpy()
+        image = np.zeros((int(y.max()) + 1, width, 4), np.uint8)
+        image[y, t.column("x").to_numpy()] = np.stack([t.column(c).to_numpy() for c in "rgba"], 1)
+        return pa.table({"image_id": t.column("image_id")[:1], "height": pa.array([len(image)], pa.int32()), "data": pa.array([image.tobytes()], pa.binary())})
+
+    known = px.where("image_id IS NOT NULL").select("image_id", "y", "x", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgba"))
+    return known.groupBy("image_id").applyInArrow(f, "image_id long, height int, data binary")
+
+
+def content_pixels(content: DataFrame) -> DataFrame:
+    """Contents with width and data that are not raw -> a row a pixel: the other columns, y, x, r, g, b, a. Those without data give none."""
+    others = [c for c in content.schema if c.name not in ("width", "data")]
+    names = [c.name for c in others] + ["y", "x", *"rgba"]
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (w, data) in enumerate(zip(b.column("width").to_pylist(), b.column("data").to_pylist(), strict=True)):
+                if data is None:
+                    continue
+                rgba = np.frombuffer(data, np.uint8).reshape(-1, 4).astype(np.int32)
+                at, same = np.arange(len(rgba), dtype=np.int32), pa.array(np.full(len(rgba), k))
+                values = (at // np.int32(w), at % np.int32(w), *rgba.T)
+                yield pa.RecordBatch.from_arrays([b.column(c.name).take(same) for c in others] + [pa.array(np.ascontiguousarray(v)) for v in values], names)
+
+    return content.mapInArrow(f, ", ".join([f"`{c.name}` {c.dataType.simpleString()}" for c in others] + [f"{c} int" for c in ("y", "x", *"rgba")]))
+
+
 def preserved(entry: DataFrame, own: DataFrame) -> DataFrame:
     """Entries of older archives that a new one (own: archive_id, name) neither writes nor owns: kept as they are."""
     kept = entry.where(F.col("name").isNotNull() & ~F.col("name").isin(MANIFEST, SPRITE, THUMBNAIL) & ~F.col("name").startswith(CELS) & ~F.col("name").startswith(TILES))

@@ -4,9 +4,11 @@ import io
 import json
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 
+import __spark_entry__
 from rasterloom.sources import archives as A
 from rasterloom.sources.images import png_bytes
 
@@ -98,3 +100,27 @@ def test_written_archives_open_alike_and_keep_what_is_unknown(spark, opened):
 def test_no_archives(spark, opened):
     none = opened[0].limit(0)
     assert A.documents(none).count() == 0 and A.contents(A.documents(none), none).count() == 0
+
+
+def test_canvases_end_with_their_last_row_and_are_transparent_where_nothing_is(spark):
+    px = spark.createDataFrame([(7, 1, 2, 9, 8, 7, 255), (7, 0, 0, 1, None, 3, 4), (8, 0, 1, 5, 6, 7, 8), (None, None, None, 1, 1, 1, 1)], "image_id long, y int, x int, r int, g int, b int, a int")
+    got = {r["image_id"]: (r["height"], bytes(r["data"])) for r in A.canvases(px, 3).collect()}
+    assert got == {7: (2, bytes([1, 0, 3, 4] + [0] * 16 + [9, 8, 7, 255])), 8: (1, bytes([0] * 4 + [5, 6, 7, 8] + [0] * 4))}
+
+
+def test_content_pixels_keep_the_other_columns(spark):
+    content = spark.createDataFrame([(1, "a", 3, PIXELS.tobytes()), (2, "b", 3, None), (3, "c", 1, b"\x01\x02\x03\x04")], "archive_id long, of string, width int, data binary")
+    rows = A.content_pixels(content)
+    assert rows.columns == ["archive_id", "of", "y", "x", *"rgba"]
+    assert sorted(map(tuple, rows.collect())) == [(1, "a", y, x, *map(int, PIXELS[y, x])) for y in range(2) for x in range(3)] + [(3, "c", 0, 0, 1, 2, 3, 4)]
+
+
+def test_project_archives_make_no_row_that_carries_its_image(spark, tmp_path):
+    rows = [(k, None if k % 5 == 0 else k % 97) for k in range(4096 + 70)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    out = __spark_entry__.queries()["project_archives"](spark, str(tmp_path))
+    sql = __spark_entry__.oracle_sql()["project_archives"]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(map(tuple, out.collect())) == sorted(db.execute(sql).fetchall())
+    assert out._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("MapInArrow")

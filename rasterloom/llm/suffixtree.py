@@ -22,6 +22,9 @@ words before it that is a state.
 4. Words and n-grams above HOT_SHARE of the tokens (at most ORDER / HOT_SHARE) go to the
    tasks. The occurrences of others are joined with their table, and their sums added to
    their documents. No key in that join makes up more than HOT_SHARE, so none is hot.
+   Every document is read once for this, in SLICES parts of the corpus one after the
+   other, so that the occurrences of one part only are on disk; each part meets the
+   whole table.
 
 Defined results: a null or empty text is one end token; a null doc_id trains; repeated
 rows are scored each; with no training token the base is uniform over nothing seen and
@@ -50,6 +53,8 @@ CONTEXT_COUNT, NEXT_COUNT = 10, 5
 HOT_SHARE = 5e-7
 #: Most bits of a filter, as a power of two; a small table's has 16 bits a key.
 FILTER_BITS = 27
+#: Parts in which documents meet the table, and training tokens from which on there is one more.
+SLICES, SLICE_TOKENS = 4, 4_000_000
 #: Least likelihood-ratio statistic (chi-squared) per kept next word.
 DIVERGENCE = 4.0
 WEIGHT = 20.0
@@ -99,7 +104,7 @@ def ngrams(t: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarra
 
 
 class Maybe:
-    """A filter of bounded size: every key put in is found, and few others."""
+    """A filter of bounded size: every key put in is found, and few others. A key sets two bits of a word of 64."""
 
     def __init__(self, size: int, places: np.ndarray, bits: np.ndarray):
         self.size = size
@@ -107,15 +112,16 @@ class Maybe:
         self.bits[places] = bits
 
     def has(self, x: np.ndarray) -> np.ndarray:
-        at = x >> np.uint64(64 - self.size)
-        return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        word = self.bits[x >> np.uint64(70 - self.size)]
+        word = (word >> (x & np.uint64(63))) & (word >> ((x >> np.uint64(6)) & np.uint64(63)))
+        return word & np.uint64(1) == 1
 
 
 def _maybe(keys: DataFrame) -> Maybe:
     """The filter of a table's column key; what comes to the driver is at most the filter."""
     size = min(FILTER_BITS, max(16, (16 * keys.count()).bit_length()))
-    at = keys.select(F.shiftrightunsigned("key", 64 - size).alias("at"))
-    bits = at.groupBy(F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    two = F.expr("shiftleft(1L, cast(key & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned(key, 6) & 63 as int))")
+    bits = keys.groupBy(F.shiftrightunsigned("key", 70 - size).alias("place")).agg(F.bit_or(two).alias("bits")).toArrow()
     return Maybe(size, bits["place"].to_numpy(), bits["bits"].to_numpy().view(np.uint64))
 
 
@@ -153,7 +159,8 @@ def _count(order: int, shared=None):
                 context = np.zeros(len(suffix), np.uint64)
             else:
                 _, at, n = np.unique(chain(context, suffix), return_index=True, return_counts=True)
-                context, suffix = context[at], suffix[at]
+                by = np.argsort(context[at])  # rows with one context lie together, which shuffles compress
+                context, suffix, n = context[at[by]], suffix[at[by]], n[by]
             return pa.RecordBatch.from_arrays([pa.array(signed(context)), pa.array(signed(suffix)), pa.array(n, pa.int64())], ["context", "suffix", "n"])
 
         for b in batches:
@@ -275,54 +282,51 @@ class Tree:
         return self.words.find(t), out, open_
 
 
-def _parts(shared, want: str):
-    """Per text its sums over hot words and n-grams (`sums`), or its others with their counts (`rest`)."""
+def _parts(shared):
+    """Per text a row with its sums over hot words and n-grams (n: 0), and rows of its others with their counts (n-grams: negative)."""
+    sums = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (hot, base, value), maybe = pickle.loads(shared.value)
         for b in batches:
             for i, j, data, off in text_chunks(b.column("text")):
                 t, first = tokens(data, off)
-                text = np.repeat(np.arange(j - i), np.diff(first))
-                known, sums, added, rest = np.zeros(len(t), bool), np.zeros(len(t)), np.zeros(len(t)), []
+                text = np.repeat(np.arange(j - i, dtype=np.uint16 if j - i <= 1 << 16 else np.int64), np.diff(first))
+                known, basis, added, rest = np.zeros(len(t), bool), np.zeros(len(t)), np.zeros(len(t)), []
                 for k, (key, has) in enumerate(ngrams(t, first, ORDER)):
                     at = np.flatnonzero(has)
                     place = hot.find(key[at])
-                    if want == "rest":
-                        other = at[place < 0]
-                        other = other if k == 0 else other[maybe.has(key[other])]
-                        rest.append((key[other], text[other], np.full(len(other), k == 0)))
-                        continue
+                    other = at[place < 0]
+                    other = other if k == 0 else other[maybe.has(key[other])]
+                    rest.append((key[other], text[other], np.full(len(other), k == 0)))
                     at, place = at[place >= 0], place[place >= 0]
                     added[at] += value[place]
                     if k == 0:
-                        known[at], sums[at] = True, base[place]
-                if want == "rest":
-                    key, where, word = (np.concatenate(x) for x in zip(*rest, strict=True))
-                    _, at, n = np.unique(chain(key, where.astype(np.uint64)), return_index=True, return_counts=True)
-                    rows = pa.array(where[at] + i)
-                    yield pa.RecordBatch.from_arrays([b.column("k1").take(rows), pa.array(signed(key[at])), pa.array(n.astype(np.int32)), pa.array(word[at])], ["k1", "w", "n", "word"])
-                    continue
-                s = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has a token
+                        known[at], basis[at] = True, base[place]
+                s = lambda x: pa.array(np.add.reduceat(x, first[:-1]))  # noqa: E731  every text has a token
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("k1"), part.column("doc_id"), part.column("held_out"), pa.array(np.ones(j - i, np.int64)), pa.array(np.diff(first)), pa.array(s(known.astype(np.int64))), pa.array(s(sums)), pa.array(s(added + sums))],
-                    ["k1", "doc_id", "held_out", "rows", "n_tokens", "n_known", "base_score", "score"],
-                )
+                k1 = part.column("k1")
+                own = pa.StructArray.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first)), s(known.astype(np.int64)), s(basis), s(added + basis)], fields=list(sums))
+                yield pa.RecordBatch.from_arrays([k1, k1, pa.array(np.zeros(j - i, np.int32)), own], ["k1", "w", "n", "sums"])
+                key, where, word = (np.concatenate(x) for x in zip(*rest, strict=True))
+                _, at, n = np.unique(chain(key, where.astype(np.uint64)), return_index=True, return_counts=True)
+                by = np.argsort(where[at], kind="stable")  # rows of one text lie together, which shuffles compress
+                at, n = at[by], n[by].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([k1.take(pa.array(where[at])), pa.array(signed(key[at])), pa.array(np.where(word[at], n, -n)), pa.nulls(len(at), sums)], ["k1", "w", "n", "sums"])
 
     return f
 
 
-_SUMS = "k1 long, doc_id long, held_out boolean, rows long, n_tokens long, n_known long, base_score double, score double"
+_PARTS = "k1 long, w long, n int, sums struct<doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double>"
 
 
 _GRAM = "context long, suffix long, n long"
 
 
-def _tree(spark: SparkSession, scratch: Scratch, training: DataFrame, words: DataFrame, scale: float) -> DataFrame:
-    """key, n, v: what every occurrence of a state or kept n-gram adds to a score, and its count (a key may come twice)."""
+def _tree(spark: SparkSession, scratch: Scratch, training: DataFrame, words: DataFrame, scale: float) -> tuple[DataFrame, list[DataFrame]]:
+    """key, n, v: what every occurrence of a state or kept n-gram adds to a score, and its count (a key may come twice); and the tables it reads."""
     counts, kept = words, words.where(F.col("n") >= NEXT_COUNT).select("key", ((F.col("n") + F.lit(0.1)) / F.lit(scale)).alias("p"))
-    out = None
+    out, tables = None, []
     for order in range(2, ORDER + 1):
         contexts = counts.where((F.col("n") >= CONTEXT_COUNT) & (F.col("key") != F.lit(END)))
         shared = share(spark, (_maybe(contexts), _maybe(kept)))
@@ -343,8 +347,12 @@ def _tree(spark: SparkSession, scratch: Scratch, training: DataFrame, words: Dat
         part = states.select(F.col("context").alias("key"), "n", "v").union(after.select("key", "n", "v"))
         out = part if out is None else out.union(part)
         scratch.drop(rows)
+        if order > 2:
+            scratch.drop(last)
+        last, tables = grams, [*tables, states, after]
         counts, kept = grams.select("key", "n"), after.select("key", "p")
-    return out
+    scratch.drop(last)
+    return out, tables
 
 
 def language_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -355,11 +363,11 @@ def language_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     words = scratch.save(training.mapInArrow(_count(1), _GRAM).groupBy(F.col("suffix").alias("key")).agg(F.sum("n").alias("n")), "words", release=True)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     scale = total + 0.1 * (distinct + 1)
-    tree = _tree(spark, scratch, training, words, scale)
+    tree, tables = _tree(spark, scratch, training, words, scale)
     values = words.select("key", "n", F.col("n").alias("c"), F.lit(0.0).alias("v")).union(tree.select("key", "n", F.lit(0).cast("long").alias("c"), "v"))
     values = scratch.save(values.groupBy("key").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.sum("v").alias("v")), "values", release=True)
     often = values.where(F.col("n") >= HOT_SHARE * total).toArrow()  # at most ORDER / HOT_SHARE rows
-    scratch.drop(words)
+    scratch.drop(words, *tables)
     key, c, v = often["key"].to_numpy().view(np.uint64), often["c"].to_numpy(), often["v"].to_numpy()
     order = np.argsort(key)
     rest = values.where(F.col("n") < HOT_SHARE * total)
@@ -367,16 +375,21 @@ def language_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # documents are met again by a hash of doc_id and text (two of 15 million share one with a chance of 6e-6);
     # repeated rows are told apart by their number only
     keyed = rows.withColumn("k1", F.xxhash64("doc_id", "text"))
-    first = keyed.mapInArrow(_parts(shared, "sums"), _SUMS)
-    others = keyed.select("k1", "text").mapInArrow(_parts(shared, "rest"), "k1 long, w long, n int, word boolean")
     table = rest.select(F.col("key").alias("of"), "c", "v")
-    log_c = F.when(F.col("word"), F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1)) - F.lit(float(np.log10(scale)))).otherwise(0.0)
-    others = others.join(table, F.col("w") == F.col("of"), "left").select(
-        "k1", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"),
-        F.when(F.col("word") & (F.col("c") > 0), F.col("n")).otherwise(0).cast("long").alias("n_known"), (F.col("n") * log_c).alias("base_score"), (F.col("n") * (log_c + F.coalesce(F.col("v"), F.lit(0.0)))).alias("score"),
-    )
-    s = lambda c: F.sum(c).alias(c)
-    met = first.union(others).groupBy("k1").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), s("rows"), s("n_tokens"), s("n_known"), s("base_score"), s("score"))
+    log_c = F.when(F.col("n") > 0, F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1)) - F.lit(float(np.log10(scale)))).otherwise(0.0)
+    own, times = lambda c: F.coalesce(F.col("sums")[c], F.lit(0)), F.abs("n")
+    met, slices = None, int(min(SLICES, 1 + total // SLICE_TOKENS))
+    for k in range(slices):
+        parts = keyed.where(F.pmod("k1", F.lit(slices)) == k).mapInArrow(_parts(shared), _PARTS)
+        sums = parts.join(table, F.col("w") == F.col("of"), "left").groupBy("k1").agg(
+            F.max("sums.doc_id").alias("doc_id"), F.max("sums.held_out").alias("held_out"), F.count("sums").alias("rows"), F.sum("sums.n_tokens").alias("n_tokens"),
+            F.sum(own("n_known") + F.when((F.col("n") > 0) & (F.col("c") > 0), F.col("n")).otherwise(0)).alias("n_known"),
+            F.sum(own("base_score") + times * log_c).alias("base_score"), F.sum(own("score") + times * (log_c + F.coalesce(F.col("v"), F.lit(0.0)))).alias("score"),
+        )
+        sums = scratch.save(sums, f"sums{k}", release=True)
+        met = sums if met is None else met.union(sums)
+    shared.destroy()
+    scratch.drop(values)
     each = lambda c, kind="double": (F.col(c) / F.col("rows")).cast(kind).alias(c)
     return met.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int")))).select(
         "doc_id", "held_out", each("n_tokens", "long"), each("n_known", "long"), F.lit(total).cast("long").alias("train_tokens"), each("base_score"), each("score"),

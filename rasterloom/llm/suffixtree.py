@@ -14,6 +14,8 @@ words before it that is a state.
    grouped sum, words first, then n-grams of two to ORDER words, one order at a time. An
    n-gram takes part if its context may have the count and its suffix may be kept, by
    filters of at most 2**FILTER_BITS bits: these let some others pass, which the joins drop.
+   Where many contexts have the count, n-grams are counted in parts by their hash, each with
+   a reading of the texts, so that about COUNT_SHARE of the tokens is shuffled at a time.
 2. The tree is made order by order by joins of tables of counts; states and kept next
    words grow with the corpus and stay in tables.
 3. Scores are sums over the n-grams of a text: a state adds the log of its weight of
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.scratch import Scratch, share, small_side
-from rasterloom.llm.words import mix, signed, text_chunks, word_hashes
+from rasterloom.llm.words import give_back, mix, signed, text_chunks, word_hashes
 
 END = 0x5EED0E2D5EED0E2D
 #: Words of the longest n-gram, so contexts have one word less.
@@ -55,6 +58,8 @@ HOT_SHARE = 5e-7
 FILTER_BITS = 27
 #: Parts in which documents meet the table, and training tokens from which on there is one more.
 SLICES, SLICE_TOKENS = 4, 4_000_000
+#: Share of the training tokens of which n-grams are counted at a time; a corpus of SLICE_TOKENS is counted at once.
+COUNT_SHARE = 0.5
 #: Least likelihood-ratio statistic (chi-squared) per kept next word.
 DIVERGENCE = 4.0
 WEIGHT = 20.0
@@ -143,8 +148,8 @@ class Known:
         return out
 
 
-def _count(order: int, shared=None):
-    """Counts of blocks: n-grams of order words as context and suffix (words: context 0) that the filters let pass."""
+def _count(order: int, shared=None, part: int = 0, parts: int = 1):
+    """Counts of blocks: n-grams of order words as context and suffix (words: context 0) of a part that the filters let pass."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, suffixes = pickle.loads(shared.value) if shared else (None, None)
@@ -173,6 +178,8 @@ def _count(order: int, shared=None):
                     same = np.ones(len(t), bool)
                     same[first[:-1]] = False
                     at = np.flatnonzero(same[1:] & has[:-1] & has[1:])
+                    if parts > 1:
+                        at = at[(key[at] ^ key[at + 1]) % np.uint64(parts) == np.uint64(part)]
                     at = at[contexts.has(key[at])]
                     at = at[suffixes.has(key[at + 1])]
                     held.append((key[at], key[at + 1]))
@@ -181,6 +188,7 @@ def _count(order: int, shared=None):
                     yield report()
         if size:
             yield report()
+        give_back()
 
     return f
 
@@ -323,15 +331,19 @@ _PARTS = "k1 long, w long, n int, sums struct<doc_id long, held_out boolean, n_t
 _GRAM = "context long, suffix long, n long"
 
 
-def _tree(spark: SparkSession, scratch: Scratch, training: DataFrame, words: DataFrame, scale: float) -> tuple[DataFrame, list[DataFrame]]:
+def _tree(spark: SparkSession, scratch: Scratch, training: DataFrame, words: DataFrame, total: int, scale: float) -> tuple[DataFrame, list[DataFrame]]:
     """key, n, v: what every occurrence of a state or kept n-gram adds to a score, and its count (a key may come twice); and the tables it reads."""
     counts, kept = words, words.where(F.col("n") >= NEXT_COUNT).select("key", ((F.col("n") + F.lit(0.1)) / F.lit(scale)).alias("p"))
     out, tables = None, []
     for order in range(2, ORDER + 1):
         contexts = counts.where((F.col("n") >= CONTEXT_COUNT) & (F.col("key") != F.lit(END)))
         shared = share(spark, (_maybe(contexts), _maybe(kept)))
-        grams = training.mapInArrow(_count(order, shared), _GRAM).groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= NEXT_COUNT)
-        grams = scratch.save(grams.mapInArrow(_keyed, f"key long, {_GRAM}"), f"grams{order}", release=True)
+        may = contexts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # at most so many n-grams have a context with the count
+        parts, saved = max(1, int(np.ceil(may / (COUNT_SHARE * total)))) if total > SLICE_TOKENS else 1, []
+        for part in range(parts):
+            grams = training.mapInArrow(_count(order, shared, part, parts), _GRAM).groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= NEXT_COUNT)
+            saved.append(scratch.save(grams.mapInArrow(_keyed, f"key long, {_GRAM}"), f"grams{order}", release=True))
+        grams = reduce(DataFrame.union, saved)
         shared.destroy()
         rows = grams.join(contexts.select(F.col("key").alias("context"), F.col("n").alias("c")), "context").join(kept.select(F.col("key").alias("suffix"), F.col("p").alias("lower")), "suffix")
         rows = scratch.save(rows.select("key", "context", "n", "c", "lower"), f"next{order}", release=True)
@@ -348,10 +360,10 @@ def _tree(spark: SparkSession, scratch: Scratch, training: DataFrame, words: Dat
         out = part if out is None else out.union(part)
         scratch.drop(rows)
         if order > 2:
-            scratch.drop(last)
-        last, tables = grams, [*tables, states, after]
+            scratch.drop(*last)
+        last, tables = saved, [*tables, states, after]
         counts, kept = grams.select("key", "n"), after.select("key", "p")
-    scratch.drop(last)
+    scratch.drop(*last)
     return out, tables
 
 
@@ -363,7 +375,7 @@ def language_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     words = scratch.save(training.mapInArrow(_count(1), _GRAM).groupBy(F.col("suffix").alias("key")).agg(F.sum("n").alias("n")), "words", release=True)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     scale = total + 0.1 * (distinct + 1)
-    tree, tables = _tree(spark, scratch, training, words, scale)
+    tree, tables = _tree(spark, scratch, training, words, total, scale)
     values = words.select("key", "n", F.col("n").alias("c"), F.lit(0.0).alias("v")).union(tree.select("key", "n", F.lit(0).cast("long").alias("c"), "v"))
     values = scratch.save(values.groupBy("key").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.sum("v").alias("v")), "values", release=True)
     often = values.where(F.col("n") >= HOT_SHARE * total).toArrow()  # at most ORDER / HOT_SHARE rows
